@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import substrings
+from barline.llm import near_dups, substrings
 from barline.llm._spark import sha256_of, table
 
 
+def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
-QUERIES = {"op8_difference_cover": op8_difference_cover}
+QUERIES = {"op2_bbit_minhash": op2_bbit_minhash, "op8_difference_cover": op8_difference_cover}
 ORACLES = {}
