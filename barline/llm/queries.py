@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import near_dups, substrings
+from barline.llm import near_dups, substrings, tokens
 from barline.llm._spark import sha256_of, table
 
 
+def op1_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = tokens.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_of(listed).alias("ids_sha256"), sha256_of(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -17,5 +24,5 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
-QUERIES = {"op2_bbit_minhash": op2_bbit_minhash, "op8_difference_cover": op8_difference_cover}
+QUERIES = {"op1_chunk_reuse_bpe": op1_chunk_reuse_bpe, "op2_bbit_minhash": op2_bbit_minhash, "op8_difference_cover": op8_difference_cover}
 ORACLES = {}
