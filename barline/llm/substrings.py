@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm._spark import written
-from barline.llm._text import sliced_words, text_bytes
+from barline.llm._text import Words, sliced_words, slices, text_bytes
 
 #: Perfect difference covers by period. Any two residues have a shift that brings both into the cover.
 COVERS = {3: (1, 2), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
@@ -40,14 +40,37 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def _once(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each group's distinct hashes: group, hash, and 1 where the group has the hash more than once, else 0."""
+    order = np.lexsort((h, group))
+    group, h = group[order], h[order]
+    lead = np.ones(len(h), bool)
+    lead[1:] = (group[1:] != group[:-1]) | (h[1:] != h[:-1])
+    at = np.flatnonzero(lead)
+    return group[at], h[at], (np.diff(np.append(at, len(h))) > 1).astype(np.int64)
+
+
+def _covered(window: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sequences of n words: sequence and place of each anchor."""
+    period = _period(window)
+    cover = np.zeros(period, bool)
+    cover[list(COVERS[period])] = True
+    group, place = _spread(np.maximum(n - (window - period), 0))
+    chosen = cover[place % period]
+    return group[chosen], place[chosen]
+
+
+def _hashes(column: pa.Array, row: int) -> np.ndarray:
+    return column[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
 def _anchors(window: int):
-    """Hashes at cover positions, and one row for the whole word sequence (pos below 0, holding 63 more bits of its hash).
+    """Each document's distinct anchor hashes (pos: 1 if it has the hash more than once, else 0), and one row for its whole word
+    sequence (pos below 0, holding 63 more bits of its hash).
 
     Equal sequences in one slice send their anchors once, under the smallest doc_id.
     """
-    period = _period(window)
-    length, cover = window - period + 1, np.zeros(period, bool)
-    cover[list(COVERS[period])] = True
+    length = window - _period(window) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,44 +85,44 @@ def _anchors(window: int):
                 lead = np.ones(len(order), bool)
                 lead[1:] = (whole[order][1:] != whole[order][:-1]) | (more[order][1:] != more[order][:-1])
                 keep = np.sort(order[lead])
-                group, place = _spread(np.maximum(n[long][keep] - length + 1, 0))
-                chosen = cover[place % period]
-                at = w.first[long[keep]][group[chosen]] + place[chosen]
-                yield _rows(np.concatenate([w.windows(at, length), whole]), np.concatenate([own[keep][group[chosen]], own]), np.concatenate([place[chosen], more]))
+                group, place = _covered(window, n[long][keep])
+                group, h, twice = _once(group, w.windows(w.first[long[keep]][group] + place, length))
+                yield _rows(np.concatenate([h, whole]), np.concatenate([own[keep][group], own]), np.concatenate([twice, more]))
 
     return run
 
 
 def _extended(window: int):
-    """All windows around the anchors that are known to repeat."""
-    back = window - (window - _period(window) + 1)
+    """Each document's distinct windows around the anchors that are known to repeat; pos as for anchors."""
+    back = _period(window) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, _ = _ids(batch)
-            anchors, lone = batch.column("anchors"), batch.column("copy").fill_null(0).to_numpy(zero_copy_only=False) != 1
-            work = np.flatnonzero(lone & (pa.compute.fill_null(pa.compute.list_value_length(anchors), 0).to_numpy(zero_copy_only=False) > 0))
+            known, alone = batch.column("anchors"), batch.column("copy").fill_null(0).to_numpy(zero_copy_only=False) != 1
+            work = np.flatnonzero(alone & (pa.compute.fill_null(pa.compute.list_value_length(known), 0).to_numpy(zero_copy_only=False) > 0))
             if not len(work):
                 continue
-            anchors = anchors.take(pa.array(work))
-            texts = batch.column("text").take(pa.array(work))
+            known, texts = known.take(pa.array(work)), batch.column("text").take(pa.array(work))
             for a, b, w in sliced_words(texts):
                 n, held, own = np.diff(w.first), [], []
-                for k in range(a, b):
-                    last = n[k - a] - window
-                    if last < 0:
-                        continue
-                    p = anchors[k].values.to_numpy(zero_copy_only=False)
+                group, place = _covered(window, n)
+                h = w.windows(w.first[group] + place, window - back)
+                edges = np.searchsorted(group, np.arange(b - a + 1))
+                for k in np.flatnonzero(n >= window).tolist():
+                    p = place[edges[k] : edges[k + 1]][np.isin(h[edges[k] : edges[k + 1]], _hashes(known, a + k))]
+                    last = n[k] - window
                     edge = np.zeros(last + 2, np.int32)
                     p = p[p - back <= last]
                     np.add.at(edge, np.maximum(p - back, 0), 1)
                     np.add.at(edge, np.minimum(p, last) + 1, -1)
                     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                     held.append(starts)
-                    own.append(np.full(len(starts), k - a))
+                    own.append(np.full(len(starts), k))
                 if held:
-                    place, doc = np.concatenate(held), np.concatenate(own)
-                    yield _rows(w.windows(w.first[doc] + place, window, 3), ids[work[a:b]][doc], place)
+                    doc = np.concatenate(own)
+                    doc, h, twice = _once(doc, w.windows(w.first[doc] + np.concatenate(held), window, 3))
+                    yield _rows(h, ids[work[a:b]][doc], twice)
 
     return run
 
@@ -108,27 +131,28 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            held, starts, copies = data.tobytes(), batch.column("starts"), batch.column("copy")
+            held, known, copies = data.tobytes(), batch.column("windows"), batch.column("copy").is_valid().to_numpy(zero_copy_only=False)
+            some = known.is_valid().to_numpy(zero_copy_only=False)
             words, removed, texts = [], [], []
-            for k in range(len(starts)):
-                own = held[offsets[k] : offsets[k + 1]].split()
-                n = gone = len(own)
-                if copies[k].as_py() is not None and n >= window:
-                    own = []
-                elif starts[k].is_valid and n >= window:
-                    s = starts[k].values.to_numpy(zero_copy_only=False)
-                    s = s[s <= n - window]
-                    edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + window, -1)
-                    stays = np.cumsum(edge[:-1]) == 0
-                    gone = int(n - stays.sum())
-                    own = [x for x, y in zip(own, stays.tolist(), strict=True) if y]
-                else:
-                    gone = 0
-                words.append(n)
-                removed.append(gone)
-                texts.append(b" ".join(own))
+            for a, b in slices(offsets):
+                w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if some[a:b].any() else None
+                for k in range(a, b):
+                    own = held[offsets[k] : offsets[k + 1]].split()
+                    n, gone = len(own), 0
+                    if copies[k] and n >= window:
+                        own, gone = [], n
+                    elif some[k] and n >= window:
+                        first = w.first[k - a]
+                        s = np.flatnonzero(np.isin(w.windows(np.arange(first, first + n - window + 1), window, 3), _hashes(known, k)))
+                        edge = np.zeros(n + 1, np.int32)
+                        np.add.at(edge, s, 1)
+                        np.add.at(edge, s + window, -1)
+                        stays = np.cumsum(edge[:-1]) == 0
+                        gone = int(n - stays.sum())
+                        own = [x for x, y in zip(own, stays.tolist(), strict=True) if y]
+                    words.append(n)
+                    removed.append(gone)
+                    texts.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
@@ -143,8 +167,8 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     Any two places of a repeated window have a common shift at which both lie on the difference cover, so every repeat shares an
     anchor hash (window - period + 1 words) there. Anchors that occur once go; around the others all windows are hashed and
-    met in turn. Both meetings look at neighbours in sorted order and hold no group. Texts of equal words are met first:
-    one of them stands for all, as all their windows repeat.
+    met in turn. A document sends each hash once, however often it has it. Both meetings look at neighbours in sorted order and
+    hold no group. Texts of equal words are met in the first one too: one of them stands for all, as all their windows repeat.
 
     Null or empty text: no words. A row whose doc_id is null is left whole, but counts as a place of its windows. Equal rows are
     copies of each other. Rows of one doc_id with different texts share their repeated positions. No rows: no rows.
@@ -154,12 +178,12 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     before, after = F.lag("pos").over(order), F.lead("pos").over(order)
     found = docs.mapInArrow(_anchors(window), _ROWS).select("*", before.alias("before"), after.alias("after"))
     copy = F.col("before").eqNullSafe(F.col("pos")) | F.col("after").eqNullSafe(F.col("pos"))
-    again = F.coalesce(F.col("before") >= 0, F.lit(False)) | F.col("after").isNotNull()
+    again = (F.col("pos") == 1) | F.coalesce(F.col("before") >= 0, F.lit(False)) | F.col("after").isNotNull()
     flagged = found.where(F.when(F.col("pos") < 0, copy).otherwise(again))
     first = ~F.col("before").eqNullSafe(F.col("pos"))
     places = written(
         flagged.groupBy("doc_id").agg(
-            F.collect_list(F.when(F.col("pos") >= 0, F.col("pos").cast("int"))).alias("anchors"),
+            F.collect_list(F.when(F.col("pos") >= 0, F.col("h"))).alias("anchors"),
             # 0: the first of equal texts, 1: another of them, null: alone
             F.min(F.when(F.col("pos") < 0, F.when(first, 0).otherwise(1))).alias("copy"),
         ),
@@ -167,7 +191,7 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     )
     extended = docs.join(places, "doc_id", "left").mapInArrow(_extended(window), _ROWS)
     near = Window.partitionBy("h").orderBy("doc_id", "pos")
-    repeated = extended.select("doc_id", "pos", F.lag("pos").over(near).alias("before"), F.lead("pos").over(near).alias("after"))
-    starts = repeated.where(F.col("before").isNotNull() | F.col("after").isNotNull()).groupBy("doc_id").agg(F.collect_list(F.col("pos").cast("int")).alias("starts"))
-    every = docs.join(places.select("doc_id", "copy"), "doc_id", "left").join(starts, "doc_id", "left")
+    repeated = extended.select("h", "doc_id", "pos", F.lag("pos").over(near).alias("before"), F.lead("pos").over(near).alias("after"))
+    repeated = repeated.where((F.col("pos") == 1) | F.col("before").isNotNull() | F.col("after").isNotNull()).groupBy("doc_id").agg(F.collect_list("h").alias("windows"))
+    every = docs.join(places.select("doc_id", "copy"), "doc_id", "left").join(repeated, "doc_id", "left")
     return every.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
