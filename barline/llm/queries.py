@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import near_dups, substrings, tokens
+from barline.llm import chat, decontamination, fingerprints, licenses, near_dups, substrings, tokens
+from barline.llm import oracles
 from barline.llm._spark import sha256_of, table
 
 
@@ -24,5 +25,50 @@ def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
-QUERIES = {"op1_chunk_reuse_bpe": op1_chunk_reuse_bpe, "op2_bbit_minhash": op2_bbit_minhash, "op8_difference_cover": op8_difference_cover}
-ORACLES = {}
+def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    made = chat.examples(turns.unionByName(added))
+    lines = F.array_join(F.transform(chat.turns_of(F.col("text")), lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
+    read = made.select(
+        "conv_id",
+        F.when(F.col("last"), F.size(chat.turns_of(F.col("text")))).alias("n"),
+        F.when(F.col("last"), sha256_of(lines)).alias("digest"),
+        F.struct("example", chat.reply_of(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("reply")).alias("r"),
+        F.char_length("text").cast("long").alias("chars"),
+    )
+    grouped = read.groupBy("conv_id").agg(F.max("n").cast("long").alias("n_turns"), F.max("digest").alias("turns_sha256"), F.sort_array(F.collect_list("r")).alias("replies"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join("replies.reply", "")
+    return grouped.select("conv_id", "n_turns", "turns_sha256", F.char_length(loss).cast("long").alias("loss_chars"), sha256_of(loss).alias("loss_sha256"), "formatted_chars")
+
+
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("matched").cast("long").alias("most_matched"), F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("items"))
+
+
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.col("n_chars"),
+        sha256_of(F.col("edited")).alias("edited_sha256"),
+        F.array_join("sketch", ",").alias("fingerprint"),
+        F.array_join("edited_sketch", ",").alias("edited_fingerprint"),
+        F.round("near_edited", 6).alias("near_edited"),
+        F.round("near_next", 6).alias("near_next"),
+    )
+
+
+def op10_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: a directory for each source, in it one for each thousand and in that for each hundred ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.expr("doc_id div 1000"), F.lit("/"), F.expr("doc_id div 100"), F.lit("/"), F.col("doc_id"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_dir")
+
+
+QUERIES = {"op1_chunk_reuse_bpe": op1_chunk_reuse_bpe, "op2_bbit_minhash": op2_bbit_minhash, "op4_prefix_targets": op4_prefix_targets, "op6_spaced_seeds": op6_spaced_seeds, "op8_difference_cover": op8_difference_cover, "op9_scaled_sketch": op9_scaled_sketch, "op10_license_inheritance": op10_license_inheritance}
+ORACLES = oracles.SQL
