@@ -94,6 +94,20 @@ def _confirmed(p: Params):
     return run
 
 
+def _listed(p: Params):
+    """A row for each document and distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, w in sliced_words(batch.column("text"), True):
+                sets = _shingles(w, p.shingle)
+                rows = np.repeat(np.arange(a, a + len(sets)), [len(x) for x in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(flat.view(np.int64))], ["id", "shingle"])
+
+    return run
+
+
 def estimate(x: Column, y: Column, longs: int) -> Column:
     """Similarity from packed low bits: equal lanes by bit counts, less the share that agrees by chance."""
     lanes = F.lit(0)
@@ -115,7 +129,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     Documents of equal sets are one class with one representative. Representatives meet in bands of minima. Buckets are not
     expanded into pairs: first each member is compared with the bucket's most central member, then, where a bucket still spans
     several components, each member outside the largest one with the best estimate in each other component, and at last with
-    all others whose estimate passes. Pairs inside a component are never needed. Each link is confirmed on the full sets.
+    all others whose estimate passes. Pairs inside a component are never needed, and pairs whose sizes and counts of shingles that
+    any other candidate has rule out the threshold are not made. Each link is confirmed on the full sets.
 
     Null or empty text, or no words: n_shingles 0 and no link. Null doc_id: no link, component_id null, kept. doc_id identifies a
     document; repeated rows get the same result. No rows: no rows.
@@ -143,27 +158,40 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     spokes = multi.join(hubs, "key").where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("met"))
     best = spokes.groupBy("id").agg(F.max_by("hub", F.struct("met", (-F.col("hub")).alias("low"))).alias("hub"))
     links = confirmed(best.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    for last in (False, True):
-        label = components(links)
-        placed = multi.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+
+    def spanning() -> DataFrame:
+        """Bucket rows of the buckets that hold several components: key, id, comp, main (the component with most members)."""
+        placed = multi.join(components(links), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
         spans = parts.groupBy("key").agg(F.max(F.struct("members", "comp")).alias("main"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("main.comp").alias("main"))
-        inside = placed.join(spans, "key")
-        few = inside.where("comp <> main").select("key", F.col("id").alias("x"), F.col("comp").alias("cx"))
-        across = few.join(inside.select("key", F.col("id").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-        across = across.select("x", "y", "cx", "cy").distinct()
+        return written(placed.join(spans, "key"), "spanning")
+
+    # a document's shingles that another one of these has too bound its similarity to any of them
+    inside = spanning()
+    some = inside.select(F.col("id").alias("doc_id")).distinct()
+    listed = written(texts.join(some, "doc_id", "left_semi").mapInArrow(_listed(p), "id long, shingle long"), "shingles")
+    common = listed.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    bound = written(
+        listed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(listed.join(common, "shingle").groupBy("id").agg(F.count(F.lit(1)).alias("s")), "id"),
+        "bounds",
+    )
+    for last in (False, True):
+        sized = inside.join(bound, "id")
+        least = sized.groupBy("key").agg(F.min("n").alias("least"))
+        few = sized.where("comp <> main").join(least, "key").where(F.col("s") * 100 >= p.percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
+        few = few.select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+        most = F.least("sx", "sy")
+        able = (F.col("cx") != F.col("cy")) & (100 * most >= p.percent * (F.col("nx") + F.col("ny") - most))
+        other = sized.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"))
+        across = few.join(other, "key").where(able).select("x", "y", "cy").distinct()
         rated = across.join(bits.toDF("x", "bx"), "x").join(bits.toDF("y", "by"), "y").withColumn("alike", estimate(F.col("bx"), F.col("by"), longs))
         rated = rated.where(F.col("alike") >= p.least_estimate)
-        if last:
-            chosen = rated.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        else:
-            chosen = rated.groupBy("x", "cy").agg(F.max_by("y", F.struct("alike", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = confirmed(chosen)
-        if more.isEmpty():
-            if last:
-                break
-            continue
+        if not last:
+            rated = rated.groupBy("x", "cy").agg(F.max_by("y", F.struct("alike", "y")).alias("y"))
+        more = confirmed(rated.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         links = links.union(more)
+        if not last:
+            inside = spanning()
     label = components(links)
     every = sketch.select("doc_id", *keys).join(classes, keys, "left").join(label.toDF("rep", "comp"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep", "doc_id"))
