@@ -6,8 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat, decontamination, fingerprints, licenses, near_dups, substrings, tokens
-from barline.llm import oracles
+from barline.llm import chat, decontamination, fingerprints, html_text, languages, licenses, near_dups, oracles, secrets, substrings, tokens
 from barline.llm._spark import sha256_of, table
 
 
@@ -21,10 +20,26 @@ def op2_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_span_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = languages.held_out()
+    model = languages.train(docs.where(F.col("lang").isNotNull() & ~out))
+    found = languages.identify(docs.drop("lang"), model)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.size("lang_spans").cast("long").alias("n_spans"))
+
+
 def op8_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", sha256_of(F.col("kept")).alias("kept_sha256"))
 
 
+def op3_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    base = listed(F.filter("secrets", lambda s: s.kind != "markov"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), sha256_of(base).alias("base_sha256"), listed(F.col("secrets")).alias("spans"), count("markov"))
+
+
 def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
@@ -43,6 +58,10 @@ def op4_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("conv_id", "n_turns", "turns_sha256", F.char_length(loss).cast("long").alias("loss_chars"), sha256_of(loss).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -70,5 +89,19 @@ def op10_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_dir")
 
 
-QUERIES = {"op1_chunk_reuse_bpe": op1_chunk_reuse_bpe, "op2_bbit_minhash": op2_bbit_minhash, "op4_prefix_targets": op4_prefix_targets, "op6_spaced_seeds": op6_spaced_seeds, "op8_difference_cover": op8_difference_cover, "op9_scaled_sketch": op9_scaled_sketch, "op10_license_inheritance": op10_license_inheritance}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chunk_reuse_bpe,
+        op2_bbit_minhash,
+        op3_markov_secrets,
+        op4_prefix_targets,
+        op5_consensus_html,
+        op6_spaced_seeds,
+        op7_span_languages,
+        op8_difference_cover,
+        op9_scaled_sketch,
+        op10_license_inheritance,
+    )
+}
 ORACLES = oracles.SQL
