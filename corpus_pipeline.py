@@ -1,8 +1,71 @@
-"""A corpus pipeline: each stage works on what its predecessor kept."""
+"""A corpus pipeline: each stage works on all documents that its predecessor kept, and its decisions take effect.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), docs with the columns of `documents` (doc_id, text, lang, source, n_chars), and returns them
+too, but for the last, which returns the encoded texts. Null or empty texts, repeated rows, empty tables and further columns have the
+results that the operators' docstrings state.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barline.llm import decontamination, languages, near_dups, secrets, tokens
+from barline.llm._spark import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a recognised language; those without letters (`und`) go."""
+    model = languages.train(docs.where(F.col("lang").isNotNull() & ~languages.held_out()).select("doc_id", "text", "lang"))
+    found = languages.identify(docs, model)
+    return found.where(F.col("lang_pred") != "und").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates the document with the smallest doc_id, once if its row repeats."""
+    gone = near_dups.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    stays = docs.join(gone, "doc_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id")))
+    return stays.withColumn("place", place).where("place = 1 or doc_id is null").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold half of a benchmark item or more."""
+    found = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every document and replaces each secret in its text; n_chars follows the text."""
+    found = secrets.scan(docs)
+    changed = {"text": F.col("masked"), "n_chars": F.when(F.size("secrets") > 0, F.char_length("masked").cast("long")).otherwise(F.col("n_chars"))}
+    return found.withColumns({k: v for k, v in changed.items() if k in docs.columns}).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of each text."""
+    coded = tokens.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scan", mask_secrets),
+    ("BPE encoding", encode),
+]
+
+#: Language models, Markov models and BPE are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's result is written and read again as the next one's docs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k + 1}")
+    return docs
