@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,17 @@ class Codec:
         return b"".join([self.bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as they are shuffled: two bytes each where that is enough, else four, compressed."""
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return zstandard.ZstdCompressor(level=3).compress((b"2" if small else b"4") + ids.astype(np.uint16 if small else np.uint32).tobytes())
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    held = zstandard.ZstdDecompressor().decompress(held)
+    return np.frombuffer(held[1:], np.uint16 if held[:1] == b"2" else np.uint32).astype(np.uint32)
+
+
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -144,7 +156,7 @@ def _owned(path: str):
                     if name in wanted:
                         wanted.discard(name)
                         names.append(name)
-                        ids.append(c.encode(text[bounds[k] : bounds[k + 1]]).tobytes())
+                        ids.append(packed(c.encode(text[bounds[k] : bounds[k + 1]])))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
     return run
@@ -194,7 +206,7 @@ def _encoded(path: str):
                         a, b = int(bounds[k]), int(bounds[k + 1])
                         if own < a:
                             pieces.append((own, a, c.encode(text[own:a])))
-                        pieces.append((a, b, np.frombuffer(known[name], np.uint32)))
+                        pieces.append((a, b, unpacked(known[name])))
                         own = b
                 if own < len(text):
                     pieces.append((own, len(text), c.encode(text[own:])))
