@@ -1,12 +1,399 @@
-"""Names of the registered queries, each with SQL where DuckDB can express it."""
+"""The registered queries: operators applied to bars made from `events`, each over the whole table."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barline.config import TradeConfig
+from barline.operators import confluence, indicators, labels, metrics, models, patterns, quality, trades, windows, zones
+from barline.plans.sql import SQL
+from barline.sources import bars as sources
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.bars_from_events(spark, sf_dir)
+
+
+def _ind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.with_indicators(_bars(spark, sf_dir))
+
 
-QUERIES = {}
-ORACLES = {}
+def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    b = _ind(spark, sf_dir)
+    return zones.scored_zones(b), b
+
+
+def _lived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    z, b = _zones(spark, sf_dir)
+    return zones.lifecycle(z, b), b
+
+
+def _rounded(df: DataFrame, **digits: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """Merged zones with scores, lifecycle and confluence, in order of formation."""
+    b = _ind(spark, sf_dir)
+    found = zones.lifecycle(zones.merged(zones.scored_zones(b)), b)
+    found = zones.finished(confluence.confluence(found, confluence.higher(b, hours=6)))
+    return found.orderBy("symbol", "formation_ts", "zone_id")
+
+
+@query
+def bars_ohlcv(spark, sf_dir):
+    return _bars(spark, sf_dir)
+
+
+@query
+def row_gate(spark, sf_dir):
+    return indicators.row_gate(_bars(spark, sf_dir))
+
+
+@query
+def base_windows(spark, sf_dir):
+    b = zones.bases(_ind(spark, sf_dir)).where("n is not null")
+    return _rounded(b.select("symbol", F.col("idx").cast("long").alias("idx"), "n", "top", "bottom", "avg_atr", "wick"), top=2, bottom=2, avg_atr=3, wick=5)
+
+
+# named apart from the module of the same name
+def _indicators(spark, sf_dir):
+    b = _ind(spark, sf_dir).select("symbol", "ts", F.col("idx").cast("long").alias("idx"), "true_range", "atr", "ema20", "ema50", "ema200", "sma20", "sma50", "sma200", "log_return", "rolling_volatility", "volume_ratio", "body_ratio", "is_bullish", "is_outlier")
+    return _rounded(b, true_range=2, atr=3, ema20=3, ema50=3, ema200=3, sma20=6, sma50=6, sma200=6, log_return=9, rolling_volatility=9, volume_ratio=6, body_ratio=6)
+
+
+QUERIES["indicators"] = _indicators
+
+ZONE_COLUMNS = (
+    "symbol zone_id type structure top bottom midpoint proximal distal width_atr formation_ts formation_idx base_length avg_atr leg_out_clear_atr leg_out_disp_atr leg_out_candles "
+    "leg_out_vol_exp leg_in_disp_atr arrival_cleanliness trend_score strength quality_score"
+).split()
+
+
+@query
+def zones_scored(spark, sf_dir):
+    return _zones(spark, sf_dir)[0].select(ZONE_COLUMNS)
+
+
+@query
+def zones_merged(spark, sf_dir):
+    return zones.merged(_zones(spark, sf_dir)[0]).select("symbol", "zone_id", "type", "formation_ts", "quality_score", "merged_count")
+
+
+@query
+def zones_detected(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query
+def zone_lifecycle(spark, sf_dir):
+    return _lived(spark, sf_dir)[0].select("symbol", "zone_id", "type", "status", "test_count", "last_test_ts", "invalidation_ts", F.col("freshness_score").cast("double").alias("freshness_score"))
+
+
+@query
+def zone_summary(spark, sf_dir):
+    return zones.summary(_lived(spark, sf_dir)[0].withColumn("merged_count", F.lit(1))).drop("raw_zones").withColumn("mean_quality", F.round("mean_quality", 3))
+
+
+@query
+def htf_bars(spark, sf_dir):
+    return sources.resample(_bars(spark, sf_dir), hours=6).drop("last_ts")
+
+
+@query
+def weekly_bars(spark, sf_dir):
+    return sources.resample(_bars(spark, sf_dir)).drop("last_ts")
+
+
+@query
+def htf_confluence(spark, sf_dir):
+    z, b = _zones(spark, sf_dir)
+    found = confluence.confluence(z, confluence.higher(b, hours=6))
+    return found.select("symbol", "zone_id", "htf_trend_align", "htf_in_zone", "htf_dist_atr", "htf_zone_strength", "htf_zone_fresh", "htf_confirmed", "htf_confluence")
+
+
+@query
+def formation_stamp(spark, sf_dir):
+    z, b = _lived(spark, sf_dir)
+    return labels.formations(b.select("symbol", "ts"), z)
+
+
+@query
+def active_context(spark, sf_dir):
+    z, b = _lived(spark, sf_dir)
+    got = labels.context(b.select("symbol", "ts", "close"), z)
+    return got.select("symbol", "ts", *(f"{x}_{t}_{y}" for t in ("demand", "supply") for x, y in (("active", "count"), ("price_in", "zone"), ("nearest", "dist_pct"), ("nearest", "strength"), ("nearest", "structure"))), "zone_confluence")
+
+
+@query
+def labelled_formations(spark, sf_dir):
+    z, b = _lived(spark, sf_dir)
+    return labels.formed(labels.label(b, z))
+
+
+def _trades(spark, sf_dir, t: TradeConfig = TradeConfig()) -> DataFrame:
+    z, b = _zones(spark, sf_dir)
+    got = trades.simulate(z, b, t)
+    columns = ["symbol", "zone_id", "type", "structure", "formation_ts", "entry_ts", "exit_ts", "entry_price", "stop_price", "target_price", "exit_price", "outcome", "hold_candles", "r_multiple"]
+    return _rounded(got.select(columns), entry_price=2, stop_price=2, target_price=2, exit_price=2, r_multiple=3)
+
+
+@query
+def trades_fixed(spark, sf_dir):
+    return _trades(spark, sf_dir)
+
+
+@query
+def trades_confirm(spark, sf_dir):
+    return _trades(spark, sf_dir, TradeConfig(confirm=True))
+
+
+@query
+def trades_atr_stop(spark, sf_dir):
+    return _trades(spark, sf_dir, TradeConfig(stop_atr=1.5))
+
+
+@query
+def trades_trailing(spark, sf_dir):
+    return _trades(spark, sf_dir, TradeConfig(trail=True, max_hold=20))
+
+
+@query
+def trades_r(spark, sf_dir):
+    z, b = _zones(spark, sf_dir)
+    return _rounded(trades.simulate_r(z, b), entry_price=2, stop_price=2, target_price=2, exit_price=2)
+
+
+def _equity(spark, sf_dir) -> DataFrame:
+    z, b = _zones(spark, sf_dir)
+    return trades.equity(trades.simulate(z, b))
+
+
+@query
+def equity_curve(spark, sf_dir):
+    return _rounded(_equity(spark, sf_dir).select("symbol", F.col("seq").cast("long").alias("seq"), "zone_id", "outcome", "capital_at_entry", "net_pnl", "equity_after_trade"), capital_at_entry=2)
+
+
+@query
+def performance(spark, sf_dir):
+    return _coarse(metrics.performance(_equity(spark, sf_dir)))
+
+
+@query
+def structure_rollup(spark, sf_dir):
+    return _coarse(metrics.structures(_equity(spark, sf_dir)))
+
+
+def _coarse(df: DataFrame) -> DataFrame:
+    return _rounded(df.drop("avg_timeout"), profit_factor=2, avg_r=3, total_r=2, sharpe_r=2, total_pnl=0)
+
+
+@query
+def drawdown(spark, sf_dir):
+    return metrics.drawdowns(_equity(spark, sf_dir))
+
+
+@query
+def drawdown_r(spark, sf_dir):
+    z, b = _zones(spark, sf_dir)
+    return metrics.r_drawdowns(trades.simulate(z, b))
+
+
+@query
+def pooled_summary(spark, sf_dir):
+    return metrics.pooled(metrics.performance(_equity(spark, sf_dir)))
+
+
+@query
+def trade_statistics(spark, sf_dir):
+    z, b = _zones(spark, sf_dir)
+    return metrics.trade_stats(trades.simulate(z, b))
+
+
+@query
+def quality_profile(spark, sf_dir):
+    return quality.profile(_bars(spark, sf_dir))
+
+
+@query
+def quality_nulls(spark, sf_dir):
+    return quality.nulls(_ind(spark, sf_dir), ["close", "atr", "sma200", "rolling_volatility"])
+
+
+@query
+def quality_integrity(spark, sf_dir):
+    return quality.integrity(_bars(spark, sf_dir))
+
+
+@query
+def quality_gaps(spark, sf_dir):
+    return quality.gaps(_bars(spark, sf_dir))
+
+
+@query
+def quality_duplicates(spark, sf_dir):
+    return quality.duplicates(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ("l_orderkey", "l_linenumber"))
+
+
+@query
+def atr_stats(spark, sf_dir):
+    return quality.atr_stats(_ind(spark, sf_dir))
+
+
+@query
+def volatility_regimes(spark, sf_dir):
+    return quality.regimes(_ind(spark, sf_dir))
+
+
+@query
+def atr_by_day(spark, sf_dir):
+    return quality.by_period(_ind(spark, sf_dir))
+
+
+@query
+def return_moments(spark, sf_dir):
+    return quality.moments(_ind(spark, sf_dir)).drop("jarque_bera", "p_normal")
+
+
+@query
+def return_normality(spark, sf_dir):
+    return quality.moments(_ind(spark, sf_dir)).select("symbol", "returns", "jarque_bera", "p_normal")
+
+
+@query
+def tail_frequency(spark, sf_dir):
+    return quality.tails(_ind(spark, sf_dir))
+
+
+@query
+def candle_shape(spark, sf_dir):
+    return quality.candles(_ind(spark, sf_dir))
+
+
+@query
+def volume_links(spark, sf_dir):
+    return quality.volume_links(_ind(spark, sf_dir))
+
+
+@query
+def range_outliers(spark, sf_dir):
+    return quality.outliers(_ind(spark, sf_dir), 2.0)
+
+
+@query
+def ma_alignment(spark, sf_dir):
+    return quality.trend_alignment(_ind(spark, sf_dir))
+
+
+@query
+def return_histogram(spark, sf_dir):
+    return quality.histogram(_ind(spark, sf_dir), "log_return", -0.005, 0.005)
+
+
+@query
+def plotting_positions(spark, sf_dir):
+    return quality.plotting_positions(_ind(spark, sf_dir))
+
+
+@query
+def window_features(spark, sf_dir):
+    f = windows.features(_ind(spark, sf_dir))
+    named = {c: c.replace("c-", "cm", 1).replace("c+", "cp", 1) for c in f.columns if c.endswith(("close_rel", "body_atr"))}
+    return f.select("symbol", "ts", *(F.round(f"`{c}`", 4).alias(n) for c, n in named.items()), F.round("net_move_atr", 4).alias("net_move_atr"), F.round("ema200_dist", 4).alias("ema200_dist"))
+
+
+@query
+def window_labels(spark, sf_dir):
+    z, b = _zones(spark, sf_dir)
+    return windows.labelled(windows.features(b), z).groupBy("symbol", "zone_type", "label").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query
+def base_end_examples(spark, sf_dir):
+    z, b = _zones(spark, sf_dir)
+    return windows.positives(z, b).unionByName(windows.negatives(z, b), allowMissingColumns=True).select("symbol", "example_type", "is_zone", "ts", "zone_id", "atr_level", "close_vs_ema200", "base_length", "leg_in_direction")
+
+
+@query
+def model_zones(spark, sf_dir):
+    """Out-of-sample window probabilities of a walk-forward model, rebuilt to zones, without overlaps, with their lifecycle."""
+    z, b = _zones(spark, sf_dir)
+    rows = windows.labelled(windows.features(b), z)
+    columns = ["net_move_atr", "volatility_ratio", "ema20_dist", "ema50_dist", "ema200_dist"]
+    renamed = rows.select("symbol", "ts", "idx", "label", *columns, *(F.col(f"`c{k}_{x}`").alias(f"l{i}_{x}") for i, k in enumerate(("-2", "-1", "+0")) for x in windows.PER_BAR))
+    given = [*columns, *(f"l{i}_{x}" for i in range(3) for x in windows.PER_BAR)]
+    scored = models.walk_forward(renamed, given, ["ts", "symbol"], splits=2).withColumnRenamed("p", "ml_prob")
+    return windows.ml_lifecycle(windows.deduplicated(windows.reconstructed(b, scored)), b)
+
+
+def _outcomes(spark, sf_dir) -> DataFrame:
+    z, b = _zones(spark, sf_dir)
+    return models.outcome_rows(trades.simulate(z, b).where("outcome <> 'timeout'"), z)
+
+
+@query
+def outcome_report(spark, sf_dir):
+    return models.report(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, ["entry_ts", "symbol", "zone_id"], splits=3))
+
+
+@query
+def outcome_thresholds(spark, sf_dir):
+    return models.tuned_threshold(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, ["entry_ts", "symbol", "zone_id"], splits=3))
+
+
+@query
+def outcome_shuffled(spark, sf_dir):
+    return models.shuffled(_outcomes(spark, sf_dir)).groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("trades"))
+
+
+@query
+def swing_points(spark, sf_dir):
+    return patterns.swings(_bars(spark, sf_dir))
+
+
+@query
+def price_clusters(spark, sf_dir):
+    return patterns.price_clusters(_bars(spark, sf_dir))
+
+
+@query
+def volume_profile(spark, sf_dir):
+    return patterns.volume_profile(_bars(spark, sf_dir))
+
+
+@query
+def candle_patterns(spark, sf_dir):
+    return patterns.candle_patterns(_bars(spark, sf_dir))
+
+
+@query
+def oscillators(spark, sf_dir):
+    return patterns.oscillators(_ind(spark, sf_dir))
+
+
+@query
+def movement_labels(spark, sf_dir):
+    return patterns.movement_labels(_ind(spark, sf_dir))
+
+
+@query
+def merged_ranges(spark, sf_dir):
+    return patterns.merged_ranges(_zones(spark, sf_dir)[0])
+
+
+@query
+def buy_and_hold(spark, sf_dir):
+    return patterns.buy_and_hold(_bars(spark, sf_dir))
+
+
+ORACLES = dict(SQL)
