@@ -29,14 +29,14 @@ def price_clusters(bars: DataFrame, width: float = 50.0) -> DataFrame:
     by = Window.partitionBy("symbol").orderBy("bin")
     side = lambda f: F.when(F.abs(f("bin").over(by) - F.col("bin")) == 1, f("hits").over(by)).otherwise(0)
     peaks = bins.withColumns({"left": F.coalesce(side(F.lag), F.lit(0)), "right": F.coalesce(side(F.lead), F.lit(0))}).where("hits > left and hits > right")
-    return peaks.select("symbol", "bin", "hits", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("hits"), "bin")).alias("density_rank"))
+    return peaks.select("symbol", "bin", "hits", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("hits"), "bin")).cast("long").alias("density_rank"))
 
 
 def volume_profile(bars: DataFrame, width: float = 50.0) -> DataFrame:
     """Each bar's volume spread evenly over the bins of its range; poc marks a symbol's fullest bin."""
     first, end = F.floor(F.col("low") / width), F.floor(F.col("high") / width)
     spread = bars.select("symbol", F.explode(F.sequence(first, end)).alias("bin"), (F.col("volume") / (end - first + 1)).alias("part"))
-    bins = spread.groupBy("symbol", "bin").agg(F.round(F.sum("part"), 2).alias("volume"))
+    bins = spread.groupBy("symbol", "bin").agg(F.round(F.sum("part"), 6).alias("volume"))
     best = bins.groupBy("symbol").agg(F.max_by("bin", F.struct("volume", -F.col("bin"))).alias("best"))
     return bins.join(best, "symbol").select("symbol", "bin", "volume", (F.col("bin") == F.col("best")).alias("poc"))
 

@@ -124,4 +124,4 @@ def histogram(bars: DataFrame, column: str, low: float, high: float, bins: int =
 def plotting_positions(bars: DataFrame, column: str = "log_return") -> DataFrame:
     """Ranked values with their plotting positions, for quantile plots."""
     by = Window.partitionBy("symbol")
-    return bars.where(F.col(column).isNotNull()).select("symbol", "ts", F.row_number().over(by.orderBy(column, "ts")).alias("place"), F.count(F.lit(1)).over(by).alias("n")).select("symbol", "ts", "place", F.round((F.col("place") - 0.5) / F.col("n"), 6).alias("position"))
+    return bars.where(F.col(column).isNotNull()).select("symbol", "ts", F.row_number().over(by.orderBy(column, "ts")).cast("long").alias("place"), F.count(F.lit(1)).over(by).alias("n")).select("symbol", "ts", "place", F.round((F.col("place") - 0.5) / F.col("n"), 6).alias("position"))

@@ -25,12 +25,13 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.with_indicators(_bars(spark, sf_dir))
+    """Bars with indicators; most queries read them several times."""
+    return indicators.with_indicators(_bars(spark, sf_dir)).persist()
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = _ind(spark, sf_dir)
-    return zones.scored_zones(b), b
+    return zones.scored_zones(b).persist(), b
 
 
 def _lived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +146,7 @@ def _trades(spark, sf_dir, t: TradeConfig = TradeConfig()) -> DataFrame:
     z, b = _zones(spark, sf_dir)
     got = trades.simulate(z, b, t)
     columns = ["symbol", "zone_id", "type", "structure", "formation_ts", "entry_ts", "exit_ts", "entry_price", "stop_price", "target_price", "exit_price", "outcome", "hold_candles", "r_multiple"]
-    return _rounded(got.select(columns), entry_price=2, stop_price=2, target_price=2, exit_price=2, r_multiple=3)
+    return _rounded(got.select(columns), entry_price=2, stop_price=2, target_price=2, exit_price=2)
 
 
 @query
@@ -186,16 +187,12 @@ def equity_curve(spark, sf_dir):
 
 @query
 def performance(spark, sf_dir):
-    return _coarse(metrics.performance(_equity(spark, sf_dir)))
+    return metrics.performance(_equity(spark, sf_dir)).drop("avg_timeout")
 
 
 @query
 def structure_rollup(spark, sf_dir):
-    return _coarse(metrics.structures(_equity(spark, sf_dir)))
-
-
-def _coarse(df: DataFrame) -> DataFrame:
-    return _rounded(df.drop("avg_timeout"), profit_factor=2, avg_r=3, total_r=2, sharpe_r=2, total_pnl=0)
+    return metrics.structures(_equity(spark, sf_dir)).drop("avg_timeout")
 
 
 @query

@@ -190,14 +190,14 @@ trades AS (
     )
 
 
-TRADE_COLUMNS = "symbol, zone_id, type, structure, formation_ts, entry_ts, exit_ts, round(entry_price, 2) AS entry_price, round(stop_price, 2) AS stop_price, round(target_price, 2) AS target_price, round(exit_price, 2) AS exit_price, outcome, hold_candles, round(side * (exit_price - entry_price) / risk, 3) AS r_multiple"
+TRADE_COLUMNS = "symbol, zone_id, type, structure, formation_ts, entry_ts, exit_ts, round(entry_price, 2) AS entry_price, round(stop_price, 2) AS stop_price, round(target_price, 2) AS target_price, round(exit_price, 2) AS exit_price, outcome, hold_candles, round(side * (exit_price - entry_price) / risk, 4) AS r_multiple"
 
 EQUITY = (
     trades()
     + """,
 numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY formation_ts, zone_id) AS seq, side * (exit_price - entry_price) / risk AS r FROM trades),
 curve AS (
-  SELECT symbol, seq, zone_id, structure, outcome, hold_candles, entry_ts, r, 500000.0 AS before, round(500000.0 * 0.01 * r, 2) AS net, greatest(500000.0 + round(500000.0 * 0.01 * r, 2), 0) AS after FROM numbered WHERE seq = 1
+  SELECT symbol, seq, zone_id, structure, outcome, hold_candles, entry_ts, r, CAST(500000 AS DOUBLE) AS before, round(CAST(500000 AS DOUBLE) * 0.01 * r, 2) AS net, greatest(CAST(500000 AS DOUBLE) + round(CAST(500000 AS DOUBLE) * 0.01 * r, 2), 0) AS after FROM numbered WHERE seq = 1
   UNION ALL
   SELECT n.symbol, n.seq, n.zone_id, n.structure, n.outcome, n.hold_candles, n.entry_ts, n.r, c.after, round(c.after * 0.01 * n.r, 2), greatest(c.after + round(c.after * 0.01 * n.r, 2), 0) FROM curve c JOIN numbered n ON n.symbol = c.symbol AND n.seq = c.seq + 1
 )"""
@@ -207,10 +207,10 @@ curve AS (
 def stats(keys: str, group: str) -> str:
     closed, won = "outcome IN ('win', 'loss', 'trail_win')", "outcome IN ('win', 'trail_win')"
     return f"""SELECT {keys}, count(*) AS trades, count(*) FILTER ({closed}) AS closed, count(*) FILTER ({won}) AS wins, count(*) FILTER (outcome = 'loss') AS losses, count(*) FILTER (outcome = 'timeout') AS timeouts,
-  round(100.0 * count(*) FILTER ({won}) / nullif(count(*) FILTER ({closed}), 0), 2) AS win_rate, round(sum(net) FILTER ({won}) / nullif(abs(sum(net) FILTER (outcome = 'loss')), 0), 2) AS profit_factor,
-  round(avg(r) FILTER ({closed}), 3) AS avg_r, round(sum(r) FILTER ({closed}), 2) AS total_r,
-  CASE WHEN count(*) FILTER ({closed}) >= 2 THEN round(avg(r) FILTER ({closed}) / nullif(stddev_pop(r) FILTER ({closed}), 0) * sqrt(252 / greatest(avg(hold_candles) FILTER ({closed}), 1)), 2) END AS sharpe_r,
-  round(sum(net), 0) AS total_pnl FROM curve GROUP BY {group}"""
+  round(100.0 * count(*) FILTER ({won}) / nullif(count(*) FILTER ({closed}), 0), 2) AS win_rate, round(sum(net) FILTER ({won}) / nullif(abs(sum(net) FILTER (outcome = 'loss')), 0), 3) AS profit_factor,
+  round(avg(round(r, 4)) FILTER ({closed}), 4) AS avg_r, round(sum(round(r, 4)) FILTER ({closed}), 4) AS total_r,
+  CASE WHEN count(*) FILTER ({closed}) >= 2 THEN round(avg(round(r, 4)) FILTER ({closed}) / nullif(stddev_pop(round(r, 4)) FILTER ({closed}), 0) * sqrt(252 / greatest(avg(hold_candles) FILTER ({closed}), 1)), 3) END AS sharpe_r,
+  round(sum(net), 2) AS total_pnl FROM curve GROUP BY {group}"""
 
 
 def q(ctes: str, select: str, recursive: bool = False) -> str:
@@ -320,7 +320,7 @@ SQL = {
     ),
     "volume_profile": q(
         BARS
-        + ", f AS (SELECT *, CAST(floor(low / 50) AS BIGINT) AS a, CAST(floor(high / 50) AS BIGINT) AS b FROM bars0), s AS (SELECT symbol, unnest(range(a, b + 1)) AS bin, volume / (b - a + 1) AS part FROM f), v AS (SELECT symbol, bin, round(sum(part), 2) AS volume FROM s GROUP BY ALL)",
+        + ", f AS (SELECT *, CAST(floor(low / 50) AS BIGINT) AS a, CAST(floor(high / 50) AS BIGINT) AS b FROM bars0), s AS (SELECT symbol, unnest(range(a, b + 1)) AS bin, volume / (b - a + 1) AS part FROM f), v AS (SELECT symbol, bin, round(sum(part), 6) AS volume FROM s GROUP BY ALL)",
         "SELECT symbol, bin, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, bin) = 1 AS poc FROM v",
     ),
     "candle_patterns": q(
