@@ -19,14 +19,14 @@ def words(text: Column) -> Column:
 
 
 def sketch(text: Column, size: int = 5) -> Column:
-    """Retained hashes (16 hexadecimal digits each), ascending, of the distinct shingles of `size` words, or of the whole
+    """Retained hashes (12 hexadecimal digits each), ascending, of the distinct shingles of `size` words, or of the whole
     sequence if it is shorter. If none is below the threshold, the smallest hash stands alone, so that only a text without words
     has an empty sketch.
     """
     held = words(text)
 
     def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.left(F.md5(F.concat_ws(" ", F.slice(w, i, size)).cast("binary")), F.lit(16)))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.left(F.md5(F.concat_ws(" ", F.slice(w, i, size)).cast("binary")), F.lit(12)))
 
     def chosen(every: Column) -> Column:
         below = F.filter(every, lambda h: h < BELOW)
@@ -78,13 +78,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     base = written(docs.select("doc_id", F.char_length(text).alias("n"), F.xxhash64(text).alias("key"), sketch(F.col("text")).alias("sketch")), "sketches")
     ids = base.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("n")).alias("most"))
     links = written(next_ids(ids), "links")
-    one = Window.partitionBy("doc_id").orderBy(text)
-    heads = docs.withColumn("place", F.row_number().over(one)).where("place = 1").select(F.col("doc_id").alias("next_id"), text.alias("head"))
-    heads = heads.join(links, "next_id").select("doc_id", F.left("head", F.floor(F.col("most") / 4).cast("int")).alias("head"))
+    held = docs.where("doc_id is not null")  # both joins below share one exchange of it
+    behind = links.select(F.col("doc_id").alias("before"), "next_id", "most")
+    heads = held.join(behind, held.doc_id == behind.next_id).groupBy("before").agg(F.min(F.left(text, F.floor(F.col("most") / 4).cast("int"))).alias("head"))
     after = base.groupBy("doc_id").agg(F.min_by("sketch", F.struct("n", "key")).alias("next_sketch")).withColumnRenamed("doc_id", "next_id")
     near = links.select("doc_id", "next_id").join(after, "next_id").select("doc_id", "next_sketch")
     own = base.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("key", "sketch")).alias("own"))
-    every = docs.join(heads, "doc_id", "left").join(near, "doc_id", "left").join(own, "doc_id", "left")
+    every = held.join(heads.withColumnRenamed("before", "doc_id"), "doc_id", "left").join(near, "doc_id", "left").join(own, "doc_id", "left")
+    every = every.unionByName(docs.where("doc_id is null"), allowMissingColumns=True)
     every = every.withColumn("n", F.char_length(text)).withColumn("sketch", F.coalesce(F.filter("own", lambda x: x.key == F.xxhash64(text))[0].sketch, sketch(F.col("text"))))
     quarter = F.floor(F.col("n") / 4).cast("int")
     edited = F.concat(F.left(text, F.col("n") - quarter), F.left(F.coalesce("head", F.lit("")), quarter))

@@ -74,7 +74,7 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 
 
 def _hashes(words: str) -> str:
-    return f"CASE WHEN len({words}) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(list_transform(range(1, greatest(len({words}) - 3, 2)), lambda i: left(md5(array_to_string({words}[i:i + 4], ' ')), 16)))) END"
+    return f"CASE WHEN len({words}) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(list_transform(range(1, greatest(len({words}) - 3, 2)), lambda i: left(md5(array_to_string({words}[i:i + 4], ' ')), 12)))) END"
 
 
 def _sketch(hashes: str) -> str:
