@@ -78,7 +78,10 @@ def _transitions(strings: list[bytes]) -> np.ndarray:
 
 
 def _logs(counts: np.ndarray, prior: float) -> np.ndarray:
-    table = counts.reshape(_N + 1, _N) + prior
+    """Log probabilities of a character after another, drawn towards the characters' own shares by so many counts."""
+    table = counts.reshape(_N + 1, _N).astype(float)
+    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * _N)
+    table += prior * share
     return np.log(table / table.sum(1, keepdims=True))
 
 
@@ -86,7 +89,7 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
     """Log-likelihood ratios of character pairs, for each random alphabet against ordinary identifiers.
 
     Labelled samples: seeded random strings of each alphabet, and as ordinary identifiers the runs of six characters or more
-    outside base spans of about p.sample documents that a hash of doc_id chooses.
+    outside base spans, too short to be candidates themselves, of about p.sample documents that a hash of doc_id chooses.
     """
     n = docs.count()
     part = min(1.0, p.sample / max(n, 1))
@@ -97,7 +100,7 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
             data, offsets = text_bytes(batch.column("text"))
             for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                 text = data[a:b].tobytes()
-                total += _transitions([text[x:y] for x, y in _candidates(text, base_spans(text), 6)])
+                total += _transitions([text[x:y] for x, y in _candidates(text, base_spans(text), 6) if y - x < p.shortest])
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
 
@@ -109,7 +112,7 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
     rng, out = np.random.default_rng(20), []
     for letters in RANDOM.values():
         strings = np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), (p.strings, 40))]
-        out.append(_logs(_transitions([x.tobytes() for x in strings]), 1e-3) - _logs(ordinary, 0.5))
+        out.append(_logs(_transitions([x.tobytes() for x in strings]), 1.0) - _logs(ordinary, 20.0))
     return np.array(out)
 
 
