@@ -9,10 +9,10 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm._spark import extended
+from barline.llm._spark import extended, written
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -39,6 +39,9 @@ _BLOCK_CLOSES_P = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table
 
 #: Paths that a host's vote keeps, best first; a page takes the first one that gives it text.
 RANKS = 5
+#: Hosts up to which the ranked paths are broadcast (a few hundred bytes each); with more, pages meet them by host and one of SALTS parts
+#: of it, so that no task holds all pages of a large host.
+BROADCAST_HOSTS, SALTS = 50_000, 64
 
 
 def _names(attributes: str) -> tuple[str, set[str]]:
@@ -178,10 +181,17 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([int(v) for _, v in rows], pa.int64())], ["host", "path", "votes"])
 
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    ranked = votes.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct("votes", "path")), False), 1, RANKS).alias("r")).select("host", F.col("r.path").alias("paths"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
+    few = votes.withColumn("place", place).where(F.col("place") <= RANKS).groupBy("host")
+    ranked = written(few.agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("r")).select("host", F.col("r.path").alias("paths")), "paths")
+    if ranked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        met = pages.join(F.broadcast(ranked), "host", "left")
+    else:
+        salted = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def read(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = [main_text(page or "", paths or []) for page, paths in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
         return [pa.array(texts, pa.string())]
 
-    return extended(pages.join(ranked, "host", "left"), read, "text string").select("page_id", "url", "text")
+    return extended(met, read, "text string").select("page_id", "url", "text")
