@@ -10,13 +10,14 @@ from barline.functions.expr import clip, ratio
 from barline.operators import zones as zone_ops
 from barline.operators.indicators import with_indicators
 from barline.sources.bars import resample
+from barline.sources.shared import written
 
 
 def higher(bars: DataFrame, hours: int | None = None) -> DataFrame:
     """Bars of the longer unit with indicators, without warm-up; close_ts is the last bar each one knows."""
     longer = resample(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), hours=hours)
     made = with_indicators(longer.drop("last_ts")).join(longer.select("symbol", "ts", F.col("last_ts").alias("close_ts")), ["symbol", "ts"])
-    return made.where("atr is not null").withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    return written(made.where("atr is not null"), "longer").withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
 
 
 def confluence(found: DataFrame, longer: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
@@ -26,22 +27,22 @@ def confluence(found: DataFrame, longer: DataFrame, z: ZoneConfig = ZoneConfig()
     ties; without one the distance and strength are null and the flags false.
     """
     own = found.select("symbol", "zone_id", "type", "top", "bottom", "midpoint", "avg_atr", "formation_ts", "formation_idx")
-    seen = longer.select("symbol", "close_ts", "close", "ema20", F.col("atr").alias("h_atr"))
-    last = own.join(seen, (own.symbol == seen.symbol) & (seen.close_ts <= own.formation_ts)).drop(seen.symbol)
+    seen = longer.select(F.col("symbol").alias("s_symbol"), "close_ts", "close", "ema20", F.col("atr").alias("h_atr"))
+    last = own.join(seen, (F.col("symbol") == F.col("s_symbol")) & (F.col("close_ts") <= F.col("formation_ts")))
     last = last.groupBy("symbol", "zone_id").agg(F.max_by(F.struct("close", "ema20", "h_atr"), "close_ts").alias("w"))
-    hz = zone_ops.scored_zones(longer, z)
+    hz = written(zone_ops.scored_zones(longer, z), "longer_zones")
     closes = longer.select("symbol", F.col("idx").alias("formation_idx"), F.col("close_ts").alias("h_formed"))
     hz = hz.join(closes, ["symbol", "formation_idx"]).select(
         F.col("symbol").alias("h_symbol"), F.col("zone_id").alias("h_zone"), F.col("type").alias("h_type"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom"), F.col("strength").alias("h_strength"), "h_formed"
     )
-    pairs = own.join(hz, (own.symbol == hz.h_symbol) & (own.type == hz.h_type) & (hz.h_formed <= own.formation_ts))
+    pairs = own.join(hz, (F.col("symbol") == F.col("h_symbol")) & (F.col("type") == F.col("h_type")) & (F.col("h_formed") <= F.col("formation_ts")))
     gap = F.greatest(F.col("h_bottom") - F.col("midpoint"), F.col("midpoint") - F.col("h_top"), F.lit(0.0))
     overlap = F.least("top", "h_top") - F.greatest("bottom", "h_bottom")
     pairs = pairs.withColumns({"gap": gap, "held": gap == 0, "agrees": ratio(overlap, F.col("top") - F.col("bottom")) >= z.htf_overlap})
     best = pairs.groupBy("symbol", "zone_id").agg(F.min_by(F.struct("gap", "h_strength", "h_zone", "h_top", "h_bottom", "h_formed"), F.struct("gap", "h_formed", "h_zone")).alias("n"), F.bool_or("held").alias("held"), F.bool_or("agrees").alias("agrees"))
     touched = longer.select(F.col("symbol").alias("t_symbol"), F.col("close_ts").alias("t_ts"), "high", "low")
     near = own.join(best, ["symbol", "zone_id"])
-    met = (near.symbol == touched.t_symbol) & (touched.t_ts > near.n.h_formed) & (touched.t_ts <= near.formation_ts) & (touched.low <= near.n.h_top) & (touched.high >= near.n.h_bottom)
+    met = (F.col("symbol") == F.col("t_symbol")) & (F.col("t_ts") > F.col("n.h_formed")) & (F.col("t_ts") <= F.col("formation_ts")) & (F.col("low") <= F.col("n.h_top")) & (F.col("high") >= F.col("n.h_bottom"))
     touches = near.join(touched, met).groupBy("symbol", "zone_id").agg(F.count(F.lit(1)).alias("touches"))
     out = found.join(last, ["symbol", "zone_id"], "left").join(best, ["symbol", "zone_id"], "left").join(touches, ["symbol", "zone_id"], "left")
     side = F.when(F.col("type") == "demand", 1.0).otherwise(-1.0)

@@ -30,11 +30,11 @@ def context(bars: DataFrame, zones: DataFrame) -> DataFrame:
     A zone is active from its formation, not on its invalidation bar. Nearest: the smallest distance among zones on the expected side
     of the close, else the smallest distance at all; the earlier zone on ties. One pass of bars over the zones of their symbol.
     """
-    z = prepared(zones).select("symbol", "zone_id", "type", "structure", "top", "bottom", "zone_strength", "formation_ts", "invalidation_ts")
+    z = prepared(zones).select(F.col("symbol").alias("z_symbol"), "zone_id", "type", "structure", "top", "bottom", "zone_strength", "formation_ts", "invalidation_ts")
     b = bars.select("symbol", "ts", "close")
-    live = (b.symbol == z.symbol) & (z.formation_ts <= b.ts) & (z.invalidation_ts.isNull() | (b.ts < z.invalidation_ts))
+    live = (F.col("symbol") == F.col("z_symbol")) & (F.col("formation_ts") <= F.col("ts")) & (F.col("invalidation_ts").isNull() | (F.col("ts") < F.col("invalidation_ts")))
     dist = F.when(F.col("type") == "demand", F.col("close") - F.col("top")).otherwise(F.col("bottom") - F.col("close"))
-    pairs = b.join(z, live).drop(z.symbol).withColumns({"dist": dist, "within": (F.col("bottom") <= F.col("close")) & (F.col("close") <= F.col("top"))})
+    pairs = b.join(z, live).withColumns({"dist": dist, "within": (F.col("bottom") <= F.col("close")) & (F.col("close") <= F.col("top"))})
     rank = F.struct(F.when(F.col("dist") >= 0, 0).otherwise(1), F.abs(F.col("dist")), F.col("formation_ts"), F.col("zone_id"))
     aggs = []
     for t in ("demand", "supply"):

@@ -105,7 +105,7 @@ def outliers(bars: DataFrame, times: float = 3.0, around: int = 15) -> DataFrame
     """Bars whose range is so many ATRs, and how many bars lie around each."""
     far = bars.where(F.col("high") - F.col("low") > times * F.col("atr")).select("symbol", F.col("idx").alias("at"), F.col("ts").alias("outlier_ts"), F.round((F.col("high") - F.col("low")) / F.col("atr"), 4).alias("atr_multiple"))
     near = bars.select(F.col("symbol").alias("b_symbol"), "idx", "close")
-    met = far.join(near, (far.symbol == near.b_symbol) & near.idx.between(far["at"] - around, far["at"] + around - 1))
+    met = far.join(near, (F.col("symbol") == F.col("b_symbol")) & F.col("idx").between(F.col("at") - around, F.col("at") + around - 1))
     return met.groupBy("symbol", "outlier_ts", "atr_multiple").agg(F.count(F.lit(1)).alias("bars_around"), F.round(F.max("close") - F.min("close"), 2).alias("span_around"))
 
 

@@ -27,8 +27,8 @@ def entries(zones: DataFrame, bars: DataFrame, t: TradeConfig = TradeConfig()) -
     close inside) opens it; the first bar from there on that reaches the proximal line fills, at that line worsened by slippage.
     """
     z = zones.select("symbol", "zone_id", "type", "top", "bottom", "proximal", "distal", F.col("leg_end_idx" if "from_leg_end" in zones.columns else "formation_idx").alias("from_idx"))
-    b = bars.select("symbol", F.col("idx").alias("at"), "ts", "high", "low", "close", "atr")
-    pairs = z.join(b, (z.symbol == b.symbol) & (b["at"] > z.from_idx)).drop(b.symbol)
+    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), "ts", "high", "low", "close", "atr")
+    pairs = z.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("from_idx")))
     broken = F.when(is_long(), F.col("low") < F.col("distal")).otherwise(F.col("high") > F.col("distal"))
     touch = F.col("close").between(F.col("bottom"), F.col("top")) if t.confirm else F.when(is_long(), F.col("low") <= F.col("top")).otherwise(F.col("high") >= F.col("bottom"))
     fill = F.when(is_long(), F.col("high") >= F.col("proximal")).otherwise(F.col("low") <= F.col("proximal"))
@@ -52,7 +52,7 @@ def _held(planned: DataFrame, bars: DataFrame, t: TradeConfig) -> DataFrame:
     """The bars of each trade: hold 0 is the one after the fill, up to max_hold, on which it times out."""
     b = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "high", "low", "close", "atr")
     keep = planned.select("symbol", "zone_id", "type", "side", "fill_idx", "entry_price", "stop_price", "target_price", "risk")
-    met = (keep.symbol == b.b_symbol) & (b["at"] > keep.fill_idx) & (b["at"] <= keep.fill_idx + t.max_hold + 1)
+    met = (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("fill_idx")) & (F.col("at") <= F.col("fill_idx") + t.max_hold + 1)
     rows = keep.join(b, met).withColumn("hold", F.col("at") - F.col("fill_idx") - 1)
     # worst and best price of the bar as the trade sees them
     return rows.withColumns({"worst": F.when(is_long(), F.col("low")).otherwise(F.col("high")) * F.col("side"), "best": F.when(is_long(), F.col("high")).otherwise(F.col("low")) * F.col("side")})
@@ -159,7 +159,7 @@ def simulate_r(zones: DataFrame, bars: DataFrame, reward: float = 2.0, max_hold:
         zones = zones.where(F.col("ml_prob").isNull() | (F.col("ml_prob") >= least_prob))
     z = zones.select("symbol", "zone_id", "type", "top", "bottom", "formation_idx")
     b = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), "ts", "close")
-    first = z.join(b, (z.symbol == b.b_symbol) & (b["at"] > z.formation_idx) & F.col("close").between(F.col("bottom"), F.col("top")))
+    first = z.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("formation_idx")) & F.col("close").between(F.col("bottom"), F.col("top")))
     first = first.groupBy("symbol", "zone_id").agg(F.min("at").alias("fill_idx"), F.min("ts").alias("entry_ts"))
     t = TradeConfig(reward=reward, max_hold=max_hold)
     planned = _planned(zones.join(first, ["symbol", "zone_id"]).withColumns({"entry_price": F.col("proximal"), "fill_atr": F.lit(None).cast("double")}), t)

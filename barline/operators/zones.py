@@ -66,10 +66,14 @@ def bases(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     return out.drop(*(f"ok{k}" for k in found))
 
 
+def _where(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) that stays above df's projections: pushed below, it would repeat the leg's nested steps many times over."""
+    return df.withColumn("_row", F.monotonically_increasing_id()).where(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def _unrolled(b: DataFrame, z: ZoneConfig) -> DataFrame:
     """The leg's columns, one step a projection, so that expressions stay small."""
     up = F.col("up")
-    b = b.withColumns({f"c{j}": _at("close", j) for j in range(1, z.leg_max + 1)} | {f"v{j}": F.coalesce(_at("volume_ratio", j), F.lit(0.0)) for j in range(1, z.leg_max + 1)})
     b = b.withColumns({"ext": F.col("c1"), "leg_n": F.lit(1), "leg_volume": F.col("v1"), "live": F.col("c1").isNotNull()})
     for j in range(2, z.leg_max + 1):
         c = F.col(f"c{j}")
@@ -97,13 +101,15 @@ def departures(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     # bars before the base, for the arrival: at most leg_in_lookback of them before at most max_base bars
     deep = z.leg_in_lookback + z.max_base
     b = b.withColumns({f"{x[0]}_{j}": _at(x, -j) for x in ("open", "close") for j in range(1, deep + 1)})
-    b = _unrolled(b, z).where(F.col("n").isNotNull() & F.col("fc").isNotNull())
+    ahead = range(1, z.leg_max + 1)
+    b = b.withColumns({f"c{j}": _at("close", j) for j in ahead} | {f"v{j}": F.coalesce(_at("volume_ratio", j), F.lit(0.0)) for j in ahead})
+    b = _unrolled(_where(b, F.col("n").isNotNull() & F.col("fc").isNotNull()), z)
     span = F.col("fh") - F.col("fl")
     close_ratio = F.when(F.col("up"), F.col("fc") - F.col("fl")).otherwise(F.col("fh") - F.col("fc")) / F.nullif(span, F.lit(0.0))
     body = F.abs(F.col("fc") - F.col("fo")) / F.col("avg_atr")
     clear = F.when(F.col("up"), F.col("ext") - F.col("top")).otherwise(F.col("bottom") - F.col("ext")) / F.col("avg_atr")
     disp = F.abs(F.col("ext") - F.col("fc")) / F.col("avg_atr")
-    b = b.where((span >= 1e-10) & (close_ratio >= z.departure_close) & (body >= z.departure_floor) & (clear >= z.leg_clear))
+    b = _where(b, (span >= 1e-10) & (close_ratio >= z.departure_close) & (body >= z.departure_floor) & (clear >= z.leg_clear))
     return b.withColumns(
         {
             "type": F.when(F.col("up"), "demand").otherwise("supply"),
@@ -161,7 +167,7 @@ def raw_zones(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
         high, low = (F.col("top"), F.col("bottom")) if wick else (F.col("body_top"), F.col("body_bottom"))
         beyond = F.when(out, high < F.col("fc")).otherwise(low > F.col("fc"))
         before = F.when(arrived == "down", high < F.col("prior_open")).when(arrived == "up", low > F.col("prior_open")).otherwise(F.lit(True))
-        f = f.where(beyond & before & F.col("prior_open").isNotNull())
+        f = _where(f, beyond & before & F.col("prior_open").isNotNull())
     return f.withColumn("base_idx", F.col("idx")).withColumn("formation_idx", F.col("idx") + 1)
 
 
@@ -212,7 +218,8 @@ def scored_zones(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
             (volume, z.quality_volume),
         ]
     )
-    f = f.withColumns({"strength": F.round(strength, 4), "quality": F.round(quality, 4)}).where(F.col("quality") >= z.min_quality)
+    f = f.withColumns({"strength": F.round(strength, 4), "quality": F.round(quality, 4)})
+    f = _where(f, F.col("quality") >= z.min_quality)
     number = F.row_number().over(Window.partitionBy("symbol").orderBy("base_idx"))
     r4 = lambda c: F.round(c, 4)
     return f.select(
@@ -296,18 +303,18 @@ def lifecycle(zones: DataFrame, bars: DataFrame, z: ZoneConfig = ZoneConfig()) -
     not, and each entry into the zone is a test. Zones meet only the bars up to the end of the first block of bars whose extremes
     break them, which their blocks' extremes tell.
     """
-    life = bars.select("symbol", F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "high", "low", "close")
+    life = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "high", "low", "close")
     zs = zones.select("symbol", "zone_id", "type", "top", "bottom", "formation_idx")
     wick = z.invalidation == "wick"
     low, high = F.col("low" if wick else "close"), F.col("high" if wick else "close")
     broken = F.when(F.col("type") == "demand", low < F.col("bottom")).otherwise(high > F.col("top"))
     block = lambda c: F.floor(F.col(c) / BLOCK)
-    blocks = life.groupBy("symbol", block("at").alias("block")).agg(F.min(low).alias("least"), F.max(high).alias("most"))
-    ends = zs.join(blocks, (zs.symbol == blocks.symbol) & (blocks.block > block("formation_idx"))).drop(blocks.symbol)
+    blocks = life.groupBy("b_symbol", block("at").alias("block")).agg(F.min(low).alias("least"), F.max(high).alias("most"))
+    ends = zs.join(blocks, (F.col("symbol") == F.col("b_symbol")) & (F.col("block") > block("formation_idx")))
     ends = ends.where(F.when(F.col("type") == "demand", F.col("least") < F.col("bottom")).otherwise(F.col("most") > F.col("top")))
     ends = ends.groupBy("symbol", "zone_id").agg(((F.min("block") + 1) * BLOCK).alias("until"))
     zs = zs.join(ends, ["symbol", "zone_id"], "left")
-    pairs = zs.join(life, (zs.symbol == life.symbol) & (life["at"] > zs.formation_idx) & (F.col("until").isNull() | (life["at"] < F.col("until")))).drop(life.symbol)
+    pairs = zs.join(life, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("formation_idx")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     inside = (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
     by = Window.partitionBy("symbol", "zone_id").orderBy("at")
     ended = F.max(F.col("broken").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1

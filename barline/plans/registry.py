@@ -11,6 +11,7 @@ from barline.config import TradeConfig
 from barline.operators import confluence, indicators, labels, metrics, models, patterns, quality, trades, windows, zones
 from barline.plans.sql import SQL
 from barline.sources import bars as sources
+from barline.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,17 +27,17 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with indicators; most queries read them several times."""
-    return indicators.with_indicators(_bars(spark, sf_dir)).persist()
+    return written(indicators.with_indicators(_bars(spark, sf_dir)), "indicators")
 
 
 def _zones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     b = _ind(spark, sf_dir)
-    return zones.scored_zones(b).persist(), b
+    return written(zones.scored_zones(b), "zones"), b
 
 
 def _lived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     z, b = _zones(spark, sf_dir)
-    return zones.lifecycle(z, b), b
+    return written(zones.lifecycle(z, b), "lived"), b
 
 
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -46,7 +47,7 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged zones with scores, lifecycle and confluence, in order of formation."""
     b = _ind(spark, sf_dir)
-    found = zones.lifecycle(zones.merged(zones.scored_zones(b)), b)
+    found = written(zones.lifecycle(written(zones.merged(written(zones.scored_zones(b), "zones")), "merged"), b), "lived")
     found = zones.finished(confluence.confluence(found, confluence.higher(b, hours=6)))
     return found.orderBy("symbol", "formation_ts", "zone_id")
 
