@@ -2,41 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.sources.shared import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one in a local session without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="barline-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone; whoever owns the folder sweeps it
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, read by every later stage, kept when an executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/barline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["extended", "sha256_of", "shared_dir", "table", "written"]
 
 
 def sha256_of(text: Column) -> Column:
