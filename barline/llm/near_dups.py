@@ -66,8 +66,8 @@ def _sketches(p: Params):
                     for j in range(2):
                         key[j, full] = np.add.reduceat(mix(every, 21 + j), starts)
                 bands = np.zeros((b - a, p.bands), np.uint64)
-                bands[full] = mix((mins.reshape(p.bands, p.rows, -1) * by_row + by_band).sum(1), 15).T
-                low = (mins & np.uint64(2**BITS - 1)).reshape(-1, LANES, len(full)) << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))[:, None]
+                bands[full] = mix((mins.reshape(p.bands, p.rows, len(full)) * by_row + by_band).sum(1), 15).T
+                low = (mins & np.uint64(2**BITS - 1)).reshape(k // LANES, LANES, len(full)) << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))[:, None]
                 bits = np.zeros((b - a, k // LANES), np.uint64)
                 bits[full] = np.bitwise_or.reduce(low, 1).T
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1).view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())) for x in (bands, bits)]

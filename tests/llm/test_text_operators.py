@@ -324,3 +324,13 @@ def test_empty_tables(spark):
     assert chat.examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_only_empty_texts(spark):
+    docs = frame(spark, [(1, None), (2, ""), (3, " \n")])
+    assert {(r.n_words, r.n_removed, r.kept) for r in substrings.drop_repeats(docs).collect()} == {(0, 0, "")}
+    assert all(r.kept and r.n_shingles == 0 and r.component_id == r.doc_id for r in near_dups.near_duplicates(docs).collect())
+    assert {r.doc_id: len(r.ids) for r in tokens.encode(docs, BPE).collect()} == {1: 0, 2: 0, 3: 2}
+    assert all(not r.secrets for r in secrets.scan(docs).collect())
+    assert decontamination.contaminated(docs, spark.createDataFrame([(1, None), (2, "a " * 20)], "item_id long, text string")).count() == 0
+    assert {(r.doc_id, r.near_edited) for r in fingerprints.fingerprints(docs).collect()} == {(1, 1.0), (2, 1.0), (3, 1.0)}
