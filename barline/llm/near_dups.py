@@ -23,8 +23,8 @@ class Params:
     percent: int = 75
     bands: int = 40
     rows: int = 4
-    #: Pairs of a lower estimate are not confirmed; six standard errors below the threshold.
-    least_estimate: float = 0.5
+    #: Pairs of a lower estimate are not confirmed; nearly five standard errors below the threshold.
+    least_estimate: float = 0.55
 
 
 #: Low bits of each minimum that are kept, and how many of them a long holds.
@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     multi = written(banded.join(shared, "key"), "buckets")
     involved = multi.select(F.col("id").alias("doc_id")).distinct()
     texts = written(docs.join(involved, "doc_id", "left_semi"), "candidates")
-    bits = sketch.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bits").dropDuplicates(["id"])
+    bits = sketch.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bits", "bands").dropDuplicates(["id"])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
@@ -176,16 +176,17 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
         "bounds",
     )
     for last in (False, True):
-        sized = inside.join(bound, "id")
+        sized = inside.join(bound, "id").join(bits, "id")
         least = sized.groupBy("key").agg(F.min("n").alias("least"))
         few = sized.where("comp <> main").join(least, "key").where(F.col("s") * 100 >= p.percent * (F.col("n") + F.greatest("least", "s") - F.col("s")))
-        few = few.select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"))
+        few = few.select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("s").alias("sx"), F.col("bits").alias("bx"), F.col("bands").alias("gx"))
         most = F.least("sx", "sy")
         able = (F.col("cx") != F.col("cy")) & (100 * most >= p.percent * (F.col("nx") + F.col("ny") - most))
-        other = sized.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"))
-        across = few.join(other, "key").where(able).select("x", "y", "cy").distinct()
-        rated = across.join(bits.toDF("x", "bx"), "x").join(bits.toDF("y", "by"), "y").withColumn("alike", estimate(F.col("bx"), F.col("by"), longs))
-        rated = rated.where(F.col("alike") >= p.least_estimate)
+        other = sized.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("s").alias("sy"), F.col("bits").alias("by"), F.col("bands").alias("gy"))
+        # a pair is made in the first band that it shares, and only if its estimate passes
+        alike = estimate(F.col("bx"), F.col("by"), longs)
+        able = able & (alike >= p.least_estimate) & (F.get(F.array_intersect("gx", "gy"), F.lit(0)) == F.col("key"))
+        rated = few.join(other, "key").where(able).select("x", "y", "cy", alike.alias("alike"))
         if not last:
             rated = rated.groupBy("x", "cy").agg(F.max_by("y", F.struct("alike", "y")).alias("y"))
         more = confirmed(rated.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
