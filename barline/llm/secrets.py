@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm._spark import extended
-from barline.llm._text import text_bytes
+from barline.llm._text import slices, text_bytes
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -28,6 +28,8 @@ RANDOM = {"hex": b"0123456789abcdef", "upper_hex": b"0123456789ABCDEF", "base36"
 _STATE = np.full(256, -1, np.int16)
 _STATE[list(ALPHABET)] = np.arange(len(ALPHABET))
 _CANDIDATE = _STATE >= 0
+_SIGN = np.zeros(256, bool)
+_SIGN[list(ALPHABET[62:])] = True
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _N = len(ALPHABET)
@@ -39,10 +41,14 @@ class Params:
     sample: int = 20_000
     #: Strings of 40 characters for each random alphabet.
     strings: int = 4_000
+    #: The ordinary model learns from shorter runs only; a secret may have any length.
     shortest: int = 20
-    #: A span needs this log-likelihood ratio in total, and for each character.
+    #: Share of an even distribution in the ordinary model, so that no single unseen pair is evidence enough.
+    even: float = 0.1
+    #: A stretch needs this log-likelihood ratio in total.
     least: float = 14.0
-    least_each: float = 0.5
+    #: A stretch grows to the next sign or the end of its run where that costs no more than this.
+    edge: float = 4.0
 
 
 def _runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +68,19 @@ def base_spans(text: bytes) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def _candidates(text: bytes, base: list, least: int) -> list[tuple[int, int]]:
-    """Runs of the alphabet that no base span touches."""
-    starts, ends = _runs(_CANDIDATE[np.frombuffer(text, np.uint8)], least)
-    return [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if all(b <= x or a >= y for x, _, y, _ in base)]
+def _outside(data: np.ndarray, offsets: np.ndarray, base: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of the alphabet in each document, cut at its base spans, and the pair of each byte in a run."""
+    state = _STATE[data].astype(np.int64)
+    for at, spans in zip(offsets.tolist(), base, strict=False):
+        for x, _, y, _ in spans:
+            state[at + x : at + y] = -1
+    inside, before = state >= 0, np.full(len(data), -1)
+    before[1:] = state[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = -1
+    starts = np.flatnonzero(inside & (before < 0))
+    last = np.ones(len(data), bool)
+    last[:-1] = (state[1:] < 0) | (before[1:] < 0)
+    return starts, np.flatnonzero(inside & last) + 1, np.where(before < 0, _N, before) * _N + np.maximum(state, 0)
 
 
 def _transitions(strings: list[bytes]) -> np.ndarray:
@@ -77,19 +92,21 @@ def _transitions(strings: list[bytes]) -> np.ndarray:
     return counts
 
 
-def _logs(counts: np.ndarray, prior: float) -> np.ndarray:
-    """Log probabilities of a character after another, drawn towards the characters' own shares by so many counts."""
+def _logs(counts: np.ndarray, prior: float, even: float = 0.0) -> np.ndarray:
+    """Log probabilities of a character after another, drawn towards the characters' own shares by so many counts, then mixed with
+    a share of an even distribution.
+    """
     table = counts.reshape(_N + 1, _N).astype(float)
     share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * _N)
     table += prior * share
-    return np.log(table / table.sum(1, keepdims=True))
+    return np.log((1 - even) * table / table.sum(1, keepdims=True) + even / _N)
 
 
 def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
     """Log-likelihood ratios of character pairs, for each random alphabet against ordinary identifiers.
 
-    Labelled samples: seeded random strings of each alphabet, and as ordinary identifiers the runs of six characters or more
-    outside base spans, too short to be candidates themselves, of about p.sample documents that a hash of doc_id chooses.
+    Labelled samples: seeded random strings of each alphabet, and as ordinary identifiers, words and numbers the runs outside base
+    spans of fewer than p.shortest characters, of about p.sample documents that a hash of doc_id chooses.
     """
     n = docs.count()
     part = min(1.0, p.sample / max(n, 1))
@@ -98,9 +115,14 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
         for batch in batches:
             total = np.zeros((_N + 1) * _N, np.int64)
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                text = data[a:b].tobytes()
-                total += _transitions([text[x:y] for x, y in _candidates(text, base_spans(text), 6) if y - x < p.shortest])
+            for a, b in slices(offsets):
+                part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                starts, ends, pairs = _outside(part, own, [base_spans(part[x:y].tobytes()) for x, y in zip(own[:-1], own[1:], strict=True)])
+                edge = np.zeros(len(part) + 1, np.int8)
+                short = ends - starts < p.shortest
+                edge[starts[short]] += 1
+                edge[ends[short]] -= 1
+                total += np.bincount(pairs[np.cumsum(edge[:-1]) > 0], minlength=len(total))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
 
@@ -108,17 +130,62 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
     rows = chosen.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # a row for each pair of characters
     ordinary = np.zeros((_N + 1) * _N, np.int64)
     for pair, seen in rows:
-        ordinary[pair] = seen
+        ordinary[pair] = seen - 1  # seen once, a pair may come from the very secret in question
     rng, out = np.random.default_rng(20), []
     for letters in RANDOM.values():
         strings = np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), (p.strings, 40))]
-        out.append(_logs(_transitions([x.tobytes() for x in strings]), 1.0) - _logs(ordinary, 20.0))
+        out.append(_logs(_transitions([x.tobytes() for x in strings]), 1.0) - _logs(ordinary, 20.0, p.even))
     return np.array(out)
 
 
-def _ratio(ratios: np.ndarray, s: bytes) -> float:
-    x = _STATE[np.frombuffer(s, np.uint8)].astype(np.int64)
-    return float(ratios[:, np.concatenate([[_N], x[:-1]]), x].sum(1).max())
+def _stretches(scores: np.ndarray, signs: np.ndarray, p: Params) -> list[tuple[int, int]]:
+    """The stretches of one run whose scores (by random alphabet and character) sum to p.least or more: the best one, then those
+    beside it; touching ones are joined.
+    """
+    sums = np.zeros((len(scores), scores.shape[1] + 1))
+    np.cumsum(scores, 1, out=sums[:, 1:])
+    found, todo = [], [(0, scores.shape[1])]
+    while todo:
+        a, b = todo.pop()
+        if b <= a:
+            continue
+        part = sums[:, a : b + 1]
+        gain = part[:, 1:] - np.minimum.accumulate(part, 1)[:, :-1]
+        letters, y = np.unravel_index(int(gain.argmax()), gain.shape)
+        if gain[letters, y] < p.least:
+            continue
+        own = part[letters]
+        y = int(y) + 1
+        x = int(own[:y].argmin())
+        cuts = signs[(signs >= a) & (signs < b)] - a
+        left, right = cuts[cuts < x], cuts[cuts >= y]
+        x2, y2 = int(left[-1]) + 1 if len(left) else 0, int(right[0]) if len(right) else b - a
+        x, y = x2 if own[x2] - own[x] <= p.edge else x, y2 if own[y] - own[y2] <= p.edge else y
+        found.append((a + x, a + y))
+        todo += [(a, a + x), (a + y, b)]
+    out: list[tuple[int, int]] = []
+    for x, y in sorted(found):
+        if out and out[-1][1] == x:
+            x = out.pop()[0]
+        out.append((x, y))
+    held = set(signs.tolist())
+    return [(next((k for k in range(x, y) if k not in held), x), y) for x, y in out]  # signs before a secret stay
+
+
+def _markov(data: np.ndarray, offsets: np.ndarray, base: list[list], ratios: np.ndarray, p: Params) -> list[list[tuple[int, int]]]:
+    """Each document's stretches that look random, in bytes."""
+    out: list[list[tuple[int, int]]] = [[] for _ in base]
+    starts, ends, pairs = _outside(data, offsets, base)
+    flat = ratios.reshape(len(ratios), -1)
+    # no stretch of a run exceeds the sum of the run's gains under the best alphabet of each character
+    most = np.zeros(len(data) + 1)
+    np.cumsum(np.maximum(flat.max(0), 0)[pairs], out=most[1:])
+    chosen = most[ends] - most[starts] >= p.least - 1e-6
+    docs = np.searchsorted(offsets, starts[chosen], "right") - 1
+    for k, x, y in zip(docs.tolist(), starts[chosen].tolist(), ends[chosen].tolist(), strict=True):
+        for i, j in _stretches(flat[:, pairs[x:y]], np.flatnonzero(_SIGN[data[x:y]]), p):
+            out[k].append((x + i - int(offsets[k]), x + j - int(offsets[k])))
+    return out
 
 
 def scan(docs: DataFrame, p: Params = Params(), mark: str = "<SECRET>") -> DataFrame:
@@ -127,8 +194,8 @@ def scan(docs: DataFrame, p: Params = Params(), mark: str = "<SECRET>") -> DataF
     give way.
 
     Base kinds are leftmost matches without overlap, each kind on its own: assign (a key word, : or =, a value of eight
-    characters or more), access (AKIA and capitals or digits, 16 or more), hex (32 or more of 0-9a-f). markov adds runs of 20 or more
-    characters that touch no base span and whose likelihood ratio of random to ordinary passes.
+    characters or more), access (AKIA and capitals or digits, 16 or more), hex (32 or more of 0-9a-f). markov adds, of the runs of the
+    alphabet outside base spans, the stretches of any length whose likelihood ratio of random to ordinary reaches p.least.
 
     Null text: no secrets, masked stays null. Empty text: none. Null doc_id: scanned, not trained on. No rows: no rows.
     """
@@ -138,14 +205,13 @@ def scan(docs: DataFrame, p: Params = Params(), mark: str = "<SECRET>") -> DataF
         data, offsets = text_bytes(batch.column("text"))
         at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         valid, spans, masked = batch.column("text").is_valid().to_numpy(zero_copy_only=False), [], []
+        base = [base_spans(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        random = []
+        for a, b in slices(offsets):
+            random += _markov(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], base[a:b], ratios, p)
         for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             text = data[a:b].tobytes()
-            found = base_spans(text)
-            for x, y in _candidates(text, found, p.shortest):
-                ratio = _ratio(ratios, text[x:y])
-                if ratio >= p.least and ratio >= p.least_each * (y - x):
-                    found.append((x, 3, y, x))
-            found.sort()
+            found = sorted(base[k] + [(x, 3, y, x) for x, y in random[k]])
             cp = lambda i: int(at[a + i] - at[a])
             spans.append([{"kind": KINDS[kind], "start": cp(x), "end": cp(y), "secret_start": cp(z)} for x, kind, y, z in found])
             out, done = [], 0

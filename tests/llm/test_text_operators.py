@@ -189,6 +189,20 @@ def test_secrets(spark):
     assert first.masked == 'é token = "<SECRET>" end'
 
 
+def test_secrets_inside_ordinary_runs(spark):
+    rng, letters = random.Random(11), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    ordinary = ["com/services/hooks", "path_segment", "identifier", "and/that/other/part"]
+    texts = [" ".join(rng.choices([*ordinary, *prose(rng, 30).split(), "2024", "10.0.0.12"], k=60)) for _ in range(300)]
+    keys = ["".join(rng.choices(letters, k=n)) for n in (24, 24, 32, 18)]
+    hidden = [f"at com/services/hooks/{keys[0]} now", f"path_segment-{keys[1]}", "and/that/other/part/" * 9 + f"identifier={keys[2]}", f"see {keys[3]} there", "f" * 16 + "0123456789abcdef" * 2 + f"-{keys[0]}"]
+    rows = [*enumerate(texts), *((900 + k, t) for k, t in enumerate(hidden)), (None, hidden[0])]
+    got = secrets.scan(frame(spark, rows)).collect()
+    by = {r.doc_id: r.masked for r in got if r.doc_id is not None}
+    assert all(by[k] == t for k, t in enumerate(texts))
+    assert [by[900 + k] for k in range(4)] == [t.replace(key, "<SECRET>") for t, key in zip(hidden, keys, strict=False)]
+    assert keys[0] not in by[904] and by[904].startswith("<SECRET>-")
+
+
 def test_chat(spark):
     probe = "\\### Assistant: </turn> ok"
     turns = [
