@@ -39,9 +39,8 @@ BUCKETS = 1 << 16
 
 @dataclass(frozen=True)
 class Params:
-    #: Labelled documents of each language that the model is trained on, about, chosen by hash; languages at most.
+    #: Labelled documents of each language that the model is trained on, about, chosen by hash.
     sample: int = 4_000
-    languages: int = 200
     #: Cost of a switch of language, in nats.
     switch: float = 12.0
     #: Share of a language's letters from which a script counts as one of its own.
@@ -91,50 +90,87 @@ class _Letters:
 @dataclass
 class Model:
     languages: list[str]
-    #: Log probabilities by trigram bucket and language, and by script what is added to a language's words.
-    grams: np.ndarray
+    #: Log probabilities of the trigrams that a language has, sorted by bucket: where each bucket begins (the end last), language, value.
+    first: np.ndarray
+    language: np.ndarray
+    value: np.ndarray
+    #: By language, the log probability of a bucket that it lacks; by script what is added to a language's words.
+    rest: np.ndarray
     scripts: np.ndarray
 
+    def table(self, buckets: np.ndarray) -> np.ndarray:
+        """Log probabilities of these buckets, by bucket and language."""
+        out = np.repeat(self.rest[None], len(buckets), 0)
+        n = self.first[buckets + 1] - self.first[buckets]
+        row = np.repeat(np.arange(len(buckets)), n)
+        at = np.arange(len(row)) + np.repeat(self.first[buckets] - (np.cumsum(n) - n), n)
+        out[row, self.language[at]] = self.value[at]
+        return out
+
 
 def train(docs: DataFrame, p: Params = Params()) -> Model:
-    """A model from labelled rows (doc_id, text, lang not null)."""
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.languages).collect()
-    names = sorted(x.lang for x in counts)
-    share = F.lit(0.0)
-    for x in counts:
-        share = F.when(F.col("lang") == x.lang, min(1.0, p.sample / x["count"])).otherwise(share)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
-    kinds = len(SCRIPTS) + 1
+    """A model from labelled rows (doc_id, text, lang not null). Every label is learned."""
+    counts = sorted(docs.groupBy("lang").count().collect())  # a row for each label
+    names, kinds = [x.lang for x in counts], len(SCRIPTS) + 1
+    shares = docs.sparkSession.createDataFrame([(x.lang, k, min(1.0, p.sample / x["count"])) for k, x in enumerate(counts)], "lang string, k int, share double")
+    chosen = docs.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("k", "text")
+    width = BUCKETS + kinds
 
     def count(batches):
         for batch in batches:
-            total: dict[str, np.ndarray] = {}
             data, offsets = text_bytes(batch.column("text"))
-            langs = batch.column("lang").to_pylist()
-            for k, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                w = _Letters(data[a:b], np.array([0, b - a]))
-                own = total.setdefault(langs[k], np.zeros(BUCKETS + kinds, np.int64))
-                own[:BUCKETS] += np.bincount(w.bucket[w.inside], minlength=BUCKETS)
-                own[BUCKETS:] += np.bincount(w.script, w.ends - w.starts, kinds).astype(np.int64)
-            for lang, own in total.items():
-                at = np.flatnonzero(own)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "gram", "n"])
-
-    rows = chosen.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets at most
-    table = np.zeros((BUCKETS + kinds, len(names)))
-    table[rows["gram"].to_numpy(), [names.index(x) for x in rows["lang"]]] = rows["n"]
-    grams = table[:BUCKETS] + 0.05
-    grams = np.log(grams / grams.sum(0)) if names else grams
-    letters = table[BUCKETS:]
+            langs = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64) * width
+            for a, b in slices(offsets, 1 << 20):
+                w = _Letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                grams = np.repeat(langs[a:b], np.diff(w.at))[w.inside] + w.bucket[w.inside]
+                scripts = np.repeat(np.repeat(langs[a:b], np.diff(w.first)) + BUCKETS + w.script, w.ends - w.starts)
+                at, n = np.unique(np.concatenate([grams, scripts]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "gram", "n"])
+
+    rows = chosen.mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()  # the trigrams that each language has
+    k, gram, n = (rows[c].to_numpy() for c in ("k", "gram", "n"))
+    letters = np.zeros((kinds, len(names)))
+    letters[gram[gram >= BUCKETS] - BUCKETS, k[gram >= BUCKETS]] = n[gram >= BUCKETS]
+    k, gram, n = (x[gram < BUCKETS] for x in (k, gram, n))
+    total = np.bincount(k, n, len(names)) + 0.05 * BUCKETS
+    order = np.argsort(gram, kind="stable")
     own = letters >= p.script_share * np.maximum(letters.sum(0), 1)
-    return Model(names, grams.astype(np.float32), np.where(own | ~own.any(1, keepdims=True), 0.0, -1e4).astype(np.float32))
+    return Model(
+        names,
+        np.searchsorted(gram[order], np.arange(BUCKETS + 1)),
+        k[order].astype(np.int32),
+        np.log((n + 0.05) / total[k])[order].astype(np.float32),
+        np.log(0.05 / total).astype(np.float32),
+        np.where(own | ~own.any(1, keepdims=True), 0.0, -1e4).astype(np.float32),
+    )
+
+
+def _scores(m: Model, w: _Letters) -> np.ndarray:
+    """Log likelihood of each word by language, summed over blocks of letters, so that the table of letters stays small."""
+    k, n = len(m.languages), len(w.bucket)
+    seen = np.zeros(BUCKETS, bool)
+    seen[w.bucket] = True
+    table, place = m.table(np.flatnonzero(seen)), np.cumsum(seen) - 1
+    out, carry, step = np.zeros((len(w.starts), k)), np.zeros((1, k)), max(1, (1 << 23) // k)
+    for a in range(0, n, step):
+        b = min(a + step, n)
+        sums = np.concatenate([carry, table[place[w.bucket[a:b]]]])
+        np.cumsum(sums, 0, out=sums)
+        x, y = np.searchsorted(w.starts, (a, b))
+        out[x:y] -= sums[w.starts[x:y] - a]
+        x, y = np.searchsorted(w.ends, (a, b), "right")
+        out[x:y] += sums[w.ends[x:y] - a]
+        carry = sums[-1:]
+    return out + m.scripts[w.script]
 
 
 def _paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
     """For each document the best language of each word, by Viterbi.
 
-    Where no stretch of words gains more than one penalty in another language than the best one, staying is optimal; the
-    other documents are stepped through together.
+    Staying in the best language is optimal where no stretch of words gains more than one penalty in another language, and no
+    beginning and end together do: a part of a path outside the best language has at least as many switches as languages' stretches
+    if it borders on that language, and else one less, but begins and ends with the text. The other documents are stepped through
+    together.
     """
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(scores)
     hard = []
@@ -143,7 +179,8 @@ def _paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
             best = int(s.sum(0).argmax())
             gain = np.cumsum(s - s[:, best : best + 1], 0)
             low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1]), gain.dtype), gain[:-1]]), 0)
-            if (gain - low).max() <= switch:
+            ends = gain[-1] - np.vstack([np.zeros((1, s.shape[1]), gain.dtype), gain[:-1]])
+            if (gain - low).max() <= switch and gain.max() + ends.max() <= switch:
                 out[d] = np.full(len(s), best)
             else:
                 hard.append(d)
@@ -160,7 +197,7 @@ def _paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
         top = now.argmax(1)
         jump = now[np.arange(live), top] - switch
         stay = now >= jump[:, None]
-        back.append(np.where(stay, np.arange(k), top[:, None]).astype(np.int16) if t else None)
+        back.append(np.where(stay, np.arange(k), top[:, None]).astype(np.int16 if k < 1 << 15 else np.int32) if t else None)
         total[:live] = np.where(stay, now, jump[:, None]) + flat[begin[:live] + t]
     for j, d in enumerate(hard):
         path = np.empty(n[j], np.int64)
@@ -186,16 +223,14 @@ def identify(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
         k = len(m.languages)
         data, offsets = text_bytes(batch.column("text"))
         preds, scores, spans = [], [], []
-        for a, b in slices(offsets, 1 << 20):
+        for a, b in slices(offsets, (1 << 24) // max(k, 16)):
             w = _Letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if k == 0:
                 preds += [0] * (b - a)
                 scores += [0.0] * (b - a)
                 spans += [[]] * (b - a)
                 continue
-            sums = np.zeros((len(w.bucket) + 1, k))
-            np.cumsum(m.grams[w.bucket], 0, out=sums[1:], dtype=np.float64)
-            each = sums[w.ends] - sums[w.starts] + m.scripts[w.script]
+            each = _scores(m, w)
             soft = np.exp(each - each.max(1, keepdims=True)) if len(each) else each
             soft = soft / soft.sum(1, keepdims=True)
             cuts = w.first

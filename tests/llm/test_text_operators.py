@@ -286,6 +286,19 @@ def test_viterbi_is_exact():
         assert len(path) == len(s) and (not len(s) or value == pytest.approx(max(best.values())))
 
 
+def test_viterbi_where_the_best_language_is_in_no_span():
+    scores = [np.array([[0.0, -20.0, -9.0], [-20.0, 0.0, -9.0]])]
+    assert languages._paths(scores, 12.0)[0].tolist() == [0, 1]
+
+
+def test_every_label_is_learned(spark):
+    rng = random.Random(12)
+    say = lambda k: " ".join(chr(97 + k // 26) + chr(97 + k % 26) + rng.choice("aeiou") for _ in range(30))
+    model = languages.train(spark.createDataFrame([(j * 230 + k, say(k), f"l{k:03}") for k in range(230) for j in range(2)], "doc_id long, text string, lang string"))
+    got = languages.identify(spark.createDataFrame([(k, say(k)) for k in range(230)], "doc_id long, text string"), model).collect()
+    assert len(model.languages) == 230 and all(r.lang_pred == f"l{r.doc_id:03}" for r in got)
+
+
 def test_fingerprints(spark):
     rows = [(i, t) for i, t in corpus() if i is not None]
     got = fingerprints.fingerprints(frame(spark, rows)).collect()
