@@ -135,7 +135,9 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
     for letters in RANDOM.values():
         strings = np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), (p.strings, 40))]
         out.append(_logs(_transitions([x.tobytes() for x in strings]), 1.0) - _logs(ordinary, 20.0, p.even))
-    return np.array(out)
+    ratios, digits = np.array(out), slice(52, 62)
+    ratios[:, digits, digits] = np.minimum(ratios[:, digits, digits], 0)  # a number is ordinary, also where the sample has none
+    return ratios
 
 
 def _stretches(scores: np.ndarray, signs: np.ndarray, p: Params) -> list[tuple[int, int]]:
