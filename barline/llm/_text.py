@@ -1,8 +1,8 @@
-"""Vectorised words, word windows and their 64-bit hashes over the Arrow batches of a task.
+"""Vectorised words, word windows and their hashes over the Arrow batches of a task.
 
-A word is a maximal run of bytes outside space and \\x09-\\x0D. A word's hash is a polynomial over its
-bytes, a window's hash a polynomial over its words' hashes; both come from prefix sums, so that the cost per byte does not
-depend on the window's length.
+A word is a maximal run of bytes outside space and \\x09-\\x0D. Every word has two independent 64-bit hashes (lanes): of its own
+sixteen bytes and length where it isn't longer, else the halves of its XXH3-128. Windows are hashed by doubling: a window of 2^k words by a
+scrambling of its halves, any other length by its binary parts, so that no algebraic structure of the words carries over.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes that are hashed at once; a longer document is hashed alone.
 SLICE = 4 << 20
@@ -20,8 +21,9 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+#: Low bytes of a long that belong to a word of so many bytes.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+_LEFT, _RIGHT = _U(0x9E3779B97F4A7C17), _U(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -32,18 +34,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^k and base^-k modulo 2^64 for k below n at least."""
-    if kind not in _tables or len(_tables[kind][0]) < n:
-        size, both = max(n, 1 << 16), []
-        for base in (_BASES[kind], pow(_BASES[kind], -1, 2**64)):
-            out = np.full(size, base, _U)
-            out[0] = 1
-            both.append(np.cumprod(out))
-        _tables[kind] = tuple(both)
-    return _tables[kind]
-
-
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all rows (null: none) and where each row begins, with the end last."""
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -63,7 +53,7 @@ def slices(offsets: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """Words of some documents: starts and ends in data, hash, and the first word of each document (with the end last)."""
+    """Words of some documents: starts and ends in data, and the first word of each document (with the end last)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = _LOWER[data] if lower else data
@@ -76,23 +66,53 @@ class Words:
         self.starts = np.flatnonzero(inside & (blank[:-2] | cut[:-1]))
         self.ends = np.flatnonzero(inside & (blank[2:] | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _powers("byte", n + 1)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-        raw = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        self.hash = mix(raw + (self.ends - self.starts).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-        self._sums = None
+        self._levels: dict[int, list[np.ndarray]] = {}
 
     def __len__(self) -> int:
         return len(self.starts)
 
-    def windows(self, at: np.ndarray, length: int | np.ndarray, seed: int = 0) -> np.ndarray:
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        """Each word's hash in a lane (0 or 1)."""
+        if lane not in self._levels:
+            held = np.concatenate([self.data, np.zeros(16, np.uint8)])
+            eight = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))  # eight bytes from each place on
+            size = self.ends - self.starts
+            low, high = eight[self.starts] & _MASK[np.minimum(size, 8)], eight[self.starts + 8] & _MASK[np.clip(size - 8, 0, 8)]
+            out = mix(mix(low, 31 + lane) * _LEFT + high, 33 + lane) * _RIGHT + size.astype(_U)
+            out = mix(out, 35 + lane)
+            long = np.flatnonzero(size > 16)
+            text = self.data.tobytes() if len(long) else b""
+            for k, a, b in zip(long.tolist(), self.starts[long].tolist(), self.ends[long].tolist(), strict=True):
+                out[k] = (xxhash.xxh3_128_intdigest(text[a:b]) >> 64 * lane) & (2**64 - 1)
+            self._levels[lane] = [out]
+        return self._levels[lane][0]
+
+    def _doubled(self, level: int, lane: int) -> np.ndarray:
+        """Hashes of the 2^level words from each word on (past the end: of no use)."""
+        self.hashes(lane)
+        levels = self._levels[lane]
+        while len(levels) <= level:
+            step, after = 1 << (len(levels) - 1), np.zeros(len(self), _U)
+            after[: max(len(self) - step, 0)] = levels[-1][step:]
+            levels.append(mix(levels[-1] * _LEFT + after, len(levels)))
+        return levels[level]
+
+    def windows(self, at: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
         """Hashes of the windows of so many words that begin at these words."""
-        if self._sums is None:
-            self._sums = np.zeros(len(self) + 1, _U)
-            np.cumsum(self.hash * _powers("word", len(self) + 1)[0][: len(self)], out=self._sums[1:])
-        down = _powers("word", len(self) + 1)[1]
-        return mix((self._sums[at + length] - self._sums[at]) * down[at] + np.asarray(length).astype(_U), seed + 1)
+        bits = [k for k in range(length.bit_length()) if length >> k & 1][::-1]
+        out, place = self._doubled(bits[0], lane)[at], at + (1 << bits[0])
+        for k in bits[1:]:
+            out = mix(out * _RIGHT + self._doubled(k, lane)[place], 64 + k)
+            place = place + (1 << k)
+        return mix(out + _U(length), 63)
+
+    def sequences(self, docs: np.ndarray, lane: int = 0) -> np.ndarray:
+        """Hashes of the whole word sequences of these documents, each of one word at least: sums of each word scrambled with its place."""
+        sums = np.zeros(len(self) + 1, _U)
+        place = np.arange(len(self)) - np.repeat(self.first[:-1], np.diff(self.first))
+        np.cumsum(mix(self.hashes(lane) ^ mix(place.astype(_U), 41 + lane), 43), out=sums[1:])
+        first, last = self.first[docs], self.first[docs + 1]
+        return mix(sums[last] - sums[first] + (last - first).astype(_U), 45)
 
 
 def sliced_words(column: pa.Array, lower: bool = False, most: int = SLICE) -> Iterator[tuple[int, int, Words]]:

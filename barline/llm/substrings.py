@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm._spark import written
-from barline.llm._text import Words, sliced_words, slices, text_bytes
+from barline.llm._text import Words, mix, sliced_words, slices, text_bytes
 
 #: Perfect difference covers by period. Any two residues have a shift that brings both into the cover.
 COVERS = {3: (1, 2), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 
-_ROWS = "h long, doc_id long, pos long"
+#: A hash that a row of texts has: h and more are independent; twice: it is known to repeat; part: 0, or any number for a row
+#: that needs no meeting, so that a hash of very many texts is dealt to many tasks.
+_ROWS = "h long, more long, key long, twice boolean, part int"
 
 
 def _period(window: int) -> int:
@@ -25,29 +27,26 @@ def _period(window: int) -> int:
     return max(p for p in fit if p <= max(min(fit), 0.6 * window))
 
 
-def _rows(h: np.ndarray, doc_id: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc_id), pa.array(pos.astype(np.int64))], ["h", "doc_id", "pos"])
-
-
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = batch.column("doc_id")
-    return ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
-
-
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For groups of so many members: each member's group and its place in it."""
     group = np.repeat(np.arange(len(counts)), counts)
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _once(group: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each group's distinct hashes: group, hash, and 1 where the group has the hash more than once, else 0."""
-    order = np.lexsort((h, group))
-    group, h = group[order], h[order]
-    lead = np.ones(len(h), bool)
-    lead[1:] = (group[1:] != group[:-1]) | (h[1:] != h[:-1])
+def _met(h: np.ndarray, more: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """Rows of a slice's hashes, once for each key. Of equal hashes the one with the smallest key goes to the meeting, marked if
+    there are several; the others are settled.
+    """
+    order = np.lexsort((key, more, h))
+    h, more, key = h[order], more[order], key[order]
+    lead, own = np.ones(len(h), bool), np.ones(len(h), bool)
+    lead[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
+    own[1:] = lead[1:] | (key[1:] != key[:-1])
     at = np.flatnonzero(lead)
-    return group[at], h[at], (np.diff(np.append(at, len(h))) > 1).astype(np.int64)
+    twice = np.repeat(np.diff(np.append(at, len(h))) > 1, np.diff(np.append(at, len(h))))
+    part = np.where(lead, 0, 1 + (mix(key.astype(np.uint64), 5) >> np.uint64(40)).astype(np.int64)).astype(np.int32)
+    columns = [h.view(np.int64), more.view(np.int64), key, twice, part]
+    return pa.RecordBatch.from_arrays([pa.array(c[own]) for c in columns], ["h", "more", "key", "twice", "part"])
 
 
 def _covered(window: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,55 +60,62 @@ def _covered(window: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _hashes(column: pa.Array, row: int) -> np.ndarray:
-    return column[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+    held = column[row].values
+    return (np.zeros(0, np.int64) if held is None else held.to_numpy(zero_copy_only=False)).view(np.uint64)
+
+
+def _wholes(w: Words) -> np.ndarray:
+    """The hash of each text's whole word sequence; 0 without words."""
+    n = np.diff(w.first)
+    out = np.zeros(len(n), np.uint64)
+    out[n > 0] = w.sequences(np.flatnonzero(n > 0))
+    return out
 
 
 def _anchors(window: int):
-    """Each document's distinct anchor hashes (pos: 1 if it has the hash more than once, else 0), and one row for its whole word
-    sequence (pos below 0, holding 63 more bits of its hash).
+    """Each text's distinct anchor hashes (more: 0) and its whole word sequence (more: never 0).
 
-    Equal sequences in one slice send their anchors once, under the smallest doc_id.
+    Equal sequences in one slice send their anchors once, under the smallest key.
     """
     length = window - _period(window) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, valid = _ids(batch)
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
             for a, b, w in sliced_words(batch.column("text")):
                 n = np.diff(w.first)
                 long = np.flatnonzero(n >= window)
-                whole = w.windows(w.first[long], n[long], 7)
-                more = -1 - (w.windows(w.first[long], n[long], 8) >> np.uint64(1)).astype(np.int64)
-                own = np.where(valid[a:b][long], ids[a:b][long], np.iinfo(np.int64).min)
+                whole, more, own = w.sequences(long), w.sequences(long, 1) | np.uint64(1), keys[a:b][long]
                 order = np.lexsort((own, more, whole))
                 lead = np.ones(len(order), bool)
                 lead[1:] = (whole[order][1:] != whole[order][:-1]) | (more[order][1:] != more[order][:-1])
                 keep = np.sort(order[lead])
                 group, place = _covered(window, n[long][keep])
-                group, h, twice = _once(group, w.windows(w.first[long[keep]][group] + place, length))
-                yield _rows(np.concatenate([h, whole]), np.concatenate([own[keep][group], own]), np.concatenate([twice, more]))
+                h = w.windows(w.first[long[keep]][group] + place, length)
+                yield _met(np.concatenate([h, whole]), np.concatenate([np.zeros(len(h), np.uint64), more]), np.concatenate([own[keep][group], own]))
 
     return run
 
 
 def _extended(window: int):
-    """Each document's distinct windows around the anchors that are known to repeat; pos as for anchors."""
+    """Each text's distinct windows around the anchors that are known to repeat."""
     back = _period(window) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, _ = _ids(batch)
-            known, alone = batch.column("anchors"), batch.column("copy").fill_null(0).to_numpy(zero_copy_only=False) != 1
-            work = np.flatnonzero(alone & (pa.compute.fill_null(pa.compute.list_value_length(known), 0).to_numpy(zero_copy_only=False) > 0))
+            work = np.flatnonzero(pa.compute.fill_null(pa.compute.list_value_length(batch.column("anchors")), 0).to_numpy(zero_copy_only=False) > 0)
             if not len(work):
                 continue
-            known, texts = known.take(pa.array(work)), batch.column("text").take(pa.array(work))
-            for a, b, w in sliced_words(texts):
-                n, held, own = np.diff(w.first), [], []
+            part = batch.take(pa.array(work))
+            known, others, keys = part.column("anchors"), part.column("others"), part.column("key").to_numpy(zero_copy_only=False)
+            for a, b, w in sliced_words(part.column("text")):
+                n, at, own, whole = np.diff(w.first), [], [], _wholes(w)
                 group, place = _covered(window, n)
                 h = w.windows(w.first[group] + place, window - back)
                 edges = np.searchsorted(group, np.arange(b - a + 1))
                 for k in np.flatnonzero(n >= window).tolist():
+                    if whole[k] in _hashes(others, a + k):
+                        continue
                     p = place[edges[k] : edges[k + 1]][np.isin(h[edges[k] : edges[k + 1]], _hashes(known, a + k))]
                     last = n[k] - window
                     edge = np.zeros(last + 2, np.int32)
@@ -117,12 +123,11 @@ def _extended(window: int):
                     np.add.at(edge, np.maximum(p - back, 0), 1)
                     np.add.at(edge, np.minimum(p, last) + 1, -1)
                     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-                    held.append(starts)
-                    own.append(np.full(len(starts), k))
-                if held:
-                    doc = np.concatenate(own)
-                    doc, h, twice = _once(doc, w.windows(w.first[doc] + np.concatenate(held), window, 3))
-                    yield _rows(h, ids[work[a:b]][doc], twice)
+                    at.append(w.first[k] + starts)
+                    own.append(np.full(len(starts), keys[a + k]))
+                if at:
+                    begin = np.concatenate(at)
+                    yield _met(w.windows(begin, window), w.windows(begin, window, 1), np.concatenate(own))
 
     return run
 
@@ -131,25 +136,27 @@ def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            held, known, copies = data.tobytes(), batch.column("windows"), batch.column("copy").is_valid().to_numpy(zero_copy_only=False)
-            some = known.is_valid().to_numpy(zero_copy_only=False)
+            held, known, equal = data.tobytes(), batch.column("windows"), batch.column("equal")
+            some = pa.compute.or_(pa.compute.fill_null(pa.compute.list_value_length(equal), 0).cast(pa.bool_()), known.is_valid()).to_numpy(zero_copy_only=False)
             words, removed, texts = [], [], []
             for a, b in slices(offsets):
                 w = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) if some[a:b].any() else None
+                whole = _wholes(w) if w else None
                 for k in range(a, b):
                     own = held[offsets[k] : offsets[k + 1]].split()
                     n, gone = len(own), 0
-                    if copies[k] and n >= window:
-                        own, gone = [], n
-                    elif some[k] and n >= window:
+                    if some[k] and n >= window:
                         first = w.first[k - a]
-                        s = np.flatnonzero(np.isin(w.windows(np.arange(first, first + n - window + 1), window, 3), _hashes(known, k)))
-                        edge = np.zeros(n + 1, np.int32)
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + window, -1)
-                        stays = np.cumsum(edge[:-1]) == 0
-                        gone = int(n - stays.sum())
-                        own = [x for x, y in zip(own, stays.tolist(), strict=True) if y]
+                        if whole[k - a] in _hashes(equal, k):
+                            own, gone = [], n
+                        else:
+                            s = np.flatnonzero(np.isin(w.windows(np.arange(first, first + n - window + 1), window), _hashes(known, k)))
+                            edge = np.zeros(n + 1, np.int32)
+                            np.add.at(edge, s, 1)
+                            np.add.at(edge, s + window, -1)
+                            stays = np.cumsum(edge[:-1]) == 0
+                            gone = int(n - stays.sum())
+                            own = [x for x, y in zip(own, stays.tolist(), strict=True) if y]
                     words.append(n)
                     removed.append(gone)
                     texts.append(b" ".join(own))
@@ -158,6 +165,12 @@ def _kept(window: int):
     return run
 
 
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """rows with the keys beside them that have the same hash."""
+    order = Window.partitionBy("h", "more", "part").orderBy("key")
+    return rows.select("*", F.lag("key").over(order).alias("before"), F.lead("key").over(order).alias("after"))
+
+
 def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Texts without the words that lie in a repeated window of words.
 
@@ -166,32 +179,23 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     anywhere else in the corpus, in the same document too.
 
     Any two places of a repeated window have a common shift at which both lie on the difference cover, so every repeat shares an
-    anchor hash (window - period + 1 words) there. Anchors that occur once go; around the others all windows are hashed and
-    met in turn. A document sends each hash once, however often it has it. Both meetings look at neighbours in sorted order and
-    hold no group. Texts of equal words are met in the first one too: one of them stands for all, as all their windows repeat.
+    anchor hash (window - period + 1 words) there. Anchors that occur once go; around the others all windows are met in turn, by
+    two independent 64-bit hashes. Both meetings look at neighbours in sorted order and hold no group; what repeats within one
+    slice of texts is settled there and sends one row for all, so that a passage of very many texts doesn't gather in one task. Texts of equal words
+    are met in the first one too, by two independent hashes of the whole: one of them stands for all, as all their windows repeat.
 
-    Null or empty text: no words. A row whose doc_id is null is left whole, but counts as a place of its windows. Equal rows are
-    copies of each other. Rows of one doc_id with different texts share their repeated positions. No rows: no rows.
+    Null or empty text: no words. A null doc_id is a row like any other. Equal rows are copies of each other. Rows of one doc_id
+    with different texts are each judged by their own words. Very long texts: hashed alone, one at a time. No rows: no rows.
     """
-    docs = docs.select("doc_id", "text")
-    order = Window.partitionBy("h").orderBy("pos", "doc_id")
-    before, after = F.lag("pos").over(order), F.lead("pos").over(order)
-    found = docs.mapInArrow(_anchors(window), _ROWS).select("*", before.alias("before"), after.alias("after"))
-    copy = F.col("before").eqNullSafe(F.col("pos")) | F.col("after").eqNullSafe(F.col("pos"))
-    again = (F.col("pos") == 1) | F.coalesce(F.col("before") >= 0, F.lit(False)) | F.col("after").isNotNull()
-    flagged = found.where(F.when(F.col("pos") < 0, copy).otherwise(again))
-    first = ~F.col("before").eqNullSafe(F.col("pos"))
-    places = written(
-        flagged.groupBy("doc_id").agg(
-            F.collect_list(F.when(F.col("pos") >= 0, F.col("h"))).alias("anchors"),
-            # 0: the first of equal texts, 1: another of them, null: alone
-            F.min(F.when(F.col("pos") < 0, F.when(first, 0).otherwise(1))).alias("copy"),
-        ),
-        "anchors",
-    )
-    extended = docs.join(places, "doc_id", "left").mapInArrow(_extended(window), _ROWS)
-    near = Window.partitionBy("h").orderBy("doc_id", "pos")
-    repeated = extended.select("h", "doc_id", "pos", F.lag("pos").over(near).alias("before"), F.lead("pos").over(near).alias("after"))
-    repeated = repeated.where((F.col("pos") == 1) | F.col("before").isNotNull() | F.col("after").isNotNull()).groupBy("doc_id").agg(F.collect_list("h").alias("windows"))
-    every = docs.join(places.select("doc_id", "copy"), "doc_id", "left").join(repeated, "doc_id", "left")
-    return every.mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
+    docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"))
+    found = _neighbours(docs.mapInArrow(_anchors(window), _ROWS))
+    again = F.col("twice") | F.col("before").isNotNull() | F.col("after").isNotNull()
+    first = (F.col("part") == 0) & F.col("before").isNull()
+    whole = F.col("more") != 0
+    of = lambda kind: F.collect_list(F.when(kind, F.col("h")))
+    places = found.where(again).groupBy("key").agg(of(~whole).alias("anchors"), of(whole).alias("equal"), of(whole & first).alias("firsts"))
+    places = written(places.select("key", "anchors", "equal", F.array_except("equal", "firsts").alias("others")), "anchors")
+    extended = _neighbours(docs.join(places.drop("equal"), "key", "left").select("key", "text", "anchors", "others").mapInArrow(_extended(window), _ROWS))
+    repeated = extended.where(again).groupBy("key").agg(F.collect_list("h").alias("windows"))
+    every = docs.join(places.select("key", "equal"), "key", "left").join(repeated, "key", "left")
+    return every.select("doc_id", "text", "equal", "windows").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")

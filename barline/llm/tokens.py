@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm._text import _powers, slices, text_bytes
+from barline.llm._text import slices, text_bytes
 
 #: Fixed value: the pattern that splits text before merging, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -83,10 +83,21 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """base^k and base^-k modulo 2^64 for k below size; they only place cuts, chunks are named by XXH3-128."""
+    both = []
+    for base in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)):
+        out = np.full(size, base, np.uint64)
+        out[0] = 1
+        both.append(np.cumprod(out))
+    return both[0], both[1]
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """For each document its chunks' bounds, relative to its own start, both ends included; none for an empty one."""
     n = len(data)
-    up, down = _powers("byte", n + 1)
+    up, down = _powers(1 << max(16, n.bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     rolled = (sums[SPAN:] - sums[:-SPAN]) * down[: max(0, n + 1 - SPAN)]

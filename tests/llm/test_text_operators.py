@@ -7,11 +7,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
 from barline.llm import chat, decontamination, fingerprints, html_text, languages, licenses, near_dups, secrets, substrings, tokens
+from barline.llm._text import sliced_words
 from barline.llm.graph import components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,7 +61,7 @@ def test_substrings(spark):
     for i, t in rows:
         w, gone = words(t), set()
         for k in range(len(w) - 34):
-            if count[tuple(w[k : k + 35])] > 1 and i is not None:
+            if count[tuple(w[k : k + 35])] > 1:
                 gone |= set(range(k, k + 35))
         want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
     got = substrings.drop_repeats(frame(spark, rows)).collect()
@@ -77,6 +79,55 @@ def test_substrings_of_other_windows(spark, window):
         assert got[i] == len({j for k in range(len(w) - window + 1) if count[tuple(w[k : k + window])] > 1 for j in range(k, k + window)})
 
 
+def thue_morse(k, x, y):
+    """Two sequences of 2^k that no polynomial modulo 2^64 tells apart from k = 11 on."""
+    flips = [bin(i).count("1") % 2 for i in range(2**k)]
+    return [(x, y)[f] for f in flips], [(y, x)[f] for f in flips]
+
+
+def test_no_structured_collisions(spark):
+    one, two = ("".join(x) for x in thue_morse(12, "a", "b"))
+    rest = prose(random.Random(3), 34)
+    p, q = (" ".join(x) for x in thue_morse(12, "left", "right"))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two), (5, p), (6, q)]
+    count = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [words(t)] for i in range(len(w) - 34))
+    for r in substrings.drop_repeats(frame(spark, rows)).collect():
+        w = words(dict(rows)[r.doc_id])
+        assert r.n_removed == len({j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(frame(spark, rows)).collect()}
+    assert got[1][1] == 1 and got[3] == (1, 3) and got[4] == (1, 4)
+    for i, t in rows:
+        assert got[i][0] == len(shingles(t))
+    near = len(shingles(p) & shingles(q)) * 100 >= 75 * len(shingles(p) | shingles(q))
+    assert (got[5][1] == got[6][1]) == near
+
+
+def test_lanes_are_hashes_of_words():
+    texts = ["a bb ccc dddddddd eeeeeeeeeeeeeeee fffffffffffffffff a bb", "", "a", "bb a ccc"]
+    (_, _, w), *_ = sliced_words(pa.array(texts))
+    every = [x for t in texts for x in words(t)]
+    for lane in (0, 1):
+        h = w.hashes(lane).tolist()
+        assert len(set(h)) == len(set(every)) and all((x == y) == (every[i] == every[j]) for i, x in enumerate(h) for j, y in enumerate(h))
+        for n in (1, 2, 3, 5, 7):
+            at = np.arange(len(every) - n + 1)
+            got, want = w.windows(at, n, lane).tolist(), [tuple(every[i : i + n]) for i in at]
+            assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+    assert not set(w.hashes(0)) & set(w.hashes(1))
+    assert len(set(w.sequences(np.array([0, 2, 3])).tolist())) == 3
+
+
+def test_passages_of_rows_without_id_and_of_repeated_ids(spark):
+    rng = random.Random(9)
+    passage, own = prose(rng, 60), [prose(rng, 40) for _ in range(8)]
+    rows = [(None, f"{own[0]} {passage}"), (1, f"{passage} {own[1]}"), (2, own[2]), (3, own[2]), (3, own[3]), (4, f"{own[4]} {own[5]}"), (4, f"{own[4]} {own[5]}"), (5, f"{own[5]} {own[6]}"), (None, None), (6, own[7] * 3)]
+    count = Counter(tuple(w[i : i + 35]) for _, t in rows for w in [words(t)] for i in range(len(w) - 34))
+    want = Counter((i, len({j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(k, k + 35)})) for i, t in rows for w in [words(t)])
+    for parts in (1, 10):
+        got = substrings.drop_repeats(frame(spark, rows).repartition(parts)).collect()
+        assert Counter((r.doc_id, r.n_removed) for r in got) == want
+
+
 def test_covers():
     for period, cover in substrings.COVERS.items():
         for a in range(period):
@@ -120,7 +171,7 @@ def test_estimate(spark):
     y = np.where(rng.random(n) < 0.8, x, rng.integers(0, 4, n))
     pack = lambda v: [int(np.bitwise_or.reduce(v[k : k + 32].astype(np.uint64) << (np.arange(32, dtype=np.uint64) * np.uint64(2))).astype(np.int64)) for k in range(0, n, 32)]
     df = spark.createDataFrame([(pack(x), pack(y))], "x array<long>, y array<long>")
-    got = df.select(near_dups.estimate(F.col("x"), F.col("y"), 5)).first()[0]
+    got = df.select(near_dups.estimate(*([F.col(c)[k] for k in range(5)] for c in "xy"))).first()[0]
     assert got == pytest.approx(((x == y).mean() - 0.25) / 0.75)
 
 
