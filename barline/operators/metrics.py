@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.expr import ratio
 
+
 def closed():
     """Trades that ended at their stop or target."""
     return F.col("outcome").isin("win", "loss", "trail_win")
@@ -82,3 +83,27 @@ def trade_stats(trades: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataF
         F.round(F.avg(r), 4).alias("avg_r"),
         F.round(F.sum(r), 4).alias("total_r"),
     )
+
+
+def by_mode(trades: DataFrame) -> DataFrame:
+    """Metrics in risk units of each mode of `trades.modes`, with the mean probability of winners and of losers."""
+    r, p = F.when(closed(), F.col("r_multiple")), F.col("ml_prob")
+    gain, lost = F.sum(F.when(F.col("outcome") == "win", F.col("r_multiple"))), F.abs(F.sum(F.when(F.col("outcome") == "loss", F.col("r_multiple"))))
+    return trades.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("trades"),
+        F.count_if(closed()).alias("closed"),
+        F.count_if(F.col("outcome") == "open").alias("open"),
+        F.round(100 * ratio(F.count_if(won()).cast("double"), F.count_if(closed()).cast("double")), 2).alias("win_rate"),
+        F.round(ratio(gain, lost), 3).alias("profit_factor"),
+        F.round(F.avg(r), 4).alias("avg_r"),
+        F.round(F.sum(r), 4).alias("total_r"),
+        F.round(F.avg(F.when(won(), p)), 4).alias("mean_prob_won"),
+        F.round(F.avg(F.when(F.col("outcome") == "loss", p)), 4).alias("mean_prob_lost"),
+    )
+
+
+def text_report(table: DataFrame, title: str) -> str:
+    """A small table (a row for each symbol, mode or fold) as aligned text; the only place that formats on the driver."""
+    rows = [table.columns, *([("-" if v is None else str(v)) for v in r] for r in table.collect())]
+    widths = [max(len(r[k]) for r in rows) for k in range(len(table.columns))]
+    return "\n".join([title, *("  ".join(v.rjust(w) for v, w in zip(r, widths, strict=True)) for r in rows)])

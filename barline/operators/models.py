@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barline.functions.expr import ratio
+from barline.sources.shared import written
+
 #: What is known when a zone forms; freshness is not, as it comes from later tests.
 POINT_IN_TIME = (
     "width_atr base_length base_wick_frac base_volume_ratio departure_body_atr departure_close_ratio leg_out_clear_atr leg_out_disp_atr leg_out_candles "
@@ -27,48 +30,86 @@ def folds(rows: DataFrame, order: list[str], splits: int = 5) -> DataFrame:
     return numbered.withColumn("fold", F.greatest(F.floor((F.col("rank") - 1 - (n - splits * size)) / size) + 1, F.lit(0)).cast("int")).drop("rank")
 
 
-def pipeline(columns: list[str], kind: str = "gbt") -> Pipeline:
-    """Median imputation inside the training rows, assembly, and a weighted classifier: gbt, forest or logistic (standardised)."""
+def pipeline(columns: list[str], kind: str = "gbt", missing: float | None = None) -> Pipeline:
+    """Median imputation inside the training rows (or a constant for missing values), assembly, and a weighted classifier: gbt, forest
+    (any number of classes) or logistic (standardised).
+    """
     filled = [f"{c}__f" for c in columns]
-    stages = [Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="raw", handleInvalid="keep")]
+    fill = [Imputer(strategy="median", inputCols=columns, outputCols=filled)] if missing is None else []
+    stages = [*fill, VectorAssembler(inputCols=columns if missing is not None else filled, outputCol="raw", handleInvalid="keep")]
     common = {"labelCol": "label", "weightCol": "weight", "featuresCol": "raw"}
     if kind == "logistic":
         stages.append(StandardScaler(inputCol="raw", outputCol="scaled", withMean=True))
         stages.append(LogisticRegression(**common | {"featuresCol": "scaled"}, maxIter=50, regParam=0.01))
     elif kind == "forest":
-        stages.append(RandomForestClassifier(**common, numTrees=100, maxDepth=8, featureSubsetStrategy="sqrt", minInstancesPerNode=5, seed=42))
+        stages.append(RandomForestClassifier(**common, numTrees=60, maxDepth=8, featureSubsetStrategy="sqrt", minInstancesPerNode=5, seed=42))
     else:
         stages.append(GBTClassifier(**common, maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42))
     return Pipeline(stages=stages)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    """A fitted model in Spark ML's own format, in a folder that all executors share."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def weighted(rows: DataFrame) -> DataFrame:
-    """Adds weight: negatives over positives for a positive row, else 1."""
-    one = rows.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
-    return rows.withColumn("weight", F.when(F.col("label") == 1, F.lit(max(one.q, 1) / max(one.p, 1))).otherwise(1.0))
+    """Adds weight: rows of all other classes over those of a row's class, at 1 for the most frequent one (label 0 against 1: 1 and negatives over positives)."""
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))  # a row for each class
+    most = counts.agg(F.max("_n")).scalar()
+    return rows.join(F.broadcast(counts.withColumn("weight", most / F.col("_n")).drop("_n")), "label")
 
 
-def walk_forward(rows: DataFrame, columns: list[str], order: list[str], kind: str = "logistic", splits: int = 5, least: int = 5) -> DataFrame:
-    """Out-of-sample rows with p and fold. Folds whose training rows lack `least` of either class are skipped. The loop is over folds, each
-    fit and prediction is a distributed job.
+def walk_forward(rows: DataFrame, columns: list[str], order: list[str], kind: str = "logistic", splits: int = 5, least: int = 5, train_too: bool = False, missing: float | None = None) -> DataFrame:
+    """Out-of-sample rows with p (of class 1), all class probabilities and fold; with train_too those of each fold's training rows as well, told apart by part
+    (`train`, `test`). Folds whose training rows lack `least` rows of either of the two most frequent classes are skipped. The loop is over folds, each fit
+    and prediction is a distributed job.
     """
-    placed = folds(rows, order, splits).persist()
+    placed = written(folds(rows, order, splits), "folds")
     out = None
     for k in range(1, splits + 1):
         train, test = placed.where(F.col("fold") < k), placed.where(F.col("fold") == k)
-        seen = train.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("q")).first()
-        if min(seen.p, seen.q) < least:
+        seen = sorted((x["count"] for x in train.groupBy("label").count().collect()), reverse=True)  # a row for each class
+        if len(seen) < 2 or seen[1] < least:
             continue
-        model = pipeline(columns, kind).fit(weighted(train))
-        scored = model.transform(test.withColumn("weight", F.lit(1.0))).withColumn("p", vector_to_array("probability")[1]).select(*rows.columns, "fold", "p")
-        out = scored if out is None else out.unionByName(scored)
-    return out if out is not None else placed.where("false").withColumn("p", F.lit(0.0))
+        model = pipeline(columns, kind, missing).fit(weighted(train))
+        probs = vector_to_array("probability")
+        for part, given in (("train", train), ("test", test))[0 if train_too else 1 :]:
+            scored = model.transform(given).select(*rows.columns, F.lit(k).alias("fold"), F.lit(part).alias("part"), F.get(probs, F.lit(1)).alias("p"), probs.alias("probabilities"), F.col("prediction").cast("int").alias("predicted"))
+            out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        out = placed.where("false").withColumns({"part": F.lit("test"), "p": F.lit(0.0), "probabilities": F.array(F.lit(0.0)), "predicted": F.lit(0)})
+    return out if train_too else out.drop("part")
+
+
+def class_report(scored: DataFrame) -> DataFrame:
+    """Support, precision, recall and F1 of each class over all out-of-sample rows, with their plain (`macro`) and supported (`weighted`) means."""
+    pairs = scored.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    d = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    own = pairs.groupBy("label").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n"))).alias("hit"))
+    named = pairs.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("named"))
+    each = own.join(named, "label", "left")
+    each = each.withColumns({"precision": ratio(d(F.col("hit")), d(F.col("named"))), "recall": ratio(d(F.col("hit")), d(F.col("support"))), "f1": ratio(2 * d(F.col("hit")), d(F.col("named")) + d(F.col("support")))})
+    shown = each.select(F.col("label").cast("string").alias("class"), "support", *(F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("precision", "recall", "f1")))
+    total = F.sum("support").cast("long").alias("support")
+    macro = shown.agg(total, *(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f1"))).select(F.lit("macro").alias("class"), "*")
+    mean = shown.agg(total, *(F.round(ratio(F.sum(F.col(c) * F.col("support")), F.sum("support").cast("double")), 4).alias(c) for c in ("precision", "recall", "f1"))).select(F.lit("weighted").alias("class"), "*")
+    return shown.unionByName(macro).unionByName(mean)
+
+
+def importances(model: PipelineModel, columns: list[str], spark: SparkSession, top: int = 15) -> DataFrame:
+    """The `top` columns that a fitted tree model weighs most: feature, importance, place; ties by name."""
+    found = model.stages[-1].featureImportances.toArray().tolist()
+    rows = spark.createDataFrame(list(zip(columns, found, strict=True)), "feature string, importance double")  # a row for each column of the model
+    return rows.orderBy(F.desc("importance"), "feature").limit(top).withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
 
 
 def report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Confusion counts, precision, recall and F1 at a threshold by fold, and the exact ROC-AUC by ranks."""
-    from barline.functions.expr import ratio
-
     tp, fp = F.count_if((F.col("p") >= threshold) & (F.col("label") == 1)), F.count_if((F.col("p") >= threshold) & (F.col("label") == 0))
     pos, n = F.count_if(F.col("label") == 1), F.count(F.lit(1))
     by = Window.partitionBy("fold").orderBy("p")
@@ -80,12 +121,21 @@ def report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     return ranked.groupBy("fold").agg(n.alias("rows"), pos.alias("positives"), F.round(ratio(d(tp), d(tp + fp)), 4).alias("precision"), F.round(ratio(d(tp), d(pos)), 4).alias("recall"), F.round(ratio(2.0 * d(tp), d(tp + fp + pos)), 4).alias("f1"), F.round(auc, 4).alias("auc"))
 
 
-def tuned_threshold(rows: DataFrame, r: str = "r_multiple", keep: float = 0.4, steps: int = 31) -> DataFrame:
-    """By fold the lowest threshold with the largest sum of r, of 31 quantiles of p up to 0.9, that keeps 40 % of the rows."""
+def tuned_threshold(scored: DataFrame, r: str = "r_multiple", keep: float = 0.4, steps: int = 31) -> DataFrame:
+    """By fold the threshold that its training rows choose, and what it does to the test rows (scored: of walk_forward with train_too).
+
+    Of 31 quantiles of the training rows' p up to 0.9 the one with the largest sum of r among those that keep 40 % of the training rows; the
+    lowest on ties. No test row has a say in it.
+    """
     quantiles = ", ".join(str(round(0.9 * i / (steps - 1), 6)) for i in range(steps))
-    levels = rows.groupBy("fold").agg(F.expr(f"percentile(p, array({quantiles}))").alias("ts"), F.count(F.lit(1)).alias("n")).select("fold", "n", F.explode(F.array_distinct("ts")).alias("threshold"))
-    kept = rows.join(levels, "fold").where(F.col("p") >= F.col("threshold")).groupBy("fold", "threshold", "n").agg(F.count(F.lit(1)).alias("kept"), F.sum(r).alias("gain"))
-    return kept.where(F.col("kept") >= keep * F.col("n")).groupBy("fold").agg(F.max_by(F.struct("threshold", "kept", "gain"), F.struct(F.round("gain", 9), -F.col("threshold"))).alias("b")).select("fold", F.round("b.threshold", 6).alias("threshold"), "b.kept", F.round("b.gain", 4).alias("total_r"))
+    train, test = scored.where("part = 'train'"), scored.where("part = 'test'")
+    levels = train.groupBy("fold").agg(F.expr(f"percentile(p, array({quantiles}))").alias("ts"), F.count(F.lit(1)).alias("n")).select("fold", "n", F.explode(F.array_distinct("ts")).alias("threshold"))
+    kept = train.join(levels, "fold").where(F.col("p") >= F.col("threshold")).groupBy("fold", "threshold", "n").agg(F.count(F.lit(1)).alias("kept"), F.sum(r).alias("gain"))
+    best = kept.where(F.col("kept") >= keep * F.col("n")).groupBy("fold").agg(F.max_by("threshold", F.struct(F.round("gain", 9), -F.col("threshold"))).alias("threshold"))
+    taken = F.col("p") >= F.col("threshold")
+    return test.join(best, "fold").groupBy("fold", "threshold").agg(
+        F.count(F.lit(1)).alias("trades"), F.count_if(taken).alias("kept"), F.round(F.sum(r), 4).alias("all_r"), F.round(F.coalesce(F.sum(F.when(taken, F.col(r))), F.lit(0.0)), 4).alias("kept_r")
+    ).withColumn("threshold", F.round("threshold", 6))
 
 
 def outcome_rows(trades: DataFrame, zones: DataFrame) -> DataFrame:
@@ -99,9 +149,48 @@ def outcome_rows(trades: DataFrame, zones: DataFrame) -> DataFrame:
 OUTCOME_FEATURES = [*POINT_IN_TIME, "is_demand", "struct_DBR", "struct_RBD", "struct_RBR", "struct_DBD"]
 
 
-def shuffled(rows: DataFrame, column: str = "label", seed: int = 7) -> DataFrame:
-    """rows with one column permuted within each symbol, by a hash's order: a control that must not be learnable."""
-    to = Window.partitionBy("symbol").orderBy("entry_ts", "zone_id")
-    by = Window.partitionBy("symbol").orderBy(F.xxhash64("zone_id", F.lit(seed)), "zone_id")
-    taken = rows.select("symbol", F.col(column).alias("_taken"), F.row_number().over(by).alias("_k"))
-    return rows.withColumn("_k", F.row_number().over(to)).join(taken, ["symbol", "_k"]).withColumn(column, F.col("_taken")).drop("_k", "_taken")
+def shuffled(rows: DataFrame, keys: list[str], r: str = "r_multiple", seed: int = 7) -> DataFrame:
+    """rows with their labels permuted over the whole table, by a hash's order, and r turned to the label's sign: a control that must not be
+    learnable once a model is fitted and tested on it again.
+    """
+    from barline.plans.ranks import ranked
+
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", *keys, F.lit(seed)).cast("binary")))
+    to, _ = ranked(hashed, keys)
+    by, _ = ranked(hashed.select("label", "_h", *keys), ["_h", *keys])
+    out = to.drop("label", "_h").join(by.select("label", "rank"), "rank").drop("rank")
+    return out.withColumn(r, F.abs(r) * F.when(F.col("label") == 1, 1.0).otherwise(-1.0))
+
+
+#: Classes of a bar: the structure of the zone that forms on it, or none; and what a model sees of it.
+CLASSES = ["no_zone", "DBR", "RBD", "RBR", "DBD"]
+STRUCTURE_FEATURES = [
+    *(f"ema{n}_dist" for n in (20, 50, 200)), "nearest_demand_dist_pct", "nearest_supply_dist_pct", "active_demand_count", "active_supply_count", "price_in_demand_zone", "price_in_supply_zone", "zone_confluence",
+    "volume_ratio", "body_to_atr", "range_to_atr", "rolling_volatility", "is_bullish",
+]
+
+
+def structure_rows(labelled: DataFrame) -> DataFrame:
+    """Bars with their context (`labels.label`) as rows of five classes: symbol, ts, label (the class's number) and features; a distance that no
+    zone gives is 999.
+    """
+    far = {f"ema{n}_dist": ratio(F.col("close") - F.col(f"ema{n}"), F.col("atr")) for n in (20, 50, 200)}
+    given = {c: F.coalesce(c, F.lit(999.0)) for c in ("nearest_demand_dist_pct", "nearest_supply_dist_pct")}
+    named = F.coalesce("zone_formed_structure", F.lit(CLASSES[0]))
+    rows = labelled.where("atr is not null").withColumns(far | given).withColumn("label", (F.array_position(F.array(*(F.lit(c) for c in CLASSES)), named) - 1).cast("int"))
+    return rows.select("symbol", "ts", "label", *(F.col(c).cast("double").alias(c) for c in STRUCTURE_FEATURES))
+
+
+def score_zones(zones: DataFrame, scored: DataFrame) -> DataFrame:
+    """Adds ml_prob, 1 less the probability of no zone on the zone's formation bar (null where no bar is scored), and ml_rank: descending,
+    ties in order of zone_id, null without a probability.
+    """
+    probs = scored.select("symbol", F.col("ts").alias("formation_ts"), (1 - F.get("probabilities", F.lit(0))).alias("ml_prob"))
+    out = zones.join(probs.dropDuplicates(["symbol", "formation_ts"]), ["symbol", "formation_ts"], "left")
+    return ranks(out)
+
+
+def ranks(zones: DataFrame) -> DataFrame:
+    """Adds ml_rank within the symbol by falling ml_prob."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc_nulls_last("ml_prob"), "zone_id"))
+    return zones.withColumn("ml_rank", F.when(F.col("ml_prob").isNotNull(), place))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.expr import ratio
+from barline.operators import trades
 from barline.operators.indicators import by_ts, exponential, last
+from barline.operators.zones import BLOCK, in_blocks, met_bars
 
 
 def swings(bars: DataFrame, n: int = 3) -> DataFrame:
@@ -41,23 +43,39 @@ def volume_profile(bars: DataFrame, width: float = 50.0) -> DataFrame:
     return bins.join(best, "symbol").select("symbol", "bin", "volume", (F.col("bin") == F.col("best")).alias("poc"))
 
 
+#: The patterns by name, as conditions over a bar (o, h, l, c, its body, span, upper and lower wick: up, down), the one before (o1, ...)
+#: and the one before that (o2, ...). A long body takes half of its range at least, a small one three tenths of the first bar's body at most.
+PATTERNS = {
+    "hammer": "span > 0 and down >= 2 * body and up <= 0.3 * body and body > 0",
+    "inverted_hammer": "span > 0 and up >= 2 * body and down <= 0.3 * body and body > 0 and c1 < o1",
+    "shooting_star": "span > 0 and up >= 2 * body and down <= 0.3 * body and body > 0",
+    "doji": "span > 0 and body <= 0.1 * span",
+    "dragonfly_doji": "span > 0 and body <= 0.1 * span and up <= 0.1 * span and down >= 0.6 * span",
+    "gravestone_doji": "span > 0 and body <= 0.1 * span and down <= 0.1 * span and up >= 0.6 * span",
+    "spinning_top": "span > 0 and body > 0.1 * span and body <= 0.3 * span and up >= 0.2 * span and down >= 0.2 * span",
+    "inside_bar": "h < h1 and l > l1",
+    "outside_bar": "h > h1 and l < l1",
+    "bullish_engulfing": "c1 < o1 and c > o and o <= c1 and c >= o1",
+    "bearish_engulfing": "c1 > o1 and c < o and o >= c1 and c <= o1",
+    "bullish_harami": "c1 < o1 and c > o and o > c1 and c < o1 and body <= 0.5 * body1 and body1 >= 0.5 * span1",
+    "bearish_harami": "c1 > o1 and c < o and o < c1 and c > o1 and body <= 0.5 * body1 and body1 >= 0.5 * span1",
+    "piercing_line": "c1 < o1 and body1 >= 0.5 * span1 and c > o and o < l1 and c > (o1 + c1) / 2 and c < o1",
+    "dark_cloud_cover": "c1 > o1 and body1 >= 0.5 * span1 and c < o and o > h1 and c < (o1 + c1) / 2 and c > o1",
+    "morning_star": "c2 < o2 and body2 >= 0.5 * span2 and body1 <= 0.3 * body2 and c > o and c > (o2 + c2) / 2",
+    "evening_star": "c2 > o2 and body2 >= 0.5 * span2 and body1 <= 0.3 * body2 and c < o and c < (o2 + c2) / 2",
+    "three_white_soldiers": "c2 > o2 and c1 > o1 and c > o and o1 >= o2 and o1 <= c2 and o >= o1 and o <= c1 and c1 > c2 and c > c1 and up <= 0.3 * body",
+    "three_black_crows": "c2 < o2 and c1 < o1 and c < o and o1 <= o2 and o1 >= c2 and o <= o1 and o >= c1 and c1 < c2 and c < c1 and down <= 0.3 * body",
+}
+
+
 def candle_patterns(bars: DataFrame) -> DataFrame:
-    """Bars of a hammer, a shooting star, a doji, an inside or outside bar, or a bullish or bearish engulfing one; flags 0 or 1."""
-    o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    po, ph, pl, pc = (F.lag(x).over(by_ts()) for x in ("open", "high", "low", "close"))
-    body, span = F.abs(c - o), h - low
-    up, down = h - F.greatest(o, c), F.least(o, c) - low
-    rules = {
-        "hammer": (span > 0) & (down >= 2 * body) & (up <= 0.3 * body) & (body > 0),
-        "shooting_star": (span > 0) & (up >= 2 * body) & (down <= 0.3 * body) & (body > 0),
-        "doji": (span > 0) & (body <= 0.1 * span),
-        "inside_bar": (h < ph) & (low > pl),
-        "outside_bar": (h > ph) & (low < pl),
-        "bullish_engulfing": (pc < po) & (c > o) & (o <= pc) & (c >= po),
-        "bearish_engulfing": (pc > po) & (c < o) & (o >= pc) & (c <= po),
-    }
-    flags = {n: F.coalesce(x, F.lit(False)).cast("int") for n, x in rules.items()}
-    return bars.select("symbol", "ts", *(x.alias(n) for n, x in flags.items())).where(" + ".join(rules) + " > 0")
+    """Bars of one of the PATTERNS at least, a flag (0 or 1) for each; a pattern of several bars is flagged on its last one."""
+    b = bars.select("symbol", "ts", *(F.col(x).alias(x[0]) for x in ("open", "high", "low", "close")))
+    b = b.withColumns({f"{x}{k}": F.lag(x, k).over(by_ts()) for k in (1, 2) for x in "ohlc"})
+    b = b.withColumns({f"body{k}": F.abs(F.col(f"c{k}") - F.col(f"o{k}")) for k in ("", 1, 2)} | {f"span{k}": F.col(f"h{k}") - F.col(f"l{k}") for k in ("", 1, 2)})
+    b = b.withColumns({"up": F.col("h") - F.greatest("o", "c"), "down": F.least("o", "c") - F.col("l")})
+    flags = {n: F.coalesce(F.expr(x), F.lit(False)).cast("int") for n, x in PATTERNS.items()}
+    return b.select("symbol", "ts", *(x.alias(n) for n, x in flags.items())).where(" + ".join(PATTERNS) + " > 0")
 
 
 def oscillators(bars: DataFrame) -> DataFrame:
@@ -96,6 +114,33 @@ def movement_labels(bars: DataFrame, ahead: int = 10, r: float = 1.0) -> DataFra
     return rows.select("symbol", "ts", label.alias("movement"))
 
 
+def zone_reactions(zones: DataFrame, bars: DataFrame, n: int = 15, r: float = 1.5, w: float = 0.5, m: int = 5) -> DataFrame:
+    """What price does at a zone: symbol, zone_id, type, entered_ts, reaction.
+
+    From the first bar after formation that overlaps the zone, in its ATR: `reversal` if price moves r ATRs away from the near line within
+    n bars before it closes w ATRs beyond the far line; else, once it closes so far beyond, `false_breakout` if within m bars it closes inside again
+    and moves r ATRs away, `breakout` if not; `consolidation` if neither happens within n bars. Zones without n + m bars after that bar are left out.
+    """
+    z = zones.select("symbol", "zone_id", "type", "top", "bottom", "formation_idx")
+    near = met_bars(zones, bars).where((F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom")) & (F.col("atr") > 0))
+    first = near.groupBy("symbol", "zone_id").agg(F.min_by(F.struct("at", "bar_ts", "atr"), "at").alias("e")).select("symbol", "zone_id", F.col("e.at").alias("enter"), F.col("e.bar_ts").alias("entered_ts"), F.col("e.atr").alias("unit"))
+    last = F.floor((F.col("enter") + n + m) / BLOCK)
+    ahead = z.join(first, ["symbol", "zone_id"]).withColumn("block", F.explode(F.sequence(F.floor(F.col("enter") / BLOCK), last))).join(in_blocks(bars), ["symbol", "block"]).withColumn("k", F.col("at") - F.col("enter")).where(F.col("k").between(0, n + m))
+    long = F.col("type") == "demand"
+    away = F.when(long, F.col("high") >= F.col("top") + r * F.col("unit")).otherwise(F.col("low") <= F.col("bottom") - r * F.col("unit"))
+    beyond = F.when(long, F.col("close") < F.col("bottom") - w * F.col("unit")).otherwise(F.col("close") > F.col("top") + w * F.col("unit"))
+    back = F.col("close").between(F.col("bottom"), F.col("top"))
+    k = F.col("k")
+    marks = ahead.withColumns({"away": away, "beyond": beyond, "back": back})
+    ends = marks.groupBy("symbol", "zone_id", "type", "entered_ts").agg(F.max(k).alias("seen"), F.min(F.when(F.col("away") & (k >= 1) & (k <= n), k)).alias("a"), F.min(F.when(F.col("beyond") & (k <= n), k)).alias("b"))
+    ends = ends.where(F.col("seen") == n + m)
+    later = marks.join(ends.select("symbol", "zone_id", "b").where("b is not null"), ["symbol", "zone_id"]).where((k > F.col("b")) & (k <= F.col("b") + m))
+    again = later.groupBy("symbol", "zone_id").agg(F.bool_or("back").alias("inside"), F.bool_or("away").alias("away"))
+    out = ends.join(again, ["symbol", "zone_id"], "left")
+    reaction = F.when(F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("a") < F.col("b"))), "reversal").when(F.col("b").isNull(), "consolidation").when(F.coalesce(F.col("inside") & F.col("away"), F.lit(False)), "false_breakout").otherwise("breakout")
+    return out.select("symbol", "zone_id", "type", "entered_ts", reaction.alias("reaction"))
+
+
 def merged_ranges(zones: DataFrame, atrs: float = 1.0) -> DataFrame:
     """Price ranges by symbol and type after joining those that overlap or lie within so many ATRs: gaps and islands."""
     by = Window.partitionBy("symbol", "type").orderBy("bottom", "top")
@@ -104,5 +149,24 @@ def merged_ranges(zones: DataFrame, atrs: float = 1.0) -> DataFrame:
     return z.groupBy("symbol", "type", "island").agg(F.min("bottom").alias("bottom"), F.max("top").alias("top"), F.count(F.lit(1)).alias("zones"))
 
 
+def baselines(zones: DataFrame, bars: DataFrame, reward: float = 2.0, max_hold: int = 20, seed: int = 42) -> DataFrame:
+    """Three baselines in risk units, a row for each trade: `always_reversal` trades every zone at its first close inside; `random_entry` the same
+    zones from a bar that a hash chooses among the ten after it; `indicator` hammers and shooting stars alone, with a stop one ATR away.
+    """
+    every = trades.simulate_r(zones, bars, reward, max_hold)
+    entered = every.select("symbol", "zone_id", F.col("entry_ts").alias("ts")).join(bars.select("symbol", "ts", F.col("idx").alias("fill_idx")), ["symbol", "ts"])
+    delay = 1 + F.conv(F.left(F.md5(F.concat_ws(":", "symbol", "zone_id", F.lit(seed)).cast("binary")), F.lit(6)), 16, 10).cast("long") % 10
+    later = entered.select("symbol", "zone_id", (F.col("fill_idx") + delay).alias("fill_idx")).join(bars.select("symbol", F.col("idx").alias("fill_idx"), F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price")), ["symbol", "fill_idx"])
+    side = F.when(F.col("type") == "demand", 1.0).otherwise(-1.0)
+    wide = F.abs(F.col("proximal") - F.col("distal"))
+    random = zones.join(later, ["symbol", "zone_id"]).withColumn("distal", F.col("entry_price") - side * wide).withColumn("proximal", F.col("entry_price"))
+    marked = candle_patterns(bars).where("hammer = 1 or shooting_star = 1").select("symbol", "ts", F.when(F.col("hammer") == 1, "demand").otherwise("supply").alias("type"))
+    signals = marked.join(bars.select("symbol", "ts", F.col("idx").alias("fill_idx"), "close", "atr"), ["symbol", "ts"]).where("atr > 0")
+    signals = signals.select("symbol", F.concat(F.lit("S"), F.col("fill_idx")).alias("zone_id"), "type", F.lit(None).cast("string").alias("structure"), F.col("ts").alias("formation_ts"), "fill_idx", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"), F.col("close").alias("proximal"), (F.col("close") - side * F.col("atr")).alias("distal"))
+    exits = lambda rows: trades.exits_r(rows, bars, reward, max_hold)
+    named = lambda rows, name: rows.select(F.lit(name).alias("baseline"), "symbol", "zone_id", "type", "entry_ts", "outcome", "r_multiple")
+    return named(every, "always_reversal").unionByName(named(exits(random), "random_entry")).unionByName(named(exits(signals), "indicator"))
+
+
 def buy_and_hold(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.round(100 * (F.max_by("close", "ts") / F.min_by("open", "ts") - 1), 4).alias("return_pct"), F.count(F.lit(1)).alias("bars"))

@@ -125,3 +125,10 @@ def plotting_positions(bars: DataFrame, column: str = "log_return") -> DataFrame
     """Ranked values with their plotting positions, for quantile plots."""
     by = Window.partitionBy("symbol")
     return bars.where(F.col(column).isNotNull()).select("symbol", "ts", F.row_number().over(by.orderBy(column, "ts")).cast("long").alias("place"), F.count(F.lit(1)).over(by).alias("n")).select("symbol", "ts", "place", F.round((F.col("place") - 0.5) / F.col("n"), 6).alias("position"))
+
+
+def describe(bars: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each column: count, mean, std, least, exact quartiles, most."""
+    long = bars.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
+    q = F.expr("percentile(v, array(0.25, 0.5, 0.75))")
+    return long.groupBy("column_name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("std"), F.round(F.min("v"), 4).alias("least"), *(F.round(q[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), F.round(F.max("v"), 4).alias("most"))

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.config import TradeConfig
+from barline.operators.zones import BLOCK, blocks_of, in_blocks
+
 
 def is_long():
     return F.col("type") == "demand"
@@ -20,23 +26,51 @@ def eligible(zones: DataFrame, t: TradeConfig = TradeConfig()) -> DataFrame:
     return out
 
 
-def entries(zones: DataFrame, bars: DataFrame, t: TradeConfig = TradeConfig()) -> DataFrame:
+def _until(z: DataFrame, bars: DataFrame, confirm: bool) -> DataFrame:
+    """symbol, zone_id, block: the blocks whose bars an entry depends on.
+
+    What ends the wait of a zone shows in the extremes of the blocks after its own: a bar beyond the distal line, or, after a block
+    that touches the zone, the next one that reaches the proximal line. Blocks before the first touch that don't end it count for nothing.
+    With `confirm` a touch can't be told from extremes, so that only the break ends the wait.
+    """
+    ext = blocks_of(bars).withColumnsRenamed({"low": "b_low", "high": "b_high"})
+    later = z.join(ext, "symbol").where(F.col("block") >= F.col("first"))
+    after, by = F.col("block") > F.col("first"), Window.partitionBy("symbol", "zone_id")
+    breaks = F.when(is_long(), F.col("b_low") < F.col("distal")).otherwise(F.col("b_high") > F.col("distal"))
+    touches = F.when(is_long(), F.col("b_low") <= F.col("top")).otherwise(F.col("b_high") >= F.col("bottom"))
+    fills = F.when(is_long(), F.col("b_high") >= F.col("proximal")).otherwise(F.col("b_low") <= F.col("proximal"))
+    touched = F.when(F.col("opened_first"), F.col("first")).otherwise(F.min(F.when(after & touches, F.col("block"))).over(by))
+    later = later.withColumns({"broken": F.min(F.when(after & breaks, F.col("block"))).over(by), "touched": touched})
+    filled = F.lit(None).cast("long") if confirm else F.min(F.when((F.col("block") > F.col("touched")) & fills, F.col("block"))).over(by)
+    later = later.withColumn("end", F.least("broken", filled))
+    kept = F.col("end").isNull() | (F.col("block") <= F.col("end"))
+    if not confirm:
+        kept = kept & (~after | (F.col("block") >= F.col("touched")) | (F.col("block") == F.col("end")))
+    return later.where(kept).select("symbol", "zone_id", "block")
+
+
+def entries(zones: DataFrame, bars: DataFrame, t: TradeConfig = TradeConfig(), strict: bool = False) -> DataFrame:
     """Adds fill_idx, entry_ts, fill_atr, entry_price of zones that fill.
 
-    Over the bars after formation: a bar beyond the distal line ends the zone, before anything else; the first touch (with `confirm` a
-    close inside) opens it; the first bar from there on that reaches the proximal line fills, at that line worsened by slippage.
+    Over the bars after formation (with `strict` after the leg that confirms the zone): a bar beyond the distal line ends the zone, before
+    anything else; the first touch (with `confirm` a close inside) opens it; the first bar from there on that reaches the proximal line
+    fills, at that line worsened by slippage.
     """
-    z = zones.select("symbol", "zone_id", "type", "top", "bottom", "proximal", "distal", F.col("leg_end_idx" if "from_leg_end" in zones.columns else "formation_idx").alias("from_idx"))
-    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), "ts", "high", "low", "close", "atr")
-    pairs = z.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("from_idx")))
-    broken = F.when(is_long(), F.col("low") < F.col("distal")).otherwise(F.col("high") > F.col("distal"))
+    start = F.col("leg_end_idx" if strict else "formation_idx")
+    z = zones.select("symbol", "zone_id", "type", "top", "bottom", "proximal", "distal", start.alias("from_idx")).withColumn("first", F.floor(F.col("from_idx") / BLOCK))
     touch = F.col("close").between(F.col("bottom"), F.col("top")) if t.confirm else F.when(is_long(), F.col("low") <= F.col("top")).otherwise(F.col("high") >= F.col("bottom"))
+    met = in_blocks(bars)
+    # a touch in the zone's own block keeps all later blocks in question
+    own = z.join(met.withColumnRenamed("block", "first"), ["symbol", "first"]).where(F.col("at") > F.col("from_idx")).groupBy("symbol", "zone_id").agg(F.bool_or(touch).alias("opened_first"))
+    z = z.join(own, ["symbol", "zone_id"], "left").withColumn("opened_first", F.coalesce("opened_first", F.lit(False)))
+    pairs = z.join(_until(z, bars, t.confirm), ["symbol", "zone_id"]).join(met, ["symbol", "block"]).where(F.col("at") > F.col("from_idx"))
+    broken = F.when(is_long(), F.col("low") < F.col("distal")).otherwise(F.col("high") > F.col("distal"))
     fill = F.when(is_long(), F.col("high") >= F.col("proximal")).otherwise(F.col("low") <= F.col("proximal"))
     by = Window.partitionBy("symbol", "zone_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     seen = pairs.withColumns({"broken": broken, "fill": fill, "opened": F.max(touch.cast("int")).over(by)})
-    first = seen.groupBy("symbol", "zone_id").agg(F.min(F.when(F.col("broken"), F.col("at"))).alias("broken_idx"), F.min_by(F.struct("at", "ts", "atr"), F.when(F.col("fill") & (F.col("opened") == 1), F.col("at"))).alias("f"))
+    first = seen.groupBy("symbol", "zone_id").agg(F.min(F.when(F.col("broken"), F.col("at"))).alias("broken_idx"), F.min_by(F.struct("at", "bar_ts", "atr"), F.when(F.col("fill") & (F.col("opened") == 1), F.col("at"))).alias("f"))
     first = first.where(F.col("f.at").isNotNull() & (F.col("broken_idx").isNull() | (F.col("broken_idx") > F.col("f.at"))))
-    got = zones.join(first.select("symbol", "zone_id", F.col("f.at").alias("fill_idx"), F.col("f.ts").alias("entry_ts"), F.col("f.atr").alias("fill_atr")), ["symbol", "zone_id"])
+    got = zones.join(first.select("symbol", "zone_id", F.col("f.at").alias("fill_idx"), F.col("f.bar_ts").alias("entry_ts"), F.col("f.atr").alias("fill_atr")), ["symbol", "zone_id"])
     worse = F.when(is_long(), 1 + t.slippage).otherwise(1 - t.slippage)
     return got.withColumn("entry_price", F.col("proximal") * worse)
 
@@ -50,22 +84,22 @@ def _planned(filled: DataFrame, t: TradeConfig) -> DataFrame:
 
 def _held(planned: DataFrame, bars: DataFrame, t: TradeConfig) -> DataFrame:
     """The bars of each trade: hold 0 is the one after the fill, up to max_hold, on which it times out."""
-    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "high", "low", "close", "atr")
+    block = lambda c: F.floor(c / BLOCK)
     keep = planned.select("symbol", "zone_id", "type", "side", "fill_idx", "entry_price", "stop_price", "target_price", "risk")
-    met = (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("fill_idx")) & (F.col("at") <= F.col("fill_idx") + t.max_hold + 1)
-    rows = keep.join(b, met).withColumn("hold", F.col("at") - F.col("fill_idx") - 1)
+    keep = keep.withColumn("block", F.explode(F.sequence(block(F.col("fill_idx") + 1), block(F.col("fill_idx") + t.max_hold + 1))))
+    rows = keep.join(in_blocks(bars), ["symbol", "block"]).withColumn("hold", F.col("at") - F.col("fill_idx") - 1).where(F.col("hold").between(0, t.max_hold))
     # worst and best price of the bar as the trade sees them
     return rows.withColumns({"worst": F.when(is_long(), F.col("low")).otherwise(F.col("high")) * F.col("side"), "best": F.when(is_long(), F.col("high")).otherwise(F.col("low")) * F.col("side")})
 
 
-def simulate(zones: DataFrame, bars: DataFrame, t: TradeConfig = TradeConfig()) -> DataFrame:
+def simulate(zones: DataFrame, bars: DataFrame, t: TradeConfig = TradeConfig(), strict: bool = False) -> DataFrame:
     """Trades of the eligible zones: entry, exit, outcome (win, loss, trail_win, timeout), hold_candles, r_multiple. Money comes later
     (`equity`), as no outcome depends on it. Trades still open when the data end are left out.
 
     Within a bar the stop counts before the target (after it with target_first). A trade that lives to hold = max_hold ends there at
     the close.
     """
-    planned = _planned(entries(eligible(zones, t), bars, t), t)
+    planned = _planned(entries(eligible(zones, t), bars, t, strict), t)
     rows = _held(planned, bars, t)
     s, early = F.col("side"), F.col("hold") < t.max_hold
     point = F.struct("hold", "bar_ts", "close")
@@ -130,25 +164,46 @@ def _trailed(rows: DataFrame, t: TradeConfig, stop, out_of_time, point) -> DataF
 
 
 def equity(trades: DataFrame, t: TradeConfig = TradeConfig()) -> DataFrame:
-    """Adds seq, capital_at_entry, shares, gross_pnl, net_pnl, equity_after_trade. Capital compounds in order of formation, a fold over each
-    symbol's trades (two numbers a trade).
+    """Adds seq, capital_at_entry, shares, gross_pnl, net_pnl, equity_after_trade. Capital compounds in order of formation: each symbol's
+    trades are one sorted pass that hands on one number, as every amount is rounded before it compounds.
     """
     order = Window.partitionBy("symbol").orderBy("formation_ts", "zone_id")
     numbered = trades.withColumn("seq", F.row_number().over(order))
-    item = F.struct("seq", "risk", (F.col("side") * (F.col("exit_price") - F.col("entry_price"))).alias("move"))
-    state = "array<struct<seq:int,capital:double,shares:double,gross:double,net:double,after:double>>"
+    schema = "symbol string, seq int, capital_at_entry double, shares double, gross_pnl double, net_pnl double, equity_after_trade double"
+
+    def compounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, capital = None, t.capital  # a symbol's rows lie together in order, over one batch or more
+        for batch in batches:
+            rows = []
+            for own, seq, risk, move in zip(batch.symbol, batch.seq, batch.risk, batch.move, strict=True):
+                if own != symbol:
+                    symbol, capital = own, t.capital
+                before, shares = capital, capital * t.risk / risk
+                gross, net = cents(move * shares), cents(move * shares - 2 * t.commission)
+                capital = max(before + net, 0.0)
+                rows.append((own, seq, before, round(shares, 4), gross, net, cents(capital)))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    def step(acc, x):
-        capital = F.when(F.size(acc) > 0, F.element_at(acc, -1).after).otherwise(F.lit(t.capital))
-        shares = capital * t.risk / x.risk
-        gross = F.round(x.move * shares, 2)
-        net = F.round(x.move * shares - 2 * t.commission, 2)
-        after = F.greatest(capital + net, F.lit(0.0))
-        return F.concat(acc, F.array(F.struct(x.seq.alias("seq"), capital.alias("capital"), F.round(shares, 4).alias("shares"), gross.alias("gross"), net.alias("net"), F.round(after, 2).alias("after"))))
+    sorted_rows = numbered.select("symbol", "seq", "risk", (F.col("side") * (F.col("exit_price") - F.col("entry_price"))).alias("move")).repartition("symbol").sortWithinPartitions("symbol", "seq")
+    return numbered.join(sorted_rows.mapInPandas(compounded, schema), ["symbol", "seq"])
 
-    folded = numbered.groupBy("symbol").agg(F.sort_array(F.collect_list(item)).alias("xs")).select("symbol", F.inline(F.aggregate("xs", F.array().cast(state), step)))
-    named = folded.toDF("symbol", "seq", "capital_at_entry", "shares", "gross_pnl", "net_pnl", "equity_after_trade")
-    return numbered.join(named, ["symbol", "seq"])
+
+def cents(x: float) -> float:
+    """x to two digits, half up on its shortest decimal form, as Spark's round does."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def modes(zones: DataFrame, bars: DataFrame, least_prob: float, reward: float = 2.0, max_hold: int = 60) -> DataFrame:
+    """R trades of all zones (`baseline`) and of those that a model's ml_prob passes (`filtered`; left out where no zone has one or
+    least_prob is 0), one above the other, with ml_prob.
+    """
+    prob = zones.select("symbol", "zone_id", "ml_prob")
+    every = simulate_r(zones, bars, reward, max_hold).join(prob, ["symbol", "zone_id"])
+    if least_prob <= 0:
+        return every.withColumn("mode", F.lit("baseline"))
+    scored = every.withColumn("scored", F.max(F.col("ml_prob").isNotNull().cast("int")).over(Window.partitionBy("symbol")) == 1)
+    passes = F.col("scored") & (F.col("ml_prob").isNull() | (F.col("ml_prob") >= least_prob))
+    return scored.withColumn("mode", F.explode(F.when(passes, F.array(F.lit("baseline"), F.lit("filtered"))).otherwise(F.array(F.lit("baseline"))))).drop("scored")
 
 
 def simulate_r(zones: DataFrame, bars: DataFrame, reward: float = 2.0, max_hold: int = 60, least_prob: float = 0.0) -> DataFrame:
@@ -157,12 +212,20 @@ def simulate_r(zones: DataFrame, bars: DataFrame, reward: float = 2.0, max_hold:
     """
     if least_prob > 0:
         zones = zones.where(F.col("ml_prob").isNull() | (F.col("ml_prob") >= least_prob))
-    z = zones.select("symbol", "zone_id", "type", "top", "bottom", "formation_idx")
-    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), "ts", "close")
-    first = z.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("formation_idx")) & F.col("close").between(F.col("bottom"), F.col("top")))
-    first = first.groupBy("symbol", "zone_id").agg(F.min("at").alias("fill_idx"), F.min("ts").alias("entry_ts"))
+    z = zones.select("symbol", "zone_id", "top", "bottom", "formation_idx").withColumn("first", F.floor(F.col("formation_idx") / BLOCK))
+    ext = blocks_of(bars).select("symbol", "block", "low_close", "high_close")
+    near = z.join(ext, "symbol").where((F.col("block") >= F.col("first")) & (F.col("low_close") <= F.col("top")) & (F.col("high_close") >= F.col("bottom")))
+    inside = near.join(in_blocks(bars), ["symbol", "block"]).where((F.col("at") > F.col("formation_idx")) & F.col("close").between(F.col("bottom"), F.col("top")))
+    first = inside.groupBy("symbol", "zone_id").agg(F.min("at").alias("fill_idx"), F.min("bar_ts").alias("entry_ts"))
+    return exits_r(zones.join(first, ["symbol", "zone_id"]).withColumn("entry_price", F.col("proximal")), bars, reward, max_hold)
+
+
+def exits_r(filled: DataFrame, bars: DataFrame, reward: float = 2.0, max_hold: int = 60) -> DataFrame:
+    """The trades of filled zones (with fill_idx, entry_ts, entry_price) in risk units: stop at the distal line, first within a bar, then target,
+    timeout at max_hold, else `open`.
+    """
     t = TradeConfig(reward=reward, max_hold=max_hold)
-    planned = _planned(zones.join(first, ["symbol", "zone_id"]).withColumns({"entry_price": F.col("proximal"), "fill_atr": F.lit(None).cast("double")}), t)
+    planned = _planned(filled.withColumn("fill_atr", F.lit(None).cast("double")), t)
     rows = _held(planned, bars, t)
     early, s, point = F.col("hold") < max_hold, F.col("side"), F.struct("hold", "bar_ts", "close")
     ends = rows.groupBy("symbol", "zone_id").agg(

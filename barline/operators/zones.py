@@ -296,29 +296,49 @@ def merged(zones: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     return zones.join(kept, ["symbol", "zone_id"])
 
 
+def blocks_of(bars: DataFrame) -> DataFrame:
+    """The extremes of each symbol's blocks of BLOCK bars: symbol, block, low, high, low_close, high_close."""
+    block = F.floor(F.col("idx") / BLOCK).alias("block")
+    return bars.groupBy("symbol", block).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("close").alias("low_close"), F.max("close").alias("high_close"))
+
+
+def in_blocks(bars: DataFrame) -> DataFrame:
+    """Bars as they are met by symbol and block: at is the bar's place, bar_ts its stamp."""
+    return bars.select("symbol", F.floor(F.col("idx") / BLOCK).alias("block"), F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "open", "high", "low", "close", "atr")
+
+
+def met_bars(zones: DataFrame, bars: DataFrame, wick: bool = False, start: str = "formation_idx") -> DataFrame:
+    """The bars after `start` that can break a zone or overlap it, up to its break: symbol, zone_id, type, top, bottom and the bar's columns.
+
+    A zone is compared with the extremes of later blocks first. It meets the bars of its own block and of those blocks that overlap it, up to the
+    first one that breaks it, which is met too; all others hold nothing that counts. So far-off prices cost a row for each block only.
+    """
+    zs = zones.select("symbol", "zone_id", "type", "top", "bottom", F.col(start).alias("from_idx")).withColumn("first", F.floor(F.col("from_idx") / BLOCK))
+    ext = blocks_of(bars).withColumnsRenamed({"low": "b_low", "high": "b_high"})
+    low, high = (F.col("b_low"), F.col("b_high")) if wick else (F.col("low_close"), F.col("high_close"))
+    breaks = F.when(F.col("type") == "demand", low < F.col("bottom")).otherwise(high > F.col("top"))
+    later = zs.join(ext, "symbol").where(F.col("block") >= F.col("first")).withColumn("breaks", (F.col("block") > F.col("first")) & breaks)
+    last = F.min(F.when(F.col("breaks"), F.col("block"))).over(Window.partitionBy("symbol", "zone_id"))
+    overlaps = (F.col("b_low") <= F.col("top")) & (F.col("b_high") >= F.col("bottom"))
+    later = later.withColumn("last", last).where((F.col("last").isNull() | (F.col("block") <= F.col("last"))) & ((F.col("block") == F.col("first")) | (F.col("block") == F.col("last")) | overlaps))
+    return later.select("symbol", "zone_id", "type", "top", "bottom", "from_idx", "block").join(in_blocks(bars), ["symbol", "block"]).where(F.col("at") > F.col("from_idx"))
+
+
 def lifecycle(zones: DataFrame, bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     """Adds status, test_count, last_test_ts, invalidation_ts, freshness_score.
 
     A bar after formation first breaks a zone (it closes, or with `wick` trades, beyond it) and ends its life; otherwise it overlaps or
-    not, and each entry into the zone is a test. Zones meet only the bars up to the end of the first block of bars whose extremes
-    break them, which their blocks' extremes tell.
+    not, and each entry into the zone is a test.
     """
-    life = bars.select(F.col("symbol").alias("b_symbol"), F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "high", "low", "close")
-    zs = zones.select("symbol", "zone_id", "type", "top", "bottom", "formation_idx")
     wick = z.invalidation == "wick"
+    pairs = met_bars(zones, bars, wick)
     low, high = F.col("low" if wick else "close"), F.col("high" if wick else "close")
     broken = F.when(F.col("type") == "demand", low < F.col("bottom")).otherwise(high > F.col("top"))
-    block = lambda c: F.floor(F.col(c) / BLOCK)
-    blocks = life.groupBy("b_symbol", block("at").alias("block")).agg(F.min(low).alias("least"), F.max(high).alias("most"))
-    ends = zs.join(blocks, (F.col("symbol") == F.col("b_symbol")) & (F.col("block") > block("formation_idx")))
-    ends = ends.where(F.when(F.col("type") == "demand", F.col("least") < F.col("bottom")).otherwise(F.col("most") > F.col("top")))
-    ends = ends.groupBy("symbol", "zone_id").agg(((F.min("block") + 1) * BLOCK).alias("until"))
-    zs = zs.join(ends, ["symbol", "zone_id"], "left")
-    pairs = zs.join(life, (F.col("symbol") == F.col("b_symbol")) & (F.col("at") > F.col("formation_idx")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     inside = (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
     by = Window.partitionBy("symbol", "zone_id").orderBy("at")
     ended = F.max(F.col("broken").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    seen = pairs.withColumns({"broken": broken, "inside": inside}).withColumns({"ended": ended, "entered": inside & ~F.coalesce(F.lag("inside").over(by), F.lit(False))})
+    before = F.coalesce(F.lag("inside").over(by) & (F.lag("at").over(by) == F.col("at") - 1), F.lit(False))
+    seen = pairs.withColumns({"broken": broken, "inside": inside}).withColumns({"ended": ended, "entered": inside & ~before})
     test = F.col("entered") & ~F.col("ended")
     sums = seen.groupBy("symbol", "zone_id").agg(
         F.min(F.when(F.col("broken"), F.col("bar_ts"))).alias("invalidation_ts"),

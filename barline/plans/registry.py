@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.config import TradeConfig
+from barline.config import TradeConfig, ZoneConfig
 from barline.operators import confluence, indicators, labels, metrics, models, patterns, quality, trades, windows, zones
 from barline.plans.sql import SQL
 from barline.sources import bars as sources
@@ -104,7 +104,27 @@ def zone_lifecycle(spark, sf_dir):
 
 @query
 def zone_summary(spark, sf_dir):
-    return zones.summary(_lived(spark, sf_dir)[0].withColumn("merged_count", F.lit(1))).drop("raw_zones").withColumn("mean_quality", F.round("mean_quality", 3))
+    z, b = _zones(spark, sf_dir)
+    return zones.summary(zones.lifecycle(written(zones.merged(z), "merged"), b)).withColumn("mean_quality", F.round("mean_quality", 3))
+
+
+@query
+def zones_reversal(spark, sf_dir):
+    """Zones whose arrival turns at the base, from beyond it."""
+    only = ZoneConfig(leg_in_enabled=True, arrival_mode="reversal", arrival_origin=True, leg_in_min_move=0.5)
+    return zones.raw_zones(_ind(spark, sf_dir), only).select("symbol", "formation_ts", "type", "structure", "leg_in_disp_atr")
+
+
+@query
+def zone_ranks(spark, sf_dir):
+    """Ranks by a probability that not every zone has; here a strength of a half or more stands for it."""
+    z = _zones(spark, sf_dir)[0].withColumn("ml_prob", F.when(F.col("strength") >= 0.5, F.col("strength")))
+    return models.ranks(z).select("symbol", "zone_id", "ml_prob", "ml_rank")
+
+
+@query
+def zone_reactions(spark, sf_dir):
+    return patterns.zone_reactions(*_zones(spark, sf_dir))
 
 
 @query
@@ -170,6 +190,29 @@ def trades_trailing(spark, sf_dir):
     return _trades(spark, sf_dir, TradeConfig(trail=True, max_hold=20))
 
 
+@query
+def trades_filtered(spark, sf_dir):
+    """Trades of two structures within bounds of strength."""
+    z, b = _zones(spark, sf_dir)
+    t = TradeConfig(min_strength=0.6, max_strength=0.85, structures=("DBR", "RBD"))
+    got = trades.simulate(zones.finished(z.withColumn("freshness_score", F.lit(1.0))), b, t)
+    columns = ["symbol", "zone_id", "type", "structure", "formation_ts", "entry_ts", "exit_ts", "entry_price", "stop_price", "target_price", "exit_price", "outcome", "hold_candles", "r_multiple"]
+    return _rounded(got.select(columns), entry_price=2, stop_price=2, target_price=2, exit_price=2)
+
+
+@query
+def trades_modes(spark, sf_dir):
+    """All zones against those whose probability passes; the strength at formation stands for a probability."""
+    z, b = _zones(spark, sf_dir)
+    return metrics.by_mode(trades.modes(z.withColumn("ml_prob", F.col("strength")), b, 0.6))
+
+
+@query
+def trade_baselines(spark, sf_dir):
+    made = patterns.baselines(*_zones(spark, sf_dir))
+    return made.groupBy("baseline", "outcome").agg(F.count(F.lit(1)).alias("trades"), F.round(F.avg("r_multiple"), 4).alias("avg_r"))
+
+
 @query
 def trades_r(spark, sf_dir):
     z, b = _zones(spark, sf_dir)
@@ -188,12 +231,12 @@ def equity_curve(spark, sf_dir):
 
 @query
 def performance(spark, sf_dir):
-    return metrics.performance(_equity(spark, sf_dir)).drop("avg_timeout")
+    return metrics.performance(_equity(spark, sf_dir))
 
 
 @query
 def structure_rollup(spark, sf_dir):
-    return metrics.structures(_equity(spark, sf_dir)).drop("avg_timeout")
+    return metrics.structures(_equity(spark, sf_dir))
 
 
 @query
@@ -223,6 +266,18 @@ def quality_profile(spark, sf_dir):
     return quality.profile(_bars(spark, sf_dir))
 
 
+@query
+def quality_describe(spark, sf_dir):
+    return quality.describe(_ind(spark, sf_dir), ["close", "volume", "atr", "log_return"])
+
+
+@query
+def filled_bars(spark, sf_dir):
+    """A row for every hour, with the close of up to three hours before where there is none."""
+    grid = indicators.filled(sources.regular(_bars(spark, sf_dir)), ["close"])
+    return grid.select("symbol", "ts", "close", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+
+
 @query
 def quality_nulls(spark, sf_dir):
     return quality.nulls(_ind(spark, sf_dir), ["close", "atr", "sma200", "rolling_volatility"])
@@ -305,9 +360,9 @@ def plotting_positions(spark, sf_dir):
 
 @query
 def window_features(spark, sf_dir):
+    """All 145 features of every window, under names that SQL takes too."""
     f = windows.features(_ind(spark, sf_dir))
-    named = {c: c.replace("c-", "cm", 1).replace("c+", "cp", 1) for c in f.columns if c.endswith(("close_rel", "body_atr"))}
-    return f.select("symbol", "ts", *(F.round(f"`{c}`", 4).alias(n) for c, n in named.items()), F.round("net_move_atr", 4).alias("net_move_atr"), F.round("ema200_dist", 4).alias("ema200_dist"))
+    return f.select("symbol", "ts", *(F.round(f"`{c}`", 4).alias(c.replace("c-", "cm").replace("c+", "cp")) for c in windows.names()))
 
 
 @query
@@ -319,39 +374,102 @@ def window_labels(spark, sf_dir):
 @query
 def base_end_examples(spark, sf_dir):
     z, b = _zones(spark, sf_dir)
-    return windows.positives(z, b).unionByName(windows.negatives(z, b), allowMissingColumns=True).select("symbol", "example_type", "is_zone", "ts", "zone_id", "atr_level", "close_vs_ema200", "base_length", "leg_in_direction")
+    columns = "symbol example_type is_zone zone_id base_end_ts leg_in_disp_atr leg_in_direction leg_in_velocity base_length base_wick_frac base_range_atr base_volume_ratio atr_level close_vs_ema200 close_vs_ema50 is_bullish_last leg_in_bullish_ratio"
+    return windows.examples(z, b).select(columns.split())
 
 
 @query
-def model_zones(spark, sf_dir):
-    """Out-of-sample window probabilities of a walk-forward model, rebuilt to zones, without overlaps, with their lifecycle."""
+def example_nulls(spark, sf_dir):
+    """The missing-value report of the examples."""
+    found = windows.examples(*_zones(spark, sf_dir))
+    return quality.nulls(found, ["leg_in_disp_atr", "base_volume_ratio", "close_vs_ema200", "rolling_volatility", "quality_score_ao"])
+
+
+@query
+def rebuilt_zones(spark, sf_dir):
+    """Windows on whose last bar a zone forms, rebuilt from their bars alone, thinned out, with their life; the zone's quality stands for a probability."""
     z, b = _zones(spark, sf_dir)
+    probs = z.groupBy("symbol", F.col("formation_idx").alias("idx")).agg((F.max("quality_score") / 100).alias("ml_prob"))
+    found = windows.ml_lifecycle(written(windows.deduplicated(written(windows.reconstructed(b, probs), "rebuilt")), "thin"), b)
+    return _rounded(found.drop("idx"), ml_prob=4)
+
+
+def _window_rows(z, b) -> tuple[DataFrame, list[str]]:
+    """Labelled windows with all features under plain names."""
+    named = {c: c.replace("c-", "cm").replace("c+", "cp") for c in windows.names()}
     rows = windows.labelled(windows.features(b), z)
-    columns = ["net_move_atr", "volatility_ratio", "ema20_dist", "ema50_dist", "ema200_dist"]
-    renamed = rows.select("symbol", "ts", "idx", "label", *columns, *(F.col(f"`c{k}_{x}`").alias(f"l{i}_{x}") for i, k in enumerate(("-2", "-1", "+0")) for x in windows.PER_BAR))
-    given = [*columns, *(f"l{i}_{x}" for i in range(3) for x in windows.PER_BAR)]
-    scored = models.walk_forward(renamed, given, ["ts", "symbol"], splits=2).withColumnRenamed("p", "ml_prob")
-    return windows.ml_lifecycle(windows.deduplicated(windows.reconstructed(b, scored)), b)
+    return rows.select("symbol", "ts", "idx", "label", *(F.col(f"`{c}`").alias(n) for c, n in named.items())), list(named.values())
+
+
+@query
+def model_zones(spark, sf_dir):
+    """Out-of-sample window probabilities of walk-forward boosted trees over all features, rebuilt to zones, without overlaps, with their lifecycle. Windows
+    before the first test fold have no model that doesn't know them and are not scored.
+    """
+    z, b = _zones(spark, sf_dir)
+    rows, given = _window_rows(z, b)
+    scored = models.walk_forward(rows, given, ["ts", "symbol"], kind="gbt", splits=4).withColumnRenamed("p", "ml_prob")
+    found = written(windows.reconstructed(b, scored.select("symbol", "idx", "ml_prob")), "rebuilt")
+    return windows.ml_lifecycle(written(windows.deduplicated(found), "thin"), b)
+
+
+def _structures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    z, b = _lived(spark, sf_dir)
+    rows = written(models.structure_rows(labels.label(b, z)), "classes")
+    return z, models.walk_forward(rows, models.STRUCTURE_FEATURES, ["ts", "symbol"], kind="forest", splits=5)
+
+
+@query
+def structure_report(spark, sf_dir):
+    """Five classes of bars by a walk-forward forest: precision, recall and F1 of each."""
+    report = models.class_report(_structures(spark, sf_dir)[1])
+    names = F.create_map(*(F.lit(x) for k, n in enumerate(models.CLASSES) for x in (str(k), n)))
+    return report.withColumn("class", F.coalesce(names[F.col("class")], F.col("class")))
+
+
+@query
+def zone_probabilities(spark, sf_dir):
+    """Zones by the probability that one forms on their bar, from the same forest."""
+    z, scored = _structures(spark, sf_dir)
+    return models.score_zones(z, scored).select("symbol", "zone_id", "formation_ts", F.round("ml_prob", 4).alias("ml_prob"), "ml_rank")
 
 
 def _outcomes(spark, sf_dir) -> DataFrame:
     z, b = _zones(spark, sf_dir)
-    return models.outcome_rows(trades.simulate(z, b).where("outcome <> 'timeout'"), z)
+    return written(models.outcome_rows(trades.simulate(z, b).where("outcome <> 'timeout'"), z), "outcomes")
+
+
+OUTCOME_ORDER = ["entry_ts", "symbol", "zone_id"]
 
 
 @query
 def outcome_report(spark, sf_dir):
-    return models.report(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, ["entry_ts", "symbol", "zone_id"], splits=3))
+    return models.report(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, OUTCOME_ORDER, kind="gbt", splits=5))
+
+
+@query
+def outcome_baseline(spark, sf_dir):
+    """The same by logistic regression."""
+    return models.report(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, OUTCOME_ORDER, splits=5))
 
 
 @query
 def outcome_thresholds(spark, sf_dir):
-    return models.tuned_threshold(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, ["entry_ts", "symbol", "zone_id"], splits=3))
+    return models.tuned_threshold(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, OUTCOME_ORDER, splits=5, train_too=True))
 
 
 @query
 def outcome_shuffled(spark, sf_dir):
-    return models.shuffled(_outcomes(spark, sf_dir)).groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("trades"))
+    """The control: labels permuted over all trades, fitted and tested again."""
+    rows = written(models.shuffled(_outcomes(spark, sf_dir), OUTCOME_ORDER), "shuffled")
+    return models.report(models.walk_forward(rows, models.OUTCOME_FEATURES, OUTCOME_ORDER, splits=5))
+
+
+@query
+def outcome_importances(spark, sf_dir):
+    """The fifteen features that boosted trees over all trades weigh most."""
+    fitted = models.pipeline(models.OUTCOME_FEATURES).fit(models.weighted(_outcomes(spark, sf_dir)))
+    return models.importances(fitted, models.OUTCOME_FEATURES, spark)
 
 
 @query

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: Schema of bar files; a Date column is renamed to ts by the reader.
 BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
+#: Schema of zone files: the five dates, whatever else they hold.
 ZONE_DATES = ["formation_ts", "base_start_ts", "base_end_ts", "last_test_ts", "invalidation_ts"]
+ZONES = "symbol string, zone_id string, type string, structure string, top double, bottom double, proximal double, distal double, strength double, strength_pit double, ml_prob double"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +74,21 @@ def read_csv(spark: SparkSession, path: str, schema: str = BARS, date: str = "Da
     return plain.select(out)
 
 
+def regular(bars: DataFrame, unit: str = "hour") -> DataFrame:
+    """bars with a row for every unit between a symbol's first and last one; what is new is null."""
+    ends = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    grid = ends.select("symbol", F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias("ts"))
+    return grid.join(bars, ["symbol", "ts"], "left")
+
+
+def read_zones(spark: SparkSession, path: str, ml_path: str | None = None) -> DataFrame:
+    """Zone files with their five dates; with ml_path those of a model instead, whose probability stands in for a strength that no zone of a
+    symbol has.
+    """
+    schema = f"{ZONES}, " + ", ".join(f"{d} timestamp_ntz" for d in ZONE_DATES)
+    return scored(read_csv(spark, ml_path or path, schema, date=""))
+
+
 def scored(zones: DataFrame) -> DataFrame:
     """strength_pit, taken from ml_prob for symbols where no zone has it."""
     from barline.functions.expr import missing
