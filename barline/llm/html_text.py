@@ -7,9 +7,10 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm._spark import extended, written
@@ -21,55 +22,96 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
-#: Elements without end tags; inline ones; those that hold no article; those an article's blocks and containers are.
+#: Elements without end tags; inline ones; those that never hold an article; those that hold none unless they hold the page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr picture source".split())
-JUNK_TAGS = set("nav footer aside form head menu button dialog fieldset audio video canvas".split())
+JUNK_TAGS = set("nav footer head menu button dialog audio video canvas".split())
+MARKED_TAGS = set("aside form fieldset header".split())
 JUNK_ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-JUNK_NAMES = set(
-    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices
-    notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations
-    sidebar side widget widgets menu nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot comment comments disqus replies
-    respond discussion search pagination pager toolbar skip aside""".split()
+#: Words of a class or id that mark a container; the second only where no word of the third stands in the same name; names with one of
+#: the last tell of a layout. A mark is a weight: it never takes a container that holds the page's heading or nearly all its text.
+COMMENT_NAMES = set("comment comments disqus".split())
+MARKED_NAMES = COMMENT_NAMES | set(
+    """ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr popup modal newsletter subscribe
+    subscription signup login share sharing social related recommended recommendations sidebar widget widgets menu nav navbar navigation breadcrumb
+    breadcrumbs footer pagination pager""".split()
 )
+WEAK_NAMES = set("header masthead topbar banner notice notices notification alert overlay promotion replies respond discussion side foot skip toolbar search aside".split())
+ARTICLE_NAMES = set("article post entry story content main body text page blog news title headline".split())
+LAYOUT_NAMES = set("has no with without layout col columns".split())
 CONTAINERS = set("body div section article main td center".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: A start of one of the first ends an open one of the second, up to a container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_BLOCK_CLOSES_P = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre figure figcaption header footer nav aside form hr address details".split())
+_BLOCK_CLOSES_P = CONTAINERS | MARKED_TAGS | HEADINGS | set("p ul ol li dl dt dd table tr td th blockquote pre figure figcaption footer nav hr address details".split())
 
-#: Paths that a host's vote keeps, best first; a page takes the first one that gives it text.
-RANKS = 5
-#: Hosts up to which the ranked paths are broadcast (a few hundred bytes each); with more, pages meet them by host and one of SALTS parts
-#: of it, so that no task holds all pages of a large host.
-BROADCAST_HOSTS, SALTS = 50_000, 64
+#: Characters of all paths up to which the ranked paths of the hosts are broadcast; with more, pages meet them by host and one of SALTS
+#: parts of it, so that no task holds all pages of a large host.
+BROADCAST_CHARS, SALTS = 16 << 20, 64
+#: Weight of a marked container's text; share of the page's text from which a mark doesn't count; of a container's, from which what stands
+#: beside it belongs to it; of linked text, from which a container of three links is a list of links.
+MARKED, WHOLE, BESIDE, LINKS = 0.1, 0.8, 0.1, 0.8
 
 
-def _names(attributes: str) -> tuple[str, set[str]]:
-    """The generalised class (without digits) and all words of class, id and role."""
-    first, words = "", set()
+class Box:
+    """A container of a page: its path, and what its subtree holds."""
+
+    __slots__ = ("path", "tag", "parent", "marked", "comment", "chars", "kept", "linked", "links", "headings", "holds")
+
+    def __init__(self, tag: str, name: str, parent: Box | None, marked: bool, comment: bool):
+        self.path = (parent.path + ">" if parent and parent.path else "") + tag + name
+        self.tag, self.parent, self.marked, self.comment = tag, parent, marked, comment
+        self.chars = self.kept = self.linked = self.links = self.headings = 0
+        self.holds = False
+
+    def above(self) -> Iterator[Box]:
+        """The box itself and its ancestors."""
+        box: Box | None = self
+        while box is not None:
+            yield box
+            box = box.parent
+
+
+def _names(attributes: str) -> tuple[str, bool, bool, bool]:
+    """The generalised class (without digits); whether class, id or role exclude, mark, and mark as comments."""
+    first, words, roles = "", [], set()
     for key, value in _ATTRIBUTE.findall(attributes):
         value = html_lib.unescape(value.strip("\"'")).lower()
-        words |= {f"role={x}" for x in value.split()} if key.lower() == "role" else set(re.split(r"[^a-z]+|\d+", re.sub(r"\d+", "", value)))
+        if key.lower() == "role":
+            roles |= set(value.split())
+            continue
+        words += [set(re.split(r"[^a-z]+", x)) for x in value.split()]
         if key.lower() == "class" and value.split():
             first = "." + ".".join(sorted({re.sub(r"\d+", "", x) for x in value.split()}))
-    return first, words
+    words = [w for w in words if not w & LAYOUT_NAMES]
+    marked = any(w & MARKED_NAMES or (w & WEAK_NAMES and not w & ARTICLE_NAMES) for w in words)
+    return first, bool(roles & JUNK_ROLES), marked, any(w & COMMENT_NAMES for w in words)
 
 
-def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], int]]:
-    """The text blocks outside junk, in page order: text, containers from the outermost (number, path), characters of links in it."""
-    out: list[tuple[str, tuple, int]] = []
-    stack: list[tuple[str, bool, tuple]] = [("", False, ())]  # tag, in junk, containers
+def blocks(page: str) -> list[tuple[str, Box, int]]:
+    """The text blocks outside what never holds an article, in page order: text, innermost box, characters of links in it. The boxes
+    hold the sums over their subtrees.
+    """
+    out: list[tuple[str, Box, int, bool]] = []
+    root = Box("", "", None, False, False)
+    stack: list[tuple[str, bool, Box]] = [("", False, root)]  # tag, excluded, box
     parts: list[str] = []
-    linked = in_link = number = 0
+    linked = links = in_link = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, links
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, stack[-1][2], min(linked, len(text))))
+                box, some, heading = stack[-1][2], min(linked, len(text)), stack[-1][0] in HEADINGS
+                out.append((text, box, some, heading))
+                for each in box.above():
+                    each.chars += len(text) - some
+                    each.linked += some
+                    each.links += links
+                    each.holds |= stack[-1][0] == "h1" or each.tag in ("article", "main")
             parts.clear()
-        linked = 0
+        linked = links = 0
 
     def pop_to(k: int) -> None:
         flush()
@@ -95,13 +137,14 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], int]]:
                 put(" ")
             elif tag == "a":
                 in_link = 0 if m[2] else 1
+                links += in_link
             continue
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
-                if stack[k][0] in CONTAINERS and tag not in CONTAINERS and tag not in JUNK_TAGS and tag not in ("header", "html"):
+                if stack[k][0] in CONTAINERS and tag not in CONTAINERS and tag not in JUNK_TAGS and tag not in MARKED_TAGS and tag != "html":
                     flush()
                     break
             else:
@@ -109,7 +152,7 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], int]]:
             continue
         flush()
         in_link = 0
-        for shut in (_CLOSES.get(tag, set()), {"p", "h1", "h2", "h3", "h4", "h5", "h6"} if tag in _BLOCK_CLOSES_P else set()):
+        for shut in (_CLOSES.get(tag, set()), {"p", *HEADINGS} if tag in _BLOCK_CLOSES_P else set()):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in shut:
                     pop_to(k)
@@ -118,41 +161,78 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[int, str], ...], int]]:
                     break
         if tag in VOID:
             continue
-        _, junk, inside = stack[-1]
-        name, words = _names(m[4]) if m[4] else ("", set())
-        if not junk and tag not in ("body", "html", "article", "main"):
-            head = tag == "header" and not any(p.rpartition(">")[2].startswith("article") for _, p in inside)
-            junk = tag in JUNK_TAGS or head or bool(words & JUNK_NAMES) or any(f"role={r}" in words for r in JUNK_ROLES)
-        if tag in CONTAINERS:
-            number += 1
-            inside = (*inside, (number, (inside[-1][1] + ">" if inside else "") + tag + name))
-        stack.append((tag, junk, inside))
+        _, junk, box = stack[-1]
+        name, excluded, marked, comment = _names(m[4]) if m[4] else ("", False, False, False)
+        if tag in ("body", "html", "article", "main"):
+            excluded = marked = False
+        marked = marked or tag in MARKED_TAGS and not (tag == "header" and any(b.tag in ("article", "main") for b in box.above()))
+        junk = junk or excluded or tag in JUNK_TAGS
+        if tag in CONTAINERS or marked:
+            box = Box(tag, name, box, marked, comment)
+        stack.append((tag, junk, box))
     put(page[at:])
     flush()
-    return out
+    for box in {id(b): b for _, own, _, _ in out for b in own.above()}.values():
+        whole = not box.comment and box.chars >= WHOLE * root.chars
+        box.marked = box.marked and not box.holds and not whole
+        # a list of links in a container of its own
+        list_of_links = box.tag in ("div", "section", "td") and box.links >= 3 and box.linked >= LINKS * (box.linked + box.chars)
+        box.marked = box.marked or list_of_links and box.linked + box.chars < WHOLE * (root.linked + root.chars)
+    for text, box, some, heading in out:
+        if not any(b.marked for b in box.above()):
+            for each in box.above():
+                each.kept += len(text) - some
+                each.headings += heading
+    return [x[:3] for x in out]
+
+
+def article(box: Box) -> Box:
+    """The container of the article that a box's text belongs to: the nearest article or main element, else the highest container below
+    the body that adds a heading, or text of some size, to it. Containers that add nothing are passed.
+    """
+    for tag in ("article", "main"):
+        for each in box.above():
+            if each.tag == tag:
+                return each
+    found = now = box
+    while now.parent is not None and now.parent.tag not in ("", "body"):
+        now = now.parent
+        beside = now.kept - found.kept
+        if now.headings > found.headings or beside > 0 and beside >= BESIDE * found.kept:
+            found = now
+        elif beside > 0:
+            break
+    return found
 
 
-def scores(found: list[tuple[str, tuple, int]]) -> dict[str, float]:
-    """By path the best container's score: characters outside links of its own blocks, and half of those of its child containers."""
-    by: dict[tuple[int, str], float] = defaultdict(float)
-    for text, inside, linked in found:
-        for share, one in zip((1.0, 0.5), inside[::-1], strict=False):
-            by[one] += share * max(len(text) - 2 * linked, 0)
-    best: dict[str, float] = defaultdict(float)
-    for (_, path), score in by.items():
-        best[path] = max(best[path], score)
-    return best
+def scores(found: list[tuple[str, Box, int]]) -> dict[str, float]:
+    """By path of an article's container: characters outside links of the boxes that belong to it, marked ones by a small weight."""
+    own: dict[int, float] = defaultdict(float)
+    boxes = {}
+    for text, box, linked in found:
+        boxes[id(box)] = box
+        own[id(box)] += max(len(text) - 2 * linked, 0) * (MARKED if any(b.marked for b in box.above()) else 1.0)
+    out: dict[str, float] = defaultdict(float)
+    for key, box in boxes.items():
+        if own[key] > 0:
+            out[article(box).path] += own[key]
+    return out
 
 
 def main_text(page: str, paths: list[str]) -> str:
-    """The blocks in containers of the first of these paths that gives text, or of the page's own best path; blocks outside any
-    container if the page has none.
+    """The unmarked blocks in all containers of the first of these paths in which the page has text, or of the page's own best path; all
+    blocks if the page has none.
     """
     found = blocks(page)
     own = scores(found)
-    for path in [*paths, *([max(own, key=lambda p: (own[p], p))] if own else [])]:
-        got = [text for text, inside, _ in found if any(p == path for _, p in inside)]
-        if got and own.get(path, 0) > 0:
+    for path in [*(p for p in paths if p in own), *([max(own, key=lambda p: (own[p], p))] if own else [])]:
+        got = []
+        for text, box, _ in found:
+            inside = list(box.above())
+            top = next((k for k, b in enumerate(inside) if b.path == path), None)  # the innermost container of this path
+            if top is not None and not any(b.marked for b in inside[:top]):
+                got.append(text)
+        if got:
             return "\n\n".join(got)
     return "\n\n".join(text for text, _, _ in found)
 
@@ -160,10 +240,12 @@ def main_text(page: str, paths: list[str]) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages: page_id, url, html (others ignored). Returns page_id, url, text, a row for each row.
 
-    Every page gives its containers shares of one vote by their scores; a host's paths are ranked by votes, ties by name. Hosts are
-    lower-case, without user and port; a null url or one without host belongs to the empty host.
+    Every page gives the containers of its possible articles shares of one vote by their text; all paths of a host are ranked by votes,
+    ties by name, and a page takes the first one that it has. Its text is all of that container, whatever its parts, but for marked containers
+    inside it. Hosts are lower-case, without user and port; a null url or one without host belongs to the empty host.
 
-    Null or empty html: an empty text. Repeated rows vote and are extracted each. No rows: no rows.
+    Null or empty html: an empty text. Repeated rows vote and are extracted each. Very long pages are read whole, one at a time. Other
+    columns are ignored, whatever their names. No rows: no rows.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
@@ -181,10 +263,10 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([int(v) for _, v in rows], pa.int64())], ["host", "path", "votes"])
 
     votes = pages.select("host", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
-    few = votes.withColumn("place", place).where(F.col("place") <= RANKS).groupBy("host")
-    ranked = written(few.agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("r")).select("host", F.col("r.path").alias("paths")), "paths")
-    if ranked.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    ranks = votes.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("votes", "path")), False).alias("r"))
+    ranked = written(ranks.select("host", F.col("r.path").alias("paths")), "paths")
+    size = ranked.agg(F.coalesce(F.sum(F.char_length("host") + F.char_length(F.array_join("paths", " ")) + 64), F.lit(0)).alias("chars")).first().chars
+    if size <= BROADCAST_CHARS:
         met = pages.join(F.broadcast(ranked), "host", "left")
     else:
         salted = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.llm._spark import extended
@@ -33,7 +33,7 @@ SCRIPTS = [
     ("han", [(0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFF)]),
     ("hangul", [(0x1100, 0x11FF), (0x3130, 0x318F), (0xAC00, 0xD7AF)]),
 ]
-POINTS = 0x30000
+POINTS = 0x110000
 BUCKETS = 1 << 16
 
 
@@ -45,56 +45,71 @@ class Params:
     switch: float = 12.0
     #: Share of a language's letters from which a script counts as one of its own.
     script_share: float = 0.001
+    #: Most frequent trigram buckets that the model keeps of each language.
+    grams: int = 16_384
 
 
 @functools.cache
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: letter or mark, lower case, script."""
-    letter, lower, script = np.zeros(POINTS, bool), np.arange(POINTS, dtype=np.uint32), np.zeros(POINTS, np.uint8)
+    """By code point: 1 for a letter, 2 for a mark, else 0; lower case; script of a letter."""
+    kinds = [unicodedata.category(chr(c)) for c in range(POINTS)]
+    kind = np.array([1 if k[0] == "L" else 2 if k[0] == "M" else 0 for k in kinds], np.uint8)
+    lower, script = np.arange(POINTS, dtype=np.uint32), np.zeros(POINTS, np.uint8)
     for c in range(POINTS):
-        kind = unicodedata.category(chr(c))
-        letter[c] = kind[0] in "LM"
-        if kind == "Lu" and len(low := chr(c).lower()) == 1:
+        if kinds[c] == "Lu" and len(low := chr(c).lower()) == 1:
             lower[c] = ord(low)
     for i, (_, ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
             script[a : b + 1] = i + 1
-    return letter, lower, script
+    return kind, lower, np.where(kind == 1, script, 0).astype(np.uint8)
 
 
 class _Letters:
-    """Words (runs of letters) of some documents, and the trigram bucket of each letter with its neighbours."""
+    """Words (runs of letters and marks with a letter in them) of some documents, and the trigram bucket of each character of a word
+    with its neighbours.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        letter, lower, script = _classes()
+        kind, lower, script = _classes()
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        points = np.where(points < POINTS, points, 0)
         self.at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         n = len(points)
+        held = kind[points]
         inside = np.zeros(n + 2, bool)
-        inside[1:-1] = letter[points]
+        inside[1:-1] = held > 0
         cut = np.zeros(n + 1, bool)
         cut[self.at] = True
-        self.starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
-        self.ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+        starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+        ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+        letters = np.concatenate([[0], np.cumsum(held == 1)])
+        worded = letters[ends] > letters[starts]
+        edge = np.zeros(n + 1, np.int8)
+        edge[starts[~worded]] = 1
+        edge[ends[~worded]] -= 1
+        inside[1:-1] &= np.cumsum(edge[:-1]) == 0  # marks alone are no words
+        self.starts, self.ends = starts[worded], ends[worded]
+        self.letters = letters[self.ends] - letters[self.starts]
         self.first = np.searchsorted(self.starts, self.at)
         low = np.zeros(n + 2, np.uint32)
         low[1:-1] = np.where(inside[1:-1], lower[points], 0)
         before, after = np.where(cut[:-1], 0, low[:-2]), np.where(cut[1:], 0, low[2:])
         h = before * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)
         self.bucket = ((h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(16)
-        self.script = script[points[self.starts]] if len(self.starts) else np.zeros(0, np.uint8)
         self.inside = inside[1:-1]
+        #: Script of each character of a word; marks and characters outside words have none of their own.
+        self.script, self.letter = script[points], self.inside & (held == 1)
 
 
 @dataclass
 class Model:
+    """Of each language at most Params.grams trigram buckets, so that its size is bounded by the labels."""
+
     languages: list[str]
     #: Log probabilities of the trigrams that a language has, sorted by bucket: where each bucket begins (the end last), language, value.
     first: np.ndarray
     language: np.ndarray
     value: np.ndarray
-    #: By language, the log probability of a bucket that it lacks; by script what is added to a language's words.
+    #: By language, the log probability of a bucket that it lacks; by script what is added to a language for a letter of it.
     rest: np.ndarray
     scripts: np.ndarray
 
@@ -109,7 +124,9 @@ class Model:
 
 
 def train(docs: DataFrame, p: Params = Params()) -> Model:
-    """A model from labelled rows (doc_id, text, lang not null). Every label is learned."""
+    """A model from labelled rows (doc_id, text, lang not null). Every label is learned, from about p.sample of its documents; a null doc_id
+    is a row like any other.
+    """
     counts = sorted(docs.groupBy("lang").count().collect())  # a row for each label
     names, kinds = [x.lang for x in counts], len(SCRIPTS) + 1
     shares = docs.sparkSession.createDataFrame([(x.lang, k, min(1.0, p.sample / x["count"])) for k, x in enumerate(counts)], "lang string, k int, share double")
@@ -123,17 +140,19 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
             for a, b in slices(offsets, 1 << 20):
                 w = _Letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 grams = np.repeat(langs[a:b], np.diff(w.at))[w.inside] + w.bucket[w.inside]
-                scripts = np.repeat(np.repeat(langs[a:b], np.diff(w.first)) + BUCKETS + w.script, w.ends - w.starts)
+                scripts = np.repeat(langs[a:b], np.diff(w.at))[w.letter] + BUCKETS + w.script[w.letter]
                 at, n = np.unique(np.concatenate([grams, scripts]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32)), pa.array(n.astype(np.int64))], ["k", "gram", "n"])
 
-    rows = chosen.mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n")).toPandas()  # the trigrams that each language has
+    grams = chosen.mapInArrow(count, "k int, gram int, n long").groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("k", F.col("gram") >= BUCKETS).orderBy(F.desc("n"), "gram"))
+    rows = grams.withColumn("place", place).where(F.col("place") <= p.grams).drop("place").toPandas()  # p.grams and the scripts for each label at most
     k, gram, n = (rows[c].to_numpy() for c in ("k", "gram", "n"))
     letters = np.zeros((kinds, len(names)))
     letters[gram[gram >= BUCKETS] - BUCKETS, k[gram >= BUCKETS]] = n[gram >= BUCKETS]
     k, gram, n = (x[gram < BUCKETS] for x in (k, gram, n))
     total = np.bincount(k, n, len(names)) + 0.05 * BUCKETS
-    order = np.argsort(gram, kind="stable")
+    order = np.lexsort((k, gram))
     own = letters >= p.script_share * np.maximum(letters.sum(0), 1)
     return Model(
         names,
@@ -146,22 +165,27 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
 
 
 def _scores(m: Model, w: _Letters) -> np.ndarray:
-    """Log likelihood of each word by language, summed over blocks of letters, so that the table of letters stays small."""
+    """Log likelihood of each word by language, with a large loss for each letter of a script that isn't the language's; summed over
+    blocks of letters, so that the table of letters stays small.
+    """
     k, n = len(m.languages), len(w.bucket)
     seen = np.zeros(BUCKETS, bool)
     seen[w.bucket] = True
-    table, place = m.table(np.flatnonzero(seen)), np.cumsum(seen) - 1
+    table, place, narrow = m.table(np.flatnonzero(seen)), np.cumsum(seen) - 1, m.scripts.any(1)
     out, carry, step = np.zeros((len(w.starts), k)), np.zeros((1, k)), max(1, (1 << 23) // k)
     for a in range(0, n, step):
         b = min(a + step, n)
-        sums = np.concatenate([carry, table[place[w.bucket[a:b]]]])
+        each = table[place[w.bucket[a:b]]]
+        foreign = np.flatnonzero(w.letter[a:b] & narrow[w.script[a:b]])
+        each[foreign] += m.scripts[w.script[a:b][foreign]]
+        sums = np.concatenate([carry, each])
         np.cumsum(sums, 0, out=sums)
         x, y = np.searchsorted(w.starts, (a, b))
         out[x:y] -= sums[w.starts[x:y] - a]
         x, y = np.searchsorted(w.ends, (a, b), "right")
         out[x:y] += sums[w.ends[x:y] - a]
         carry = sums[-1:]
-    return out + m.scripts[w.script]
+    return out
 
 
 def _paths(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
@@ -213,8 +237,9 @@ def identify(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     names give way.
 
     lang_pred is the language with most letters over the labelled words, ties by name; score is the letters' mean of the word's
-    posterior where its label is lang_pred, else 0. Null or empty text, text without letters, or a model without languages:
-    `und`, 0 and no spans. No rows: no rows.
+    posterior where its label is lang_pred, else 0. A letter is a code point of the Unicode categories L; marks belong to the word they
+    stand in. Null or empty text, text without letters, or a model without languages: `und`, 0 and no spans. Repeated rows each get
+    their result. Very long texts: alone, by blocks of letters. No rows: no rows.
     """
     shared, names = docs.sparkSession.sparkContext.broadcast(model), np.array([*model.languages, "und"], object)
 
@@ -235,7 +260,7 @@ def identify(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
             soft = soft / soft.sum(1, keepdims=True)
             cuts = w.first
             paths = _paths([each[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], p.switch)
-            letters = w.ends - w.starts
+            letters = w.letters
             for d, path in enumerate(paths):
                 if not len(path):
                     preds.append(k)
@@ -257,5 +282,5 @@ def identify(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id"):
-    """The fold that training never sees: crc32 of doc_id as text, modulo 5, is 0."""
+    """The fold that training never sees: crc32 of doc_id as text, modulo 5, is 0. A null doc_id is in no fold: null, neither learned nor held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0

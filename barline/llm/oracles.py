@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from barline.llm.decontamination import MASKS, SPAN
-from barline.llm.licenses import CUES, LEAST, TEMPLATES
+from barline.llm.licenses import COMMENT, CUES, LEAST, TEMPLATES
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -51,15 +51,25 @@ WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, ''
 ), b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM benchmark
 ), dw AS (SELECT doc_id, t, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM d
 ), bw AS (SELECT item_id, t, unnest(range(1, len(t) - {SPAN - 2})) AS i FROM b
-), ds AS (SELECT doc_id, i, unnest([{_MASKED}]) AS seed FROM dw
-), bs AS (SELECT DISTINCT item_id, i, unnest([{_MASKED}]) AS seed FROM bw
-), hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (seed)
+), few AS (SELECT item_id, t, len(t) AS n FROM b WHERE len(t) BETWEEN 1 AND {SPAN - 1}
+), dn AS (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM few)
+), ds AS (SELECT doc_id, i, unnest([{_MASKED}]) AS seed FROM dw UNION ALL SELECT doc_id, i, n || ':' || array_to_string(t[i:i + n - 1], ' ') FROM dn
+), bs AS (SELECT item_id, i, unnest([{_MASKED}]) AS seed FROM bw UNION ALL SELECT item_id, 1, n || ':' || array_to_string(t, ' ') FROM few
+), hits AS (SELECT doc_id, item_id, ds.i - bs.i AS shift, list(DISTINCT bs.i) AS at FROM ds JOIN bs USING (seed) GROUP BY ALL
 ), v AS (
-  SELECT doc_id, item_id, len(b.t) AS n, len(list_filter(range(1, len(b.t) + 1), lambda k: k + shift >= 1 AND d.t[k + shift] IS NOT DISTINCT FROM b.t[k])) AS matched
+  SELECT doc_id, item_id, at, len(b.t) AS n, list_transform(range(1, len(b.t) + 1), lambda k: k + shift >= 1 AND d.t[k + shift] IS NOT DISTINCT FROM b.t[k]) AS same
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
-), m AS (SELECT doc_id, item_id, max(matched) AS matched, max(n) AS n FROM v GROUP BY ALL)
-SELECT doc_id, count(*) AS n_items, max(matched) AS most_matched, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items
-FROM m WHERE matched >= 0.5 * n AND matched >= 10 GROUP BY doc_id
+), m AS (
+  SELECT doc_id, item_id, max(n) AS n, max(len(list_filter(same, lambda x: x))) AS matched,
+         max(list_max(list_transform(string_split_regex(array_to_string(list_transform(same, lambda x: CASE WHEN x THEN '1' ELSE '0' END), ''), '0+'), lambda x: length(x)))) AS longest
+  FROM v GROUP BY ALL
+), near AS (
+  SELECT doc_id, item_id, count(DISTINCT k) AS around
+  FROM (SELECT doc_id, item_id, unnest(list_filter(range(1, n + 1), lambda k: same[k] AND len(list_filter(at, lambda a: k >= a AND k < a + {SPAN})) > 0)) AS k FROM v) GROUP BY ALL
+)
+SELECT doc_id, count(*) AS n_items, max(matched) AS most_matched, max(longest) AS longest_run, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items
+FROM m JOIN near USING (doc_id, item_id)
+WHERE (greatest(matched, around) >= 0.5 * n AND greatest(matched, around) >= 10) OR (longest = n AND n >= 5) OR longest >= 13 GROUP BY doc_id
 """
 
 OP8 = f"""
@@ -99,40 +109,50 @@ SELECT a.doc_id, a.n AS n_chars, sha256(a.edited) AS edited_sha256, coalesce(arr
 FROM s a JOIN s b ON b.doc_id = a.next_id
 """
 
-_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(TEMPLATES))
+_COMMENT = COMMENT.replace("'", "''")
 
 
 def _cued(text: str) -> str:
     return "(" + " OR ".join(f"contains({text}, '{c}')" for c in CUES) + ")"
 
 
+def _worded(text: str) -> str:
+    return f"array_to_string(list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda t: t <> ''), ' ')"
+
+
 OP10 = f"""
 WITH f AS (
-  SELECT doc_id, coalesce(text, '') AS text, '/' || source || '/' || doc_id // 1000 || '/' || doc_id // 100 AS dir, '/' || source || '/' || doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id AS path FROM documents
-), lines AS (
-  SELECT DISTINCT path, lower(line) AS line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f WHERE {_cued("lower(text)")}) WHERE {_cued("lower(line)")}
-), worded AS (SELECT DISTINCT line FROM lines
-), terms AS (
-  SELECT line, token, count(*) AS tf FROM (SELECT line, unnest(string_split_regex(line, '[^a-z0-9]+')) AS token FROM worded) WHERE token <> '' GROUP BY ALL
+  SELECT doc_id, coalesce(text, '') AS text, '/' || coalesce(source, 'unknown') || '/' || doc_id // 1000 || '/' || doc_id // 100 AS dir,
+         '/' || coalesce(source, 'unknown') || '/' || doc_id // 1000 || '/' || doc_id // 100 || '/' || doc_id AS path, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), cued AS (SELECT *, coalesce(nullif(list_position(list_transform(lines, lambda x: regexp_matches(x, '{_COMMENT}')), false), 0), len(lines) + 1) AS code FROM f WHERE {_cued("lower(text)")}
+), units AS (
+  SELECT DISTINCT path, unit FROM (
+    SELECT path, {_worded("line")} AS unit FROM (SELECT path, unnest(lines) AS line FROM cued)
+    UNION ALL SELECT path, {_worded("array_to_string(lines[1:code - 1], ' ')")} FROM cued
+    UNION ALL SELECT path, {_worded("part")} FROM (SELECT path, unnest(string_split_regex(text, '\\n[^A-Za-z0-9\\n]*\\n')) AS part FROM cued)
+  ) WHERE {_cued("unit")}
+), worded AS (SELECT DISTINCT unit FROM units
+), terms AS (SELECT unit, token, count(*) AS tf FROM (SELECT unit, unnest(string_split(unit, ' ')) AS token FROM worded) GROUP BY ALL
 ), templates(template, license, line) AS (VALUES {_TEMPLATES}
 ), tt AS (
-  SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest(string_split_regex(lower(line), '[^a-z0-9]+')) AS token FROM templates) WHERE token <> '' GROUP BY ALL
+  SELECT template, license, token, count(*) AS tf FROM (SELECT template, license, unnest(string_split({_worded("line")}, ' ')) AS token FROM templates) GROUP BY ALL
 ), idf AS (
-  SELECT token, ln((1 + (SELECT count(*) + {len(TEMPLATES)} FROM worded)) / (1 + count(*))) + 1 AS idf FROM (SELECT line AS unit, token FROM terms UNION ALL SELECT CAST(template AS VARCHAR), token FROM tt) GROUP BY token
-), w AS (SELECT line, token, tf * idf AS w FROM terms JOIN idf USING (token)
+  SELECT token, ln((1 + (SELECT count(*) + {len(TEMPLATES)} FROM worded)) / (1 + count(*))) + 1 AS idf FROM (SELECT unit, token FROM terms UNION ALL SELECT CAST(template AS VARCHAR), token FROM tt) GROUP BY token
+), w AS (SELECT unit, token, tf * idf AS w FROM terms JOIN idf USING (token)
 ), u AS (SELECT template, license, token, tf * idf AS u FROM tt JOIN idf USING (token)
-), wn AS (SELECT line, sqrt(sum(w * w)) AS n FROM w GROUP BY line
+), wn AS (SELECT unit, sqrt(sum(w * w)) AS n FROM w GROUP BY unit
 ), un AS (SELECT template, sqrt(sum(u * u)) AS n FROM u GROUP BY template
 ), score AS (
-  SELECT line, license, max(score) AS score FROM (
-    SELECT w.line, u.license, round(sum(w * u) / (any_value(wn.n) * any_value(un.n)), 6) AS score
-    FROM w JOIN u USING (token) JOIN wn ON wn.line = w.line JOIN un USING (template) GROUP BY w.line, u.template, u.license
-  ) WHERE score >= {LEAST} GROUP BY line, license
+  SELECT unit, license, max(score) AS score FROM (
+    SELECT w.unit, u.license, round(sum(w * u) / (any_value(wn.n) * any_value(un.n)), 6) AS score
+    FROM w JOIN u USING (token) JOIN wn ON wn.unit = w.unit JOIN un USING (template) GROUP BY w.unit, u.template, u.license
+  ) WHERE score >= {LEAST} GROUP BY unit, license
 ), own AS (
-  SELECT path, license, score FROM (SELECT path, license, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, license) AS k FROM lines JOIN score USING (line)) WHERE k = 1
+  SELECT path, license, score FROM (SELECT path, license, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, license) AS k FROM units JOIN score USING (unit)) WHERE k = 1
 ), files AS (
-  SELECT path, dir FROM f WHERE {_cued("lower(text)")}
-    AND len(string_split_regex(array_to_string(list_filter(string_split(text, chr(10)), lambda x: {_cued("lower(x)")}), ' '), '\\s+')) >= 0.1 * len(string_split_regex(text, '\\s+'))
+  SELECT path, dir FROM cued
+  WHERE len(string_split_regex(array_to_string(list_filter(lines, lambda x: {_cued(_worded("x"))}), ' '), '\\s+')) >= 0.1 * len(string_split_regex(text, '\\s+'))
 ), sources AS (SELECT dir, arg_min(license, path) AS license FROM files JOIN own USING (path) GROUP BY dir
 ), up AS (
   SELECT dir, k, array_to_string(string_split(dir, '/')[1:k], '/') AS from_dir FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS k FROM (SELECT DISTINCT dir FROM f))

@@ -65,7 +65,7 @@ def op5_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("matched").cast("long").alias("most_matched"), F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("items"))
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.max("matched").cast("long").alias("most_matched"), F.max("longest").cast("long").alias("longest_run"), F.array_join(F.array_sort(F.collect_set("item_id")).cast("array<string>"), ",").alias("items"))
 
 
 def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: a directory for each source, in it one for each thousand and in that for each hundred ids."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.expr("doc_id div 1000"), F.lit("/"), F.expr("doc_id div 100"), F.lit("/"), F.col("doc_id"))
+    path = F.concat(F.lit("/"), F.coalesce("source", F.lit("unknown")), F.lit("/"), F.expr("doc_id div 1000"), F.lit("/"), F.expr("doc_id div 100"), F.lit("/"), F.col("doc_id"))
     found = licenses.scan(docs.select(path.alias("path"), "text"))
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_dir")
 

@@ -22,7 +22,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,secret_start:int>>"
 
 #: The characters a candidate consists of; the models' states.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: Random strings are labelled samples of these alphabets, by name.
+#: Alphabets of random strings, smallest first; a labelled value belongs to the first one that has all its characters.
 RANDOM = {"hex": b"0123456789abcdef", "upper_hex": b"0123456789ABCDEF", "base36": ALPHABET[26:62], "base62": ALPHABET[:62], "base64": ALPHABET[:64], "base64url": ALPHABET[:62] + b"_-"}
 
 _STATE = np.full(256, -1, np.int16)
@@ -39,8 +39,11 @@ _N = len(ALPHABET)
 class Params:
     #: Documents that the ordinary model is trained on at most, about; chosen by hash.
     sample: int = 20_000
-    #: Strings of 40 characters for each random alphabet.
+    #: Strings of 40 characters for each random alphabet, labelled random because they are drawn so.
     strings: int = 4_000
+    #: Values in base spans are labelled random from so many characters on, and count this often, all together as much as those drawn at most.
+    labelled: int = 16
+    weight: int = 10
     #: The ordinary model learns from shorter runs only; a secret may have any length.
     shortest: int = 20
     #: Share of an even distribution in the ordinary model, so that no single unseen pair is evidence enough.
@@ -102,39 +105,57 @@ def _logs(counts: np.ndarray, prior: float, even: float = 0.0) -> np.ndarray:
     return np.log((1 - even) * table / table.sum(1, keepdims=True) + even / _N)
 
 
+def _alphabet(value: bytes) -> int:
+    """The first random alphabet that has all characters of a value, or -1."""
+    held = set(value)
+    return next((k for k, letters in enumerate(RANDOM.values()) if held <= set(letters)), -1)
+
+
 def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
     """Log-likelihood ratios of character pairs, for each random alphabet against ordinary identifiers.
 
-    Labelled samples: seeded random strings of each alphabet, and as ordinary identifiers, words and numbers the runs outside base
-    spans of fewer than p.shortest characters, of about p.sample documents that a hash of doc_id chooses.
+    Labelled samples, from about p.sample documents that a hash of doc_id chooses: random are the values in base spans (keys, digests
+    and what is assigned to a password or token) of p.labelled characters or more, beside drawn strings of each alphabet; ordinary
+    are the runs outside base spans of fewer than p.shortest characters: words, names, paths and numbers.
     """
     n = docs.count()
-    part = min(1.0, p.sample / max(n, 1))
+    part, size = min(1.0, p.sample / max(n, 1)), (_N + 1) * _N
 
     def count(batches):
+        known: set[bytes] = set()  # a value of many documents counts once in a task
         for batch in batches:
-            total = np.zeros((_N + 1) * _N, np.int64)
+            total = np.zeros((1 + len(RANDOM), size), np.int64)
             data, offsets = text_bytes(batch.column("text"))
             for a, b in slices(offsets):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                starts, ends, pairs = _outside(part, own, [base_spans(part[x:y].tobytes()) for x, y in zip(own[:-1], own[1:], strict=True)])
+                texts = [part[x:y].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)]
+                base = [base_spans(t) for t in texts]
+                starts, ends, pairs = _outside(part, own, base)
                 edge = np.zeros(len(part) + 1, np.int8)
                 short = ends - starts < p.shortest
                 edge[starts[short]] += 1
                 edge[ends[short]] -= 1
-                total += np.bincount(pairs[np.cumsum(edge[:-1]) > 0], minlength=len(total))
+                total[0] += np.bincount(pairs[np.cumsum(edge[:-1]) > 0], minlength=size)
+                for text, spans in zip(texts, base, strict=True):
+                    for value in {text[z:y].rstrip(b"=") for _, _, y, z in spans if y - z >= p.labelled} - known:
+                        known.add(value)
+                        if (k := _alphabet(value)) >= 0:
+                            total[1 + k] += _transitions([value])
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total.ravel()[at])], ["kind", "pair", "n"])
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).select("text")
-    rows = chosen.mapInArrow(count, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # a row for each pair of characters
-    ordinary = np.zeros((_N + 1) * _N, np.int64)
-    for pair, seen in rows:
-        ordinary[pair] = seen - 1  # seen once, a pair may come from the very secret in question
+    rows = chosen.mapInArrow(count, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect()  # a row for each pair of characters
+    counts = np.zeros((1 + len(RANDOM), size), np.int64)
+    for kind, pair, seen in rows:
+        # seen once, an ordinary pair may come from the very secret in question
+        counts[kind, pair] = seen - 1 if kind == 0 else seen
     rng, out = np.random.default_rng(20), []
-    for letters in RANDOM.values():
-        strings = np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), (p.strings, 40))]
-        out.append(_logs(_transitions([x.tobytes() for x in strings]), 1.0) - _logs(ordinary, 20.0, p.even))
+    for k, letters in enumerate(RANDOM.values()):
+        drawn = np.frombuffer(letters, np.uint8)[rng.integers(0, len(letters), (p.strings, 40))]
+        random = _transitions([x.tobytes() for x in drawn])
+        random = random + counts[1 + k] * min(p.weight, random.sum() / max(counts[1 + k].sum(), 1))
+        out.append(_logs(random, 1.0) - _logs(counts[0], 20.0, p.even))
     ratios, digits = np.array(out), slice(52, 62)
     ratios[:, digits, digits] = np.minimum(ratios[:, digits, digits], 0)  # a number is ordinary, also where the sample has none
     return ratios
@@ -199,7 +220,8 @@ def scan(docs: DataFrame, p: Params = Params(), mark: str = "<SECRET>") -> DataF
     characters or more), access (AKIA and capitals or digits, 16 or more), hex (32 or more of 0-9a-f). markov adds, of the runs of the
     alphabet outside base spans, the stretches of any length whose likelihood ratio of random to ordinary reaches p.least.
 
-    Null text: no secrets, masked stays null. Empty text: none. Null doc_id: scanned, not trained on. No rows: no rows.
+    Null text: no secrets, masked stays null. Empty text: none. Null doc_id: scanned, not trained on. Repeated rows each get their result.
+    Very long texts: alone. No rows: no rows.
     """
     ratios = train(docs.select("doc_id", "text").where("doc_id is not null"), p)
 

@@ -15,9 +15,11 @@ from barline.llm._text import Words, mix, sliced_words, slices, text_bytes
 #: Perfect difference covers by period. Any two residues have a shift that brings both into the cover.
 COVERS = {3: (1, 2), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14)}
 
-#: A hash that a row of texts has: h and more are independent; twice: it is known to repeat; part: 0, or any number for a row
-#: that needs no meeting, so that a hash of very many texts is dealt to many tasks.
-_ROWS = "h long, more long, key long, twice boolean, part int"
+#: A hash that a row of texts has. Rows meet by h and part. Part is 0 for an anchor, FAR or more (with a second hash of the text) for a whole
+#: text; between them, and below 0, it marks rows that are known to repeat: they need no meeting, and their parts spread them over all tasks.
+#: For windows part holds a second hash whose low bits are 0, or any others for a row that is known to repeat.
+_ROWS = "h long, part long, key long"
+FAR, LOW = 1 << 62, (1 << 16) - 1
 
 
 def _period(window: int) -> int:
@@ -33,20 +35,34 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _met(h: np.ndarray, more: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """Rows of a slice's hashes, once for each key. Of equal hashes the one with the smallest key goes to the meeting, marked if
-    there are several; the others are settled.
+def _met(h: np.ndarray, part: np.ndarray, key: np.ndarray, known) -> pa.RecordBatch:
+    """Rows of a slice's hashes, once for each key. Of equal ones the first key's goes to the meeting for all; if there are several, each is also
+    known to repeat, under the part that known(part, key, first) gives it.
     """
-    order = np.lexsort((key, more, h))
-    h, more, key = h[order], more[order], key[order]
+    order = np.lexsort((key, part, h))
+    h, part, key = h[order], part[order], key[order]
     lead, own = np.ones(len(h), bool), np.ones(len(h), bool)
-    lead[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
+    lead[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
     own[1:] = lead[1:] | (key[1:] != key[:-1])
-    at = np.flatnonzero(lead)
-    twice = np.repeat(np.diff(np.append(at, len(h))) > 1, np.diff(np.append(at, len(h))))
-    part = np.where(lead, 0, 1 + (mix(key.astype(np.uint64), 5) >> np.uint64(40)).astype(np.int64)).astype(np.int32)
-    columns = [h.view(np.int64), more.view(np.int64), key, twice, part]
-    return pa.RecordBatch.from_arrays([pa.array(c[own]) for c in columns], ["h", "more", "key", "twice", "part"])
+    size = np.diff(np.append(np.flatnonzero(lead), len(h)))
+    several = np.repeat(size > 1, size) & own
+    parts = np.concatenate([part[lead], known(part[several], key[several], lead[several])])
+    columns = (np.concatenate([h[lead], h[several]]).view(np.int64), parts, np.concatenate([key[lead], key[several]]))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "part", "key"])
+
+
+def _spread_of(key: np.ndarray, size: int) -> np.ndarray:
+    return (mix(key.astype(np.uint64), 5) % np.uint64(size)).astype(np.int64)
+
+
+def _known_anchor(part: np.ndarray, key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of a whole text an odd number below 0 for the first in the slice, an even one for another."""
+    s = _spread_of(key, 1 << 24)
+    return np.where(part < FAR, 1 + s, np.where(first, -1, -2) - 2 * s)
+
+
+def _known_window(part: np.ndarray, key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return part | (1 + _spread_of(key, LOW))
 
 
 def _covered(window: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +89,7 @@ def _wholes(w: Words) -> np.ndarray:
 
 
 def _anchors(window: int):
-    """Each text's distinct anchor hashes (more: 0) and its whole word sequence (more: never 0).
+    """Each text's distinct anchor hashes and its whole word sequence.
 
     Equal sequences in one slice send their anchors once, under the smallest key.
     """
@@ -85,14 +101,14 @@ def _anchors(window: int):
             for a, b, w in sliced_words(batch.column("text")):
                 n = np.diff(w.first)
                 long = np.flatnonzero(n >= window)
-                whole, more, own = w.sequences(long), w.sequences(long, 1) | np.uint64(1), keys[a:b][long]
+                whole, more, own = w.sequences(long), (w.sequences(long, 1) >> np.uint64(2)).astype(np.int64) + FAR, keys[a:b][long]
                 order = np.lexsort((own, more, whole))
                 lead = np.ones(len(order), bool)
                 lead[1:] = (whole[order][1:] != whole[order][:-1]) | (more[order][1:] != more[order][:-1])
                 keep = np.sort(order[lead])
                 group, place = _covered(window, n[long][keep])
                 h = w.windows(w.first[long[keep]][group] + place, length)
-                yield _met(np.concatenate([h, whole]), np.concatenate([np.zeros(len(h), np.uint64), more]), np.concatenate([own[keep][group], own]))
+                yield _met(np.concatenate([h, whole]), np.concatenate([np.zeros(len(h), np.int64), more]), np.concatenate([own[keep][group], own]), _known_anchor)
 
     return run
 
@@ -127,7 +143,7 @@ def _extended(window: int):
                     own.append(np.full(len(starts), keys[a + k]))
                 if at:
                     begin = np.concatenate(at)
-                    yield _met(w.windows(begin, window), w.windows(begin, window, 1), np.concatenate(own))
+                    yield _met(w.windows(begin, window), w.windows(begin, window, 1).view(np.int64) & ~LOW, np.concatenate(own), _known_window)
 
     return run
 
@@ -166,8 +182,8 @@ def _kept(window: int):
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """rows with the keys beside them that have the same hash."""
-    order = Window.partitionBy("h", "more", "part").orderBy("key")
+    """rows with the keys beside them that have the same hash and part."""
+    order = Window.partitionBy("h", "part").orderBy("key")
     return rows.select("*", F.lag("key").over(order).alias("before"), F.lead("key").over(order).alias("after"))
 
 
@@ -180,7 +196,7 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     Any two places of a repeated window have a common shift at which both lie on the difference cover, so every repeat shares an
     anchor hash (window - period + 1 words) there. Anchors that occur once go; around the others all windows are met in turn, by
-    two independent 64-bit hashes. Both meetings look at neighbours in sorted order and hold no group; what repeats within one
+    two independent hashes of 112 bits. Both meetings look at neighbours in sorted order and hold no group; what repeats within one
     slice of texts is settled there and sends one row for all, so that a passage of very many texts doesn't gather in one task. Texts of equal words
     are met in the first one too, by two independent hashes of the whole: one of them stands for all, as all their windows repeat.
 
@@ -189,13 +205,15 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("key"))
     found = _neighbours(docs.mapInArrow(_anchors(window), _ROWS))
-    again = F.col("twice") | F.col("before").isNotNull() | F.col("after").isNotNull()
-    first = (F.col("part") == 0) & F.col("before").isNull()
-    whole = F.col("more") != 0
+    part, met = F.col("part"), F.col("before").isNotNull() | F.col("after").isNotNull()
+    anchor, whole = part.between(0, FAR - 1), part >= FAR
+    equal = whole | (part < 0)
+    # another than the first of equal texts
+    other = F.when(whole, F.col("before").isNotNull()).otherwise((part < 0) & (part % 2 == 0))
     of = lambda kind: F.collect_list(F.when(kind, F.col("h")))
-    places = found.where(again).groupBy("key").agg(of(~whole).alias("anchors"), of(whole).alias("equal"), of(whole & first).alias("firsts"))
-    places = written(places.select("key", "anchors", "equal", F.array_except("equal", "firsts").alias("others")), "anchors")
+    places = found.where(met | ((part != 0) & ~whole)).groupBy("key").agg(of(anchor).alias("anchors"), of(equal).alias("equal"), of(other).alias("others"), of(whole & F.col("before").isNull()).alias("firsts"))
+    places = written(places.select("key", "anchors", "equal", F.array_except("others", "firsts").alias("others")), "anchors")
     extended = _neighbours(docs.join(places.drop("equal"), "key", "left").select("key", "text", "anchors", "others").mapInArrow(_extended(window), _ROWS))
-    repeated = extended.where(again).groupBy("key").agg(F.collect_list("h").alias("windows"))
+    repeated = extended.where(met | (part.bitwiseAND(LOW) != 0)).groupBy("key").agg(F.collect_list("h").alias("windows"))
     every = docs.join(places.select("key", "equal"), "key", "left").join(repeated, "key", "left")
     return every.select("doc_id", "text", "equal", "windows").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")

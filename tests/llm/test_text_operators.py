@@ -254,6 +254,44 @@ def test_secrets_inside_ordinary_runs(spark):
     assert keys[0] not in by[904] and by[904].startswith("<SECRET>-")
 
 
+def test_secrets_are_found_by_what_labelled_samples_teach(spark, sf_dir):
+    """Recall of random keys of several alphabets planted in documents that the model never saw, and stretches found in those without."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null")
+    rng = random.Random(17)
+    letters = {"base62": secrets.ALPHABET[:62].decode(), "base64url": secrets.ALPHABET[:62].decode() + "-_", "upper": "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"}
+    labelled = [(10_000 + k, f'config token = "{"".join(rng.choices(x, k=40))}" end') for k in range(60) for x in letters.values()]
+    ratios = secrets.train(docs.where("doc_id % 2 = 0").union(spark.createDataFrame(labelled, docs.schema)))
+    own = [(r.doc_id, r.text) for r in docs.where("doc_id % 2 = 1").collect()]
+    clean = found = planted = 0
+    keys = ["".join(rng.choices(x, k=n)) for x in letters.values() for n in (24, 32, 40) for _ in range(20)]
+    for k, (_, text) in enumerate(own):
+        data = np.frombuffer(text.encode(), np.uint8)
+        clean += len(secrets._markov(data, np.array([0, len(data)]), [secrets.base_spans(data.tobytes())], ratios, secrets.Params())[0])
+    for key in keys:
+        data = np.frombuffer(f"some words then {key} and more".encode(), np.uint8)
+        spans = secrets._markov(data, np.array([0, len(data)]), [[]], ratios, secrets.Params())[0]
+        planted += 1
+        found += any(a <= 16 + 3 and b >= 16 + len(key) - 3 for a, b in spans)
+    assert found >= 0.93 * planted and clean <= 0.01 * len(own)
+
+
+def test_labelled_values_shape_the_random_models(spark):
+    rng = random.Random(5)
+    plain = [(k, prose(rng, 60)) for k in range(40)]
+    odd = [(100 + k, f'secret: {"".join(rng.choices("QXZJqxzj9", k=30))}') for k in range(40)]
+    schema = "doc_id long, text string"
+    without, taught = (secrets.train(spark.createDataFrame(x, schema)) for x in (plain, plain + odd))
+    key = b"QzX9jqZxJQ9zXq"
+    score = lambda r: max(sum(r[k].reshape(-1)[a * len(secrets.ALPHABET) + b] for a, b in zip([len(secrets.ALPHABET), *(secrets.ALPHABET.index(x) for x in key[:-1])], [secrets.ALPHABET.index(x) for x in key], strict=True)) for k in range(len(r)))
+    assert score(taught) > score(without)
+
+
+def test_secrets_in_clashing_columns_and_long_texts(spark):
+    rows = [(1, "token = abcdefgh12345678", "x", 5), (2, None, "x", 5), (3, "plain words here " * 40_000, "x", 5)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, masked string, secrets int")).collect()}
+    assert got[1].masked == "token = <SECRET>" and got[2].masked is None and not got[3].secrets and got[3].masked == rows[2][1]
+
+
 def test_chat(spark):
     probe = "\\### Assistant: </turn> ok"
     turns = [
@@ -292,6 +330,72 @@ def test_html_consensus_overrules_a_page(spark):
     assert got[7] == "brief text here"
 
 
+def test_html_keeps_all_parts_of_an_article(spark):
+    words = lambda n, x: " ".join([x] * n)
+    menu = '<nav><a href="/">Home</a></nav><div class="top-menu"><a>one</a><a>two</a><a>three</a></div>'
+    pages = {
+        1: f'<body>{menu}<article><div class="intro"><p>{words(20, "lead")}</p></div><div class="body"><p>{words(200, "text")}</p></div></article><footer>end</footer></body>',
+        2: f'<body><div class="site has-sidebar"><div class="content"><p>{words(50, "text")}</p></div><div class="sidebar">{words(20, "side")}</div></div></body>',
+        3: f'<body><div class="post"><div class="post-header"><h1>Title</h1></div><div class="post-body"><p>{words(50, "text")}</p></div><div class="comments">{words(300, "reply")}</div></div><div class="related"><a>x</a></div></body>',
+        4: f'<body><form id="aspnet"><div class="main"><p>{words(50, "text")}</p></div><input name="q"></form></body>',
+        5: f'<body><h1>Title</h1><p>{words(30, "text")}</p><div class="ad">buy</div></body>',
+        6: f'<body><div class="story"><div class="lead">{words(20, "lead")}</div><div class="copy"><p>{words(80, "text")}</p><aside>more</aside></div></div><div class="newsletter"><p>{words(10, "mail")}</p></div></body>',
+        7: "<body>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</body>",
+    }
+    want = {1: f"{words(20, 'lead')}\n\n{words(200, 'text')}", 2: words(50, "text"), 3: f"Title\n\n{words(50, 'text')}", 4: words(50, "text"), 5: f"Title\n\n{words(30, 'text')}", 6: f"{words(20, 'lead')}\n\n{words(80, 'text')}", 7: "deep"}
+    rows = [(k, f"http://h{k}.org/", html) for k, html in pages.items()]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_html_against_marked_up_pages(spark):
+    """Every block of several hosts' templates is marked as article or not; precision and recall by words."""
+    rng, rows, truth = random.Random(21), [], {}
+    shells = [
+        "<body><header><a>{j0}</a></header><div id=wrap><div class='main-col'><h1>{a0}</h1><div class='entry e{n}'><p>{a1}</p><ul><li>{a2}</li></ul></div></div><div class='sidebar'><p>{j1}</p></div></div><footer>{j2}</footer></body>",
+        "<body><nav><a>{j0}</a></nav><main><section class=lead><p>{a0}</p></section><section><p>{a1}</p><p>{a2}</p></section><div class=share>{j1}</div></main><div class=cookie-banner>{j2}</div></body>",
+        "<body><table><tr><td class=menu><a>{j0}</a></td><td class=text><p>{a0}</p><p>{a1}</p><p>{a2}</p></td></tr></table><div class='comment-list'><p>{j1}</p></div><form>{j2}</form></body>",
+    ]
+    for k in range(60):
+        part = {f"a{i}": prose(rng, rng.randint(20, 120)) for i in range(3)} | {f"j{i}": prose(rng, rng.randint(2, 25)) for i in range(3)}
+        rows.append((k, f"http://host{k % 3}.org/{k}", shells[k % 3].format(n=k, **part)))
+        truth[k] = " ".join(part[f"a{i}"] for i in range(3))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    hit = sum((Counter(got[k].split()) & Counter(truth[k].split())).total() for k in truth)
+    assert hit >= 0.99 * sum(len(t.split()) for t in truth.values()) and hit >= 0.99 * sum(len(t.split()) for t in got.values())
+
+
+def exhaustive(doc, item, share=0.5, least=10, run=13):
+    """Whether an item is in a document, by all alignments of all tokens."""
+    t, w = (re.findall(r"[^\W_]+", x.lower()) for x in (doc, item))
+    for shift in range(-len(w), len(t)):
+        same = [0 <= k + shift < len(t) and t[k + shift] == x for k, x in enumerate(w)]
+        runs = max((len(x) for x in "".join("01"[s] for s in same).split("0")), default=0)
+        if (sum(same) >= share * len(w) and sum(same) >= least) or runs >= run or (runs == len(w) >= 5):
+            return True
+    return False
+
+
+def test_decontamination_recall(spark):
+    rng = random.Random(14)
+    vocabulary = [prose(rng, 1) + str(k) for k in range(400)]
+    text = lambda n: rng.choices(vocabulary, k=n)
+    items = [(k, text(rng.randint(14, 70))) for k in range(60)] + [(100 + k, text(rng.randint(5, 11))) for k in range(12)] + [(200, text(250))]
+    docs = []
+    for n, (k, w) in enumerate(items * 3):
+        own, rate = list(w), (0.0, 0.08, 0.15)[n // len(items)]
+        if len(own) > 11:
+            own = [x if rng.random() >= rate else rng.choice(vocabulary) for x in own]
+        docs.append((n, " ".join(text(30) + own + text(30))))
+    long = dict(items)[200]
+    docs += [(900, " ".join(text(20) + long[60:90] + text(20))), (901, " ".join(text(9) + long[:40] + text(3) + long[40:150] + text(5)))] + [(1000 + k, " ".join(text(120))) for k in range(40)]
+    made = decontamination.contaminated(frame(spark, docs), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in made.collect()}
+    want = {(d, k) for d, t in docs for k, w in items if exhaustive(t, " ".join(w))}
+    assert len(got & want) >= 0.97 * len(want) and not {d for d, _ in got} & set(range(1000, 1040))
+    assert {(900, 200), (901, 200)} <= got and all((n, k) in got for n, (k, w) in enumerate(items) if len(w) < 12)
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(k, prose(rng, 30)) for k in range(4)] + [(4, None), (5, "too short"), (None, prose(rng, 30)), (6, prose(rng, 13))]
@@ -311,6 +415,14 @@ def test_masks():
     assert all(len(m) == decontamination.SPAN for m in decontamination.MASKS)
 
 
+def test_long_texts_are_laid_out_in_pieces(spark, monkeypatch):
+    rng = random.Random(30)
+    item = prose(rng, 20)
+    doc = f"{prose(rng, 5000)} {item} {prose(rng, 4000)} {item}"
+    found = decontamination.overlaps(frame(spark, [(1, doc), (2, prose(rng, 12))]), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.matched, r.longest) for r in found] == [(1, 7, 20, 20)]
+
+
 def test_languages(spark):
     rng = random.Random(6)
     speak = {"en": "the of and ing tion with that".split(), "de": "der die und ung keit schaft für".split(), "ru": "это как что ния ость для при".split()}
@@ -326,6 +438,22 @@ def test_languages(spark):
     assert languages.identify(spark.createDataFrame(tests, "doc_id long, text string"), none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_letters_alone_make_words(spark):
+    speak = [(k, t, lang) for k, (t, lang) in enumerate([("the house and the sea", "en"), ("это дом и море", "ru"), ("ההר והים הגדול", "he")] * 8)]
+    model = languages.train(spark.createDataFrame(speak, "doc_id long, text string, lang string"))
+    tests = [(1, "\u0301\u0302 \u0303"), (2, "\U00030000\U00030001"), (3, "12 \u0301"), (4, "h\u0301ouse sea"), (5, "дом"), (6, "sea дом море это и"), (7, "the sea " * 60_000)]
+    got = {r.doc_id: r for r in languages.identify(spark.createDataFrame([(*t, "x", 1) for t in tests], "doc_id long, text string, lang_pred string, lang_spans int"), model).collect()}
+    assert [got[k].lang_pred for k in (1, 3)] == ["und", "und"] and got[2].lang_pred != "und" and got[4].lang_pred == "en" and got[5].lang_pred == "ru" and got[6].lang_pred == "ru" and got[7].lang_pred == "en"
+    assert got[1].score == 0 and not got[3].lang_spans
+    one = languages.identify(spark.createDataFrame(tests, "doc_id long, text string"), languages.train(spark.createDataFrame(speak, "doc_id long, text string, lang string"), languages.Params(grams=8)))
+    assert one.count() == len(tests)
+
+
+def test_languages_of_an_empty_table(spark):
+    model = languages.train(spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, lang string"))
+    assert languages.identify(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(3)
     scores = [rng.normal(0, 3, (n, 3)) + np.repeat(rng.normal(0, 2, (n // 5 + 1, 3)), 5, 0)[:n] for n in (0, 1, 2, 7, 40, 90)]
@@ -381,15 +509,25 @@ def test_merged_sketches(spark):
 
 
 def test_licenses(spark):
+    by_name = {}
+    for n, t in licenses.TEMPLATES:
+        by_name[n] = max(by_name.get(n, ""), t, key=len)
+    wrapped = lambda t, mark: "\n".join(f"{mark} {' '.join(t.split()[k : k + 9])}" for k in range(0, len(t.split()), 9))
     files = [
         ("/a/LICENSE", "Some header\nReleased under the MIT License."), ("/a/b/x.c", "int main"), ("/a/b/c/y.c", "Licensed under the Apache License, Version 2.0.\n" + "code " * 80),
         ("/a/b/c/z.c", None), ("/q/r.c", ""), (None, "Licensed under CC BY 4.0."), ("/q/r.c", ""), ("/z/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("/z/w", "a license was lost here somewhere else"),
+        *((f"/full/{n}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + wrapped(t, "")) for n, t in by_name.items()),
+        *((f"/head/{n}/main.c", wrapped("Copyright 2021 Other Author. " + t, " *" if k % 2 else "//") + "\nint main() { return 0; }\n" + "x = y;\n" * 300) for k, (n, t) in enumerate(by_name.items())),
+        ("/full/MIT/src/deep/a.py", "pass\n" * 50),
     ]
     got = licenses.scan(spark.createDataFrame([(*f, "x") for f in files], "path string, text string, dir string")).collect()
     by = {r.path: (r.license, r.origin, r.from_dir) for r in got}
     assert len(got) == len(files)
     assert by["/a/LICENSE"] == ("MIT", "stated", None) and by["/a/b/x.c"] == ("MIT", "inherited", "/a") and by["/a/b/c/y.c"] == ("Apache-2.0", "stated", None)
     assert by["/a/b/c/z.c"] == ("MIT", "inherited", "/a") and by["/q/r.c"] == (None, None, None) and by[None] == (None, None, None) and by["/z/w"] == ("GPL-3.0", "inherited", "/z")
+    for n in by_name:
+        assert by[f"/full/{n}/LICENSE"] == (n, "stated", None) and by[f"/head/{n}/main.c"][:2] == (n, "stated"), n
+    assert by["/full/MIT/src/deep/a.py"] == ("MIT", "inherited", "/full/MIT")
 
 
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
