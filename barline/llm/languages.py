@@ -52,12 +52,13 @@ class Params:
 @functools.cache
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: 1 for a letter, 2 for a mark, else 0; lower case; script of a letter."""
-    kinds = [unicodedata.category(chr(c)) for c in range(POINTS)]
-    kind = np.array([1 if k[0] == "L" else 2 if k[0] == "M" else 0 for k in kinds], np.uint8)
-    lower, script = np.arange(POINTS, dtype=np.uint32), np.zeros(POINTS, np.uint8)
+    kind, lower, script = np.zeros(POINTS, np.uint8), np.arange(POINTS, dtype=np.uint32), np.zeros(POINTS, np.uint8)
     for c in range(POINTS):
-        if kinds[c] == "Lu" and len(low := chr(c).lower()) == 1:
-            lower[c] = ord(low)
+        name = unicodedata.category(chr(c))
+        if name[0] in "LM":
+            kind[c] = 1 if name[0] == "L" else 2
+            if name == "Lu" and len(low := chr(c).lower()) == 1:
+                lower[c] = ord(low)
     for i, (_, ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
             script[a : b + 1] = i + 1
