@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the template: what opens a turn's header, what ends the header, what closes a turn.
@@ -33,18 +33,17 @@ def examples(turns: DataFrame) -> DataFrame:
     """
     text = escaped(F.col("text"))
     head = F.concat(F.lit(OPEN), F.url_encode(F.coalesce("role", F.lit(""))), F.lit(HEADED))
-    row = F.struct("turn", "role", F.col("text").alias("raw"), head.alias("head"), text.alias("body"), F.char_length(head).alias("nh"), F.char_length(text).alias("nb"), (F.lower("role").eqNullSafe("assistant")).alias("reply"))
-    held = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
-    whole = F.array_join(F.transform("t", lambda x: F.concat(x.head, x.body, F.lit(CLOSE))), "")
-    shape = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<end:int,start:int,stop:int,reply:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start, stop = acc.end + x.nh, acc.end + x.nh + x.nb
-        end = stop + len(CLOSE)
-        return F.struct(end.alias("end"), F.concat(acc.out, F.array(F.struct(end.alias("end"), start.alias("start"), stop.alias("stop"), x.reply.alias("reply")))).alias("out"))
-
-    marks = F.aggregate("t", shape, step, lambda acc: acc.out)
-    marks = F.filter(marks, lambda x, i: x.reply | (i == F.size("t") - 1))
+    first = lambda c: F.col(c).asc_nulls_first()
+    by = Window.partitionBy("conv_id").orderBy(first("turn"), first("role"), first("text"))
+    t = turns.select("conv_id", "turn", "role", "text", head.alias("head"), text.alias("body"), F.row_number().over(by).alias("place"))
+    size = F.char_length("head") + F.char_length("body") + len(CLOSE)
+    t = t.withColumn("end", F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    stop = F.col("end") - len(CLOSE)
+    row = F.struct("place", F.concat("head", "body", F.lit(CLOSE)).alias("said"), "end", (stop - F.char_length("body")).alias("start"), stop.alias("stop"), F.lower("role").eqNullSafe("assistant").alias("reply"))
+    held = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("t"))
+    whole = F.array_join(F.transform("t", lambda x: x.said), "")
+    marks = F.filter("t", lambda x, i: x.reply | (i == F.size("t") - 1))
+    marks = F.transform(marks, lambda x: F.struct(x.end.alias("end"), x.start.alias("start"), x.stop.alias("stop"), x.reply.alias("reply")))
     laid = held.select("conv_id", whole.alias("whole"), marks.alias("marks"))
     each = laid.select("conv_id", "whole", F.size("marks").alias("n"), F.posexplode("marks").alias("i", "m"))
     return each.select(
