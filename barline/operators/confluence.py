@@ -27,9 +27,11 @@ def confluence(found: DataFrame, longer: DataFrame, z: ZoneConfig = ZoneConfig()
     ties; without one the distance and strength are null and the flags false.
     """
     own = found.select("symbol", "zone_id", "type", "top", "bottom", "midpoint", "avg_atr", "formation_ts", "formation_idx")
-    seen = longer.select(F.col("symbol").alias("s_symbol"), "close_ts", "close", "ema20", F.col("atr").alias("h_atr"))
-    last = own.join(seen, (F.col("symbol") == F.col("s_symbol")) & (F.col("close_ts") <= F.col("formation_ts")))
-    last = last.groupBy("symbol", "zone_id").agg(F.max_by(F.struct("close", "ema20", "h_atr"), "close_ts").alias("w"))
+    # as of formation: both in one sorted pass, each zone takes over the last longer bar before it
+    seen = longer.select("symbol", F.col("close_ts").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("zone_id"), F.struct("close", "ema20", F.col("atr").alias("h_atr")).alias("w"))
+    asked = own.select("symbol", F.col("formation_ts").alias("t"), F.lit(1).alias("kind"), "zone_id", F.lit(None).cast(seen.schema["w"].dataType).alias("w"))
+    by = Window.partitionBy("symbol").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = seen.union(asked).withColumn("w", F.last("w", ignorenulls=True).over(by)).where("kind = 1").select("symbol", "zone_id", "w")
     hz = written(zone_ops.scored_zones(longer, z), "longer_zones")
     closes = longer.select("symbol", F.col("idx").alias("formation_idx"), F.col("close_ts").alias("h_formed"))
     hz = hz.join(closes, ["symbol", "formation_idx"]).select(
@@ -65,4 +67,4 @@ def confluence(found: DataFrame, longer: DataFrame, z: ZoneConfig = ZoneConfig()
         + 0.15 * trend
         + 0.10 * F.col("htf_zone_fresh").cast("double")
     )
-    return out.withColumn("htf_confluence", F.round(score, 4)).drop("w", "n", "held", "agrees", "touches")
+    return out.withColumn("htf_confluence", F.round(score + 1e-9, 4)).drop("w", "n", "held", "agrees", "touches")

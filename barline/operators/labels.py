@@ -28,13 +28,18 @@ def context(bars: DataFrame, zones: DataFrame) -> DataFrame:
     """Adds counts of active zones, the nearest demand and supply zone, and whether the close lies in one.
 
     A zone is active from its formation, not on its invalidation bar. Nearest: the smallest distance among zones on the expected side
-    of the close, else the smallest distance at all; the earlier zone on ties. One pass of bars over the zones of their symbol.
+    of the close, else the smallest distance at all; the earlier zone on ties. Bars and zones meet by symbol and day, so that a symbol with a long
+    history is many tasks.
     """
-    z = prepared(zones).select(F.col("symbol").alias("z_symbol"), "zone_id", "type", "structure", "top", "bottom", "zone_strength", "formation_ts", "invalidation_ts")
-    b = bars.select("symbol", "ts", "close")
-    live = (F.col("symbol") == F.col("z_symbol")) & (F.col("formation_ts") <= F.col("ts")) & (F.col("invalidation_ts").isNull() | (F.col("ts") < F.col("invalidation_ts")))
+    day = lambda c: F.col(c).cast("date")
+    b = bars.select("symbol", "ts", "close", day("ts").alias("day"))
+    ends = b.groupBy("symbol").agg(F.max("day").alias("last_day"))
+    z = prepared(zones).select("symbol", "zone_id", "type", "structure", "top", "bottom", "zone_strength", "formation_ts", "invalidation_ts").join(ends, "symbol")
+    until = F.least(F.coalesce(day("invalidation_ts"), F.col("last_day")), F.col("last_day"))
+    z = z.where(day("formation_ts") <= until).withColumn("day", F.explode(F.sequence(day("formation_ts"), until))).drop("last_day")
+    live = (F.col("formation_ts") <= F.col("ts")) & (F.col("invalidation_ts").isNull() | (F.col("ts") < F.col("invalidation_ts")))
     dist = F.when(F.col("type") == "demand", F.col("close") - F.col("top")).otherwise(F.col("bottom") - F.col("close"))
-    pairs = b.join(z, live).withColumns({"dist": dist, "within": (F.col("bottom") <= F.col("close")) & (F.col("close") <= F.col("top"))})
+    pairs = b.join(z, ["symbol", "day"]).where(live).withColumns({"dist": dist, "within": (F.col("bottom") <= F.col("close")) & (F.col("close") <= F.col("top"))})
     rank = F.struct(F.when(F.col("dist") >= 0, 0).otherwise(1), F.abs(F.col("dist")), F.col("formation_ts"), F.col("zone_id"))
     aggs = []
     for t in ("demand", "supply"):

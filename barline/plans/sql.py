@@ -202,7 +202,7 @@ conf0 AS (
 ),
 conf AS (
   SELECT *, round(0.3 * CAST(htf_in_zone AS INT) + 0.25 * CASE WHEN htf_dist_atr IS NULL THEN 0 ELSE greatest(least(1 - htf_dist_atr / 2, 1), 0) END + 0.2 * coalesce(htf_zone_strength, 0)
-    + 0.15 * CASE WHEN htf_trend_align IS NULL THEN 0.5 ELSE greatest(least(0.5 + htf_trend_align / 4, 1), 0) END + 0.1 * CAST(htf_zone_fresh AS INT), 4) AS htf_confluence FROM conf0
+    + 0.15 * CASE WHEN htf_trend_align IS NULL THEN 0.5 ELSE greatest(least(0.5 + htf_trend_align / 4, 1), 0) END + 0.1 * CAST(htf_zone_fresh AS INT) + 1e-9, 4) AS htf_confluence FROM conf0
 )"""
     )
 
