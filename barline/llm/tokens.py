@@ -173,17 +173,24 @@ def _owned(path: str):
     return run
 
 
+def _safe(data: np.ndarray) -> np.ndarray:
+    """Places between a character that isn't white space and an ASCII blank, where the splitting pattern always has a boundary. Of characters
+    beyond ASCII those that may be a blank go by their first bytes (U+0085, U+00A0, U+1680, U+2000 to 207F, U+3000 to 307F).
+    """
+    last, one, two = data[:-1], np.concatenate([[0], data[:-2]]), np.concatenate([[0, 0], data[:-3]])[: len(data) - 1]
+    wide = (last >= 0x80) & ~((one == 0xC2) & np.isin(last, (0x85, 0xA0))) & ~(np.isin(two, (0xE1, 0xE2, 0xE3)) & np.isin(one, (0x80, 0x81, 0x9A)))
+    return np.flatnonzero((_PRINTED[last] | wide) & _GAP[data[1:]]) + 1
+
+
 def _spliced(c: Codec, text: bytes, pieces: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     """The tokens of text from those of its consecutive pieces (start, end, ids); exact.
 
-    Between a printed ASCII character and a blank the splitting pattern always has a boundary. A window from the last such place of the
-    piece before a join to the first one of the piece after it is encoded again; where a piece has none, or its tokens don't
-    have a boundary there, the window grows on.
+    A window from the last safe place of the piece before a join to the first one of the piece after it is encoded again; where a piece has
+    none, as in scripts without blanks, or its tokens don't have a boundary there, the window grows on.
     """
     if len(pieces) == 1:
         return pieces[0][2]
-    data = np.frombuffer(text, np.uint8)
-    safe = np.flatnonzero(_PRINTED[data[:-1]] & _GAP[data[1:]]) + 1
+    safe = _safe(np.frombuffer(text, np.uint8))
     out, done, n = [], 0, len(pieces)  # done: up to here out is exact
     for k, (a, b, ids) in enumerate(pieces):
         ends = a + np.cumsum(c.length[ids])

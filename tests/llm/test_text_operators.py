@@ -165,6 +165,49 @@ def test_near_duplicates(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
 
 
+def test_near_duplicates_in_hot_groups(spark, monkeypatch):
+    """Families of copies on both sides of the threshold, in buckets of several blocks, against all pairs."""
+    monkeypatch.setattr(near_dups, "BLOCK", 30)
+    rng = random.Random(41)
+    rows = []
+    for family in range(3):
+        base = prose(rng, 90).split()
+        for _ in range(110):
+            own = list(base)
+            for _ in range(rng.randint(0, 7)):
+                own[rng.randrange(len(own))] = prose(rng, 1)
+            rows.append(" ".join(own[: rng.choice([90, 90, 90, 80, 70])]))
+    rows += [rows[0]] * 40
+    rng.shuffle(rows)
+    sets, root = [shingles(t) for t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = near_dups.near_duplicates(frame(spark, list(enumerate(rows)))).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(rows))}
+    assert 3 < len({find(i) for i in range(len(rows))}) < 300
+
+
+def test_parities_bound_the_distance(spark):
+    rng = random.Random(6)
+    texts = [(k, prose(rng, rng.randint(1, 400))) for k in range(30)] + [(30 + k, "the of and " * k) for k in range(4)]
+    made = spark.createDataFrame(texts, "doc_id long, text string").mapInArrow(near_dups._parities(near_dups.Params()), "id long, n long, odd array<long>").collect()
+    sets = {i: shingles(t) for i, t in texts}
+    for x in made:
+        assert x.n == len(sets[x.id])
+        for y in made:
+            assert sum(((a ^ b) & (2**64 - 1)).bit_count() for a, b in zip(x.odd, y.odd, strict=True)) <= len(sets[x.id] ^ sets[y.id])
+
+
 def test_estimate(spark):
     rng, n = np.random.default_rng(0), 160
     x = rng.integers(0, 4, n)
