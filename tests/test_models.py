@@ -43,8 +43,8 @@ def test_threshold_comes_from_training_rows_alone(spark):
     train = [(1, "train", k / 10, r) for k, r in enumerate([-1.0, -1.0, -1.0, 0.5, -1.0, 1.0, 1.0, -0.5, 1.0, 1.0])]
     test = [(1, "test", p, r) for p, r in ((0.1, 9.0), (0.55, 1.0), (0.45, 7.0), (0.9, -1.0))]
     got = models.tuned_threshold(spark.createDataFrame(train + test, "fold int, part string, p double, r_multiple double")).first()
-    # by hand: of the quantiles 0, 0.027, ..., 0.81 those in (0.4, 0.5] keep five rows with a sum of 3.5, more than any other; the lowest is 0.9 * 0.9 * 16 / 30
-    assert got.threshold == pytest.approx(0.9 * 16 / 30 * 0.9) and (got.trades, got.kept, got.kept_r, got.all_r) == (4, 3, 7.0, 16.0)
+    # by hand: of the quantiles 0, 0.027, ..., 0.81 those in (0.4, 0.5] keep five rows with a sum of 3.5, more than any other; the lowest is the fifteenth, at 0.9 * 15 / 30 of 0.9
+    assert got.threshold == pytest.approx(0.405) and (got.trades, got.kept, got.kept_r, got.all_r) == (4, 3, 7.0, 16.0)
 
 
 def test_class_report(spark):
