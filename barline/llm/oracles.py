@@ -55,9 +55,9 @@ WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, ''
 ), dn AS (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM few)
 ), ds AS (SELECT doc_id, i, unnest([{_MASKED}]) AS seed FROM dw UNION ALL SELECT doc_id, i, n || ':' || array_to_string(t[i:i + n - 1], ' ') FROM dn
 ), bs AS (SELECT item_id, i, unnest([{_MASKED}]) AS seed FROM bw UNION ALL SELECT item_id, 1, n || ':' || array_to_string(t, ' ') FROM few
-), hits AS (SELECT doc_id, item_id, ds.i - bs.i AS shift, list(DISTINCT bs.i) AS at FROM ds JOIN bs USING (seed) GROUP BY ALL
+), hits AS (SELECT doc_id, item_id, ds.i - bs.i AS shift, list(DISTINCT bs.i) AS spots FROM ds JOIN bs USING (seed) GROUP BY ALL
 ), v AS (
-  SELECT doc_id, item_id, at, len(b.t) AS n, list_transform(range(1, len(b.t) + 1), lambda k: k + shift >= 1 AND d.t[k + shift] IS NOT DISTINCT FROM b.t[k]) AS same
+  SELECT doc_id, item_id, spots, len(b.t) AS n, list_transform(range(1, len(b.t) + 1), lambda k: k + shift >= 1 AND d.t[k + shift] IS NOT DISTINCT FROM b.t[k]) AS same
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
 ), m AS (
   SELECT doc_id, item_id, max(n) AS n, max(len(list_filter(same, lambda x: x))) AS matched,
@@ -65,7 +65,7 @@ WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, ''
   FROM v GROUP BY ALL
 ), near AS (
   SELECT doc_id, item_id, count(DISTINCT k) AS around
-  FROM (SELECT doc_id, item_id, unnest(list_filter(range(1, n + 1), lambda k: same[k] AND len(list_filter(at, lambda a: k >= a AND k < a + {SPAN})) > 0)) AS k FROM v) GROUP BY ALL
+  FROM (SELECT doc_id, item_id, unnest(list_filter(range(1, n + 1), lambda k: same[k] AND len(list_filter(spots, lambda a: k >= a AND k < a + {SPAN})) > 0)) AS k FROM v) GROUP BY ALL
 )
 SELECT doc_id, count(*) AS n_items, max(matched) AS most_matched, max(longest) AS longest_run, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items
 FROM m JOIN near USING (doc_id, item_id)
