@@ -56,14 +56,19 @@ MARKED, WHOLE, BESIDE, LINKS = 0.1, 0.8, 0.1, 0.8
 class Box:
     """A container of a page: its path, and what its subtree holds."""
 
-    __slots__ = ("path", "tag", "parent", "marked", "comment", "chars", "kept", "linked", "links", "headings", "holds")
+    __slots__ = ("step", "key", "tag", "parent", "marked", "comment", "chars", "kept", "linked", "links", "headings", "holds")
 
     def __init__(self, tag: str, name: str, parent: Box | None, marked: bool, comment: bool):
-        self.path = (parent.path + ">" if parent and parent.path else "") + tag + name
+        self.step = tag + name
+        self.key = hash((parent.key, self.step)) if parent else 0  # of the path, which is only built where it is voted for
         self.tag, self.parent, self.marked, self.comment = tag, parent, marked, comment
         self.chars = self.kept = self.linked = self.links = self.headings = 0
         self.holds = False
 
+    @property
+    def path(self) -> str:
+        return ">".join([b.step for b in self.above()][-2::-1])
+
     def above(self) -> Iterator[Box]:
         """The box itself and its ancestors."""
         box: Box | None = self
@@ -82,7 +87,7 @@ def _names(attributes: str) -> tuple[str, bool, bool, bool]:
             continue
         words += [set(re.split(r"[^a-z]+", x)) for x in value.split()]
         if key.lower() == "class" and value.split():
-            first = "." + ".".join(sorted({re.sub(r"\d+", "", x) for x in value.split()}))
+            first = "." + ".".join(sorted({re.sub(r"\d+|>", "", x) for x in value.split()}))
     words = [w for w in words if not w & LAYOUT_NAMES]
     marked = any(w & MARKED_NAMES or (w & WEAK_NAMES and not w & ARTICLE_NAMES) for w in words)
     return first, bool(roles & JUNK_ROLES), marked, any(w & COMMENT_NAMES for w in words)
@@ -226,10 +231,12 @@ def main_text(page: str, paths: list[str]) -> str:
     found = blocks(page)
     own = scores(found)
     for path in [*(p for p in paths if p in own), *([max(own, key=lambda p: (own[p], p))] if own else [])]:
-        got = []
+        got, key = [], 0
+        for step in path.split(">"):
+            key = hash((key, step))
         for text, box, _ in found:
             inside = list(box.above())
-            top = next((k for k, b in enumerate(inside) if b.path == path), None)  # the innermost container of this path
+            top = next((k for k, b in enumerate(inside) if b.key == key), None)  # the innermost container of this path
             if top is not None and not any(b.marked for b in inside[:top]):
                 got.append(text)
         if got:
