@@ -138,7 +138,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             langs = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64) * width
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, 1 << 18):
                 w = _Letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 grams = np.repeat(langs[a:b], np.diff(w.at))[w.inside] + w.bucket[w.inside]
                 scripts = np.repeat(langs[a:b], np.diff(w.at))[w.letter] + BUCKETS + w.script[w.letter]
@@ -173,7 +173,7 @@ def _scores(m: Model, w: _Letters) -> np.ndarray:
     seen = np.zeros(BUCKETS, bool)
     seen[w.bucket] = True
     table, place, narrow = m.table(np.flatnonzero(seen)), np.cumsum(seen) - 1, m.scripts.any(1)
-    out, carry, step = np.zeros((len(w.starts), k)), np.zeros((1, k)), max(1, (1 << 23) // k)
+    out, carry, step = np.zeros((len(w.starts), k)), np.zeros((1, k)), max(1, (1 << 21) // k)
     for a in range(0, n, step):
         b = min(a + step, n)
         each = table[place[w.bucket[a:b]]]
@@ -249,7 +249,7 @@ def identify(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
         k = len(m.languages)
         data, offsets = text_bytes(batch.column("text"))
         preds, scores, spans = [], [], []
-        for a, b in slices(offsets, (1 << 24) // max(k, 16)):
+        for a, b in slices(offsets, (1 << 22) // max(k, 16)):
             w = _Letters(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if k == 0:
                 preds += [0] * (b - a)

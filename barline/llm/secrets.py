@@ -20,6 +20,9 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "markov")
 SPANS = "array<struct<kind:string,start:int,end:int,secret_start:int>>"
 
+#: Bytes that are scored at once.
+PIECE = 1 << 20
+
 #: The characters a candidate consists of; the models' states.
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Alphabets of random strings, smallest first; a labelled value belongs to the first one that has all its characters.
@@ -126,7 +129,7 @@ def train(docs: DataFrame, p: Params = Params()) -> np.ndarray:
         for batch in batches:
             total = np.zeros((1 + len(RANDOM), size), np.int64)
             data, offsets = text_bytes(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, PIECE):
                 part, own = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 texts = [part[x:y].tobytes() for x, y in zip(own[:-1], own[1:], strict=True)]
                 base = [base_spans(t) for t in texts]
@@ -227,16 +230,16 @@ def scan(docs: DataFrame, p: Params = Params(), mark: str = "<SECRET>") -> DataF
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         data, offsets = text_bytes(batch.column("text"))
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         valid, spans, masked = batch.column("text").is_valid().to_numpy(zero_copy_only=False), [], []
         base = [base_spans(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         random = []
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, PIECE):
             random += _markov(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], base[a:b], ratios, p)
         for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
             text = data[a:b].tobytes()
             found = sorted(base[k] + [(x, 3, y, x) for x, y in random[k]])
-            cp = lambda i: int(at[a + i] - at[a])
+            at = np.cumsum((data[a:b] & 0xC0) != 0x80) if found else None
+            cp = lambda i, at=at: int(at[i - 1]) if i else 0
             spans.append([{"kind": KINDS[kind], "start": cp(x), "end": cp(y), "secret_start": cp(z)} for x, kind, y, z in found])
             out, done = [], 0
             for _, _, y, z in sorted(found, key=lambda s: s[3]):
