@@ -140,30 +140,31 @@ def template_terms(spark: SparkSession) -> DataFrame:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """path, unit: what is compared of each file, by its words: its lines, its paragraphs, its header (the comments before the first line of
-    code) and, of a file that is named like a licence, the whole; as far as cued.
+    """path, id, unit: what is compared of each file, by its words: its lines, its paragraphs, its header (the comments before the first line of
+    code) and, of a file that is named like a licence, the whole; as far as cued. id is the MD5 of the words.
     """
     held = files.where(_cued(F.lower("text")) | _named()).select("path", "text", F.split("text", "\n").alias("lines"), _named().alias("named"))
     code = F.array_position(F.transform("lines", lambda x: x.rlike(COMMENT)), False).cast("int")
     header = F.array_join(F.slice("lines", 1, F.when(code == 0, F.size("lines")).otherwise(code - 1)), " ")
     parts = F.concat(F.col("lines"), F.split("text", "\\n[^A-Za-z0-9\\n]*\\n"), F.array(header), F.when(F.col("named"), F.array("text")).otherwise(F.array().cast("array<string>")))
-    made = held.select("path", F.explode(F.transform(parts, _worded)).alias("unit"))
-    return made.where(_cued(F.col("unit"))).distinct()
+    # cues are sought before words are joined, so that other lines cost nothing more
+    made = held.select("path", F.explode(F.array_distinct(F.transform(F.filter(parts, lambda x: _cued(F.lower(x)) | F.contains(F.lower(x), F.lit("public"))), _worded))).alias("unit"))
+    return made.where(_cued(F.col("unit"))).select("path", F.unhex(F.md5(F.col("unit").cast("binary"))).alias("id"), "unit")
 
 
 def stated(files: DataFrame, least: float = LEAST) -> DataFrame:
     """path, license, score of each file with a unit like a template; of several units the likest, ties by licence name.
 
     idf is ln((1 + n) / (1 + df)) + 1 over the n distinct units of the whole corpus and the templates; units occur as they are
-    worded, so a header that a million files share is one unit.
+    worded, so a header that a million files share is one unit. Tokens carry a unit's id, not its text.
     """
     spark = files.sparkSession
     held = written(units(files), "units")
-    worded = held.select("unit").distinct()
-    terms = written(worded.select("unit", F.explode(F.split("unit", " ")).alias("token")).groupBy("unit", "token").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    worded = held.groupBy("id").agg(F.any_value("unit").alias("unit"))
+    terms = written(worded.select("id", F.explode(F.split("unit", " ")).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf")), "terms")
     templates = template_terms(spark)
     seen = terms.select("token").union(templates.select("token"))
-    n = worded.agg((F.count(F.lit(1)) + len(TEMPLATES)).alias("n")).scalar()
+    n = held.agg((F.count_distinct("id") + len(TEMPLATES)).alias("n")).scalar()
     idf = written(seen.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
     weight = F.col("tf") * F.col("idf")
     model = templates.join(idf, "token").select("template", "license", "token", "idf", weight.alias("u"))
@@ -171,12 +172,12 @@ def stated(files: DataFrame, least: float = LEAST) -> DataFrame:
     # the templates' tokens, which are most units' too, are few and broadcast; only the rest meet their idf by a shuffle
     common = F.broadcast(model.select("token", "idf").distinct())
     weighted = terms.join(common, "token").unionByName(terms.join(common, "token", "left_anti").join(idf, "token"))
-    norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    dots = terms.join(F.broadcast(model), "token").groupBy("unit", "template", "license", "unorm").agg(F.sum(weight * F.col("u")).alias("dot"))
-    alike = dots.join(norms, "unit").select("unit", "license", F.round(F.col("dot") / (F.col("norm") * F.col("unorm")), 6).alias("score"))
-    best = written(alike.where(F.col("score") >= least).groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("b")), "best")
+    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    dots = terms.join(F.broadcast(model), "token").groupBy("id", "template", "license", "unorm").agg(F.sum(weight * F.col("u")).alias("dot"))
+    alike = dots.join(norms, "id").select("id", "license", F.round(F.col("dot") / (F.col("norm") * F.col("unorm")), 6).alias("score"))
+    best = written(alike.where(F.col("score") >= least).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("low"), "license")).alias("b")), "best")
     dealt = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = held.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(dealt, ["unit", "salt"])
+    met = held.select("path", "id", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt")).join(dealt, ["id", "salt"])
     return met.groupBy("path").agg(F.min("b").alias("b")).select("path", "b.license", (-F.col("b.low")).alias("score"))
 
 
