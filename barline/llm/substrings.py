@@ -213,7 +213,8 @@ def drop_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     of = lambda kind: F.collect_list(F.when(kind, F.col("h")))
     places = found.where(met | ((part != 0) & ~whole)).groupBy("key").agg(of(anchor).alias("anchors"), of(equal).alias("equal"), of(other).alias("others"), of(whole & F.col("before").isNull()).alias("firsts"))
     places = written(places.select("key", "anchors", "equal", F.array_except("others", "firsts").alias("others")), "anchors")
-    extended = _neighbours(docs.join(places.drop("equal"), "key", "left").select("key", "text", "anchors", "others").mapInArrow(_extended(window), _ROWS))
+    # the same columns of docs as below, so that both joins share one exchange of the texts
+    extended = _neighbours(docs.join(places.drop("equal"), "key", "left").select("doc_id", "key", "text", "anchors", "others").mapInArrow(_extended(window), _ROWS))
     repeated = extended.where(met | (part.bitwiseAND(LOW) != 0)).groupBy("key").agg(F.collect_list("h").alias("windows"))
     every = docs.join(places.select("key", "equal"), "key", "left").join(repeated, "key", "left")
     return every.select("doc_id", "text", "equal", "windows").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string")
