@@ -96,7 +96,7 @@ def test_stages_on_odd_rows(spark, sf_dir):
             if name == "secret scan" and k == 11:
                 want |= {"text": 'so token = "<SECRET>" it is', "n_chars": len('so token = "<SECRET>" it is')}
             assert r.asDict() == want, name
-    coded = corpus_pipeline.encode(spark, docs, sf_dir).collect()
+    coded = corpus_pipeline.encode(spark, docs.where("row0 is not null"), sf_dir).collect()
     theirs = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted((str(r[0]), theirs.encode(r[1] or "", add_special_tokens=False).ids) for r in rows)
     assert sorted((str(r.doc_id), list(r.ids)) for r in coded) == want and all(r.n_tokens == len(r.ids) for r in coded)
