@@ -162,6 +162,20 @@ SELECT f.doc_id, f.path, coalesce(own.license, near.license) AS license, own.sco
 FROM f LEFT JOIN own USING (path) LEFT JOIN near ON near.dir = f.dir
 """
 
+OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS w, sha256('42:' || doc_id) AS h FROM documents
+), x AS (
+  SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS b, CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS e FROM d
+), y AS (
+  SELECT *, array_to_string(w[1:least(a, b)], '') AS prefix, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(w[greatest(a, b) + 1:], '') AS suffix,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 50 THEN 'plain' WHEN e < 80 THEN 'spm' ELSE 'psm' END AS form FROM x
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM y
+"""
+
 SQL = {
     "op2_bbit_minhash": OP2,
     "op4_prefix_targets": OP4,
@@ -169,4 +183,5 @@ SQL = {
     "op8_difference_cover": OP8,
     "op9_scaled_sketch": OP9,
     "op10_license_inheritance": OP10,
+    "op12_skip_list_middle": OP12,
 }

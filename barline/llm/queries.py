@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat, decontamination, fingerprints, html_text, languages, licenses, near_dups, oracles, secrets, substrings, tokens
+from barline.llm import chat, decontamination, fingerprints, html_text, languages, licenses, middle, near_dups, oracles, packing, secrets, substrings, tokens
 from barline.llm._spark import sha256_of, table
 
 
@@ -89,6 +89,17 @@ def op10_license_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_dir")
 
 
+def op11_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_skip_list_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.transform(table(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_of(F.col("output")).alias("output_sha256"), sha256_of(back).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -102,6 +113,8 @@ QUERIES = {
         op8_difference_cover,
         op9_scaled_sketch,
         op10_license_inheritance,
+        op11_nnls_packing,
+        op12_skip_list_middle,
     )
 }
 ORACLES = oracles.SQL
