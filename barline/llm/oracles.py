@@ -176,6 +176,32 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 FROM y
 """
 
+OP13 = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k))
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10
+), totals AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), cuts AS (
+  SELECT f.lang, f.k, f.phrase, f.a, c.j, array_to_string(string_split(f.phrase, ' ')[1:c.j], ' ') AS head, array_to_string(string_split(f.phrase, ' ')[c.j + 1:], ' ') AS tail
+  FROM f, (VALUES (1), (2)) AS c(j) WHERE c.j < f.k
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.j, x.a AS l, y.a AS r, (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head AND x.k = c.j JOIN f y ON y.lang = c.lang AND y.phrase = c.tail AND y.k = c.k - c.j
+), least AS (SELECT *, row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, j) AS nth FROM scored
+), held AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase FROM f WHERE k = 3) GROUP BY ALL
+), kept AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM least s LEFT JOIN held h ON s.k = 2 AND h.lang = s.lang AND h.phrase = s.phrase WHERE s.nth = 1 AND (h.a IS NULL OR 100 * h.a < 50 * s.a)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 SQL = {
     "op2_bbit_minhash": OP2,
     "op4_prefix_targets": OP4,
@@ -184,4 +210,5 @@ SQL = {
     "op9_scaled_sketch": OP9,
     "op10_license_inheritance": OP10,
     "op12_skip_list_middle": OP12,
+    "op13_tiled_collocations": OP13,
 }

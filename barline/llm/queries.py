@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import chat, decontamination, fingerprints, html_text, languages, licenses, middle, near_dups, oracles, packing, secrets, substrings, tokens
+from barline.llm import chat, collocations, decontamination, fingerprints, html_text, languages, licenses, middle, near_dups, oracles, packing, secrets, substrings, tokens
 from barline.llm._spark import sha256_of, table
 
 
@@ -100,6 +100,10 @@ def op12_skip_list_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_of(F.col("output")).alias("output_sha256"), sha256_of(back).alias("restored_sha256"))
 
 
+def op13_tiled_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +119,7 @@ QUERIES = {
         op10_license_inheritance,
         op11_nnls_packing,
         op12_skip_list_middle,
+        op13_tiled_collocations,
     )
 }
 ORACLES = oracles.SQL

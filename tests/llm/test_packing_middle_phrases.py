@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import tokenizers
 
-from barline.llm import middle, packing
+from barline.llm import collocations, middle, packing
 from barline.llm._text import text_bytes
 from barline.llm.word_tokens import WordCodec
 
@@ -169,3 +169,82 @@ def test_middle(spark):
     assert Counter(map(tuple, got)) == want
     assert {r.form for r in got} == {"plain", "psm", "spm"}
     assert middle.transform(frame(spark, rows).where("false")).collect() == []
+
+
+def mined(rows, longest, least, wrapped, top):
+    """Brute force over (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", low):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    every = [p for p, a in f.items() if len(p) > 2 and a >= least]
+    out = []
+    for p in every:
+        a, lang, w = f[p], p[0], p[1:]
+        longer = [q for q in every if q[0] == lang and len(q) > len(p) and any(q[i : i + len(w)] == w for i in range(1, len(q) - len(w) + 1))]
+        if any(100 * f[q] >= wrapped * a for q in longer):
+            continue
+        score, _, l, r = min((10**6 * a * a // (f[lang, *w[:k]] * f[lang, *w[k:]]), k, f[lang, *w[:k]], f[lang, *w[k:]]) for k in range(1, len(w)))
+        out.append((lang, " ".join(w), a, l, r, n[lang], score))
+    out.sort(key=lambda x: (x[0], -x[6], -x[2], x[1].encode()))
+    ranked, before = [], Counter()
+    for x in out:
+        before[x[0]] += 1
+        if before[x[0]] <= top:
+            ranked.append((x[0], before[x[0]], *x[1:]))
+    return ranked
+
+
+def talk(rng, n):
+    """Few words with Zipf's frequencies, set phrases among them."""
+    vocabulary = [f"w{k}" for k in range(60)]
+    fixed = ["new york city", "as well as", "by and large", "Über Nacht", "a a a a", "out of the box"]
+    words = rng.choices(vocabulary, [1 / (k + 1) for k in range(60)], k=n)
+    for _ in range(n // 8):
+        words.insert(rng.randrange(len(words)), rng.choice(fixed))
+    return "".join(w + rng.choice([" ", " ", " ", " ", "\t", ", ", ". ", "\n", "  ", "\r\x0b", " "]) for w in words)
+
+
+@pytest.fixture(scope="module")
+def talks():
+    rng = random.Random(13)
+    rows = [(rng.choice(["en", "en", "en", "de", None, "und"]), talk(rng, rng.randint(1, 120)).replace("w1 ", rng.choice(["W1 ", "w1 "]))) for _ in range(250)]
+    return rows + [("en", None), (None, None), ("fr", ""), ("it", "..,;"), ("en", "\x00 \x85 漢 漢 漢"), ("es", "sola vez " * 40), rows[0], rows[0], ("de", talk(rng, 9000))]
+
+
+@pytest.mark.parametrize(("longest", "least", "wrapped", "top"), [(3, 10, 50, 2000), (3, 3, 30, 15), (4, 5, 50, 2000), (2, 10, 50, 2000)])
+def test_collocations(spark, talks, longest, least, wrapped, top):
+    docs = spark.createDataFrame([(*r, 1, "x") for r in talks], "lang string, text string, n int, id string").repartition(4)
+    got = [tuple(r) for r in collocations.collocations(docs, longest, least, wrapped, top).orderBy("lang", "rank").collect()]
+    want = mined(talks, longest, least, wrapped, top)
+    assert got == want
+    assert {x[0] for x in want} >= {"en", "de", "und", "es"}
+
+
+def test_phrases_do_not_depend_on_slices_and_filter(spark, talks):
+    docs = spark.createDataFrame(talks, "lang string, text string").coalesce(1)
+    of = lambda x: sorted(map(repr, x[0].drop("id").collect()))
+    assert of(collocations.phrases(docs)) == of(collocations.phrases(docs, slice_words=300, filter_bits=12))
+    assert collocations.collocations(docs.where("false")).collect() == []
+
+
+def test_scores_pass_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    big = 900_000_000_000_007
+    got = spark.createDataFrame([(big - 2, big, big - 1)], "a long, l long, r long").select(collocations._score(F.col("l"), F.col("r"))).first()[0]
+    assert got == 10**6 * (big - 2) ** 2 // (big * (big - 1))
+
+
+def test_tiles_count_alike():
+    rng = np.random.default_rng(3)
+    codes = np.minimum(rng.zipf(1.3, 200_000), 90_000) << 32 | np.minimum(rng.zipf(1.3, 200_000), 90_000)
+    want = np.unique(codes, return_counts=True)
+    for bits, crowded in ((11, 16), (4, 16), (4, 1), (6, 1000)):
+        got, times = collocations.tile_counts(codes, bits, crowded)
+        order = np.argsort(got)
+        assert (got[order] == want[0]).all() and (times[order] == want[1]).all()
