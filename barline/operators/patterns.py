@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from barline.functions.expr import ratio
 from barline.operators import trades
+from barline.operators.history import Pyramid
 from barline.operators.indicators import by_ts, exponential, last
-from barline.operators.zones import BLOCK, in_blocks, met_bars
+from barline.operators.zones import BLOCK, in_blocks, overlapping
 
 
 def swings(bars: DataFrame, n: int = 3) -> DataFrame:
@@ -122,8 +123,9 @@ def zone_reactions(zones: DataFrame, bars: DataFrame, n: int = 15, r: float = 1.
     and moves r ATRs away, `breakout` if not; `consolidation` if neither happens within n bars. Zones without n + m bars after that bar are left out.
     """
     z = zones.select("symbol", "zone_id", "type", "top", "bottom", "formation_idx")
-    near = met_bars(zones, bars).where((F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom")) & (F.col("atr") > 0))
-    first = near.groupBy("symbol", "zone_id").agg(F.min_by(F.struct("at", "bar_ts", "atr"), "at").alias("e")).select("symbol", "zone_id", F.col("e.at").alias("enter"), F.col("e.bar_ts").alias("entered_ts"), F.col("e.atr").alias("unit"))
+    tree = Pyramid(bars.where("atr > 0"))
+    asked = z.withColumn("after", F.col("formation_idx").cast("long")).drop("formation_idx")
+    first = tree.first(asked, overlapping, exact=False).select("symbol", "zone_id", F.col("at").alias("enter"), F.col("bar_ts").alias("entered_ts"), F.col("atr").alias("unit"))
     last = F.floor((F.col("enter") + n + m) / BLOCK)
     ahead = z.join(first, ["symbol", "zone_id"]).withColumn("block", F.explode(F.sequence(F.floor(F.col("enter") / BLOCK), last))).join(in_blocks(bars), ["symbol", "block"]).withColumn("k", F.col("at") - F.col("enter")).where(F.col("k").between(0, n + m))
     long = F.col("type") == "demand"

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.config import TradeConfig
-from barline.operators.zones import BLOCK, blocks_of, in_blocks
+from barline.operators.history import Pyramid
+from barline.operators.zones import BLOCK, closing_inside, in_blocks
+from barline.sources.shared import written
 
 
 def is_long():
@@ -26,51 +28,30 @@ def eligible(zones: DataFrame, t: TradeConfig = TradeConfig()) -> DataFrame:
     return out
 
 
-def _until(z: DataFrame, bars: DataFrame, confirm: bool) -> DataFrame:
-    """symbol, zone_id, block: the blocks whose bars an entry depends on.
-
-    What ends the wait of a zone shows in the extremes of the blocks after its own: a bar beyond the distal line, or, after a block
-    that touches the zone, the next one that reaches the proximal line. Blocks before the first touch that don't end it count for nothing.
-    With `confirm` a touch can't be told from extremes, so that only the break ends the wait.
-    """
-    ext = blocks_of(bars).withColumnsRenamed({"low": "b_low", "high": "b_high"})
-    later = z.join(ext, "symbol").where(F.col("block") >= F.col("first"))
-    after, by = F.col("block") > F.col("first"), Window.partitionBy("symbol", "zone_id")
-    breaks = F.when(is_long(), F.col("b_low") < F.col("distal")).otherwise(F.col("b_high") > F.col("distal"))
-    touches = F.when(is_long(), F.col("b_low") <= F.col("top")).otherwise(F.col("b_high") >= F.col("bottom"))
-    fills = F.when(is_long(), F.col("b_high") >= F.col("proximal")).otherwise(F.col("b_low") <= F.col("proximal"))
-    touched = F.when(F.col("opened_first"), F.col("first")).otherwise(F.min(F.when(after & touches, F.col("block"))).over(by))
-    later = later.withColumns({"broken": F.min(F.when(after & breaks, F.col("block"))).over(by), "touched": touched})
-    filled = F.lit(None).cast("long") if confirm else F.min(F.when((F.col("block") > F.col("touched")) & fills, F.col("block"))).over(by)
-    later = later.withColumn("end", F.least("broken", filled))
-    kept = F.col("end").isNull() | (F.col("block") <= F.col("end"))
-    if not confirm:
-        kept = kept & (~after | (F.col("block") >= F.col("touched")) | (F.col("block") == F.col("end")))
-    return later.where(kept).select("symbol", "zone_id", "block")
-
-
 def entries(zones: DataFrame, bars: DataFrame, t: TradeConfig = TradeConfig(), strict: bool = False) -> DataFrame:
     """Adds fill_idx, entry_ts, fill_atr, entry_price of zones that fill.
 
     Over the bars after formation (with `strict` after the leg that confirms the zone): a bar beyond the distal line ends the zone, before
     anything else; the first touch (with `confirm` a close inside) opens it; the first bar from there on that reaches the proximal line
-    fills, at that line worsened by slippage.
+    fills, at that line worsened by slippage. All three are first hits in the pyramid of bars.
     """
-    start = F.col("leg_end_idx" if strict else "formation_idx")
-    z = zones.select("symbol", "zone_id", "type", "top", "bottom", "proximal", "distal", start.alias("from_idx")).withColumn("first", F.floor(F.col("from_idx") / BLOCK))
-    touch = F.col("close").between(F.col("bottom"), F.col("top")) if t.confirm else F.when(is_long(), F.col("low") <= F.col("top")).otherwise(F.col("high") >= F.col("bottom"))
-    met = in_blocks(bars)
-    # a touch in the zone's own block keeps all later blocks in question
-    own = z.join(met.withColumnRenamed("block", "first"), ["symbol", "first"]).where(F.col("at") > F.col("from_idx")).groupBy("symbol", "zone_id").agg(F.bool_or(touch).alias("opened_first"))
-    z = z.join(own, ["symbol", "zone_id"], "left").withColumn("opened_first", F.coalesce("opened_first", F.lit(False)))
-    pairs = z.join(_until(z, bars, t.confirm), ["symbol", "zone_id"]).join(met, ["symbol", "block"]).where(F.col("at") > F.col("from_idx"))
+    tree, keys = Pyramid(bars), ["symbol", "zone_id"]
+    z = zones.select(*keys, "type", "top", "bottom", "proximal", "distal", F.col("leg_end_idx" if strict else "formation_idx").cast("long").alias("after"))
     broken = F.when(is_long(), F.col("low") < F.col("distal")).otherwise(F.col("high") > F.col("distal"))
-    fill = F.when(is_long(), F.col("high") >= F.col("proximal")).otherwise(F.col("low") <= F.col("proximal"))
-    by = Window.partitionBy("symbol", "zone_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    seen = pairs.withColumns({"broken": broken, "fill": fill, "opened": F.max(touch.cast("int")).over(by)})
-    first = seen.groupBy("symbol", "zone_id").agg(F.min(F.when(F.col("broken"), F.col("at"))).alias("broken_idx"), F.min_by(F.struct("at", "bar_ts", "atr"), F.when(F.col("fill") & (F.col("opened") == 1), F.col("at"))).alias("f"))
-    first = first.where(F.col("f.at").isNotNull() & (F.col("broken_idx").isNull() | (F.col("broken_idx") > F.col("f.at"))))
-    got = zones.join(first.select("symbol", "zone_id", F.col("f.at").alias("fill_idx"), F.col("f.bar_ts").alias("entry_ts"), F.col("f.atr").alias("fill_atr")), ["symbol", "zone_id"])
+    touched = F.when(is_long(), F.col("low") <= F.col("top")).otherwise(F.col("high") >= F.col("bottom"))
+    if t.confirm:
+        ends = tree.first(z, lambda: broken).select(*keys, F.col("at").alias("before"))
+        z = written(z.join(ends, keys, "left"), "ends")
+        opened = tree.first(z, closing_inside, exact=False).select(*keys, F.col("at").alias("touch"))
+        z = z.join(opened, keys)
+    else:
+        both = tree.first(z.withColumn("what", F.explode(F.array(F.lit("broken"), F.lit("touched")))), lambda: F.when(F.col("what") == "broken", broken).otherwise(touched))
+        both = both.groupBy(*keys).agg(F.min(F.when(F.col("what") == "broken", F.col("at"))).alias("before"), F.min(F.when(F.col("what") == "touched", F.col("at"))).alias("touch"))
+        z = z.join(both.where(F.col("touch").isNotNull() & (F.col("before").isNull() | (F.col("touch") < F.col("before")))), keys)
+    z = written(z.withColumn("after", F.col("touch") - 1).drop("touch"), "touched")
+    fills = tree.first(z, lambda: F.when(is_long(), F.col("high") >= F.col("proximal")).otherwise(F.col("low") <= F.col("proximal")))
+    first = fills.where(F.col("before").isNull() | (F.col("at") < F.col("before")))
+    got = zones.join(first.select(*keys, F.col("at").alias("fill_idx"), F.col("bar_ts").alias("entry_ts"), F.col("atr").alias("fill_atr")), keys)
     worse = F.when(is_long(), 1 + t.slippage).otherwise(1 - t.slippage)
     return got.withColumn("entry_price", F.col("proximal") * worse)
 
@@ -212,11 +193,8 @@ def simulate_r(zones: DataFrame, bars: DataFrame, reward: float = 2.0, max_hold:
     """
     if least_prob > 0:
         zones = zones.where(F.col("ml_prob").isNull() | (F.col("ml_prob") >= least_prob))
-    z = zones.select("symbol", "zone_id", "top", "bottom", "formation_idx").withColumn("first", F.floor(F.col("formation_idx") / BLOCK))
-    ext = blocks_of(bars).select("symbol", "block", "low_close", "high_close")
-    near = z.join(ext, "symbol").where((F.col("block") >= F.col("first")) & (F.col("low_close") <= F.col("top")) & (F.col("high_close") >= F.col("bottom")))
-    inside = near.join(in_blocks(bars), ["symbol", "block"]).where((F.col("at") > F.col("formation_idx")) & F.col("close").between(F.col("bottom"), F.col("top")))
-    first = inside.groupBy("symbol", "zone_id").agg(F.min("at").alias("fill_idx"), F.min("bar_ts").alias("entry_ts"))
+    z = zones.select("symbol", "zone_id", "top", "bottom", F.col("formation_idx").cast("long").alias("after"))
+    first = Pyramid(bars).first(z, closing_inside, exact=False).select("symbol", "zone_id", F.col("at").alias("fill_idx"), F.col("bar_ts").alias("entry_ts"))
     return exits_r(zones.join(first, ["symbol", "zone_id"]).withColumn("entry_price", F.col("proximal")), bars, reward, max_hold)
 
 

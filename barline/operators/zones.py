@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from barline.config import ZoneConfig
 from barline.functions.expr import clip, peak, ratio, weighted
+from barline.operators.history import Pyramid
 from barline.operators.indicators import by_ts
+from barline.sources.shared import written
 
-#: Bars of a block whose extremes are summed up.
+#: Bars of a block by which bars are met.
 BLOCK = 256
 REQUIRED = ("open", "high", "low", "close", "atr")
 
@@ -296,61 +298,43 @@ def merged(zones: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     return zones.join(kept, ["symbol", "zone_id"])
 
 
-def blocks_of(bars: DataFrame) -> DataFrame:
-    """The extremes of each symbol's blocks of BLOCK bars: symbol, block, low, high, low_close, high_close."""
-    block = F.floor(F.col("idx") / BLOCK).alias("block")
-    return bars.groupBy("symbol", block).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("close").alias("low_close"), F.max("close").alias("high_close"))
-
-
 def in_blocks(bars: DataFrame) -> DataFrame:
     """Bars as they are met by symbol and block: at is the bar's place, bar_ts its stamp."""
     return bars.select("symbol", F.floor(F.col("idx") / BLOCK).alias("block"), F.col("idx").alias("at"), F.col("ts").alias("bar_ts"), "open", "high", "low", "close", "atr")
 
 
-def met_bars(zones: DataFrame, bars: DataFrame, wick: bool = False, start: str = "formation_idx") -> DataFrame:
-    """The bars after `start` that can break a zone or overlap it, up to its break: symbol, zone_id, type, top, bottom and the bar's columns.
-
-    A zone is compared with the extremes of later blocks first. It meets the bars of its own block and of those blocks that overlap it, up to the
-    first one that breaks it, which is met too; all others hold nothing that counts. So far-off prices cost a row for each block only.
-    """
-    zs = zones.select("symbol", "zone_id", "type", "top", "bottom", F.col(start).alias("from_idx")).withColumn("first", F.floor(F.col("from_idx") / BLOCK))
-    ext = blocks_of(bars).withColumnsRenamed({"low": "b_low", "high": "b_high"})
-    low, high = (F.col("b_low"), F.col("b_high")) if wick else (F.col("low_close"), F.col("high_close"))
-    breaks = F.when(F.col("type") == "demand", low < F.col("bottom")).otherwise(high > F.col("top"))
-    later = zs.join(ext, "symbol").where(F.col("block") >= F.col("first")).withColumn("breaks", (F.col("block") > F.col("first")) & breaks)
-    last = F.min(F.when(F.col("breaks"), F.col("block"))).over(Window.partitionBy("symbol", "zone_id"))
-    overlaps = (F.col("b_low") <= F.col("top")) & (F.col("b_high") >= F.col("bottom"))
-    later = later.withColumn("last", last).where((F.col("last").isNull() | (F.col("block") <= F.col("last"))) & ((F.col("block") == F.col("first")) | (F.col("block") == F.col("last")) | overlaps))
-    return later.select("symbol", "zone_id", "type", "top", "bottom", "from_idx", "block").join(in_blocks(bars), ["symbol", "block"]).where(F.col("at") > F.col("from_idx"))
-
-
 def lifecycle(zones: DataFrame, bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     """Adds status, test_count, last_test_ts, invalidation_ts, freshness_score.
 
-    A bar after formation first breaks a zone (it closes, or with `wick` trades, beyond it) and ends its life; otherwise it overlaps or
-    not, and each entry into the zone is a test.
+    The first bar after formation that closes (with `wick` trades) beyond a zone ends its life; of the bars before it those that overlap the zone
+    are met, and each entry into the zone is a test. Both by the pyramid, so that a zone's work grows with its tests and the logarithm of the bars.
     """
-    wick = z.invalidation == "wick"
-    pairs = met_bars(zones, bars, wick)
-    low, high = F.col("low" if wick else "close"), F.col("high" if wick else "close")
-    broken = F.when(F.col("type") == "demand", low < F.col("bottom")).otherwise(high > F.col("top"))
-    inside = (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
+    wick, demand = z.invalidation == "wick", F.col("type") == "demand"
+    tree = Pyramid(bars)
+    asked = zones.select("symbol", "zone_id", "type", "top", "bottom", F.col("formation_idx").cast("long").alias("after"))
+    low, high = ("low", "high") if wick else ("low_close", "high_close")
+    ends = tree.first(asked, lambda: F.when(demand, F.col(low) < F.col("bottom")).otherwise(F.col(high) > F.col("top")))
+    ends = ends.select("symbol", "zone_id", F.col("at").alias("before"), F.col("bar_ts").alias("invalidation_ts"))
+    asked = written(asked.join(ends, ["symbol", "zone_id"], "left"), "lives")
+    inside = tree.hits(asked.drop("invalidation_ts"), overlapping)
     by = Window.partitionBy("symbol", "zone_id").orderBy("at")
-    ended = F.max(F.col("broken").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1
-    before = F.coalesce(F.lag("inside").over(by) & (F.lag("at").over(by) == F.col("at") - 1), F.lit(False))
-    seen = pairs.withColumns({"broken": broken, "inside": inside}).withColumns({"ended": ended, "entered": inside & ~before})
-    test = F.col("entered") & ~F.col("ended")
-    sums = seen.groupBy("symbol", "zone_id").agg(
-        F.min(F.when(F.col("broken"), F.col("bar_ts"))).alias("invalidation_ts"),
-        F.count_if(test).alias("test_count"),
-        F.max(F.when(test, F.col("bar_ts"))).alias("last_test_ts"),
-    )
-    out = zones.join(sums, ["symbol", "zone_id"], "left").withColumn("test_count", F.coalesce("test_count", F.lit(0)))
+    tests = inside.withColumn("last", F.lag("at").over(by)).where(F.col("last").isNull() | (F.col("last") < F.col("at") - 1))
+    sums = tests.groupBy("symbol", "zone_id").agg(F.count(F.lit(1)).alias("test_count"), F.max("bar_ts").alias("last_test_ts"))
+    out = zones.join(asked.select("symbol", "zone_id", "invalidation_ts"), ["symbol", "zone_id"]).join(sums, ["symbol", "zone_id"], "left").withColumn("test_count", F.coalesce("test_count", F.lit(0)))
     decay = F.array(*(F.lit(x) for x in z.decay))
     status = F.when(F.col("invalidation_ts").isNotNull(), "broken").when(F.col("test_count") > 0, "tested").otherwise("active")
     return out.withColumns({"status": status, "freshness_score": F.element_at(decay, (F.least("test_count", F.lit(len(z.decay) - 1)) + 1).cast("int"))})
 
 
+def overlapping() -> Column:
+    """Whether a bar's range overlaps a zone's; of a block, whether one of its bars may."""
+    return (F.col("low") <= F.col("top")) & (F.col("high") >= F.col("bottom"))
+
+
+def closing_inside() -> Column:
+    return (F.col("low_close") <= F.col("top")) & (F.col("high_close") >= F.col("bottom"))
+
+
 def finished(zones: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     """Adds strength_pit (known at formation) and adjusted_strength_posthoc (after the zone's later tests)."""
     bonus = F.coalesce(F.col("htf_confluence"), F.lit(0.0)) if "htf_confluence" in zones.columns else F.lit(0.0)
