@@ -1,0 +1,46 @@
+"""Running values, ranks and selections in two levels, so that no task sees all rows of a key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: What a running value adds up and how what came before joins it.
+_OVER = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}
+_JOIN = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": lambda a, b: F.greatest(a, b), "min": lambda a, b: F.least(a, b), "last": lambda a, b: F.coalesce(b, a)}
+_JOIN["count"] = _JOIN["sum"]
+
+
+def running(rows: DataFrame, keys: list[str], piece: Column, order: list, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds running values of each key's rows in order, the own row included: name -> (sum, count, max, min or last that isn't null; column).
+
+    piece: any column that never falls along the order (a block of places, a day, a range of prices). Values run within pieces, in parallel, and
+    take over those of the pieces before, which are a row each. Sums of whole numbers are exact; nulls count for nothing.
+    """
+    marked = rows.withColumn("_piece", piece)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    if any(kind == "last" for kind, _ in values.values()):  # the last of a piece needs its order, too
+        marked = marked.withColumns({f"_{n}": _OVER[k](c).over(upto) for n, (k, c) in values.items()}).withColumn("_nth", F.row_number().over(inside))
+        totals = marked.groupBy(*keys, "_piece").agg(*(F.max_by(f"_{n}", "_nth").alias(f"_{n}") for n in values))
+        marked = marked.drop("_nth")
+    else:
+        totals = marked.groupBy(*keys, "_piece").agg(*(_OVER[k](c).alias(f"_{n}") for n, (k, c) in values.items()))
+        marked = marked.withColumns({f"_{n}": _OVER[k](c).over(upto) for n, (k, c) in values.items()})
+    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_piece", *(_OVER[k](f"_{n}").over(before).alias(f"^{n}") for n, (k, _) in values.items()))
+    out = marked.join(carried.withColumnsRenamed({c: f"^^{c}" for c in [*keys, "_piece"]}), _same([*keys, "_piece"]))
+    out = out.withColumns({n: _JOIN[k](F.col(f"`^{n}`"), F.col(f"_{n}")) for n, (k, _) in values.items()})
+    return out.drop("_piece", *(f"_{n}" for n in values), *(f"^{n}" for n in values), *(f"^^{c}" for c in [*keys, "_piece"]))
+
+
+def _same(keys: list[str]) -> Column:
+    met = F.lit(True)
+    for c in keys:
+        met = met & F.col(c).eqNullSafe(F.col(f"`^^{c}`"))
+    return met
+
+
+def placed(bars: DataFrame, order: str = "ts") -> DataFrame:
+    """bars with idx, their place within the symbol from 0, by days."""
+    return running(bars, ["symbol"], F.col(order).cast("date"), [order], {"idx": ("count", F.lit(1))}).withColumn("idx", F.col("idx") - 1)

@@ -153,7 +153,7 @@ def formation_stamp(spark, sf_dir):
 @query
 def active_context(spark, sf_dir):
     z, b = _lived(spark, sf_dir)
-    got = labels.context(b.select("symbol", "ts", "close"), z)
+    got = labels.context(b.select("symbol", "ts", "idx", "close"), z)
     return got.select("symbol", "ts", *(f"{x}_{t}_{y}" for t in ("demand", "supply") for x, y in (("active", "count"), ("price_in", "zone"), ("nearest", "dist_pct"), ("nearest", "strength"), ("nearest", "structure"))), "zone_confluence")
 
 

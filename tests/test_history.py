@@ -82,3 +82,49 @@ def test_pairs_grow_with_the_logarithm_of_the_bars(spark):
         made.append((tree._tiled(asked, lambda: F.col("low") < 100).count(), tree.first(asked, lambda: F.col("low") < 1).count()))
     assert all(x[1] == 0 for x in made)
     assert made[2][0] <= 50 * history.FAN * 4 and made[2][0] < 2.5 * made[0][0]
+
+
+def test_context_is_that_of_a_scan(spark, monkeypatch):
+    """Any zones, whatever ended them, on a path that jumps; ties of price and formation among them."""
+    from barline.operators import labels
+
+    monkeypatch.setattr(labels, "STRETCH", 4)
+    monkeypatch.setattr(labels, "CHILDREN", 3)
+    rng = random.Random(8)
+    rows = price_path(500, 5) + price_path(30, 6, "B")
+    found = []
+    for k in range(160):
+        s, i, ts, _, _, c, _ = rng.choice(rows)
+        bottom = float(round(c / 10) * 10 + rng.randint(-6, 6) * 10)
+        ends = rng.choice([None, ts + dt.timedelta(minutes=rng.randint(1, 300)), ts + dt.timedelta(seconds=90)])
+        found.append((s, f"Z{k}", rng.choice(["demand", "supply"]), "DBR", bottom + 10 * rng.randint(1, 3), bottom, rng.random(), ts - dt.timedelta(seconds=rng.choice([0, 0, 0, 30])), ends))
+    bars = spark.createDataFrame([(r[0], r[2], r[5]) for r in rows], "symbol string, ts timestamp_ntz, close double")
+    z = spark.createDataFrame(found, "symbol string, zone_id string, type string, structure string, top double, bottom double, strength double, formation_ts timestamp_ntz, invalidation_ts timestamp_ntz")
+    got = {(r.symbol, r.ts): r for r in labels.context(bars, z).collect()}
+    assert len(got) == len(rows)
+    for s, _, ts, _, _, c, _ in rows:
+        r, live = got[s, ts], [x for x in found if x[0] == s and x[7] <= ts and (x[8] is None or ts < x[8])]
+        for kind in ("demand", "supply"):
+            mine = [x for x in live if x[2] == kind]
+            assert r[f"active_{kind}_count"] == len(mine) and r[f"price_in_{kind}_zone"] == any(x[5] <= c <= x[4] for x in mine)
+            if mine:
+                far = lambda x: c - x[4] if kind == "demand" else x[5] - c  # noqa: E731, B023
+                best = min(mine, key=lambda x: (far(x) < 0, abs(far(x)), x[7], x[1]))
+                assert r[f"nearest_{kind}_strength"] == best[6] and r[f"nearest_{kind}_top"] == best[4]
+            else:
+                assert r[f"nearest_{kind}_strength"] is None
+    assert labels.context(bars, z.where("false")).where("active_demand_count > 0").count() == 0
+
+
+def test_running_values(spark):
+    from barline.operators import scans
+
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), k, rng.choice([None, *range(9)])) for k in range(400)]
+    got = scans.running(spark.createDataFrame(rows, "s string, k int, v long"), ["s"], F.floor(F.col("k") / 7), ["k"], {n: (n, F.col("v")) for n in ("sum", "max", "min", "last")} | {"n": ("count", F.when(F.col("v").isNotNull(), 1))})
+    held = {}
+    for r in sorted(got.collect(), key=lambda r: r.k):
+        v = held.setdefault(r.s, [])
+        if r.v is not None:
+            v.append(r.v)
+        assert (r["sum"] or 0, r["max"], r["min"], r["last"], r["n"] or 0) == ((sum(v), max(v), min(v), v[-1], len(v)) if v else (0, None, None, None, 0))
