@@ -26,6 +26,8 @@ from barline.llm.word_tokens import codec
 
 #: Rows of a block are those of one written partition that share row >> BLOCK_BITS.
 BLOCK_BITS = 16
+#: Bytes of ids that a task hands on at once.
+SENT = 4 << 20
 
 
 class Params(NamedTuple):
@@ -181,16 +183,27 @@ def _planned(slots: Slots):
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each document's ids, a few MB at once or one document."""
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     for batch in batches:
-        pieces = batch.column("pieces")
-        for row in range(batch.num_rows):  # a document at a time
-            ids = unpacked(batch.column("ids")[row].as_py())
-            mine = pieces[row].values.flatten()
-            start, length, sequence, offset = (x.to_numpy() for x in mine)
-            cut = [ids[s : s + n].astype("<u4").tobytes() for s, n in zip(start.tolist(), length.tolist(), strict=True)]
-            doc = pa.array([batch.column("doc_id")[row].as_py()] * len(cut), pa.int64())
-            yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), pa.array(cut, pa.binary()), pa.array(np.full(len(cut), len(ids), np.int64)), pa.array(sequence), pa.array(offset)], names)
+        pieces, held = batch.column("pieces"), batch.column("ids")
+        edges = pieces.offsets.to_numpy()
+        start, length, sequence, offset = (x.slice(edges[0], edges[-1] - edges[0]) for x in pieces.values.flatten())
+        edges = edges - edges[0]
+        spans = list(zip(start.to_pylist(), length.to_pylist(), strict=True))
+        cut, sizes, size, first = [], [], 0, 0
+        for row in range(batch.num_rows):
+            ids = unpacked(held[row].as_py()).astype("<u4", copy=False)
+            sizes.append(len(ids))
+            size += ids.nbytes
+            raw = ids.tobytes()
+            cut += [raw[4 * s : 4 * (s + n)] for s, n in spans[edges[row] : edges[row + 1]]]
+            if size >= SENT or row == batch.num_rows - 1:
+                a, b = edges[first], edges[row + 1]
+                own = np.repeat(np.arange(first, row + 1), np.diff(edges[first : row + 2]))
+                part = [x.slice(a, b - a) for x in (start, length, sequence, offset)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), *part[:2], pa.array(cut, pa.binary()), pa.array(np.array(sizes)[own - first]), *part[2:]], names)
+                cut, sizes, size, first = [], [], 0, row + 1
 
 
 def _before(sums: DataFrame, value: str, keys: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ class WordCodec:
         self.whole.no_padding()
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.split = regex.compile(PATTERN).findall
-        self.starts = tuple({x[:2] for x in special})
+        self.marked = re.compile("|".join(sorted({re.escape(x[:2]) for x in special})) or "$^").search
         self.kind = "H" if max(spec["model"]["vocab"].values()) < 1 << 16 else "I"
         self.words: dict[str, bytes] = {}
         self.chunks = _Chunks(self)
@@ -74,7 +74,10 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         c, text = self.codec, chunk.decode("utf-8", "replace")
-        if _PLAIN(text) and not any(s in text for s in c.starts):
+        plain = _PLAIN(text)
+        if plain and text.isalpha():
+            found = c.word(text.lower())
+        elif plain and not c.marked(text):
             found = b"".join([c.word(w) for w in c.split(text.lower())])
         else:
             found = array(c.kind, c.whole.encode(text, add_special_tokens=False).ids).tobytes()
