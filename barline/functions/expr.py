@@ -35,9 +35,14 @@ def weighted(parts: list[tuple[Column, float]]) -> Column:
     return F.when(weights > 0, F.least(total / weights, F.lit(1.0))).otherwise(0.0)
 
 
+def recoded(x: Column) -> Column:
+    """Truth values, as such or as the words True and False, as 1 and 0; anything else is 0."""
+    return F.when(x.cast("string").isin("true", "True"), 1).otherwise(0)
+
+
 def symbol_key(symbol: Column) -> Column:
-    """A storage key: dots become underscores, a caret becomes IDX_."""
-    return F.replace(F.replace(symbol, F.lit("."), F.lit("_")), F.lit("^"), F.lit("IDX_"))
+    """A storage key: a leading caret becomes IDX_, otherwise dots become underscores."""
+    return F.when(F.startswith(symbol, F.lit("^")), F.concat(F.lit("IDX_"), F.substr(symbol, F.lit(2)))).otherwise(F.replace(symbol, F.lit("."), F.lit("_")))
 
 
 def missing(df, **typed) -> object:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.config import ZoneConfig
 from barline.functions.expr import clip, ratio
+from barline.functions.scans import placed, running
 from barline.operators import zones as zone_ops
+from barline.operators.history import Pyramid
 from barline.operators.indicators import with_indicators
+from barline.operators.nearest import nearest
 from barline.sources.bars import resample
 from barline.sources.shared import written
 
@@ -17,35 +20,32 @@ def higher(bars: DataFrame, hours: int | None = None) -> DataFrame:
     """Bars of the longer unit with indicators, without warm-up; close_ts is the last bar each one knows."""
     longer = resample(bars.select("symbol", "ts", "open", "high", "low", "close", "volume"), hours=hours)
     made = with_indicators(longer.drop("last_ts")).join(longer.select("symbol", "ts", F.col("last_ts").alias("close_ts")), ["symbol", "ts"])
-    return written(made.where("atr is not null"), "longer").withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    return written(placed(made.where("atr is not null").drop("idx")), "longer")
 
 
 def confluence(found: DataFrame, longer: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     """Adds htf_trend_align, htf_in_zone, htf_dist_atr, htf_zone_strength, htf_zone_fresh, htf_confluence and htf_confirmed.
 
-    Only longer bars that have closed by a zone's formation count. The nearest longer zone of the same type decides, the earlier one on
+    Only longer bars that have closed by a zone's formation count. No zone is paired with all longer ones (`nearest`). The nearest longer zone of the same type decides, the earlier one on
     ties; without one the distance and strength are null and the flags false.
     """
     own = found.select("symbol", "zone_id", "type", "top", "bottom", "midpoint", "avg_atr", "formation_ts", "formation_idx")
     # as of formation: both in one sorted pass, each zone takes over the last longer bar before it
-    seen = longer.select("symbol", F.col("close_ts").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("zone_id"), F.struct("close", "ema20", F.col("atr").alias("h_atr")).alias("w"))
+    seen = longer.select("symbol", F.col("close_ts").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("zone_id"), F.struct("close", "ema20", F.col("atr").alias("h_atr"), F.col("idx").cast("long").alias("h_idx")).alias("w"))
     asked = own.select("symbol", F.col("formation_ts").alias("t"), F.lit(1).alias("kind"), "zone_id", F.lit(None).cast(seen.schema["w"].dataType).alias("w"))
-    by = Window.partitionBy("symbol").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    last = seen.union(asked).withColumn("w", F.last("w", ignorenulls=True).over(by)).where("kind = 1").select("symbol", "zone_id", "w")
+    both = running(seen.union(asked), ["symbol"], F.col("t").cast("date"), ["t", "kind"], {"last": ("last", F.col("w"))})
+    last = both.where("kind = 1").select("symbol", "zone_id", F.col("last").alias("w"))
     hz = written(zone_ops.scored_zones(longer, z), "longer_zones")
     closes = longer.select("symbol", F.col("idx").alias("formation_idx"), F.col("close_ts").alias("h_formed"))
-    hz = hz.join(closes, ["symbol", "formation_idx"]).select(
-        F.col("symbol").alias("h_symbol"), F.col("zone_id").alias("h_zone"), F.col("type").alias("h_type"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom"), F.col("strength").alias("h_strength"), "h_formed"
-    )
-    pairs = own.join(hz, (F.col("symbol") == F.col("h_symbol")) & (F.col("type") == F.col("h_type")) & (F.col("h_formed") <= F.col("formation_ts")))
-    gap = F.greatest(F.col("h_bottom") - F.col("midpoint"), F.col("midpoint") - F.col("h_top"), F.lit(0.0))
-    overlap = F.least("top", "h_top") - F.greatest("bottom", "h_bottom")
-    pairs = pairs.withColumns({"gap": gap, "held": gap == 0, "agrees": ratio(overlap, F.col("top") - F.col("bottom")) >= z.htf_overlap})
-    best = pairs.groupBy("symbol", "zone_id").agg(F.min_by(F.struct("gap", "h_strength", "h_zone", "h_top", "h_bottom", "h_formed"), F.struct("gap", "h_formed", "h_zone")).alias("n"), F.bool_or("held").alias("held"), F.bool_or("agrees").alias("agrees"))
-    touched = longer.select(F.col("symbol").alias("t_symbol"), F.col("close_ts").alias("t_ts"), "high", "low")
-    near = own.join(best, ["symbol", "zone_id"])
-    met = (F.col("symbol") == F.col("t_symbol")) & (F.col("t_ts") > F.col("n.h_formed")) & (F.col("t_ts") <= F.col("formation_ts")) & (F.col("low") <= F.col("n.h_top")) & (F.col("high") >= F.col("n.h_bottom"))
-    touches = near.join(touched, met).groupBy("symbol", "zone_id").agg(F.count(F.lit(1)).alias("touches"))
+    group = F.concat_ws("/", "symbol", "type").alias("group")
+    hz = written(hz.join(closes, ["symbol", "formation_idx"]).select(group, "zone_id", "top", "bottom", "strength", "h_formed", F.col("formation_idx").cast("long").alias("h_idx")), "longer_zones")
+    questions = own.select(group, F.struct("symbol", "zone_id").alias("key"), F.col("midpoint").alias("at"), F.col("bottom").alias("low"), F.col("top").alias("high"), F.col("formation_ts").alias("upto"))
+    near = nearest(questions, hz.select("group", F.col("zone_id").alias("id"), "top", "bottom", F.col("h_formed").alias("formed")), z.htf_overlap)
+    n = F.when(F.col("id").isNotNull(), F.struct("gap", F.col("strength").alias("h_strength"), F.col("top").alias("h_top"), F.col("bottom").alias("h_bottom"), "h_idx")).alias("n")
+    best = written(near.join(hz.withColumnRenamed("zone_id", "id"), ["group", "id"], "left").select("key.*", n, "held", "agrees"), "nearest")
+    # whether a longer bar has met the nearest one since
+    since = best.where("n is not null").join(last, ["symbol", "zone_id"]).select("symbol", "zone_id", F.col("n.h_top").alias("top"), F.col("n.h_bottom").alias("bottom"), F.col("n.h_idx").alias("after"), (F.col("w.h_idx") + 1).alias("before"))
+    touches = Pyramid(longer).first(since, zone_ops.overlapping, exact=False).select("symbol", "zone_id", F.lit(1).alias("touches"))
     out = found.join(last, ["symbol", "zone_id"], "left").join(best, ["symbol", "zone_id"], "left").join(touches, ["symbol", "zone_id"], "left")
     side = F.when(F.col("type") == "demand", 1.0).otherwise(-1.0)
     dist = F.col("n.gap") / F.col("avg_atr")

@@ -30,11 +30,11 @@ class Pyramid:
 
     def __init__(self, bars: DataFrame):
         atr = F.col("atr").cast("double") if "atr" in bars.columns else F.lit(None).cast("double")
-        last = bars.agg(F.max("idx")).first()[0] or 0
+        last = (bars.agg(F.max("idx")).first()[0] or 0) + 1
         self.levels = 0  # above the bars
         while last >= FAN ** (self.levels + 1):
             self.levels += 1
-        node = F.col("idx").cast("long")
+        node = F.col("idx").cast("long") + 1  # so that -1, before the first bar, has a place too
         base = bars.select("symbol", F.lit(0).alias("level"), node.alias("node"), "low", "high", F.col("close").alias("low_close"), F.col("close").alias("high_close"), F.col("ts").alias("bar_ts"), "close", atr.alias("atr"))
         self.base = self._dealt(base.withColumn("part", F.lit(0)))
         self.every = self.base
@@ -63,10 +63,10 @@ class Pyramid:
         hashed = F.pmod(F.hash(*asked.columns), F.lit(PARTS))
         up = asked.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(self.levels))))
         width = F.pow(F.lit(float(FAN)), "level").cast("long")
-        up = up.withColumns({"own": F.floor(F.col("after") / width), "part": F.when(F.col("level") > 0, hashed).otherwise(0)})
+        up = up.withColumns({"own": F.floor((F.col("after") + 1) / width), "part": F.when(F.col("level") > 0, hashed).otherwise(0)})
         parents = F.array(F.floor(F.col("own") / FAN))
         if bounded:
-            up = up.withColumn("end", F.floor(F.col("before") / width))
+            up = up.withColumn("end", F.floor((F.col("before") + 1) / width))
             parents = F.when(F.col("end").isNull(), parents).otherwise(F.array_distinct(F.array(F.floor(F.col("own") / FAN), F.floor(F.col("end") / FAN))))
         up = up.withColumn("parent", F.explode(parents))
         met = (F.col("symbol") == F.col("n_symbol")) & (F.col("level") == F.col("n_level")) & (F.col("parent") == F.col("n_parent")) & (F.col("part") == F.col("n_part")) & (F.col("n_node") > F.col("own"))
@@ -89,7 +89,7 @@ class Pyramid:
             down = self._below(rows, columns, level, test).where((F.col("level") < level) | F.col("child").isNotNull())
             here = F.col("level") == level
             rows = down.select(*columns, F.when(here, level - 1).otherwise(F.col("level")).alias("level"), F.when(here, F.col("child")).otherwise(F.col("node")).alias("node"), *(F.when(here, F.col(f"c_{c}")).otherwise(F.col(c)).alias(c) for c in CARRIED))
-        return rows.select(*columns, F.col("node").alias("at"), *CARRIED)
+        return rows.select(*columns, (F.col("node") - 1).alias("at"), *CARRIED)
 
     def _round(self, asked: DataFrame, test: Test) -> DataFrame:
         """asked's columns, level, node, what a bar brings: the first bar that passes (level 0), or the node where the search ended in vain."""
@@ -112,7 +112,7 @@ class Pyramid:
         columns = asked.columns
         rows = self._round(asked, test)
         if exact:
-            return rows.select(*columns, F.col("node").alias("at"), *CARRIED)
+            return rows.select(*columns, (F.col("node") - 1).alias("at"), *CARRIED)
         width = F.pow(F.lit(float(FAN)), "level").cast("long")
         original = asked.withColumn("from", F.col("after"))
         found, pending = None, original
@@ -120,7 +120,7 @@ class Pyramid:
             step = written(self._round(pending, test), "round")
             hit = step.where("level = 0")
             found = hit if found is None else found.unionByName(hit)
-            pending = step.where("level > 0").withColumn("after", (F.col("node") + 1) * width - 1).select(original.columns)
+            pending = step.where("level > 0").withColumn("after", (F.col("node") + 1) * width - 2).select(original.columns)
             if pending.isEmpty():
                 break
-        return found.withColumn("after", F.col("from")).select(*columns, F.col("node").alias("at"), *CARRIED)
+        return found.withColumn("after", F.col("from")).select(*columns, (F.col("node") - 1).alias("at"), *CARRIED)

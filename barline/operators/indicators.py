@@ -8,18 +8,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.expr import ratio
+from barline.functions.scans import placed
 from barline.sources.bars import indexed
 
-def by_ts():
-    """A symbol's bars in order."""
-    return Window.partitionBy("symbol").orderBy("ts")
-
 #: Bars of a stretch for exponential means; powers of any span's weight stay in range within one.
 STRETCH = 256
+#: Own bars of a stretch for windows of bounded reach.
+SPAN = 2048
+
+
+def stretched(bars: DataFrame, before: int, after: int = 0) -> DataFrame:
+    """bars (with idx) cut into stretches of SPAN bars, each with copies of as many bars before and after as its windows reach; windows over
+    `near` then see what they would see over the whole symbol, and `own` drops the copies.
+    """
+    if max(before, after) > SPAN:
+        raise ValueError("a window reaches beyond the neighbouring stretch")
+    k = F.floor(F.col("idx") / SPAN)
+    next_, last_ = F.when(F.col("idx") >= (k + 1) * SPAN - before, k + 1), F.when((F.col("idx") < k * SPAN + after) & (k > 0), k - 1)
+    return bars.withColumn("_own", k).withColumn("_stretch", F.explode(F.array_compact(F.array(k, next_, last_))))
+
+
+def near():
+    """A stretch's bars in order."""
+    return Window.partitionBy("symbol", "_stretch").orderBy("ts")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    return rows.where("_stretch = _own").drop("_stretch", "_own")
 
 
 def last(n: int):
-    return by_ts().rowsBetween(-(n - 1), 0)
+    return near().rowsBetween(-(n - 1), 0)
 
 
 def full_mean(c: str | Column, n: int) -> Column:
@@ -29,7 +48,8 @@ def full_mean(c: str | Column, n: int) -> Column:
 
 def filled(bars: DataFrame, columns: list[str], most: int = 3) -> DataFrame:
     """Nulls taken from at most so many bars before."""
-    return bars.withColumns({c: F.coalesce(c, F.last(c, ignorenulls=True).over(by_ts().rowsBetween(-most, 0))) for c in columns})
+    cut = stretched(placed(bars), most)
+    return own(cut.withColumns({c: F.coalesce(c, F.last(c, ignorenulls=True).over(near().rowsBetween(-most, 0))) for c in columns})).drop("idx")
 
 
 def exponential(bars: DataFrame, values: dict[str, tuple[str, float, int]]) -> DataFrame:
@@ -62,7 +82,7 @@ def exponential(bars: DataFrame, values: dict[str, tuple[str, float, int]]) -> D
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(by_ts())
+    before = F.lag("close").over(near())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -70,9 +90,7 @@ def with_indicators(bars: DataFrame, atr: int = 14) -> DataFrame:
     """bars: symbol, ts, open, high, low, close, volume. One row for each symbol and ts, with idx and all indicators; null while one
     warms up, null for ratios of zero. Empty input: empty output with the same columns.
     """
-    b = indexed(bars).withColumns({"true_range": true_range(), "log_return": F.ln(ratio(F.col("close"), F.lag("close").over(by_ts())))})
-    spans = {"atr": ("true_range", 1 / atr, atr)} | {f"ema{n}": ("close", 2 / (n + 1), 1) for n in (20, 50, 200)}
-    b = exponential(b, spans)
+    b = stretched(indexed(bars), 200).withColumns({"true_range": true_range(), "log_return": F.ln(ratio(F.col("close"), F.lag("close").over(near())))})
     body, span = F.abs(F.col("close") - F.col("open")), F.col("high") - F.col("low")
     b = b.withColumns(
         {
@@ -86,6 +104,8 @@ def with_indicators(bars: DataFrame, atr: int = 14) -> DataFrame:
             **{f"sma{n}": full_mean("close", n) for n in (20, 50, 200)},
         }
     )
+    spans = {"atr": ("true_range", 1 / atr, atr)} | {f"ema{n}": ("close", 2 / (n + 1), 1) for n in (20, 50, 200)}
+    b = exponential(own(b), spans)
     return b.withColumns(
         {
             "body_ratio": ratio(body, span),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.operators.history import Pyramid
-from barline.operators.scans import placed, running
+from barline.functions.scans import placed, running
+from barline.operators.nearest import tiles
 from barline.operators.zones import overlapping
 from barline.sources.shared import written
 
@@ -64,11 +65,7 @@ def _beside(stretches: DataFrame, lives: DataFrame) -> DataFrame:
     width = F.pow(F.lit(float(CHILDREN)), "level").cast("long")
     z = lives.withColumns({"first": F.floor(F.col("born") / STRETCH), "end": F.coalesce(F.floor(F.col("dies") / STRETCH), F.lit(CHILDREN**levels))}).where("end > first + 1").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
     own, stop = F.floor(F.col("first") / width), F.floor(F.col("end") / width)  # what lies between them on a level, under the parents of either, is the tile
-    after = F.sequence(own + 1, F.least((F.floor(own / CHILDREN) + 1) * CHILDREN, stop) - 1)
-    before = F.sequence(F.greatest(F.floor(stop / CHILDREN) * CHILDREN, own + 1), stop - 1)
-    some = lambda x, low, high: F.when(low <= high, x).otherwise(F.array().cast("array<bigint>"))
-    tiles = F.array_distinct(F.concat(some(after, own + 1, F.least((F.floor(own / CHILDREN) + 1) * CHILDREN, stop) - 1), some(before, F.greatest(F.floor(stop / CHILDREN) * CHILDREN, own + 1), stop - 1)))
-    z = z.withColumn("node", F.explode(tiles))
+    z = z.withColumn("node", F.explode(tiles(own, stop, CHILDREN)))
     side = lambda c: F.when(F.col("type") == "demand", c).otherwise(-c)
     both = F.explode(F.array(F.lit(1), F.lit(-1))).alias("way")  # 1: the nearest below, -1: the nearest above
     edge = side(F.when(F.col("type") == "demand", F.col("top")).otherwise(F.col("bottom")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.expr import ratio
+from barline.functions.scans import running
 
 
 def closed():
@@ -52,15 +53,17 @@ def structures(curve: DataFrame) -> DataFrame:
 
 def drawdowns(curve: DataFrame, value: str = "equity_after_trade") -> DataFrame:
     """Largest fall from the running peak, and as a percentage of the overall peak."""
-    by = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    fall = curve.withColumn("fall", F.max(value).over(by) - F.col(value))
+    run = running(curve, ["symbol"], F.floor(F.col("seq") / 4096), ["seq"], {"peak": ("max", F.col(value))})
+    fall = run.withColumn("fall", F.col("peak") - F.col(value))
     return fall.groupBy("symbol").agg(F.round(F.max("fall"), 2).alias("max_drawdown"), F.round(100 * ratio(F.max("fall"), F.max(value)), 4).alias("max_drawdown_pct"), F.round(F.max_by(value, "seq"), 2).alias("final_equity"))
 
 
 def r_drawdowns(trades: DataFrame) -> DataFrame:
     """The same over cumulative R of closed trades in order of entry."""
-    by = Window.partitionBy("symbol").orderBy("entry_ts", "zone_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.where(closed()).withColumn("total", F.sum("r_multiple").over(by)).withColumn("fall", F.max("total").over(by) - F.col("total"))
+    day, order = F.col("entry_ts").cast("date"), ["entry_ts", "zone_id"]
+    run = trades.where(closed()).withColumn("units", F.round(F.col("r_multiple") * 10000).cast("long"))  # R has four digits: whole sums are exact
+    run = running(run, ["symbol"], day, order, {"run": ("sum", F.col("units"))}).withColumn("total", F.col("run") / 10000)
+    run = running(run, ["symbol"], day, order, {"peak": ("max", F.col("total"))}).withColumn("fall", F.col("peak") - F.col("total"))
     return run.groupBy("symbol").agg(F.round(F.max("fall"), 4).alias("max_drawdown_r"), F.round(F.sum("r_multiple"), 4).alias("total_r"))
 
 

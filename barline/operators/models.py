@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.functions.expr import ratio
-from barline.sources.shared import written
+from barline.functions.expr import ratio, recoded
+from barline.functions.scans import numbered, percentiles, ranged, running
+from barline.sources.shared import shared_dir, written
+
+
+class Trees(NamedTuple):
+    """An ensemble: trees, their depth, the fewest rows of a leaf, and for boosting its step; rows and columns: what each tree or split sees of them."""
+
+    trees: int
+    depth: int
+    least: int
+    step: float = 0.05
+    rows: float = 0.8
+    columns: str = "sqrt"
+
+
+#: The sizes of the models of windows, of trade outcomes and of bar classes (depth 30 is the deepest that Spark ML grows).
+WINDOWS = Trees(500, 4, 10, columns="0.6")
+OUTCOMES = Trees(200, 3, 8, columns="0.7")
+STRUCTURES = Trees(300, 30, 5, rows=1.0)
 
 #: What is known when a zone forms; freshness is not, as it comes from later tests.
 POINT_IN_TIME = (
@@ -30,21 +50,27 @@ def folds(rows: DataFrame, order: list[str], splits: int = 5) -> DataFrame:
     return numbered.withColumn("fold", F.greatest(F.floor((F.col("rank") - 1 - (n - splits * size)) / size) + 1, F.lit(0)).cast("int")).drop("rank")
 
 
-def pipeline(columns: list[str], kind: str = "gbt", missing: float | None = None) -> Pipeline:
+def pipeline(columns: list[str], kind: str = "gbt", missing: float | None = None, size: Trees | None = None, flagged: list[str] = ()) -> Pipeline:
     """Median imputation inside the training rows (or a constant for missing values), assembly, and a weighted classifier: gbt, forest
-    (any number of classes) or logistic (standardised).
+    (any number of classes) or logistic (standardised). size: of the trees, OUTCOMES or STRUCTURES unless given.
+
+    flagged: columns that may be missing. Each gets an indicator beside it, so that a tree can send missing values its own way.
     """
-    filled = [f"{c}__f" for c in columns]
+    filled, flags = [f"{c}__f" for c in columns], [f"{c}__m" for c in flagged]
     fill = [Imputer(strategy="median", inputCols=columns, outputCols=filled)] if missing is None else []
-    stages = [*fill, VectorAssembler(inputCols=columns if missing is not None else filled, outputCol="raw", handleInvalid="keep")]
+    if flags:
+        marks = ", ".join(f"CAST(`{c}` IS NULL OR isnan(`{c}`) AS DOUBLE) AS `{m}`" for c, m in zip(flagged, flags, strict=True))
+        fill.insert(0, SQLTransformer(statement=f"SELECT *, {marks} FROM __THIS__"))
+    stages = [*fill, VectorAssembler(inputCols=[*(columns if missing is not None else filled), *flags], outputCol="raw", handleInvalid="keep")]
+    size = size or (STRUCTURES if kind == "forest" else OUTCOMES)
     common = {"labelCol": "label", "weightCol": "weight", "featuresCol": "raw"}
     if kind == "logistic":
         stages.append(StandardScaler(inputCol="raw", outputCol="scaled", withMean=True))
         stages.append(LogisticRegression(**common | {"featuresCol": "scaled"}, maxIter=50, regParam=0.01))
     elif kind == "forest":
-        stages.append(RandomForestClassifier(**common, numTrees=60, maxDepth=8, featureSubsetStrategy="sqrt", minInstancesPerNode=5, seed=42))
+        stages.append(RandomForestClassifier(**common, numTrees=size.trees, maxDepth=size.depth, featureSubsetStrategy=size.columns, minInstancesPerNode=size.least, subsamplingRate=size.rows, seed=42))
     else:
-        stages.append(GBTClassifier(**common, maxIter=20, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42))
+        stages.append(GBTClassifier(**common, maxIter=size.trees, maxDepth=size.depth, stepSize=size.step, subsamplingRate=size.rows, featureSubsetStrategy=size.columns, minInstancesPerNode=size.least, checkpointInterval=10, seed=42))
     return Pipeline(stages=stages)
 
 
@@ -64,26 +90,35 @@ def weighted(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(counts.withColumn("weight", most / F.col("_n")).drop("_n")), "label")
 
 
-def walk_forward(rows: DataFrame, columns: list[str], order: list[str], kind: str = "logistic", splits: int = 5, least: int = 5, train_too: bool = False, missing: float | None = None) -> DataFrame:
+def walk_forward(rows: DataFrame, columns: list[str], order: list[str], kind: str = "logistic", splits: int = 5, least: int = 5, train_too: bool = False, missing: float | None = None, size: Trees | None = None, first_too: bool = False) -> DataFrame:
     """Out-of-sample rows with p (of class 1), all class probabilities and fold; with train_too those of each fold's training rows as well, told apart by part
     (`train`, `test`). Folds whose training rows lack `least` rows of either of the two most frequent classes are skipped. The loop is over folds, each fit
-    and prediction is a distributed job.
+    and prediction is a distributed job; lineage of long boosting is cut by checkpoints in the shared folder.
+
+    first_too: rows before the first tested fold, which no model can score unseen, are scored by the first model, which was trained on them; `seen` tells
+    them apart.
     """
     placed = written(folds(rows, order, splits), "folds")
-    out = None
+    context = placed.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(placed.sparkSession))
+    lacking = placed.agg(*(F.max((F.col(c).isNull() | F.isnan(c)).cast("int")).alias(c) for c in columns)).first()  # one row
+    flagged = [c for c in columns if lacking[c]]
+    out, first = None, first_too
     for k in range(1, splits + 1):
         train, test = placed.where(F.col("fold") < k), placed.where(F.col("fold") == k)
         seen = sorted((x["count"] for x in train.groupBy("label").count().collect()), reverse=True)  # a row for each class
         if len(seen) < 2 or seen[1] < least:
             continue
-        model = pipeline(columns, kind, missing).fit(weighted(train))
+        model = pipeline(columns, kind, missing, size, flagged).fit(weighted(train))
         probs = vector_to_array("probability")
-        for part, given in (("train", train), ("test", test))[0 if train_too else 1 :]:
-            scored = model.transform(given).select(*rows.columns, F.lit(k).alias("fold"), F.lit(part).alias("part"), F.get(probs, F.lit(1)).alias("p"), probs.alias("probabilities"), F.col("prediction").cast("int").alias("predicted"))
+        for part, given in (("train", train), ("test", test))[0 if train_too or first else 1 :]:
+            scored = model.transform(given).select(*rows.columns, F.lit(k).alias("fold"), F.lit(part).alias("part"), F.lit(part == "train").alias("seen"), F.get(probs, F.lit(1)).alias("p"), probs.alias("probabilities"), F.col("prediction").cast("int").alias("predicted"))
             out = scored if out is None else out.unionByName(scored)
+        first = False
     if out is None:
-        out = placed.where("false").withColumns({"part": F.lit("test"), "p": F.lit(0.0), "probabilities": F.array(F.lit(0.0)), "predicted": F.lit(0)})
-    return out if train_too else out.drop("part")
+        out = placed.where("false").withColumns({"part": F.lit("test"), "seen": F.lit(False), "p": F.lit(0.0), "probabilities": F.array(F.lit(0.0)), "predicted": F.lit(0)})
+    return out if train_too else out.drop("part") if first_too else out.drop("part", "seen")
 
 
 def class_report(scored: DataFrame) -> DataFrame:
@@ -109,16 +144,18 @@ def importances(model: PipelineModel, columns: list[str], spark: SparkSession, t
 
 
 def report(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Confusion counts, precision, recall and F1 at a threshold by fold, and the exact ROC-AUC by ranks."""
+    """Confusion counts, precision, recall and F1 at a threshold by fold, and the exact ROC-AUC by ranks, ties at their middle. Equal probabilities are one
+    row with a count, and ranks run over ranges of probabilities, so that no task sees a whole fold.
+    """
+    scored = written(scored.select("fold", "label", "p"), "scored")
     tp, fp = F.count_if((F.col("p") >= threshold) & (F.col("label") == 1)), F.count_if((F.col("p") >= threshold) & (F.col("label") == 0))
     pos, n = F.count_if(F.col("label") == 1), F.count(F.lit(1))
-    by = Window.partitionBy("fold").orderBy("p")
-    low = F.rank().over(by)
-    same = F.count(F.lit(1)).over(Window.partitionBy("fold", "p"))
-    ranked = scored.withColumn("mid", low + (same - 1) / 2)
+    values = scored.groupBy("fold", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos"))
+    ranked = running(ranged(values, ["fold", "p"], "ranks"), ["fold"], F.col("_range"), ["p"], {"upto": ("sum", F.col("n"))})
+    sums = ranked.groupBy("fold").agg(F.sum(F.col("pos") * (F.col("upto") - (F.col("n") - 1) / 2)).alias("mids"))
     d = lambda c: c.cast("double")
-    auc = ratio(F.sum(F.when(F.col("label") == 1, F.col("mid"))) - d(pos) * (d(pos) + 1) / 2, d(pos) * d(n - pos))
-    return ranked.groupBy("fold").agg(n.alias("rows"), pos.alias("positives"), F.round(ratio(d(tp), d(tp + fp)), 4).alias("precision"), F.round(ratio(d(tp), d(pos)), 4).alias("recall"), F.round(ratio(2.0 * d(tp), d(tp + fp + pos)), 4).alias("f1"), F.round(auc, 4).alias("auc"))
+    auc = ratio(F.max("mids") - d(pos) * (d(pos) + 1) / 2, d(pos) * d(n - pos))
+    return scored.join(sums, "fold").groupBy("fold").agg(n.alias("rows"), pos.alias("positives"), F.round(ratio(d(tp), d(tp + fp)), 4).alias("precision"), F.round(ratio(d(tp), d(pos)), 4).alias("recall"), F.round(ratio(2.0 * d(tp), d(tp + fp + pos)), 4).alias("f1"), F.round(auc, 4).alias("auc"))
 
 
 def tuned_threshold(scored: DataFrame, r: str = "r_multiple", keep: float = 0.4, steps: int = 31) -> DataFrame:
@@ -127,9 +164,11 @@ def tuned_threshold(scored: DataFrame, r: str = "r_multiple", keep: float = 0.4,
     Of 31 quantiles of the training rows' p up to 0.9 the one with the largest sum of r among those that keep 40 % of the training rows; the
     lowest on ties. No test row has a say in it.
     """
-    quantiles = ", ".join(str(round(0.9 * i / (steps - 1), 6)) for i in range(steps))
+    scored = written(scored.select("fold", "part", "p", r), "scored")
     train, test = scored.where("part = 'train'"), scored.where("part = 'test'")
-    levels = train.groupBy("fold").agg(F.expr(f"percentile(p, array({quantiles}))").alias("ts"), F.count(F.lit(1)).alias("n")).select("fold", "n", F.explode(F.array_distinct("ts")).alias("threshold"))
+    quantiles = percentiles(train, ["fold"], "p", [round(0.9 * i / (steps - 1), 6) for i in range(steps)])
+    sizes = train.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    levels = quantiles.join(sizes, "fold").select("fold", "n", F.explode(F.array_distinct("q")).alias("threshold"))
     kept = train.join(levels, "fold").where(F.col("p") >= F.col("threshold")).groupBy("fold", "threshold", "n").agg(F.count(F.lit(1)).alias("kept"), F.sum(r).alias("gain"))
     best = kept.where(F.col("kept") >= keep * F.col("n")).groupBy("fold").agg(F.max_by("threshold", F.struct(F.round("gain", 9), -F.col("threshold"))).alias("threshold"))
     taken = F.col("p") >= F.col("threshold")
@@ -142,7 +181,7 @@ def outcome_rows(trades: DataFrame, zones: DataFrame) -> DataFrame:
     """Trades with the point-in-time features of their zones, type and structure as numbers, and label (r_multiple > 0)."""
     z = zones.select("symbol", "zone_id", *(F.col(c).cast("double").alias(c) for c in POINT_IN_TIME))
     rows = trades.select("symbol", "zone_id", "type", "structure", "entry_ts", "r_multiple", "outcome").join(z, ["symbol", "zone_id"], "left")
-    coded = {"is_demand": (F.col("type") == "demand").cast("double")} | {f"struct_{s}": (F.col("structure") == s).cast("double") for s in ("DBR", "RBD", "RBR", "DBD")}
+    coded = {"is_demand": recoded(F.col("type") == "demand").cast("double")} | {f"struct_{s}": (F.col("structure") == s).cast("double") for s in ("DBR", "RBD", "RBR", "DBD")}
     return rows.withColumns(coded | {"label": (F.col("r_multiple") > 0).cast("int")})
 
 
@@ -192,5 +231,5 @@ def score_zones(zones: DataFrame, scored: DataFrame) -> DataFrame:
 
 def ranks(zones: DataFrame) -> DataFrame:
     """Adds ml_rank within the symbol by falling ml_prob."""
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc_nulls_last("ml_prob"), "zone_id"))
-    return zones.withColumn("ml_rank", F.when(F.col("ml_prob").isNotNull(), place))
+    placed = numbered(zones, ["symbol"], [F.desc_nulls_last("ml_prob"), "zone_id"], "ml_rank")
+    return placed.withColumn("ml_rank", F.when(F.col("ml_prob").isNotNull(), F.col("ml_rank").cast("int")))

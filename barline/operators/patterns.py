@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from barline.functions.expr import ratio
 from barline.operators import trades
 from barline.operators.history import Pyramid
-from barline.operators.indicators import by_ts, exponential, last
+from barline.operators.indicators import exponential, last, near, own, stretched
+from barline.functions.scans import placed, running
 from barline.operators.zones import BLOCK, in_blocks, overlapping
 
 
 def swings(bars: DataFrame, n: int = 3) -> DataFrame:
     """Bars whose high (low) lies beyond those of n bars on both sides; the zone reaches from wick to body."""
-    before, after = by_ts().rowsBetween(-n, -1), by_ts().rowsBetween(1, n)
+    before, after = near().rowsBetween(-n, -1), near().rowsBetween(1, n)
     enough = (F.count("high").over(before) == n) & (F.count("high").over(after) == n)
     high = enough & (F.col("high") > F.max("high").over(before)) & (F.col("high") > F.max("high").over(after))
     low = enough & (F.col("low") < F.min("low").over(before)) & (F.col("low") < F.min("low").over(after))
-    rows = bars.withColumns({"swing_high": high, "swing_low": low}).where("swing_high or swing_low")
+    rows = own(stretched(placed(bars), n, n).withColumns({"swing_high": high, "swing_low": low})).where("swing_high or swing_low")
     kind = F.explode(F.filter(F.array(F.when(F.col("swing_high"), "high"), F.when(F.col("swing_low"), "low")), lambda x: x.isNotNull()))
     rows = rows.select("symbol", "ts", "open", "high", "low", "close", kind.alias("swing"))
     up = F.col("swing") == "high"
@@ -71,8 +72,9 @@ PATTERNS = {
 
 def candle_patterns(bars: DataFrame) -> DataFrame:
     """Bars of one of the PATTERNS at least, a flag (0 or 1) for each; a pattern of several bars is flagged on its last one."""
-    b = bars.select("symbol", "ts", *(F.col(x).alias(x[0]) for x in ("open", "high", "low", "close")))
-    b = b.withColumns({f"{x}{k}": F.lag(x, k).over(by_ts()) for k in (1, 2) for x in "ohlc"})
+    given = bars if "idx" in bars.columns else placed(bars)
+    b = stretched(given.select("symbol", "ts", "idx", *(F.col(x).alias(x[0]) for x in ("open", "high", "low", "close"))), 2)
+    b = own(b.withColumns({f"{x}{k}": F.lag(x, k).over(near()) for k in (1, 2) for x in "ohlc"}))
     b = b.withColumns({f"body{k}": F.abs(F.col(f"c{k}") - F.col(f"o{k}")) for k in ("", 1, 2)} | {f"span{k}": F.col(f"h{k}") - F.col(f"l{k}") for k in ("", 1, 2)})
     b = b.withColumns({"up": F.col("h") - F.greatest("o", "c"), "down": F.least("o", "c") - F.col("l")})
     flags = {n: F.coalesce(F.expr(x), F.lit(False)).cast("int") for n, x in PATTERNS.items()}
@@ -81,15 +83,16 @@ def candle_patterns(bars: DataFrame) -> DataFrame:
 
 def oscillators(bars: DataFrame) -> DataFrame:
     """MACD with its signal, RSI, stochastic %K, rate of change, Bollinger width, on-balance volume and ADX."""
-    change = F.col("close") - F.lag("close").over(by_ts())
-    up, down = F.col("high") - F.lag("high").over(by_ts()), F.lag("low").over(by_ts()) - F.col("low")
-    b = bars.withColumns({"gain": F.greatest(change, F.lit(0.0)), "loss": F.greatest(-change, F.lit(0.0)), "plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)})
+    before = lambda c, k=1: F.lag(c, k).over(near())
+    mean, dev = F.avg("close").over(last(20)), F.stddev_pop("close").over(last(20))
+    b = stretched(bars, 20).withColumns({"change": F.col("close") - before("close"), "high1": before("high"), "low1": before("low"), "close10": before("close", 10), "mean": mean, "dev": dev, "top": F.max("high").over(last(14)), "bottom": F.min("low").over(last(14))})
+    change, up, down = F.col("change"), F.col("high") - F.col("high1"), F.col("low1") - F.col("low")
+    b = own(b).withColumns({"gain": F.greatest(change, F.lit(0.0)), "loss": F.greatest(-change, F.lit(0.0)), "plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)})
     b = exponential(b, {"e12": ("close", 2 / 13, 1), "e26": ("close", 2 / 27, 1), "ag": ("gain", 1 / 14, 15), "al": ("loss", 1 / 14, 15), "ap": ("plus", 1 / 14, 14), "am": ("minus", 1 / 14, 14)})
     b = b.withColumns({"macd": F.col("e12") - F.col("e26"), "dx": 100 * F.abs(F.col("ap") - F.col("am")) / F.nullif(F.col("ap") + F.col("am"), F.lit(0.0))})
     b = exponential(b, {"signal": ("macd", 0.2, 1), "adx": ("dx", 1 / 14, 28)})
-    mean, dev = F.avg("close").over(last(20)), F.stddev_pop("close").over(last(20))
-    top, low = F.max("high").over(last(14)), F.min("low").over(last(14))
-    obv = F.sum(F.signum(change) * F.col("volume")).over(by_ts().rowsBetween(Window.unboundedPreceding, 0))
+    b = running(b, ["symbol"], F.floor(F.col("idx") / 4096), ["idx"], {"obv": ("sum", F.signum(change) * F.col("volume"))})
+    low, top, obv = F.col("bottom"), F.col("top"), F.col("obv")
     return b.select(
         "symbol",
         "ts",
@@ -97,8 +100,8 @@ def oscillators(bars: DataFrame) -> DataFrame:
         F.round("signal", 3).alias("macd_signal"),
         F.round(100 - 100 / (1 + ratio(F.col("ag"), F.col("al"))), 3).alias("rsi"),
         F.round(100 * ratio(F.col("close") - low, top - low), 3).alias("stochastic_k"),
-        F.round(100 * ratio(change + F.lag("close").over(by_ts()) - F.lag("close", 10).over(by_ts()), F.lag("close", 10).over(by_ts())), 4).alias("roc10"),
-        F.round(4 * ratio(dev, mean), 5).alias("bollinger_width"),
+        F.round(100 * ratio(F.col("close") - F.col("close10"), F.col("close10")), 4).alias("roc10"),
+        F.round(4 * ratio(F.col("dev"), F.col("mean")), 5).alias("bollinger_width"),
         F.round(F.coalesce(obv, F.lit(0.0)), 0).alias("obv"),
         F.round("adx", 2).alias("adx"),
     )
@@ -106,11 +109,11 @@ def oscillators(bars: DataFrame) -> DataFrame:
 
 def movement_labels(bars: DataFrame, ahead: int = 10, r: float = 1.0) -> DataFrame:
     """What the next bars do from a close: rise or fall by r ATRs first, both, or stay within (consolidation)."""
-    after = by_ts().rowsBetween(1, ahead)
+    after = near().rowsBetween(1, ahead)
     rise = F.max("high").over(after) - F.col("close") >= r * F.col("atr")
     fall = F.col("close") - F.min("low").over(after) >= r * F.col("atr")
     full = F.count(F.lit(1)).over(after) == ahead
-    rows = bars.withColumns({"rise": rise, "fall": fall, "full": full}).where("atr is not null and full")
+    rows = own(stretched(bars, 0, ahead).withColumns({"rise": rise, "fall": fall, "full": full})).where("atr is not null and full")
     label = F.when(F.col("rise") & F.col("fall"), "both").when(F.col("rise"), "breakout_up").when(F.col("fall"), "breakout_down").otherwise("consolidation")
     return rows.select("symbol", "ts", label.alias("movement"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.expr import ratio
-from barline.operators.indicators import by_ts
+from barline.operators.indicators import near, own, stretched
+from barline.functions.scans import numbered, percentiles, placed
 
 PRICES = ("open", "high", "low", "close", "volume")
 
@@ -30,8 +31,8 @@ def integrity(bars: DataFrame) -> DataFrame:
 
 def gaps(bars: DataFrame, hours: float = 1.0) -> DataFrame:
     """How often bars are more than so many hours apart, by the gap's length."""
-    apart = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(by_ts()).cast("timestamp"))) / 3600
-    return bars.withColumn("gap_hours", apart).where(F.col("gap_hours") > hours).groupBy("symbol", "gap_hours").agg(F.count(F.lit(1)).alias("gaps"))
+    apart = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(near()).cast("timestamp"))) / 3600
+    return own(stretched(placed(bars), 1).withColumn("gap_hours", apart)).where(F.col("gap_hours") > hours).groupBy("symbol", "gap_hours").agg(F.count(F.lit(1)).alias("gaps"))
 
 
 def duplicates(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -40,17 +41,17 @@ def duplicates(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def atr_stats(bars: DataFrame) -> DataFrame:
     pct = bars.where("atr is not null").withColumn("pct", 100 * F.col("atr") / F.col("close"))
-    q = F.expr("percentile(pct, array(0.05, 0.25, 0.5, 0.75, 0.95))")
+    q, bounds = F.col("q"), percentiles(pct, ["symbol"], "pct", [0.05, 0.25, 0.5, 0.75, 0.95])
     first = lambda f, v: f("ts", F.struct(v, F.col("ts"))) if f is F.min_by else F.max_by("ts", F.struct(v, -F.col("idx")))
-    return pct.groupBy("symbol").agg(F.round(F.avg("pct"), 4).alias("mean"), F.round(F.stddev_samp("pct"), 4).alias("std"), F.round(F.min("pct"), 4).alias("least"), F.round(F.max("pct"), 4).alias("most"), *(F.round(q[i], 4).alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))), first(F.min_by, F.round("pct", 6)).alias("least_ts"), first(F.max_by, F.round("pct", 6)).alias("most_ts"))
+    return pct.groupBy("symbol").agg(F.round(F.avg("pct"), 4).alias("mean"), F.round(F.stddev_samp("pct"), 4).alias("std"), F.round(F.min("pct"), 4).alias("least"), F.round(F.max("pct"), 4).alias("most"), first(F.min_by, F.round("pct", 6)).alias("least_ts"), first(F.max_by, F.round("pct", 6)).alias("most_ts")).join(bounds, "symbol").select("symbol", "mean", "std", "least", "most", *(F.round(q[i], 4).alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))), "least_ts", "most_ts")
 
 
 def regimes(bars: DataFrame, window: int = 60) -> DataFrame:
     """Bars by volatility: ATR% below its quartiles, between them or above, with the mean of the last 60 at hand."""
     pct = bars.where("atr is not null").withColumn("pct", 100 * F.col("atr") / F.col("close"))
-    bounds = pct.groupBy("symbol").agg(F.expr("percentile(pct, 0.25)").alias("q1"), F.expr("percentile(pct, 0.75)").alias("q3"))
-    by = by_ts().rowsBetween(-(window - 1), 0)
-    smooth = pct.withColumn("smooth", F.when(F.count("pct").over(by) == window, F.avg("pct").over(by)))
+    bounds = percentiles(pct, ["symbol"], "pct", [0.25, 0.75]).select("symbol", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    by = near().rowsBetween(-(window - 1), 0)
+    smooth = own(stretched(pct, window).withColumn("smooth", F.when(F.count("pct").over(by) == window, F.avg("pct").over(by))))
     regime = F.when(F.col("pct") < F.col("q1"), "low").when(F.col("pct") > F.col("q3"), "high").otherwise("normal")
     return smooth.join(bounds, "symbol").groupBy("symbol", regime.alias("regime")).agg(F.count(F.lit(1)).alias("bars"), F.round(F.avg("smooth"), 4).alias("mean_smooth"))
 
@@ -93,12 +94,15 @@ def tails(bars: DataFrame) -> DataFrame:
 
 
 def candles(bars: DataFrame) -> DataFrame:
-    q = F.expr("percentile(body_ratio, array(0.1, 0.25, 0.5, 0.75, 0.9))")
-    return bars.groupBy("symbol").agg(F.count_if(F.col("is_bullish") == 1).alias("bullish"), F.count_if(F.col("is_bullish") == 0).alias("bearish"), F.round(F.avg("body_ratio"), 4).alias("mean_body_ratio"), *(F.round(q[i], 4).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))))
+    q, bounds = F.col("q"), percentiles(bars, ["symbol"], "body_ratio", [0.1, 0.25, 0.5, 0.75, 0.9])
+    sums = bars.groupBy("symbol").agg(F.count_if(F.col("is_bullish") == 1).alias("bullish"), F.count_if(F.col("is_bullish") == 0).alias("bearish"), F.round(F.avg("body_ratio"), 4).alias("mean_body_ratio"))
+    return sums.join(bounds, "symbol", "left").select(*sums.columns, *(F.round(q[i], 4).alias(n) for i, n in enumerate(("p10", "p25", "p50", "p75", "p90"))))
 
 
 def volume_links(bars: DataFrame) -> DataFrame:
-    return bars.groupBy("symbol").agg(F.round(F.avg("volume_ratio"), 4).alias("mean_ratio"), F.round(F.expr("percentile(volume_ratio, 0.95)"), 4).alias("p95_ratio"), F.round(F.corr("volume_ratio", F.abs("log_return")), 6).alias("corr_abs_return"))
+    high = percentiles(bars, ["symbol"], "volume_ratio", [0.95]).select("symbol", F.round(F.col("q")[0], 4).alias("p95_ratio"))
+    sums = bars.groupBy("symbol").agg(F.round(F.avg("volume_ratio"), 4).alias("mean_ratio"), F.round(F.corr("volume_ratio", F.abs("log_return")), 6).alias("corr_abs_return"))
+    return sums.join(high, "symbol", "left")
 
 
 def outliers(bars: DataFrame, times: float = 3.0, around: int = 15) -> DataFrame:
@@ -123,12 +127,14 @@ def histogram(bars: DataFrame, column: str, low: float, high: float, bins: int =
 
 def plotting_positions(bars: DataFrame, column: str = "log_return") -> DataFrame:
     """Ranked values with their plotting positions, for quantile plots."""
-    by = Window.partitionBy("symbol")
-    return bars.where(F.col(column).isNotNull()).select("symbol", "ts", F.row_number().over(by.orderBy(column, "ts")).cast("long").alias("place"), F.count(F.lit(1)).over(by).alias("n")).select("symbol", "ts", "place", F.round((F.col("place") - 0.5) / F.col("n"), 6).alias("position"))
+    given = bars.where(F.col(column).isNotNull()).select("symbol", "ts", column)
+    n = given.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return numbered(given, ["symbol"], [column, "ts"]).join(n, "symbol").select("symbol", "ts", "place", F.round((F.col("place") - 0.5) / F.col("n"), 6).alias("position"))
 
 
 def describe(bars: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each column: count, mean, std, least, exact quartiles, most."""
     long = bars.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
-    q = F.expr("percentile(v, array(0.25, 0.5, 0.75))")
-    return long.groupBy("column_name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("std"), F.round(F.min("v"), 4).alias("least"), *(F.round(q[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), F.round(F.max("v"), 4).alias("most"))
+    q, bounds = F.col("q"), percentiles(long, ["column_name"], "v", [0.25, 0.5, 0.75])
+    sums = long.groupBy("column_name").agg(F.count("v").alias("n"), F.round(F.avg("v"), 4).alias("mean"), F.round(F.stddev_samp("v"), 4).alias("std"), F.round(F.min("v"), 4).alias("least"), F.round(F.max("v"), 4).alias("most"))
+    return sums.join(bounds, "column_name", "left").select("column_name", "n", "mean", "std", "least", *(F.round(q[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "most")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barline.config import ZoneConfig
 from barline.functions.expr import clip, peak, ratio, weighted
 from barline.operators.history import Pyramid
-from barline.operators.indicators import by_ts
+from barline.operators.indicators import near, own, stretched
+from barline.functions.scans import running
 from barline.sources.shared import written
 
 #: Bars of a block by which bars are met.
@@ -30,14 +31,22 @@ def base_candles(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
 
 def _at(c: str, k: int) -> Column:
     """c of the bar k later (earlier if negative)."""
-    return F.col(c) if k == 0 else (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(by_ts())
+    return F.col(c) if k == 0 else (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(near())
 
 
 def bases(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     """Adds for bars that end a base: n (bars in it, the widest that is tight enough), top, bottom, avg_atr and what scores need;
     null n elsewhere. No fold: a base is at most z.max_base bars long, so each length is a projection over lagged columns.
     """
+    return own(_bases(stretched(_checked(bars), z.max_base), z))
+
+
+def _checked(bars: DataFrame) -> DataFrame:
     require(bars)
+    return bars
+
+
+def _bases(bars: DataFrame, z: ZoneConfig) -> DataFrame:
     b = base_candles(bars, z)
     found: dict[int, dict[str, Column]] = {}
     for k in range(z.max_base, z.min_base - 1, -1):
@@ -96,16 +105,16 @@ def _unrolled(b: DataFrame, z: ZoneConfig) -> DataFrame:
 
 def departures(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
     """The bars that end a base with a departure: those columns plus type and leg metrics (4 decimals). symbol and idx identify them."""
-    b = bases(bars, z)
+    deep, far = z.leg_in_lookback + z.max_base, z.leg_max + 1
+    b = _bases(stretched(_checked(bars), deep, far), z)
     o, h, low, c = (_at(x, 1) for x in ("open", "high", "low", "close"))
     b = b.withColumns({"fo": o, "fh": h, "fl": low, "fc": c, "formation_ts": _at("ts", 1), "up": c >= o})
     b = b.withColumns({"first_ema200": _at("ema200", 1), "first_atr": _at("atr", 1), "departure_volume_ratio": _at("volume_ratio", 1)})
     # bars before the base, for the arrival: at most leg_in_lookback of them before at most max_base bars
-    deep = z.leg_in_lookback + z.max_base
     b = b.withColumns({f"{x[0]}_{j}": _at(x, -j) for x in ("open", "close") for j in range(1, deep + 1)})
     ahead = range(1, z.leg_max + 1)
     b = b.withColumns({f"c{j}": _at("close", j) for j in ahead} | {f"v{j}": F.coalesce(_at("volume_ratio", j), F.lit(0.0)) for j in ahead})
-    b = _unrolled(_where(b, F.col("n").isNotNull() & F.col("fc").isNotNull()), z)
+    b = _unrolled(_where(own(b), F.col("n").isNotNull() & F.col("fc").isNotNull()), z)
     span = F.col("fh") - F.col("fl")
     close_ratio = F.when(F.col("up"), F.col("fc") - F.col("fl")).otherwise(F.col("fh") - F.col("fc")) / F.nullif(span, F.lit(0.0))
     body = F.abs(F.col("fc") - F.col("fo")) / F.col("avg_atr")
@@ -221,12 +230,12 @@ def scored_zones(bars: DataFrame, z: ZoneConfig = ZoneConfig()) -> DataFrame:
         ]
     )
     f = f.withColumns({"strength": F.round(strength, 4), "quality": F.round(quality, 4)})
-    f = _where(f, F.col("quality") >= z.min_quality)
-    number = F.row_number().over(Window.partitionBy("symbol").orderBy("base_idx"))
+    f = written(_where(f, F.col("quality") >= z.min_quality), "raw_zones")
+    f = running(f, ["symbol"], F.floor(F.col("base_idx") / 4096), ["base_idx"], {"number": ("count", F.lit(1))})
     r4 = lambda c: F.round(c, 4)
     return f.select(
         "symbol",
-        F.format_string("Z%04d", number).alias("zone_id"),
+        F.format_string("Z%04d", "number").alias("zone_id"),
         "type",
         "structure",
         r4("top").alias("top"),

@@ -15,6 +15,11 @@ from barline.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+#: The registered queries fit fewer trees than the library's own sizes (README has what that costs); everything else is as there.
+FEW_WINDOWS = models.WINDOWS._replace(trees=20, step=0.1)
+FEW_OUTCOMES = models.OUTCOMES._replace(trees=20, depth=4, step=0.1)
+FEW_STRUCTURES = models.STRUCTURES._replace(trees=60, depth=8)
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -403,20 +408,21 @@ def _window_rows(z, b) -> tuple[DataFrame, list[str]]:
 
 @query
 def model_zones(spark, sf_dir):
-    """Out-of-sample window probabilities of walk-forward boosted trees over all features, rebuilt to zones, without overlaps, with their lifecycle. Windows
-    before the first test fold have no model that doesn't know them and are not scored.
+    """Window probabilities of walk-forward boosted trees over all features, rebuilt to zones, without overlaps, with their lifecycle. Windows before the
+    first test fold, which no model can score unseen, are scored by the first one; `seen` marks their zones.
     """
     z, b = _zones(spark, sf_dir)
     rows, given = _window_rows(z, b)
-    scored = models.walk_forward(rows, given, ["ts", "symbol"], kind="gbt", splits=4).withColumnRenamed("p", "ml_prob")
-    found = written(windows.reconstructed(b, scored.select("symbol", "idx", "ml_prob")), "rebuilt")
-    return windows.ml_lifecycle(written(windows.deduplicated(found), "thin"), b)
+    scored = models.walk_forward(rows, given, ["ts", "symbol"], kind="gbt", splits=4, size=FEW_WINDOWS, first_too=True)
+    scored = written(scored.select("symbol", "idx", F.col("p").alias("ml_prob"), "seen"), "scored")
+    found = written(windows.reconstructed(b, scored.drop("seen")), "rebuilt")
+    return windows.ml_lifecycle(written(windows.deduplicated(found).join(scored.drop("ml_prob"), ["symbol", "idx"]), "thin"), b)
 
 
 def _structures(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     z, b = _lived(spark, sf_dir)
     rows = written(models.structure_rows(labels.label(b, z)), "classes")
-    return z, models.walk_forward(rows, models.STRUCTURE_FEATURES, ["ts", "symbol"], kind="forest", splits=5)
+    return z, models.walk_forward(rows, models.STRUCTURE_FEATURES, ["ts", "symbol"], kind="forest", splits=5, size=FEW_STRUCTURES)
 
 
 @query
@@ -444,7 +450,7 @@ OUTCOME_ORDER = ["entry_ts", "symbol", "zone_id"]
 
 @query
 def outcome_report(spark, sf_dir):
-    return models.report(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, OUTCOME_ORDER, kind="gbt", splits=5))
+    return models.report(models.walk_forward(_outcomes(spark, sf_dir), models.OUTCOME_FEATURES, OUTCOME_ORDER, kind="gbt", splits=5, size=FEW_OUTCOMES))
 
 
 @query
@@ -468,7 +474,7 @@ def outcome_shuffled(spark, sf_dir):
 @query
 def outcome_importances(spark, sf_dir):
     """The fifteen features that boosted trees over all trades weigh most."""
-    fitted = models.pipeline(models.OUTCOME_FEATURES).fit(models.weighted(_outcomes(spark, sf_dir)))
+    fitted = models.pipeline(models.OUTCOME_FEATURES, size=FEW_OUTCOMES).fit(models.weighted(_outcomes(spark, sf_dir)))
     return models.importances(fitted, models.OUTCOME_FEATURES, spark)
 
 

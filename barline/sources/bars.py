@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barline.functions.scans import placed, running
+
 #: Schema of bar files; a Date column is renamed to ts by the reader.
 BARS = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 #: Schema of zone files: the five dates, whatever else they hold.
@@ -33,7 +35,8 @@ def ohlc(moves: DataFrame, unit: str = "hour", start: int = 10_000_000) -> DataF
         .groupBy("symbol", "bar")
         .agg(F.min_by("p", order).alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", order).alias("c"), F.sum("v").alias("v"), F.sum("step").alias("net"))
     )
-    before = F.coalesce(F.sum("net").over(Window.partitionBy("symbol").orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + start
+    bars = running(bars, ["symbol"], F.col("bar").cast("date"), ["bar"], {"upto": ("sum", F.col("net"))})
+    before = F.col("upto") - F.col("net") + start
     price = lambda c: ((F.col(c) + F.col("before")) / 100.0)
     return bars.withColumn("before", before).select(
         "symbol", F.col("bar").alias("ts"), price("o").alias("open"), price("h").alias("high"), price("l").alias("low"), price("c").alias("close"), F.col("v").cast("double").alias("volume")
@@ -48,7 +51,7 @@ def indexed(bars: DataFrame) -> DataFrame:
     """Adds idx, the bar's place within its symbol from 0; of several bars of one ts the last in order of all columns stays."""
     same = Window.partitionBy("symbol", "ts").orderBy(*(F.desc(c) for c in ("volume", "close", "open", "high", "low")))
     one = bars.withColumn("place", F.row_number().over(same)).where("place = 1").drop("place")
-    return one.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    return placed(one.drop("idx"))
 
 
 def resample(bars: DataFrame, unit: str = "week", hours: int | None = None) -> DataFrame:

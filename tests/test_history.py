@@ -117,7 +117,7 @@ def test_context_is_that_of_a_scan(spark, monkeypatch):
 
 
 def test_running_values(spark):
-    from barline.operators import scans
+    from barline.functions import scans
 
     rng = random.Random(2)
     rows = [(rng.choice("ab"), k, rng.choice([None, *range(9)])) for k in range(400)]

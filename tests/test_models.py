@@ -35,7 +35,7 @@ def test_walk_forward_learns_and_its_control_does_not(rows):
 
 @pytest.mark.parametrize("kind", ["gbt", "forest"])
 def test_trees(rows, kind):
-    got = models.report(models.walk_forward(rows, ["x", "y"], ["id"], kind=kind, splits=1)).first()
+    got = models.report(models.walk_forward(rows, ["x", "y"], ["id"], kind=kind, splits=1, size=models.Trees(20, 4, 5))).first()
     assert got.rows == 180 and got.auc > 0.9
 
 
@@ -55,7 +55,7 @@ def test_class_report(spark):
 
 
 def test_importances_and_saved_models(spark, rows, tmp_path):
-    fitted = models.pipeline(["x", "y"]).fit(models.weighted(rows))
+    fitted = models.pipeline(["x", "y"], size=models.Trees(20, 4, 5)).fit(models.weighted(rows))
     found = models.importances(fitted, ["x", "y"], spark, 1).collect()
     assert [(r.feature, r.place) for r in found] == [("x", 1)]
     models.save(fitted, str(tmp_path / "model"))
@@ -124,3 +124,52 @@ def test_regular_bars_and_bounded_fill(spark):
     rows = [("A", at(k), float(k)) for k in (0, 1, 7)] + [("B", at(3), 5.0)]
     got = {(r.symbol, r.ts.hour): r.close for r in indicators.filled(sources.regular(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")), ["close"]).collect()}
     assert got == {("A", 0): 0.0, ("A", 1): 1.0, ("A", 2): 1.0, ("A", 3): 1.0, ("A", 4): 1.0, ("A", 5): None, ("A", 6): None, ("A", 7): 7.0, ("B", 3): 5.0}
+
+
+def test_missing_values_are_flagged_and_first_rows_scored(spark):
+    """What is missing tells the label: only an indicator can say so after the median fills the gap. Rows before the first fold are marked as seen."""
+    rng = random.Random(5)
+    rows = [(k, None if k % 3 == 0 else rng.gauss(0, 1), rng.gauss(0, 1), int(k % 3 == 0)) for k in range(240)]
+    given = spark.createDataFrame(rows, "id long, x double, y double, label int").withColumn("r_multiple", F.lit(1.0))
+    scored = models.walk_forward(given, ["x", "y"], ["id"], kind="gbt", splits=2, size=models.Trees(5, 3, 2, step=0.3), first_too=True).persist()
+    assert scored.count() == 240 and scored.where("seen").count() == scored.where("id < 80").count() == 80
+    assert all(r.auc == 1.0 for r in models.report(scored.where("not seen")).collect())
+
+
+def test_auc_with_ties_is_that_of_all_pairs(spark):
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 2), int(rng.random() < 0.4), rng.randint(0, 12) / 12) for _ in range(300)]
+    got = {r.fold: r.auc for r in models.report(spark.createDataFrame(rows, "fold int, label int, p double")).collect()}
+    for fold in (1, 2):
+        pos, neg = ([p for f, y, p in rows if f == fold and y == k] for k in (1, 0))
+        assert got[fold] == pytest.approx(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / len(pos) / len(neg), abs=1e-4)
+
+
+def test_library_sizes():
+    assert models.WINDOWS.trees == 500 and models.OUTCOMES.trees == 200 and models.STRUCTURES.trees == 300
+    stages = models.pipeline(["x"], size=models.WINDOWS).getStages()
+    assert stages[-1].getMaxIter() == 500 and stages[-1].getCheckpointInterval() == 10
+
+
+def test_percentiles_and_places(spark):
+    from barline.functions import scans
+
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), rng.choice([None, 1.0, 2.0, rng.random() * 5])) for _ in range(500)] + [("d", 4.0), ("e", None)]
+    given = spark.createDataFrame(rows, "s string, v double").persist()
+    shares = [0.0, 0.05, 0.25, 0.5, 0.9, 1.0]
+    want = {r.s: r.q for r in given.groupBy("s").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect() if r.q}
+    assert {r.s: r.q for r in scans.percentiles(given, ["s"], "v", shares).collect()} == want
+    all_ = given.agg(F.percentile("v", F.lit(0.3))).first()[0]
+    assert scans.percentiles(given, [], "v", [0.3]).first().q == [all_]
+    found = scans.numbered(given.where("v is not null"), ["s"], ["v"]).collect()
+    for s in "abcd":
+        mine = sorted((r.place, r.v) for r in found if r.s == s)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
+def test_recoded_and_keys(spark):
+    from barline.functions import expr
+
+    got = spark.createDataFrame([("True", "^NSEI"), ("False", "A.NS"), ("x", "B"), (None, "^X.Y")], "b string, s string").select(expr.recoded(F.col("b")), expr.recoded(F.col("b") == "True"), expr.symbol_key(F.col("s"))).collect()
+    assert [tuple(r) for r in got] == [(1, 1, "IDX_NSEI"), (0, 0, "A_NS"), (0, 0, "B"), (0, 0, "IDX_X.Y")]
