@@ -37,7 +37,7 @@ def _stats(pnl: str) -> list:
         F.round(F.sum(closed_r), 4).alias("total_r"),
         F.round(sharpe, 3).alias("sharpe_r"),
         F.round(F.sum(pnl), 2).alias("total_pnl"),
-        F.round(F.avg(F.when(F.col("outcome") == "timeout", F.col(pnl))), 2).alias("avg_timeout"),
+        *(F.round(F.avg(F.when(F.col("outcome").isin(*outcomes), F.col(pnl))), 2).alias(f"avg_{name}") for name, outcomes in (("timeout", ["timeout"]), ("win", ["win", "trail_win"]), ("loss", ["loss"]), ("trail_win", ["trail_win"]))),
     ]
 
 

@@ -36,13 +36,31 @@ def price_clusters(bars: DataFrame, width: float = 50.0) -> DataFrame:
     return peaks.select("symbol", "bin", "hits", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("hits"), "bin")).cast("long").alias("density_rank"))
 
 
+def cluster_zones(bars: DataFrame, width: float = 50.0) -> DataFrame:
+    """Zones around the peaks of `price_clusters`, as wide as a symbol's mean range, joined where they overlap, by rank of their hits. Rows are peaks, not bars."""
+    reach = bars.groupBy("symbol").agg(F.avg(F.col("high") - F.col("low")).alias("reach"))
+    middle = (F.col("bin") + 0.5) * width
+    around = price_clusters(bars, width).join(reach, "symbol").select("symbol", "hits", (middle - F.col("reach") / 2).alias("bottom"), (middle + F.col("reach") / 2).alias("top"))
+    by = Window.partitionBy("symbol").orderBy("bottom")
+    fresh = F.when(F.col("bottom") <= F.max("top").over(by.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
+    joined = around.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(by)).groupBy("symbol", "island")
+    found = joined.agg(F.round(F.min("bottom"), 4).alias("bottom"), F.round(F.max("top"), 4).alias("top"), F.count(F.lit(1)).alias("peaks"), F.sum("hits").alias("hits"))
+    return found.select("symbol", "bottom", "top", "peaks", "hits", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("hits"), "bottom")).cast("long").alias("density_rank"))
+
+
 def volume_profile(bars: DataFrame, width: float = 50.0) -> DataFrame:
-    """Each bar's volume spread evenly over the bins of its range; poc marks a symbol's fullest bin."""
+    """Each bar's volume spread evenly over the bins of its range; poc marks a symbol's fullest bin, hvn bins fuller and lvn
+    bins emptier than both neighbours (an unvisited neighbour is empty and no trough's)."""
     first, end = F.floor(F.col("low") / width), F.floor(F.col("high") / width)
     spread = bars.select("symbol", F.explode(F.sequence(first, end)).alias("bin"), (F.col("volume") / (end - first + 1)).alias("part"))
     bins = spread.groupBy("symbol", "bin").agg(F.round(F.sum("part"), 6).alias("volume"))
     best = bins.groupBy("symbol").agg(F.max_by("bin", F.struct("volume", -F.col("bin"))).alias("best"))
-    return bins.join(best, "symbol").select("symbol", "bin", "volume", (F.col("bin") == F.col("best")).alias("poc"))
+    by = Window.partitionBy("symbol").orderBy("bin")
+    beside = lambda f: F.when(F.abs(f("bin").over(by) - F.col("bin")) == 1, f("volume").over(by))
+    marked = bins.withColumns({"left": beside(F.lag), "right": beside(F.lead)})
+    high = (F.col("volume") > F.coalesce("left", F.lit(0.0))) & (F.col("volume") > F.coalesce("right", F.lit(0.0)))
+    low = F.coalesce((F.col("volume") < F.col("left")) & (F.col("volume") < F.col("right")), F.lit(False))
+    return marked.join(best, "symbol").select("symbol", "bin", "volume", (F.col("bin") == F.col("best")).alias("poc"), high.alias("hvn"), low.alias("lvn"))
 
 
 #: The patterns by name, as conditions over a bar (o, h, l, c, its body, span, upper and lower wick: up, down), the one before (o1, ...)

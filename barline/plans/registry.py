@@ -120,6 +120,12 @@ def zones_reversal(spark, sf_dir):
     return zones.raw_zones(_ind(spark, sf_dir), only).select("symbol", "formation_ts", "type", "structure", "leg_in_disp_atr")
 
 
+@query
+def zones_of_quality(spark, sf_dir):
+    """Zones of a quality of 70 at least; those left out have no number."""
+    return zones.scored_zones(_ind(spark, sf_dir), ZoneConfig(min_quality=0.7)).select("symbol", "zone_id", "type", "structure", "formation_ts", "quality_score")
+
+
 @query
 def zone_ranks(spark, sf_dir):
     """Ranks by a probability that not every zone has; here a strength of a half or more stands for it."""
@@ -180,6 +186,12 @@ def trades_fixed(spark, sf_dir):
     return _trades(spark, sf_dir)
 
 
+@query
+def trades_target_first(spark, sf_dir):
+    """A bar that reaches both stop and target counts as a win."""
+    return _trades(spark, sf_dir, TradeConfig(target_first=True))
+
+
 @query
 def trades_confirm(spark, sf_dir):
     return _trades(spark, sf_dir, TradeConfig(confirm=True))
@@ -488,6 +500,11 @@ def price_clusters(spark, sf_dir):
     return patterns.price_clusters(_bars(spark, sf_dir))
 
 
+@query
+def price_cluster_zones(spark, sf_dir):
+    return patterns.cluster_zones(_bars(spark, sf_dir))
+
+
 @query
 def volume_profile(spark, sf_dir):
     return patterns.volume_profile(_bars(spark, sf_dir))

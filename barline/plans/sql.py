@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from barline.operators.patterns import PATTERNS
 from barline.operators.quality import TAILS
 
@@ -230,6 +232,11 @@ fills AS (SELECT symbol, zone_id, min(idx) FILTER (fill AND opened) AS fill_idx,
 filled AS (SELECT z.*, fill_idx, entry_ts, fill_atr, proximal AS entry_price FROM zones z JOIN fills f USING (symbol, zone_id) WHERE fill_idx IS NOT NULL AND (broken_idx IS NULL OR broken_idx > fill_idx))"""
 
 
+def _tagged(sql: str, tag: str) -> str:
+    """sql with its own tables under other names, so that it can stand beside itself."""
+    return re.sub(r"\b(plan|held|ends|decided|r_trades)\b", rf"\1_{tag}", sql)
+
+
 def _plan(stop: str = "distal", reward: float = 2.0) -> str:
     return f""",
 plan0 AS (SELECT *, CASE WHEN type = 'demand' THEN 1.0 ELSE -1.0 END AS side, {stop} AS stop_price FROM filled),
@@ -370,7 +377,7 @@ def stats(keys: str, group: str) -> str:
   round(100.0 * count(*) FILTER ({won}) / nullif(count(*) FILTER ({closed}), 0), 2) AS win_rate, round(sum(net) FILTER ({won}) / nullif(abs(sum(net) FILTER (outcome = 'loss')), 0), 3) AS profit_factor,
   round(avg(round(r, 4)) FILTER ({closed}), 4) AS avg_r, round(sum(round(r, 4)) FILTER ({closed}), 4) AS total_r,
   CASE WHEN count(*) FILTER ({closed}) >= 2 THEN round(avg(round(r, 4)) FILTER ({closed}) / nullif(stddev_pop(round(r, 4)) FILTER ({closed}), 0) * sqrt(252 / greatest(avg(hold_candles) FILTER ({closed}), 1)), 3) END AS sharpe_r,
-  round(sum(net), 2) AS total_pnl, round(avg(net) FILTER (outcome = 'timeout'), 2) AS avg_timeout FROM curve GROUP BY {group}"""
+  round(sum(net), 2) AS total_pnl, round(avg(net) FILTER (outcome = 'timeout'), 2) AS avg_timeout, round(avg(net) FILTER ({won}), 2) AS avg_win, round(avg(net) FILTER (outcome = 'loss'), 2) AS avg_loss, round(avg(net) FILTER (outcome = 'trail_win'), 2) AS avg_trail_win FROM curve GROUP BY {group}"""
 
 
 def q(ctes: str, select: str, recursive: bool = False) -> str:
@@ -627,7 +634,36 @@ n AS (SELECT count(*) AS n, unnest([{'c': 'leg_in_disp_atr', 'x': count(*) - cou
     "volume_profile": q(
         BARS
         + ", f AS (SELECT *, CAST(floor(low / 50) AS BIGINT) AS a, CAST(floor(high / 50) AS BIGINT) AS b FROM bars0), s AS (SELECT symbol, unnest(range(a, b + 1)) AS bin, volume / (b - a + 1) AS part FROM f), v AS (SELECT symbol, bin, round(sum(part), 6) AS volume FROM s GROUP BY ALL)",
-        "SELECT symbol, bin, volume, row_number() OVER (PARTITION BY symbol ORDER BY volume DESC, bin) = 1 AS poc FROM v",
+        "SELECT v.symbol, v.bin, v.volume, row_number() OVER (PARTITION BY v.symbol ORDER BY v.volume DESC, v.bin) = 1 AS poc, v.volume > coalesce(l.volume, 0) AND v.volume > coalesce(r.volume, 0) AS hvn, coalesce(v.volume < l.volume AND v.volume < r.volume, false) AS lvn "
+        "FROM v LEFT JOIN v l ON l.symbol = v.symbol AND l.bin = v.bin - 1 LEFT JOIN v r ON r.symbol = v.symbol AND r.bin = v.bin + 1",
+    ),
+    "price_cluster_zones": q(
+        BARS
+        + ", p AS (SELECT symbol, CAST(floor(unnest([open, high, low, close]) / 50) AS BIGINT) AS bin FROM bars0), h AS (SELECT symbol, bin, count(*) AS hits FROM p GROUP BY ALL), k AS (SELECT h.*, coalesce(l.hits, 0) AS lh, coalesce(r.hits, 0) AS rh FROM h LEFT JOIN h l ON l.symbol = h.symbol AND l.bin = h.bin - 1 LEFT JOIN h r ON r.symbol = h.symbol AND r.bin = h.bin + 1)"
+        + ", t AS (SELECT symbol, avg(high - low) AS reach FROM bars0 GROUP BY symbol), z AS (SELECT k.symbol, k.hits, (bin + 0.5) * 50 - reach / 2 AS bottom, (bin + 0.5) * 50 + reach / 2 AS top FROM k JOIN t USING (symbol) WHERE hits > lh AND hits > rh)"
+        + ", g AS (SELECT *, CASE WHEN bottom <= max(top) OVER (PARTITION BY symbol ORDER BY bottom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM z), i AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol ORDER BY bottom ROWS UNBOUNDED PRECEDING) AS island FROM g)"
+        + ", m AS (SELECT symbol, island, round(min(bottom), 4) AS bottom, round(max(top), 4) AS top, count(*) AS peaks, CAST(sum(hits) AS BIGINT) AS hits FROM i GROUP BY ALL)",
+        "SELECT symbol, bottom, top, peaks, hits, row_number() OVER (PARTITION BY symbol ORDER BY hits DESC, bottom) AS density_rank FROM m",
+    ),
+    "trades_target_first": q(trades().replace("s IS NULL OR w < s", "s IS NULL OR w <= s"), f"SELECT {TRADE_COLUMNS} FROM trades"),
+    "zones_of_quality": q(ZONES, "SELECT symbol, printf('Z%04d', row_number() OVER (PARTITION BY symbol ORDER BY formation_idx)) AS zone_id, type, structure, formation_ts, quality_score FROM zones WHERE quality_score >= 70"),
+    "trade_baselines": q(
+        ZONES
+        + _CLOSE_IN
+        + exits_r(20, "entered")
+        + """,
+late AS (SELECT z.symbol, z.zone_id, r.fill_idx + 1 + CAST('0x' || md5(z.symbol || ':' || z.zone_id || ':42')[1:6] AS BIGINT) % 10 AS fill_idx FROM zones z JOIN r_trades r ON r.symbol = z.symbol AND r.zone_id = z.zone_id),
+randomly AS (SELECT z.* EXCLUDE (distal), b.idx AS fill_idx, b.ts AS entry_ts, b.close AS entry_price, b.close - CASE WHEN type = 'demand' THEN 1.0 ELSE -1.0 END * abs(z.proximal - z.distal) AS distal
+  FROM zones z JOIN late l ON l.symbol = z.symbol AND l.zone_id = z.zone_id JOIN ind b ON b.symbol = z.symbol AND b.idx = l.fill_idx)"""
+        + _tagged(exits_r(20, "randomly"), "b")
+        + """,
+shapes AS (SELECT *, abs(close - open) AS body, high - low AS wide, high - greatest(open, close) AS up, least(open, close) - low AS down FROM ind WHERE atr > 0),
+marked AS (SELECT symbol, idx AS fill_idx, ts AS entry_ts, close AS entry_price, close AS proximal, atr, CASE WHEN down >= 2 * body AND up <= 0.3 * body AND body > 0 THEN 'demand' ELSE 'supply' END AS type FROM shapes WHERE wide > 0 AND body > 0 AND (down >= 2 * body AND up <= 0.3 * body OR up >= 2 * body AND down <= 0.3 * body)),
+signals AS (SELECT *, 'S' || fill_idx AS zone_id, CAST(NULL AS VARCHAR) AS structure, entry_ts AS formation_ts, entry_price - CASE WHEN type = 'demand' THEN 1.0 ELSE -1.0 END * atr AS distal FROM marked)"""
+        + _tagged(exits_r(20, "signals"), "c")
+        + f""",
+every AS (SELECT 'always_reversal' AS baseline, outcome, {_R} AS r FROM r_trades UNION ALL SELECT 'random_entry', outcome, {_R} FROM r_trades_b UNION ALL SELECT 'indicator', outcome, {_R} FROM r_trades_c)""",
+        "SELECT baseline, outcome, count(*) AS trades, round(avg(r), 4) AS avg_r FROM every GROUP BY ALL",
     ),
     "candle_patterns": q(
         BARS

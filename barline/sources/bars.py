@@ -69,7 +69,7 @@ def read_csv(spark: SparkSession, path: str, schema: str = BARS, date: str = "Da
     plain = plain.toDF(*names.values())
     out = []
     for part in schema.split(","):
-        name, kind = part.split()
+        name, kind = (x.strip("`") for x in part.split())
         given = F.col(name) if name in plain.columns else F.lit(None)
         if kind == "timestamp_ntz":
             given = F.regexp_replace(given, r"([+-]\d\d:?\d\d|Z)$", "")
@@ -92,6 +92,34 @@ def read_zones(spark: SparkSession, path: str, ml_path: str | None = None) -> Da
     return scored(read_csv(spark, ml_path or path, schema, date=""))
 
 
+#: Columns of a table of labelled bars beside symbol, ts, prices and indicators, and of windows beside their features, by type.
+LABELLED = {
+    "string": ["zone_formed_structure", "zone_formed_type", "nearest_demand_structure", "nearest_supply_structure"],
+    "int": ["zone_formed_count", "active_demand_count", "active_supply_count", "price_in_demand_zone", "price_in_supply_zone", "zone_confluence", "is_bullish"],
+    "double": ["zone_formed_strength", *(f"nearest_{t}_{x}" for t in ("demand", "supply") for x in ("top", "bottom", "dist_pct", "strength"))],
+}
+
+
+def read_labelled(spark: SparkSession, path: str, indicators: list[str]) -> DataFrame:
+    """Files of bars with their zone context (`labels.label`) and the named indicators, in order of symbol and ts."""
+    typed = [f"{c} {t}" for t, cs in LABELLED.items() for c in cs if c not in indicators]
+    return read_csv(spark, path, ", ".join([BARS, *typed, *(f"{c} double" for c in indicators)]))
+
+
+def read_windows(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """Files of labelled windows: symbol, ts, label, zone_type and the named features."""
+    return read_csv(spark, path, ", ".join(["symbol string, ts timestamp_ntz, label int, zone_type string", *(f"`{c}` double" for c in features)]))
+
+
+def write_names(spark: SparkSession, names: list[str], path: str) -> None:
+    """A list of feature names as text, one a line, in order."""
+    spark.createDataFrame([("\n".join(names),)], "names string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_names(spark: SparkSession, path: str) -> list[str]:
+    return [r.value for r in spark.read.text(path, wholetext=False).collect()]
+
+
 def scored(zones: DataFrame) -> DataFrame:
     """strength_pit, taken from ml_prob for symbols where no zone has it."""
     from barline.functions.expr import missing

@@ -128,3 +128,40 @@ def test_running_values(spark):
         if r.v is not None:
             v.append(r.v)
         assert (r["sum"] or 0, r["max"], r["min"], r["last"], r["n"] or 0) == ((sum(v), max(v), min(v), v[-1], len(v)) if v else (0, None, None, None, 0))
+
+
+def test_nearest_intervals_are_those_of_a_scan(spark, monkeypatch):
+    """Ties of price and time, thin intervals, points on ends, groups without intervals."""
+    from barline.operators import nearest
+
+    monkeypatch.setattr(history, "FAN", 4)
+    rng = random.Random(12)
+    when = lambda: START + dt.timedelta(minutes=rng.randint(0, 400))
+    held = []
+    for k in range(150):
+        bottom = float(rng.randint(0, 300))
+        held.append((rng.choice("ab"), f"H{k:03}", bottom + rng.choice([0.0, 1.0, 2.0, 9.0, 25.0]), bottom, when()))
+    asked = []
+    for k in range(250):
+        low = float(rng.randint(-20, 320)) + rng.choice([0.0, 0.5])
+        high = low + rng.choice([1.0, 4.0, 20.0])
+        asked.append((rng.choice("aabbc"), k, (low + high) / 2, low, high, when()))
+    got = nearest.nearest(spark.createDataFrame(asked, "group string, key long, at double, low double, high double, upto timestamp_ntz"), spark.createDataFrame(held, "group string, id string, top double, bottom double, formed timestamp_ntz"), 0.3)
+    found = {r.key: (r.gap, r.id, r.held, r.agrees) for r in got.collect()}
+    for group, key, at, low, high, upto in asked:
+        mine = [h for h in held if h[0] == group and h[4] <= upto]
+        near = min(((max(h[3] - at, at - h[2], 0.0), h[4], h[1]) for h in mine), default=None)
+        agrees = any((min(high, h[2]) - max(low, h[3])) / (high - low) >= 0.3 for h in mine)
+        assert found[key] == ((None, None, False, False) if near is None else (near[0], near[2], near[0] == 0, agrees))
+
+
+def test_a_life_is_tiled_by_few_nodes(spark):
+    """Whatever its length: as many nodes on a level as two parents have."""
+    from barline.operators import nearest
+
+    spans = spark.range(3000).select(F.lit(100).alias("first"), (F.col("id") + 102).alias("end"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("level"))
+    width = F.pow(F.lit(float(nearest.CHILDREN)), "level").cast("long")
+    nodes = spans.select("end", "level", F.explode(nearest.tiles(F.floor(F.col("first") / width), F.floor(F.col("end") / width))).alias("node"))
+    assert nodes.groupBy("end", "level").count().agg(F.max("count")).first()[0] <= 2 * nearest.CHILDREN
+    covered = nodes.select("end", F.explode(F.sequence(F.col("node") * width, (F.col("node") + 1) * width - 1)).alias("place")).groupBy("end").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("place").alias("d"), F.min("place").alias("a"), F.max("place").alias("b"))
+    assert covered.where("n <> d or n <> b - a + 1 or a <> 101 or b <> end - 1").count() == 0 and covered.count() == 3000

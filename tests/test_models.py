@@ -173,3 +173,22 @@ def test_recoded_and_keys(spark):
 
     got = spark.createDataFrame([("True", "^NSEI"), ("False", "A.NS"), ("x", "B"), (None, "^X.Y")], "b string, s string").select(expr.recoded(F.col("b")), expr.recoded(F.col("b") == "True"), expr.symbol_key(F.col("s"))).collect()
     assert [tuple(r) for r in got] == [(1, 1, "IDX_NSEI"), (0, 0, "A_NS"), (0, 0, "B"), (0, 0, "IDX_X.Y")]
+
+
+def test_datasets_and_names(spark, made, tmp_path):  # noqa: F811
+    from barline.operators import labels, windows
+
+    _, bars = made
+    lived = zones.lifecycle(zones.scored_zones(bars), bars)
+    labelled = labels.label(bars, lived).persist()
+    labelled.withColumnRenamed("ts", "Date").coalesce(1).write.option("header", True).csv(str(tmp_path / "labelled"))
+    again = sources.read_labelled(spark, str(tmp_path / "labelled"), ["atr", "ema20"])
+    key = lambda df: sorted((r.symbol, r.ts, r.zone_formed_count, r.active_demand_count, r.nearest_demand_dist_pct, r.zone_formed_structure, r.atr) for r in df.where("atr is not null").collect())
+    assert key(again) == key(labelled)
+    made_ = windows.labelled(windows.features(bars), lived)
+    made_.drop("idx", "atr").withColumnRenamed("ts", "Date").coalesce(1).write.option("header", True).csv(str(tmp_path / "windows"))
+    got = sources.read_windows(spark, str(tmp_path / "windows"), windows.names())
+    assert got.count() == made_.count() and got.agg(F.sum("label")).first()[0] == made_.agg(F.sum("label")).first()[0]
+    assert got.agg(F.round(F.sum("`c-3_body_atr`"), 6)).first()[0] == made_.agg(F.round(F.sum("`c-3_body_atr`"), 6)).first()[0]
+    sources.write_names(spark, windows.names(), str(tmp_path / "names"))
+    assert sources.read_names(spark, str(tmp_path / "names")) == windows.names()
