@@ -2,11 +2,11 @@
 
 Texts are cut into slices of many documents of one language. Words that are frequent enough get ids by falling frequency, so that frequent
 pairs of ids crowd together near the origin of the matrix of pairs. The matrix is split into tiles; within a slice crowded tiles are
-counted by direct addresses (numpy's bincount), the others as sorted coordinates, and Spark adds up the slices' counts. Frequent pairs
-are ranked in turn and take the places of their words in the slices, and so on for longer phrases: a phrase of k words is a pair of
-overlapping phrases of k - 1.
+counted by direct addresses (numpy's bincount), the others as sorted coordinates, and Spark adds up the slices' counts. For longer phrases
+a slice ranks its frequent pairs again, by their own frequency, and counts pairs of such a rank and a word in the same way, and so on.
 
-Nothing but the ranks' bases and a filter of fixed size passes through the driver; slices and their ids meet by keys.
+Which pairs are frequent a slice learns from a filter of fixed size, which is all that passes through the driver; what it lets pass wrongly is counted
+exactly and found to be rare. Ids of words grow with the data, so slices meet them by keys, never by broadcast.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from barline.plans.ranks import ranked
 
 #: Words of a slice; bits of a tile's side; a tile with one occurrence for so many cells is counted by direct addresses.
 SLICE_WORDS, TILE_BITS, CROWDED = 1_500_000, 11, 16
-#: Bits of the filter that keeps infrequent pairs from asking for an id (8 MB, whatever the data; what it lets pass wrongly finds no partner).
+#: Bits of the filter of frequent phrases (8 MB for each length, whatever the data).
 FILTER_BITS = 26
 
 _TILES = 4  # tiles on a side of the corner that can be crowded
@@ -111,47 +111,76 @@ def tile_counts(codes: np.ndarray, bits: int = TILE_BITS, crowded: int = CROWDED
     return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for held in batch.column("stream"):
-            codes, times = tile_counts(paired(expanded(held.as_py()))[1])
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times.astype(np.int64))], ["code", "n"])
+def _places(words: np.ndarray, size: int) -> list[np.ndarray]:
+    """Two places in a filter of each row of word ids."""
+    h = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64), 51)
+    return [(mix(h, seed) >> np.uint64(64 - size)).astype(np.int64) for seed in (52, 53)]
 
 
-def _asked(bits: np.ndarray, size: int):
-    """The distinct codes of a slice that may be frequent."""
+def _passing(words: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
+    keep = np.ones(len(words), bool)
+    for place in _places(words, size):
+        keep &= (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return keep
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, held in zip(batch.column("slice"), batch.column("stream"), strict=True):
-                codes = tile_counts(paired(expanded(held.as_py()))[1])[0]
-                keep = np.ones(len(codes), bool)
-                for place in _places(codes, size):
-                    keep &= (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                codes = codes[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), name.as_py(), np.int64)), pa.array(codes)], ["slice", "code"])
-
-    return run
 
-
-def _places(codes: np.ndarray, size: int) -> list[np.ndarray]:
-    return [(mix(codes.astype(np.uint64), seed) >> np.uint64(64 - size)).astype(np.int64) for seed in (51, 52)]
-
-
-def _filter(frequent: DataFrame, size: int) -> np.ndarray:
-    """Bits of all frequent codes, 2^size of them: gathered as words of 64 bits, so never more than a fixed number of rows."""
+def _filter(frequent: DataFrame, words: int, size: int) -> np.ndarray:
+    """Bits of all frequent phrases (key: their word ids), 2^size of them: gathered as words of 64 bits, so never more than a fixed number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.concatenate(_places(batch.column("code").to_numpy(), size))
+            ids = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u4").reshape(-1, words)
+            place = np.concatenate(_places(ids, size))
             yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array((np.uint64(1) << (place & 63).astype(np.uint64)).view(np.int64))], ["word", "bits"])
 
-    found = frequent.select("code").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = frequent.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << size - 6, np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def phrase_counts(ids: np.ndarray, filters: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct phrases of len(filters) + 2 words in a stream of word ids, as rows of ids, and their counts; filters: of the frequent phrases of 2, 3, ... words.
+
+    Frequent phrases of k words are ranked by their count here; a phrase of k + 1 is a pair of such a rank and a word.
+    """
+    at, codes = paired(ids)
+    distinct, times = tile_counts(codes)
+    words = np.stack([distinct >> 32, distinct & 0xFFFFFFFF], axis=1)
+    for k, bits in enumerate(filters, 2):
+        order = np.argsort(distinct)
+        keep = _passing(words, bits, size)
+        rank = np.zeros(len(distinct), np.int64)
+        by = np.flatnonzero(keep)
+        by = by[np.lexsort((distinct[by], -times[by]))]
+        rank[by] = np.arange(1, len(by) + 1)
+        here = np.zeros(len(ids) + 1, np.int64)
+        here[at] = rank[order[np.searchsorted(distinct, codes, sorter=order)]] if len(distinct) else 0
+        at = np.flatnonzero((here[:-1] > 0) & (here[1:] > 0))  # both the first and the last k words are frequent
+        codes = here[at] << 32 | ids[at + k]
+        known = words[by]
+        distinct, times = tile_counts(codes)
+        words = np.concatenate([known[(distinct >> 32) - 1], (distinct & 0xFFFFFFFF)[:, None]], axis=1)
+    return words, times
+
+
+def _counted(filters: list[np.ndarray], size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held in batch.column("stream"):
+                words, times = phrase_counts(expanded(held.as_py()), filters, size)
+                if filters:
+                    width = 4 * words.shape[1]
+                    key = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((np.arange(len(words) + 1) * width).astype(np.int32)), pa.py_buffer(words.astype(">u4").tobytes())])
+                else:  # as one number
+                    key = pa.array(words[:, 0] << 32 | words[:, 1])
+                yield pa.RecordBatch.from_arrays([key, pa.array(times.astype(np.int64))], ["code", "n"])
+
+    return run
+
+
 def _stream(slices: pa.Table, ids: np.ndarray) -> pa.Table:
     return pa.table({"slice": slices.column("slice"), "stream": pa.array([squeezed(ids)], pa.binary())})
 
@@ -164,22 +193,8 @@ def _as_words(slices: pa.Table, found: pa.Table) -> pa.Table:
     return _stream(slices, ids[local])
 
 
-def _as_pairs(slices: pa.Table, found: pa.Table) -> pa.Table:
-    """A slice whose places hold the id of the pair that begins there, 0 for infrequent ones."""
-    ids = expanded(slices.column("stream")[0].as_py())
-    known, names = found.column("code").to_numpy(), found.column("id").to_numpy()
-    order = np.argsort(known)
-    known, names = known[order], names[order]
-    out = np.zeros(len(ids), np.int64)
-    if len(known):
-        at, codes = paired(ids)
-        where = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        out[at] = np.where(known[where] == codes, names[where], 0)
-    return _stream(slices, out)
-
-
 def _met(slices: DataFrame, found: DataFrame, run) -> DataFrame:
-    """Each slice (bounded) with what was found for it. A slice without anything goes: it holds no phrase."""
+    """Each slice (bounded) with what was found for it. A slice without a frequent word goes."""
 
     def both(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         return run(mine, theirs) if mine.num_rows and theirs.num_rows else pa.table({"slice": pa.array([], pa.int64()), "stream": pa.array([], pa.binary())})
@@ -200,37 +215,37 @@ def _score(l: Column, r: Column) -> Column:
 
 
 def phrases(docs: DataFrame, longest: int = 3, least: int = 10, slice_words: int = SLICE_WORDS, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """All phrases of up to `longest` words with their counts: lang, size, id, phrase, a, heads and tails (counts of their first and of their last
+    """All phrases of up to `longest` words with their counts: lang, size, phrase, a, heads and tails (counts of their first and of their last
     1, 2, ... words), wrapped (the largest count of a phrase of one word more that holds it, null for none); and the languages' word counts: lang, n."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     cut = written(texts.mapInArrow(_slices(slice_words), "slice long, lang string, keys array<binary>, times array<long>, n long, stream binary"), "phrases_words")
     totals = cut.groupBy("lang").agg(F.sum("n").alias("n"))
     each = cut.select("lang", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("lang", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
     words = _named(each.groupBy("lang", "key").agg(F.sum("times").alias("n")), least, ["lang", "key"], "phrases_1")
-    asked = cut.select("slice", "lang", F.posexplode("keys").alias("place", "key")).join(words.select("lang", "key", "id"), ["lang", "key"]).select("slice", F.col("place").cast("long").alias("place"), "id")
+    asked = cut.select("slice", "lang", F.posexplode("keys").alias("place", "key")).join(words.select("lang", "key", "id").hint("merge"), ["lang", "key"]).select("slice", F.col("place").cast("long").alias("place"), "id")
     streams = written(_met(cut, asked, _as_words), "phrases_streams")
-    text = F.col("key").cast("string")
-    level = words.select("id", "lang", text.alias("phrase"), text.alias("last"), F.col("n").alias("a"), F.array("n").alias("heads"), F.array("n").alias("tails"))
-    levels = []
+    text, as_key = F.col("key").cast("string"), lambda number, digits: F.unhex(F.lpad(F.hex(number), digits, "0"))
+    level = words.select(as_key("id", 8).alias("key"), "lang", text.alias("phrase"), text.alias("last"), F.col("n").alias("a"), F.array("n").alias("heads"), F.array("n").alias("tails"))
+    levels, filters = [], []
     for size in range(2, longest + 1):
-        codes = _named(streams.mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), least, ["code"], f"phrases_{size}")
-        first, second = F.shiftright("code", 32).alias("first"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("second")
-        pairs = codes.select("id", F.col("n").alias("a"), first, second)
-        held = pairs.select(F.explode(F.array("first", "second")).alias("id"), "a").groupBy("id").agg(F.max("a").alias("wrapped"))
-        levels.append(level.join(held, "id", "left").withColumn("size", F.lit(size - 1)))
-        front = level.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("front"), F.col("heads").alias("front_heads"))
-        back = level.select(F.col("id").alias("second"), "last", F.col("tails").alias("back_tails"))
-        level = pairs.join(front, "first").join(back, "second")
-        level = level.select("id", "lang", F.concat_ws(" ", "front", "last").alias("phrase"), "last", "a", F.concat("front_heads", F.array("a")).alias("heads"), F.concat("back_tails", F.array("a")).alias("tails"))
+        kind = "binary" if filters else "long"
+        counts = streams.mapInArrow(_counted(list(filters), filter_bits), f"code {kind}, n long").groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        found = written(counts.select((F.col("code") if filters else as_key("code", 16)).alias("key"), F.col("n").alias("a")), f"phrases_{size}")
+        front, back = F.substring("key", 1, 4 * size - 4), F.substring("key", 5, 4 * size - 4)
+        held = found.select(F.explode(F.array(front, back)).alias("key"), "a").groupBy("key").agg(F.max("a").alias("wrapped"))
+        levels.append(level.join(held, "key", "left").withColumn("size", F.lit(size - 1)))
+        first = level.select(F.col("key").alias("front"), "lang", F.col("phrase").alias("before"), F.col("heads").alias("front_heads"))
+        second = level.select(F.col("key").alias("back"), "last", F.col("tails").alias("back_tails"))
+        level = found.withColumns({"front": front, "back": back}).join(first, "front").join(second, "back")
+        level = level.select("key", "lang", F.concat_ws(" ", "before", "last").alias("phrase"), "last", "a", F.concat("front_heads", F.array("a")).alias("heads"), F.concat("back_tails", F.array("a")).alias("tails"))
         level = written(level, f"phrases_of_{size}")
         if size < longest:
-            asked = streams.mapInArrow(_asked(_filter(codes, filter_bits), filter_bits), "slice long, code long").join(codes.select("code", "id"), "code").select("slice", "code", "id")
-            streams = written(_met(streams, asked, _as_pairs), "phrases_streams")
+            filters.append(_filter(found, size, filter_bits))
     levels.append(level.withColumns({"wrapped": F.lit(None).cast("long"), "size": F.lit(longest)}))
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
-    return out.drop("last"), totals
+    return out.drop("last", "key"), totals
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, wrapped: int = 50, top: int = 2000) -> DataFrame:
