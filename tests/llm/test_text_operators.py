@@ -408,6 +408,59 @@ def test_html_against_marked_up_pages(spark):
     assert hit >= 0.99 * sum(len(t.split()) for t in truth.values()) and hit >= 0.99 * sum(len(t.split()) for t in got.values())
 
 
+def _pages(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_names_alone_take_nothing_from_an_article(spark):
+    rng = random.Random(3)
+    text = [prose(rng, 40) for _ in range(12)]
+    pages = {
+        1: (f"<body><article><h1>{text[0]}</h1><section class=menu><h2>Food</h2><p>{text[1]}</p></section><div class=social-impact>{text[2]}</div><section class='related-work'><p>{text[3]}</p></section></article></body>", [text[0], "Food", *text[1:4]]),
+        2: (f"<body><main><h1>{text[0]}</h1><div class=share-prices>{text[1]}</div></main></body>", text[:2]),
+        3: (f"<body><div class=a><h1>{text[0]}</h1></div><div class=b>{text[1]}</div><div class=c>{text[2]}</div></body>", text[:3]),
+        4: (f"<body><div class=cookie>{'We use cookies here. ' * 40}</div><div class=content>{text[1]}</div></body>", [text[1]]),
+        5: (f"<body><article><h1>{text[0]}</h1><p>{text[1]}</p><article class=reply-item>{text[2]}</article></article><section id=reader-responses><article>{text[3]}</article></section></body>", text[:2]),
+        6: (f"<body><article><h1>{text[0]}</h1><p>{text[1]}</p><div class=shareButtons><a>x</a><a>y</a></div></article><div id=userComments>{text[2]}</div></body>", text[:2]),
+    }
+    got = _pages(spark, [(k, f"http://n{k}.org/", html) for k, (html, _) in pages.items()])
+    assert got == {k: "\n\n".join(want) for k, (_, want) in pages.items()}
+
+
+def test_html_repetition_marks_what_names_do_not(spark, monkeypatch):
+    """Ten templates whose class names tell nothing: a host's notices, links and closing lines go, its articles stay; copies of a page tell nothing."""
+    rng, rows, truth = random.Random(8), [], {}
+    for host in range(10):
+        x = lambda k: f"k{chr(97 + host)}{chr(97 + k)}"
+        notices = [prose(rng, n) for n in (15, 60, 25)]
+        for k in range(12):
+            a = [prose(rng, rng.randint(20, 90)) for _ in range(4)]
+            top, end = (f"<div class={x(5)}><a>{notices[0]}</a></div>", f"<div class={x(6)}><p>{notices[1]}</p></div>")
+            inside = f"<div class={x(7)}>{notices[2]}</div>"
+            if host % 3 == 0:
+                page = f"<body>{top}<div class={x(0)}><h1>{a[0]}</h1></div><div class={x(1)}><p>{a[1]}</p></div><div class={x(2)}><p>{a[2]}</p>{inside}<p>{a[3]}</p></div>{end}</body>"
+            elif host % 3 == 1:
+                page = f"<body>{top}<article class={x(0)}><h1>{a[0]}</h1><p>{a[1]}</p>{inside}<section class={x(1)}><p>{a[2]}</p><p>{a[3]}</p></section></article>{end}</body>"
+            else:
+                page = f"<body>{top}<div class={x(0)}><div class={x(1)}><h2>{a[0]}</h2><p>{a[1]}</p></div>{inside}<div class={x(2)}><p>{a[2]}</p><p>{a[3]}</p></div></div>{end}</body>"
+            rows.append((host * 100 + k, f"https://h{host}.org/{k}", page))
+            truth[host * 100 + k] = " ".join(a)
+    copies = [(5000 + k, "http://copies.org/x", f"<body><div class=q><p>{truth[0]}</p></div></body>") for k in range(40)]
+    got = _pages(spark, rows + copies)
+    assert all(got[r[0]] == truth[0] for r in copies)
+    hit = sum((Counter(got[k].split()) & Counter(truth[k].split())).total() for k in truth)
+    assert hit >= 0.99 * sum(len(t.split()) for t in truth.values()) and hit >= 0.99 * sum(len(got[k].split()) for k in truth)
+    monkeypatch.setattr(html_text, "BROADCAST_PATHS", -1)
+    assert _pages(spark, rows + copies) == got
+
+
+def test_html_long_pages_and_equal_votes(spark):
+    long = "word " * 200_000
+    halves = "<body><div class=a><p>{0}</p></div><div class=b><p>{0}</p></div></body>".format("same words in both")
+    got = _pages(spark, [(1, "http://l.org", f"<body><article><p>{long}</p></article><div class=ad>x</div></body>"), (2, "http://t.org", halves), (3, "http://t.org", halves)])
+    assert got[1] == long.strip() and got[2] == got[3] == "same words in both\n\nsame words in both"
+
+
 def exhaustive(doc, item, share=0.5, least=10, run=13):
     """Whether an item is in a document, by all alignments of all tokens."""
     t, w = (re.findall(r"[^\W_]+", x.lower()) for x in (doc, item))
