@@ -84,15 +84,17 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 
 
 def _hashes(words: str) -> str:
-    return f"CASE WHEN len({words}) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(list_transform(range(1, greatest(len({words}) - 3, 2)), lambda i: left(md5(array_to_string({words}[i:i + 4], ' ')), 12)))) END"
+    return f"CASE WHEN len({words}) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_sort(list_distinct(list_transform(range(1, greatest(len({words}) - 3, 2)), lambda i: left(md5(array_to_string({words}[i:i + 4], ' ')), 8)))) END"
 
 
 def _sketch(hashes: str) -> str:
-    return f"CASE WHEN {hashes}[1] < '1' THEN list_filter({hashes}, lambda h: h < '1') ELSE {hashes}[1:1] END"
+    return f"CASE WHEN len({hashes}) BETWEEN 1 AND 128 THEN list_prepend('*', {hashes}) ELSE list_filter({hashes}, lambda h: h < '6') END"
 
 
 def _near(x: str, y: str) -> str:
-    return f"round(CASE WHEN least(len({x}), len({y})) > 0 THEN len(list_intersect({x}, {y})) / least(len({x}), len({y})) WHEN len({x}) = len({y}) THEN 1.0 ELSE 0.0 END, 6)"
+    """x, y: lists of all distinct hashes; compared whole if neither has more than 128."""
+    low = [f"CASE WHEN greatest(len({x}), len({y})) <= 128 THEN {z} ELSE list_filter({z}, lambda h: h < '6') END" for z in (x, y)]
+    return f"round(CASE WHEN len({x}) = 0 AND len({y}) = 0 THEN 1.0 WHEN least(len({low[0]}), len({low[1]})) > 0 THEN len(list_intersect({low[0]}, {low[1]})) / least(len({low[0]}), len({low[1]})) ELSE 0.0 END, 6)"
 
 
 OP9 = f"""
@@ -105,7 +107,7 @@ WITH d AS (
 ), h AS (SELECT *, {_hashes("tw")} AS th, {_hashes("ew")} AS eh FROM w
 ), s AS (SELECT *, {_sketch("th")} AS ts, {_sketch("eh")} AS es FROM h)
 SELECT a.doc_id, a.n AS n_chars, sha256(a.edited) AS edited_sha256, coalesce(array_to_string(a.ts, ','), '') AS fingerprint, coalesce(array_to_string(a.es, ','), '') AS edited_fingerprint,
-       {_near("a.ts", "a.es")} AS near_edited, {_near("a.ts", "b.ts")} AS near_next
+       {_near("a.th", "a.eh")} AS near_edited, {_near("a.th", "b.th")} AS near_next
 FROM s a JOIN s b ON b.doc_id = a.next_id
 """
 

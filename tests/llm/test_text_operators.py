@@ -584,8 +584,8 @@ def test_fingerprints(spark):
 
     def sketch(t):
         w = words(t)
-        every = {hashlib.md5(" ".join(w[k : k + 5]).encode()).hexdigest()[:12] for k in range(max(len(w) - 4, 1))} if w else set()
-        return sorted(h for h in every if h < "1") or sorted(every)[:1]
+        every = {hashlib.md5(" ".join(w[k : k + 5]).encode()).hexdigest()[:8] for k in range(max(len(w) - 4, 1))} if w else set()
+        return ["*", *sorted(every)] if 0 < len(every) <= 128 else sorted(h for h in every if h < "6")
 
     assert len(got) == len(rows)
     for r in got:
@@ -602,6 +602,39 @@ def test_merged_sketches(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"))
     r = df.select("x", "y", fingerprints.merged(F.col("x"), F.col("y")).alias("m")).first()
     assert list(r.m) == sorted(set(r.x) | set(r.y))
+    short = spark.createDataFrame([(" ".join(a.split()[:60]), " ".join(b.split()[:50]), a)], "a string, b string, c string").select(*(fingerprints.sketch(F.col(x)).alias(x) for x in "abc"))
+    r = short.select("*", fingerprints.merged(F.col("a"), F.col("b")).alias("ab"), fingerprints.merged(F.col("a"), F.col("c")).alias("ac")).first()
+    assert list(r.ab) == ["*", *sorted((set(r.a) | set(r.b)) - {"*"})] and list(r.ac) == list(r.c)
+
+
+def test_containment_against_full_shingle_sets(spark):
+    """Short texts inside long ones and edited texts, against true containment."""
+    rng = random.Random(11)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+
+    long = [prose(rng, rng.randint(300, 3000)) for _ in range(60)]
+    inside = []
+    for t in long:
+        w = t.split()
+        at = rng.randrange(len(w) - 20)
+        inside.append(" ".join(w[at : at + 20]))
+    pairs = [*zip(inside, long, strict=True)]
+    for n in (3, 5, 30, 120, 140, 300, 900, 20_000):
+        for share in (0.1, 0.5, 0.9):
+            w = prose(rng, n).split()
+            k = int(len(w) * share)
+            pairs += [(" ".join(w), " ".join(w[:k] + prose(rng, n).split())), (" ".join(w[:k]) or "x", " ".join(w))]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    made = df.select("k", fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"))
+    got = {r.k: r.near for r in made.select("k", fingerprints.containment(F.col("x"), F.col("y")).alias("near")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        x, y = shingles(a), shingles(b)
+        true, few = len(x & y) / min(len(x), len(y)), max(len(x), len(y)) <= 128
+        assert abs(got[k] - true) <= (1e-9 if few or k < len(inside) else 0.2)
+        assert got[k] == 1.0 or k >= len(inside)
 
 
 def test_licenses(spark):
