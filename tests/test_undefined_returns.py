@@ -64,3 +64,7 @@ def test_indicators(spark, sunk, sql):
 
 def test_plotting_positions(spark, sunk, sql):
     agrees(spark, sunk, sql, "plotting_positions")
+
+
+def test_tail_frequency(spark, sunk, sql):
+    agrees(spark, sunk, sql, "tail_frequency")
