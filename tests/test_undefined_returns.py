@@ -68,3 +68,7 @@ def test_plotting_positions(spark, sunk, sql):
 
 def test_tail_frequency(spark, sunk, sql):
     agrees(spark, sunk, sql, "tail_frequency")
+
+
+def test_quality_nulls(spark, sunk, sql):
+    agrees(spark, sunk, sql, "quality_nulls")
