@@ -72,3 +72,7 @@ def test_tail_frequency(spark, sunk, sql):
 
 def test_quality_nulls(spark, sunk, sql):
     agrees(spark, sunk, sql, "quality_nulls")
+
+
+def test_example_nulls(spark, sunk, sql):
+    agrees(spark, sunk, sql, "example_nulls")
