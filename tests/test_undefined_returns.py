@@ -76,3 +76,7 @@ def test_quality_nulls(spark, sunk, sql):
 
 def test_example_nulls(spark, sunk, sql):
     agrees(spark, sunk, sql, "example_nulls")
+
+
+def test_quality_describe(spark, sunk, sql):
+    agrees(spark, sunk, sql, "quality_describe")
