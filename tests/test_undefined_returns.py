@@ -80,3 +80,7 @@ def test_example_nulls(spark, sunk, sql):
 
 def test_quality_describe(spark, sunk, sql):
     agrees(spark, sunk, sql, "quality_describe")
+
+
+def test_volume_links(spark, sunk, sql):
+    agrees(spark, sunk, sql, "volume_links")
