@@ -122,7 +122,10 @@ def trend_alignment(bars: DataFrame, recent: int = 252) -> DataFrame:
 
 
 def histogram(bars: DataFrame, column: str, low: float, high: float, bins: int = 20) -> DataFrame:
-    return bars.where(F.col(column).isNotNull()).groupBy("symbol", F.width_bucket(column, F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("bars"))
+    """How many values lie in each of so many equal bins (from 1), below them (0) and from high on (the last), where NaN is counted, too; nulls are left out."""
+    x = F.col(column)
+    inside = F.floor((x - low) / (high - low) * bins) + 1
+    return bars.where(x.isNotNull()).groupBy("symbol", F.when(x < low, F.lit(0)).when(x >= high, F.lit(bins + 1)).otherwise(inside).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("bars"))
 
 
 def plotting_positions(bars: DataFrame, column: str = "log_return") -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from barline.operators import indicators
+from barline.operators import indicators, quality
 from barline.plans import registry
 
 START = dt.datetime(2024, 1, 1)
@@ -84,3 +84,13 @@ def test_quality_describe(spark, sunk, sql):
 
 def test_volume_links(spark, sunk, sql):
     agrees(spark, sunk, sql, "volume_links")
+
+
+def test_return_histogram(spark, sunk, sql):
+    agrees(spark, sunk, sql, "return_histogram")
+
+
+def test_histogram_bins(spark):
+    values = [-1.0, -0.5, -0.1, 0.0, 0.49, 0.5, 7.0, math.inf, -math.inf, math.nan, None]
+    got = quality.histogram(spark.createDataFrame([("A", v) for v in values], "symbol string, v double"), "v", -0.5, 0.5, 10)
+    assert sorted((r.bin, r.bars) for r in got.collect()) == [(0, 2), (1, 1), (5, 1), (6, 1), (10, 1), (11, 4)]
